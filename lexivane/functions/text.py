@@ -9,6 +9,7 @@ so the hot path stays inside code generation.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -153,17 +154,25 @@ def join_hyphens(text: Column) -> Column:
     return F.regexp_replace(text, "-\\n(?=[a-zà-ÿ])", "")
 
 
-@F.pandas_udf("string")
-def compatibility_form(texts):
-    """NFKC: Spark has no built-in for Unicode compatibility normalization."""
+def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.str.normalize("NFKC")
 
 
+def compatibility_form(text: Column) -> Column:
+    """NFKC: Spark has no built-in for Unicode compatibility normalization."""
+    return F.pandas_udf(_nfkc, "string")(text)
+
+
 def clean_corpus(text: Column) -> Column:
     """Ligatures and other compatibility forms, drop caps, line-break hyphens."""
     return join_hyphens(join_drop_caps(compatibility_form(text)))
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and hand it to ``body``, which may use it inside lambdas."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def derive_base_name(path: Column) -> Column:
     """``./a/b/file.ext`` -> ``a__b__file_ext``."""
     parts = F.filter(F.split(path, "/"), lambda p: (p != "") & (p != "."))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from lexivane.functions import chunking
 from lexivane.functions import text as T
-from lexivane.operators.ordering import running_sum
+from lexivane.operators.ordering import running_sums
 from lexivane.plans.sizing import spread
 from lexivane.plans.store import TableStore
 from lexivane.sources import vocabulary as V
@@ -231,7 +231,7 @@ def refresh_statistics(index: Index, mtime: int = 0) -> None:
     """Derive every other table from ``chunks``."""
     store = index.store
     per_doc = index.chunks.groupBy(*DOC).agg(F.count("*").alias("n_pieces"))
-    spans = running_sum(store, "doc_order", per_doc, BASE, [F.col("doc")], "n_pieces", "first_chunk")
+    spans = running_sums(store, "doc_order", per_doc, BASE, [F.col("doc")], {"first_chunk": "n_pieces"})
     store.save("doc_spans", spans)
     clustered = posting_rows(index.chunks, index.vocab).sortWithinPartitions("token")
     store.save("postings", clustered)

@@ -13,28 +13,25 @@ from pyspark.sql import functions as F
 from lexivane.plans.store import TableStore
 
 
-def running_sum(
-    store: TableStore,
-    name: str,
-    df: DataFrame,
-    group: list[str],
-    order: list[Column],
-    value: str,
-    result: str,
+def running_sums(
+    store: TableStore, name: str, df: DataFrame, group: list[str], order: list[Column], sums: dict[str, str]
 ) -> DataFrame:
-    """Exclusive running sum of ``value`` inside ``group`` along the total order ``order``."""
+    """Exclusive running sums inside ``group`` along the total order ``order``.
+
+    ``sums`` maps each result column to the column that it adds up.
+    """
     slots = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = df.repartitionByRange(slots, *group, *order).withColumn("slot", F.spark_partition_id())
     saved = store.save(name, placed)
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    heads = saved.groupBy(*group, "slot").agg(F.sum(value).alias("slot_total"))
-    # at most one row per range partition and group border: a short window
+    totals = saved.groupBy(*group, "slot").agg(*[F.sum(v).alias(f"total_{r}") for r, v in sums.items()])
+    # one row per range partition and group in it: a short window
     by_slot = before(Window.partitionBy(*group).orderBy("slot"))
-    heads = heads.select(*group, "slot", F.coalesce(F.sum("slot_total").over(by_slot), F.lit(0)).alias("head"))
     inside = before(Window.partitionBy(*group, "slot").orderBy(*order))
-    return (
-        saved.withColumn("inner_sum", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-        .join(heads, [*group, "slot"])
-        .withColumn(result, F.col("head") + F.col("inner_sum"))
-        .drop("slot", "head", "inner_sum")
+    zero = F.lit(0)
+    heads = totals.select(
+        *group, "slot", *[F.coalesce(F.sum(f"total_{r}").over(by_slot), zero).alias(f"head_{r}") for r in sums]
     )
+    inner = saved.select("*", *[F.coalesce(F.sum(v).over(inside), zero).alias(f"inner_{r}") for r, v in sums.items()])
+    joined = inner.join(heads, [*group, "slot"])
+    return joined.select(*df.columns, *[(F.col(f"head_{r}") + F.col(f"inner_{r}")).alias(r) for r in sums])

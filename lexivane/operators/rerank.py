@@ -1,8 +1,4 @@
-"""Stage two of a search: row-local scoring of candidate chunks.
-
-A candidate row carries its text and the terms of its query, so coverage, span and the positional
-matched filter need no explode and no shuffle.
-"""
+"""Stage two of a search: scoring of candidate chunks by coverage, proximity and alignment."""
 
 from __future__ import annotations
 
@@ -10,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexivane.functions import text as T
+from lexivane.operators.index import BASE, CHUNK
 
 MIN_ROOT = 3
 FAR = 1 << 30
@@ -44,67 +41,86 @@ def min_span(lists: Column, used: Column) -> Column:
     return F.when(n_used > 1, folded["best"]).otherwise(F.lit(0))
 
 
-def with_coverage(candidates: DataFrame, phonetic: bool = False) -> DataFrame:
-    """Add ``coverage`` and ``span`` to rows with ``line``, ``weights`` and the columns of query terms.
+def term_rows(terms: DataFrame) -> DataFrame:
+    """One row per query term, plus an empty one per query that meets the empty word below."""
+    empty = F.struct(
+        F.lit("").alias("term"), F.lit(0).alias("k"), F.array().cast("array<string>").alias("prefixes"), F.lit("").alias("sx")
+    )
+    listed = terms.select("query_id", F.posexplode(F.concat(F.array(empty), F.col("terms"))).alias("n", "t"))
+    return listed.select(
+        "query_id",
+        (F.col("n") - 1).alias("term_no"),
+        F.substring_index("t.term", "|", 1).alias("first"),
+        F.col("t.k").alias("k"),
+        F.col("t.prefixes").alias("prefixes"),
+        F.col("t.sx").alias("sx"),
+    )
+
+
+def with_coverage(
+    candidates: DataFrame, terms: DataFrame, weights: DataFrame, phonetic: bool = False, carry: tuple[str, ...] = ("cos",)
+) -> DataFrame:
+    """``coverage`` and ``span`` of candidate rows ``query_id, CHUNK, line, *carry``.
 
     A term matches the start of a word; it is present when all of its syllables match or at least
-    three do. Coverage is the share of the term weights that is present.
+    three do. Coverage is the share of the term weights that is present. Words meet terms by
+    equality on the first syllable, so only possible matches are ever formed; the empty word
+    and the empty term keep candidates without any match.
     """
-    def relevant(word: Column) -> Column:
-        near = F.exists("first", lambda p: word["w"].startswith(p))
-        if phonetic:
-            near = near | F.array_contains("sounds", F.soundex(F.translate(word["w"], "|", "")))
-        return near
-
-    def matched(term: Column, word: Column) -> Column:
-        depth = F.size(F.filter(term["prefixes"], lambda p: word["w"].startswith(p)))
-        if phonetic:
-            same = (term["sx"] != "") & (F.soundex(F.translate(word["w"], "|", "")) == term["sx"])
-            depth = F.when(same, term["k"]).otherwise(depth)
-        return F.struct(depth.alias("m"), word["i"].alias("i"))
-
-    listed = F.transform(
-        T.line_words(F.col("line")), lambda w, i: F.struct(F.concat(w, F.lit("|")).alias("w"), i.alias("i"))
+    keys = ["query_id", *CHUNK]
+    words = F.concat(T.line_words(F.col("line")), F.array(F.lit("")))
+    spread = candidates.select(*keys, *carry, F.posexplode(words).alias("pos", "w"))
+    lookup = F.broadcast(term_rows(terms))  # query texts only
+    depth = F.size(F.filter("prefixes", lambda p: F.startswith(F.concat("w", F.lit("|")), p)))
+    columns = [*keys, *carry, "pos", "term_no", "k"]
+    met = spread.withColumn("first", F.substring_index("w", "|", 1)).join(lookup, ["query_id", "first"])
+    met = met.select(*columns, depth.alias("m"))
+    if phonetic:
+        alike = spread.withColumn("sx", F.soundex(F.translate("w", "|", ""))).join(lookup.where("sx <> ''"), ["query_id", "sx"])
+        met = met.unionByName(alike.select(*columns, F.col("k").alias("m")))
+    carried = [F.first(c).alias(c) for c in carry]
+    # one shuffle serves both groupings; the lists are bounded by the words of one chunk
+    per_term = (
+        met.repartition(*keys)
+        .groupBy(*keys, "term_no")
+        .agg(F.first("k").alias("k"), F.max("m").alias("best"), F.collect_list(F.struct("m", "pos")).alias("hits"), *carried)
     )
-    total = F.aggregate("weights", F.lit(0.0), lambda a, w: a + w)
+    present = (F.col("term_no") >= 0) & ((F.col("best") == F.col("k")) | (F.col("best") >= MIN_ROOT))
+    deepest = F.transform(F.filter("hits", lambda h: h["m"] == F.col("best")), lambda h: h["pos"])
+    listed = per_term.select(*keys, *carry, F.when(present, F.struct("term_no", deepest.alias("positions"))).alias("found"))
+    per_chunk = listed.groupBy(*keys).agg(F.collect_list("found").alias("found"), *carried)
+    sizes = F.broadcast(terms.select("query_id", F.size("terms").alias("n_terms")))  # query texts only
+    weighed = per_chunk.join(sizes, "query_id").join(weights, ["query_id", *BASE], "left")
+    total = F.coalesce(F.aggregate(F.map_values("weight_of"), F.lit(0.0), lambda a, w: a + w), F.lit(0.0))
     held = F.aggregate(
-        F.zip_with("weights", "present", lambda w, p: F.when(p, w).otherwise(F.lit(0.0))), F.lit(0.0), lambda a, w: a + w
+        "found", F.lit(0.0), lambda a, f: a + F.coalesce(F.element_at("weight_of", f["term_no"]), F.lit(0.0))
     )
-    n_terms = F.size("terms")
-    n_present = F.size(F.filter("present", lambda p: p))
     share = (
-        F.when(n_terms == 0, F.lit(0.0)).when(total > 0, held / total).otherwise(n_present / n_terms)
+        F.when(F.col("n_terms") == 0, F.lit(0.0))
+        .when(F.col("total") > 0, held / F.col("total"))
+        .otherwise(F.size("found") / F.col("n_terms"))
     )
-    return (
-        candidates.withColumn("near", F.filter(listed, relevant))
-        # repeating "near" outside the lambda keeps Catalyst from inlining it into the lambda
-        .withColumn(
-            "matches",
-            F.zip_with(
-                "terms", F.array_repeat("near", F.size("terms")), lambda t, near: F.transform(near, lambda w: matched(t, w))
-            ),
-        )
-        .withColumn("best", F.transform("matches", lambda ms: F.coalesce(F.array_max(ms["m"]), F.lit(0))))
-        .withColumn("present", F.zip_with("terms", "best", lambda t, b: (b == t["k"]) | (b >= MIN_ROOT)))
-        .withColumn(
-            "positions",
-            F.zip_with("matches", "best", lambda ms, b: F.transform(F.filter(ms, lambda x: x["m"] == b), lambda x: x["i"])),
-        )
-        .withColumn("span", min_span(F.col("positions"), F.col("present")))
-        .withColumn("coverage", share)
-        .drop("line", "first", "sounds", "near", "matches", "best", "present", "positions")
+    lists = F.transform("found", lambda f: f["positions"])
+    return weighed.withColumn("total", total).select(
+        *keys, *carry, share.alias("coverage"), min_span(lists, F.transform("found", lambda _: F.lit(True))).alias("span")
     )
 
 
 def sliding_matches(sequence: Column, term: Column) -> Column:
     """Matching syllables of ``term`` at every full alignment of ``sequence``."""
-    k = F.size(term)
-    last = F.size(sequence) - k
-    count_at = lambda p: F.size(
-        F.filter(F.transform(term, lambda s, j: F.get(sequence, p + j) == s), lambda hit: hit)
-    )
     none = F.array().cast("array<int>")
-    return F.when((k > 0) & (last >= 0), F.transform(F.sequence(F.lit(0), last), count_at)).otherwise(none)
+
+    def slide(both: Column) -> Column:
+        seq, chain = both["seq"], both["chain"]
+        k, last = F.size(chain), F.size(seq) - F.size(chain)
+        one = lambda p: F.aggregate(
+            chain,
+            F.struct(p.cast("int").alias("at"), F.lit(0).alias("n")),
+            lambda s, c: F.struct((s["at"] + 1).alias("at"), (s["n"] + F.when(F.get(seq, s["at"]) == c, 1).otherwise(0)).alias("n")),
+        )["n"]
+        return F.when((k > 0) & (last >= 0), F.transform(F.sequence(F.lit(0), last), one)).otherwise(none)
+
+    return T.let(F.struct(sequence.alias("seq"), term.alias("chain")), slide)
 
 
 def with_matched_filter(candidates: DataFrame) -> DataFrame:

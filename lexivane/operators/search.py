@@ -151,16 +151,19 @@ def term_weights(index: Index, scope: Scope, terms: DataFrame) -> DataFrame:
 
 
 def scored_candidates(
-    index: Index, scope: Scope, queries: DataFrame, candidates: DataFrame, n_rows: int, phonetic: bool
+    index: Index,
+    scope: Scope,
+    queries: DataFrame,
+    candidates: DataFrame,
+    n_rows: int,
+    phonetic: bool,
+    carry: tuple[str, ...] = ("cos",),
 ) -> DataFrame:
-    """Join candidates with their texts and terms, then add coverage and span."""
+    """Join candidates with their syllable lines, then add coverage and span."""
     terms = Q.query_terms(queries)
-    weights = term_weights(index, scope, terms)
-    carried = candidates.join(F.broadcast(terms), "query_id").join(weights, ["query_id", *BASE], "left")
-    weight = lambda t, i: F.coalesce(F.element_at("weight_of", i), F.lit(0.0))
-    carried = carried.withColumn("weights", F.transform("terms", weight)).drop("weight_of")
-    lines = index.chunks.select(*CHUNK, "start", "line")
-    return R.with_coverage(lines.join(broadcast_rows(carried, n_rows, 1000), CHUNK), phonetic)
+    few = broadcast_rows(candidates.select("query_id", *CHUNK, *carry), n_rows)
+    lines = index.chunks.select(*CHUNK, "start", "line").join(few, CHUNK)
+    return R.with_coverage(lines, terms, term_weights(index, scope, terms), phonetic, ("start", *carry))
 
 
 def path_columns(hits: DataFrame) -> DataFrame:
@@ -203,8 +206,9 @@ def search(
     unified: bool = False,
     now: int | None = None,
     snippets: bool = True,
+    with_keys: bool = False,
 ) -> DataFrame:
-    """Ranked hits of every query over the scope."""
+    """Ranked hits of every query over the scope; ``with_keys`` keeps ``doc`` and ``piece``."""
     queries = Q.query_frame(index.spark, queries)
     n_queries = queries.count()
     scope = open_scope(index, collection, base)
@@ -218,9 +222,8 @@ def search(
         )
     else:
         starts = index.chunks.select(*CHUNK, "start")
-        carried = candidates.join(F.broadcast(queries), "query_id")
         scored = (
-            starts.join(broadcast_rows(carried, n_rows, 300), CHUNK)
+            starts.join(broadcast_rows(candidates, n_rows), CHUNK)
             .withColumn("matchpoint", F.col("cos"))
             .withColumn("coverage", F.lit(None).cast("double"))
             .withColumn("span", F.lit(None).cast("int"))
@@ -233,13 +236,15 @@ def search(
     if snippets:
         # texts are read only for the hits that are shown
         texts = index.chunks.select(*CHUNK, "text")
-        hits = with_snippet(texts.join(broadcast_rows(hits, shown, 1000), CHUNK))
+        asked = hits.join(F.broadcast(queries), "query_id")
+        hits = with_snippet(texts.join(broadcast_rows(asked, shown, 1000), CHUNK))
     else:
         hits = hits.withColumn("snippet", F.lit(None).cast("string"))
     spans = index.doc_spans.select(*BASE, "doc", "first_chunk")
     numbered = spans.join(broadcast_rows(hits, shown, 4000), BASE + ["doc"])
     return numbered.withColumn("chunk", (F.col("first_chunk") + F.col("piece")).cast("int")).select(
-        "query_id", "rank", *BASE, "corpus", "path", "matchpoint", "coverage", "span", "cos", "chunk", "start", "snippet", "recency"
+        "query_id", "rank", *BASE, "corpus", "path", "matchpoint", "coverage", "span", "cos", "chunk", "start", "snippet", "recency",
+        *(["doc", "piece"] if with_keys else []),
     )
 
 
