@@ -178,7 +178,7 @@ def search_expand(
     scope = S.open_scope(index, collection, base)
     carry = ("cos", "var_cov", "variant_no", "chunk", "corpus", "path")
     rescored = S.scored_candidates(index, scope, queries, candidates, n_best, phonetic, carry)
-    order = [F.round("coverage", 9).desc(), F.round("var_cov", 9).desc(), F.asc("span"), (F.col("variant_no") == 0).asc(), F.asc("collection"), F.asc("base"), F.asc("chunk")]
+    order = [F.round("coverage", 9).desc(), F.round("var_cov", 9).desc(), F.asc("span"), (F.col("variant_no") == 0).desc(), F.asc("collection"), F.asc("base"), F.asc("chunk")]
     top = rescored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
     names = kept.select("query_id", "variant_no", F.when(F.col("variant_no") == 0, "original").otherwise(F.col("variant")).alias("via"))
     return top.join(F.broadcast(names), ["query_id", "variant_no"]).select(

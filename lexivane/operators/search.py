@@ -138,6 +138,16 @@ def top_candidates(scores: DataFrame, n: int) -> DataFrame:
     return scores.withColumn("recall_rank", F.row_number().over(w)).where(F.col("recall_rank") <= n)
 
 
+def sharded_top(scores: DataFrame, n: int, shards: int) -> DataFrame:
+    """Best ``n`` chunks per query over everything: the best of each shard, then their merge."""
+    order = [*_by("cos"), F.desc("doc"), F.desc("piece"), F.asc("collection"), F.asc("base")]
+    shard = F.pmod(F.xxhash64(*CHUNK), F.lit(shards))
+    local = Window.partitionBy("query_id", "shard").orderBy(*order)
+    kept = scores.withColumn("shard", shard).withColumn("n", F.row_number().over(local)).where(F.col("n") <= n)
+    merged = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
+    return kept.withColumn("rank", merged).where(F.col("rank") <= n).drop("n")
+
+
 def term_weights(index: Index, scope: Scope, terms: DataFrame) -> DataFrame:
     """``query_id, collection, base, weight_of``: idf mass per term, in the scale of the collection
     when it has several bases in scope."""

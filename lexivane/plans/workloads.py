@@ -16,6 +16,7 @@ from lexivane.functions import text as T
 from lexivane.operators import append as A
 from lexivane.operators import catalog as C
 from lexivane.operators import expand as E
+from lexivane.operators import explain as X
 from lexivane.operators import index as I
 from lexivane.operators import lexicon as L
 from lexivane.operators import mining as M
@@ -24,6 +25,9 @@ from lexivane.operators import profile as P
 from lexivane.operators import queries as Q
 from lexivane.operators import search as S
 from lexivane.plans.store import TableStore
+from lexivane.sources import base_json as J
+from lexivane.sources import thesaurus as TH
+from lexivane.streaming.appends import ChunkLog, append_stream
 
 # Parameters of the registered searches.
 SEARCHES = [
@@ -472,6 +476,78 @@ def append_to_existing(spark, folder):
     return rows.select("base", _big("chunk"), _big("start"), F.md5("text").alias("text_md5"))
 
 
+def append_streamed(spark, folder):
+    """The same turns arriving as a stream."""
+    schema = table(spark, folder, "conversations").schema
+    arriving = spark.readStream.schema(schema).parquet(f"{folder}/conversations*.parquet")
+    texts = arriving.select(F.lit("talks").alias("collection"), F.col("conv_id").cast("string").alias("base"), F.col("turn").alias("seq"), "text")
+    store = TableStore(spark)
+    log = ChunkLog(store)
+    append_stream(texts, log, store.path("stream_state"), SMALL_CHUNK).awaitTermination()
+    return log.current().select("base", _big("chunk"), _big("start"), F.md5("text").alias("text_md5"))
+
+
+# ---------------------------------------------------------------- explain, shards, contract, dictionaries
+
+
+def explained_dims(spark, folder):
+    index = index_of(spark, folder)
+    queries = Q.query_frame(spark, SEARCHES)
+    rows = X.query_dims(index, queries, X.best_chunks(index, queries))
+    return rows.select(_big("query_id"), "token", _big("dim"), _big("count"), "hit", _big("chunk_count"))
+
+
+def explained_peaks(spark, folder):
+    index = index_of(spark, folder)
+    queries = Q.query_frame(spark, SEARCHES)
+    rows = X.peaks(X.matched_filter(index, queries, X.best_chunks(index, queries)))
+    return rows.select(_big("query_id"), _big("word_no"), "term", _big("k"), _r("peak"), _big("peak_pos"), _big("points"))
+
+
+def recall_sharded(spark, folder):
+    index = index_of(spark, folder)
+    scores = S.recall(index, S.open_scope(index), Q.query_frame(spark, SEARCHES), cosine="true", idf_mode="classic")
+    top = index.numbered(S.sharded_top(scores, 20, 3))
+    return top.select(_big("query_id"), _big("rank"), "collection", "base", _big("chunk"), _r("cos"))
+
+
+def json_contract(spark, folder):
+    """Bases written as contract documents and parsed back."""
+    texts = J.export_bases(index_of(spark, folder), 1_000_000)
+    rows = J.parse_bases(texts).select("collection", "base", F.size("idf").cast("long").alias("n_idf"), F.posexplode("chunks").alias("chunk", "c"))
+    return rows.select(
+        "collection", "base", "n_idf", _big("chunk"), F.col("c.start").cast("long").alias("start"), F.col("c.tokens").cast("long").alias("tokens"),
+        F.col("c.oov").cast("long").alias("oov"), F.size("c.vec").cast("long").alias("dims"), F.round("c.norm", 5).alias("norm"), F.md5("c.text").alias("text_md5"),
+    )
+
+
+def _synonym_rows(df):
+    return df.select("w", F.array_join("s", ";").alias("s"))
+
+
+def dictionary_comma(spark, folder):
+    lines = table(spark, folder, "part").select(F.concat(F.replace("p_name", F.lit(" "), F.lit(",")), F.lit(", "), "p_brand").alias("value"))
+    return _synonym_rows(TH.finalize(TH.parse_comma_lines(lines)))
+
+
+def _part_synsets(spark, folder):
+    lines = table(spark, folder, "part").select(F.concat(F.replace("p_name", F.lit(" "), F.lit(";")), F.lit(";"), "p_type", F.lit(" (kind)")).alias("value"))
+    return TH.finalize(TH.parse_synsets(lines))
+
+
+def dictionary_synsets(spark, folder):
+    return _synonym_rows(_part_synsets(spark, folder))
+
+
+def dictionary_composed(spark, folder):
+    """Part names translated to brands, directly and through synonyms."""
+    entry = F.concat(
+        F.lit("<entry><form><orth>"), F.substring_index("p_name", " ", 1), F.lit('</orth></form><cit type="trans"><quote>'), "p_brand", F.lit("</quote></cit></entry>")
+    )
+    bridge = TH.parse_bridge(table(spark, folder, "part").select(entry.alias("value")))
+    return _synonym_rows(TH.compose(bridge, _part_synsets(spark, folder)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in [
@@ -487,6 +563,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         search_benchmark, snippets, search_report, recall_candidates, recall_true_cosine, recall_unified,
         search_sequence, bag_scores, word_chains, phrase_positions, correlation_peaks,
         dictionary_variants, search_expanded, did_you_mean, absence, literal_hits,
-        append_packed, append_to_existing,
+        append_packed, append_to_existing, append_streamed,
+        explained_dims, explained_peaks, recall_sharded, json_contract, dictionary_comma, dictionary_synsets, dictionary_composed,
     ]
 }

@@ -145,18 +145,18 @@ norms AS MATERIALIZED (
     FROM postings JOIN idf USING (collection, base, token) JOIN uidf USING (collection, token) GROUP BY ALL) USING (collection, base, chunk))"""
 
 
-def queries(source: str) -> str:
+def queries(source: str, suffix: str = "") -> str:
     """Query side: ``q(query_id, query, line)``, its tokens and its key terms."""
     return f"""
-q AS (SELECT query_id, query, {line('query')} AS line FROM {source}),
-q_tokens AS (SELECT query_id, token, count(*) AS q_tf FROM (SELECT query_id, unnest({syllables_of('line')}) AS token FROM q) GROUP BY ALL),
-q_words AS (
+q{suffix} AS (SELECT query_id, query, {line('query')} AS line FROM {source}),
+q_tokens{suffix} AS (SELECT query_id, token, count(*) AS q_tf FROM (SELECT query_id, unnest({syllables_of('line')}) AS token FROM q{suffix}) GROUP BY ALL),
+q_words{suffix} AS (
   SELECT query_id, CASE WHEN len(list_filter(ws, lambda w: contains(w, '|'))) > 0 THEN list_filter(ws, lambda w: contains(w, '|')) ELSE ws END AS ws
-  FROM (SELECT query_id, {words_of('line')} AS ws FROM q)),
-terms AS (
+  FROM (SELECT query_id, {words_of('line')} AS ws FROM q{suffix})),
+terms{suffix} AS (
   SELECT query_id, term_no - 1 AS term_no, term, string_split(term, '|') AS syls, len(string_split(term, '|')) AS k,
          CASE WHEN len(string_split(term, '|')) <= 3 THEN {soundex("replace(term, '|', '')")} ELSE '' END AS sx
-  FROM (SELECT query_id, unnest(ws) AS term, unnest(range(1, len(ws) + 1)) AS term_no FROM q_words))"""
+  FROM (SELECT query_id, unnest(ws) AS term, unnest(range(1, len(ws) + 1)) AS term_no FROM q_words{suffix}))"""
 
 
 def literal_queries(texts: list[str]) -> str:
@@ -189,7 +189,7 @@ cands AS MATERIALIZED (
   WHERE rn <= {n})"""
 
 
-def rerank(phonetic: bool = False, cands: str = "cands") -> str:
+def rerank(phonetic: bool = False, cands: str = "cands", suffix: str = "") -> str:
     """``scored(query_id, collection, base, chunk, cos, coverage, span)``."""
     meets = "w.syls[1] = t.syls[1]"
     depth = "len(list_filter(range(1, least(len(w.syls), t.k) + 1), lambda i: w.syls[1:i] = t.syls[1:i]))"
@@ -200,40 +200,40 @@ def rerank(phonetic: bool = False, cands: str = "cands") -> str:
     else:
         code = "''"
     return f"""
-weights AS (
+weights{suffix} AS (
   SELECT query_id, s.collection, s.base, term_no, coalesce(sum(CASE WHEN shared THEN uidf ELSE idf END), 0) AS w
-  FROM (SELECT query_id, term_no, unnest(syls) AS token FROM terms) t
+  FROM (SELECT query_id, term_no, unnest(syls) AS token FROM terms{suffix}) t
   CROSS JOIN scope s LEFT JOIN uidf u ON u.collection = s.collection AND u.token = t.token
   LEFT JOIN idf i ON i.collection = s.collection AND i.base = s.base AND i.token = t.token
   GROUP BY ALL),
-spots AS MATERIALIZED (
+spots{suffix} AS MATERIALIZED (
   SELECT collection, base, chunk, wi, string_split(w, '|') AS syls, {code} AS sx
   FROM (SELECT collection, base, chunk, unnest(ws) AS w, unnest(range(len(ws))) AS wi
         FROM (SELECT collection, base, chunk, {words_of('line')} AS ws FROM chunks
               SEMI JOIN {cands} USING (collection, base, chunk)))),
-met AS MATERIALIZED (
+met{suffix} AS MATERIALIZED (
   SELECT c.query_id, c.collection, c.base, c.chunk, t.term_no, t.k, w.wi, {depth} AS m
-  FROM {cands} c JOIN terms t USING (query_id) JOIN spots w ON w.collection = c.collection AND w.base = c.base AND w.chunk = c.chunk AND {meets}),
-best AS (SELECT query_id, collection, base, chunk, term_no, any_value(k) AS k, max(m) AS best FROM met GROUP BY ALL),
-present AS (SELECT * FROM best WHERE best = k OR best >= 3),
-places AS (SELECT m.query_id, m.collection, m.base, m.chunk, m.term_no, m.wi FROM met m JOIN present p USING (query_id, collection, base, chunk, term_no) WHERE m.m = p.best),
-n_present AS (SELECT query_id, collection, base, chunk, count(*) AS np FROM present GROUP BY ALL),
-latest AS (
+  FROM {cands} c JOIN terms{suffix} t USING (query_id) JOIN spots{suffix} w ON w.collection = c.collection AND w.base = c.base AND w.chunk = c.chunk AND {meets}),
+best{suffix} AS (SELECT query_id, collection, base, chunk, term_no, any_value(k) AS k, max(m) AS best FROM met{suffix} GROUP BY ALL),
+present{suffix} AS (SELECT * FROM best{suffix} WHERE best = k OR best >= 3),
+places{suffix} AS (SELECT m.query_id, m.collection, m.base, m.chunk, m.term_no, m.wi FROM met{suffix} m JOIN present{suffix} p USING (query_id, collection, base, chunk, term_no) WHERE m.m = p.best),
+n_present{suffix} AS (SELECT query_id, collection, base, chunk, count(*) AS np FROM present{suffix} GROUP BY ALL),
+latest{suffix} AS (
   SELECT a.query_id, a.collection, a.base, a.chunk, a.wi, b.term_no, max(b.wi) AS last
-  FROM (SELECT DISTINCT query_id, collection, base, chunk, wi FROM places) a
-  JOIN places b USING (query_id, collection, base, chunk) WHERE b.wi <= a.wi
+  FROM (SELECT DISTINCT query_id, collection, base, chunk, wi FROM places{suffix}) a
+  JOIN places{suffix} b USING (query_id, collection, base, chunk) WHERE b.wi <= a.wi
   GROUP BY ALL),
-spans AS (
+spans{suffix} AS (
   SELECT query_id, collection, base, chunk, min(reach) AS span FROM (
-    SELECT query_id, collection, base, chunk, wi, wi - min(last) AS reach, count(*) AS seen FROM latest GROUP BY query_id, collection, base, chunk, wi) r
-  JOIN n_present USING (query_id, collection, base, chunk) WHERE seen = np AND np > 1 GROUP BY ALL),
-totals AS (SELECT query_id, collection, base, sum(w) AS total, count(*) AS n_terms FROM weights GROUP BY ALL),
-held AS (SELECT query_id, collection, base, chunk, sum(w) AS held FROM present JOIN weights USING (query_id, collection, base, term_no) GROUP BY ALL),
-scored AS MATERIALIZED (
+    SELECT query_id, collection, base, chunk, wi, wi - min(last) AS reach, count(*) AS seen FROM latest{suffix} GROUP BY query_id, collection, base, chunk, wi) r
+  JOIN n_present{suffix} USING (query_id, collection, base, chunk) WHERE seen = np AND np > 1 GROUP BY ALL),
+totals{suffix} AS (SELECT query_id, collection, base, sum(w) AS total, count(*) AS n_terms FROM weights{suffix} GROUP BY ALL),
+held{suffix} AS (SELECT query_id, collection, base, chunk, sum(w) AS held FROM present{suffix} JOIN weights{suffix} USING (query_id, collection, base, term_no) GROUP BY ALL),
+scored{suffix} AS MATERIALIZED (
   SELECT c.*, CASE WHEN n_terms IS NULL THEN 0.0 WHEN total > 0 THEN coalesce(held, 0) / total ELSE coalesce(np, 0) / n_terms END AS coverage,
          coalesce(span, 0) AS span
-  FROM {cands} c LEFT JOIN totals USING (query_id, collection, base) LEFT JOIN held USING (query_id, collection, base, chunk)
-  LEFT JOIN n_present USING (query_id, collection, base, chunk) LEFT JOIN spans USING (query_id, collection, base, chunk))"""
+  FROM {cands} c LEFT JOIN totals{suffix} USING (query_id, collection, base) LEFT JOIN held{suffix} USING (query_id, collection, base, chunk)
+  LEFT JOIN n_present{suffix} USING (query_id, collection, base, chunk) LEFT JOIN spans{suffix} USING (query_id, collection, base, chunk))"""
 
 
 def hits(k: int, source: str = "scored", reranked: bool = True) -> str:

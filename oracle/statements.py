@@ -279,5 +279,161 @@ final AS (SELECT *, mf / (1 + sp / 8.0) AS rr FROM (SELECT m.*, CASE WHEN nw > 1
     }
 
 
+def _values(rows: list[tuple]) -> str:
+    cell = lambda v: "[" + ", ".join(B.text(x) for x in v) + "]" if isinstance(v, list) else (B.text(v) if isinstance(v, str) else str(v))
+    return ", ".join("(" + ", ".join(cell(v) for v in row) + ")" for row in rows)
+
+
+def _variants(synonyms: str, source: str) -> str:
+    """``variants(query_id, variant_no, variant)`` from ``synonyms(w, s)`` and ``source(query_id, query)``."""
+    letters = B.line(f"regexp_replace(w, '[^{B.WORD_CHARS}]', '', 'g')")
+    return f"""{synonyms},
+      cw AS (SELECT query_id, w, wno FROM (SELECT query_id, unnest(l) AS w, unnest(range(len(l))) AS wno FROM (
+          SELECT query_id, list_filter(string_split(trim({B.rx('lower(query)', '\\s+', ' ')}), ' '), lambda w: w <> '') AS l FROM {source}))),
+      lw AS (SELECT *, contains({letters}, '|') AS long FROM cw),
+      keyed AS (SELECT * FROM (SELECT *, max(long) OVER (PARTITION BY query_id) AS any_long FROM lw) WHERE long OR NOT any_long),
+      syn_rows AS (SELECT query_id, wno, w, trim(unnest(s)) AS syn, unnest(range(len(s))) AS sno FROM keyed JOIN synonyms USING (w)),
+      firsts AS (SELECT query_id, lower(syn) AS low, min(struct_pack(a := wno, b := sno, c := syn)) AS at_first FROM syn_rows WHERE syn <> '' AND lower(syn) <> w GROUP BY query_id, lower(syn)),
+      variants AS (SELECT query_id, n AS variant_no, at_first.c AS variant FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY at_first) AS n FROM firsts) WHERE n <= 12)"""
+
+
+def _suggest(missing: str) -> str:
+    """``near(query_id, rank, word, ...)`` for ``missing(query_id, term)``."""
+    return f"""{missing},
+      vw AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[{B.WORD_CHARS}]+')) AS word FROM chunks),
+      v AS (SELECT word, {B.plain('word')} AS p, {B.soundex(B.plain('word'))} AS sx, {B.syllables_of(B.line('word'))} AS syls FROM vw WHERE length(word) >= 3),
+      m AS (SELECT query_id, term, {B.plain('lower(term)')} AS p, {B.soundex("regexp_replace(" + B.plain('lower(term)') + ", '[^a-z]', '', 'g')")} AS sx, {B.syllables_of(B.line('term'))} AS syls FROM missing),
+      ms AS (SELECT query_id, list(DISTINCT sx) AS sxs, list_distinct(flatten(list(syls))) AS syls, list(DISTINCT p) AS ps FROM m GROUP BY query_id),
+      sug AS (SELECT query_id, word, CAST(list_contains(sxs, sx) AND sx <> '' AS BIGINT) AS same_sound, len(list_filter(v.syls, lambda x: list_contains(ms.syls, x))) AS shared,
+              list_min(list_transform(ps, lambda t: levenshtein(v.p, t))) AS distance FROM v CROSS JOIN ms),
+      near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY same_sound DESC, shared DESC, distance, length(word), word) AS rank FROM sug WHERE same_sound = 1 OR shared > 0) WHERE rank <= 6)"""
+
+
+def _fold(source: str, size: int) -> str:
+    """Sequential packing of ``source(base, seq, text)``: ``packed(base, start, text)``."""
+    window = f"substr(buf, 1, {size})"
+    last = f"CASE WHEN strpos({window}, ' ') = 0 THEN 0 ELSE {size} - strpos(reverse({window}), ' ') + 1 END"
+    take = f"CASE WHEN {last} > 1 THEN {last} - 1 ELSE {size} END"
+    trim = lambda x: B.rx(x, "^\\s+|\\s+$", "")
+    lead = lambda x: f"(length({x}) - length(regexp_replace({x}, '^\\s+', '')))"
+    return f"""
+      seqs AS (SELECT base, text, row_number() OVER (PARTITION BY base ORDER BY seq) AS n, count(*) OVER (PARTITION BY base) AS total FROM {source}),
+      fold AS (
+        SELECT base, CAST(1 AS BIGINT) AS n, text AS buf, CAST(0 AS BIGINT) AS offs, CAST(NULL AS VARCHAR) AS piece, CAST(0 AS BIGINT) AS start, total FROM seqs WHERE n = 1
+        UNION ALL
+        SELECT f.base, CASE WHEN length(buf) > {size} THEN f.n ELSE f.n + 1 END,
+               CASE WHEN length(buf) > {size} THEN substr(buf, {take} + 1) WHEN f.n < f.total THEN {trim('buf')} || s.text ELSE '' END,
+               CASE WHEN length(buf) > {size} THEN offs + {take} ELSE offs + {lead('buf')} END,
+               CASE WHEN length(buf) > {size} THEN {trim(f'substr(buf, 1, {take})')} WHEN f.n = f.total THEN {trim('buf')} END,
+               CASE WHEN length(buf) > {size} THEN offs + {lead(f'substr(buf, 1, {take})')} ELSE offs + {lead('buf')} END, f.total
+        FROM fold f LEFT JOIN seqs s ON s.base = f.base AND s.n = f.n + 1 WHERE f.n <= f.total),
+      packed AS (SELECT base, row_number() OVER (PARTITION BY base ORDER BY start) - 1 AS chunk, start, md5(piece) AS text_md5 FROM fold WHERE piece IS NOT NULL AND piece <> '')"""
+
+
+def _expansion_statements() -> dict[str, str]:
+    given = _values([(w, s) for w, s in W.SYNONYMS.items()])
+    found_words = f"SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[{B.WORD_CHARS}]+')) AS word FROM documents"
+    mixed = f"""given(w, s) AS (VALUES {given}),
+      stems AS (SELECT substr(word, 1, 3) AS w, list_sort(list(DISTINCT substr(word, 1, 5)))[1:3] AS s FROM ({found_words}) GROUP BY 1),
+      synonyms AS (SELECT w, list_sort(list_distinct(flatten(list(s)))) AS s FROM (SELECT * FROM given UNION ALL SELECT * FROM stems) GROUP BY w)"""
+    keys = f"wk AS (SELECT DISTINCT string_split(w, '|')[1:2] AS key FROM (SELECT unnest({B.words_of('line')}) AS w FROM chunks))"
+    fixed = f"synonyms(w, s) AS (VALUES {given})"
+    expanded = f"""{B.TOKENS}, asked(query_id, query) AS (VALUES {B._rows(W.SEARCHES)}), {_variants(fixed, 'asked')}, {keys},
+      ev AS (SELECT query_id, 0 AS variant_no, query AS variant FROM asked UNION ALL SELECT * FROM variants),
+      evw AS (SELECT query_id, variant_no, string_split(ew, '|')[1:2] AS key FROM (SELECT query_id, variant_no, unnest({B.words_of(B.line('variant'))}) AS ew FROM ev)),
+      kept AS (SELECT * FROM ev SEMI JOIN (SELECT DISTINCT query_id, variant_no FROM evw SEMI JOIN wk USING (key)) USING (query_id, variant_no)),
+      batch AS (SELECT query_id * 1000 + variant_no AS query_id, variant AS query FROM kept),
+      {B.queries('batch')}, {B.recall()}, {B.rerank()},
+      top1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(coverage, 9) DESC, span, round(cos, 9) DESC, collection, base, chunk DESC) AS rank FROM scored) WHERE rank <= 8),
+      bestv AS (SELECT query_id // 1000 AS query_id, query_id % 1000 AS variant_no, collection, base, chunk, cos, coverage + CASE WHEN query_id % 1000 = 0 THEN 0.001 ELSE 0 END AS var_cov FROM top1),
+      cands2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, collection, base, chunk ORDER BY round(var_cov, 9) DESC, variant_no) AS n FROM bestv) WHERE n = 1),
+      {B.queries('asked', '2')}, {B.rerank(cands='cands2', suffix='2')}"""
+    missing = f"missing(query_id, term) AS (VALUES {_values([(0, 'therrou'), (0, 'onthe'), (1, 'keitverr'), (2, 'paresi')])})"
+    unknown = [(0, "zzzyx qqwk"), (1, "thereou"), (2, "xyzzy")]
+    absent = f"""{B.CHUNKS}, asked(query_id, query) AS (VALUES {_values(unknown)}), {keys},
+      anch AS (SELECT DISTINCT query_id FROM (SELECT query_id, string_split(unnest({B.words_of(B.line('query'))}), '|')[1:2] AS key FROM asked) SEMI JOIN wk USING (key)),
+      {_suggest("missing AS (SELECT query_id, query AS term FROM asked ANTI JOIN anch USING (query_id))")}"""
+    literal = f"""{B.CHUNKS}, nd(j, needle) AS (VALUES {_values([(0, 'oe-6016'), (1, '192'), (2, '10'), (3, '2024')])}),
+      f AS (SELECT collection, base, doc, chunk, start, text, list(needle ORDER BY j) AS ns FROM chunks JOIN nd ON contains(lower(text), needle) GROUP BY ALL),
+      r AS (SELECT *, len(ns) / 4 AS coverage, strpos(lower(text), ns[1]) - 1 AS p0, row_number() OVER (ORDER BY len(ns) DESC, collection, base, chunk) AS rank FROM f)"""
+    best = f"""{B.TOKENS}, {B.literal_queries(W.SEARCHES)}, {B.recall()}, {B.rerank()},
+      top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(coverage, 9) DESC, span, round(cos, 9) DESC, collection, base, chunk DESC) AS rank FROM scored) WHERE rank = 1)"""
+    slides = f"""{best}, seqs AS (SELECT collection, base, chunk, {B.syllables_of('line')} AS s FROM chunks SEMI JOIN top USING (collection, base, chunk)),
+      qw AS (SELECT query_id, unnest(ws) AS w, unnest(range(len(ws))) AS word_no FROM (SELECT query_id, {B.words_of('line')} AS ws FROM q)),
+      al AS (SELECT query_id, word_no, w, string_split(w, '|') AS c, s, unnest(range(len(s) - len(string_split(w, '|')) + 1)) AS p FROM top JOIN seqs USING (collection, base, chunk) JOIN qw USING (query_id)),
+      sl AS (SELECT query_id, word_no, w, len(c) AS k, p, len(list_filter(range(1, len(c) + 1), lambda j: s[p + j] = c[j])) AS m FROM al),
+      pk AS (SELECT query_id, word_no, w, k, max(m) AS best, count(*) AS points FROM sl WHERE m > 0 GROUP BY ALL)"""
+    sharded = f"{B.TOKENS}, {B.literal_queries(W.SEARCHES)}, {B.recall(cosine='true')}"
+    made = lambda lines, heads: f"""lines AS ({lines}), {heads},
+      firsts AS (SELECT w, s, min(pos) AS pos FROM pairs WHERE w <> '' AND s <> '' AND s <> w GROUP BY w, s),
+      syn AS (SELECT w, list(s ORDER BY pos, s) AS s FROM firsts GROUP BY w)"""
+    comma = made(
+        "SELECT list_transform(string_split(lower(replace(p_name, ' ', ',') || ', ' || p_brand), ','), lambda t: trim(t)) AS t FROM part",
+        "pairs AS (SELECT t[1] AS w, unnest(t[2:]) AS s, unnest(range(len(t) - 1)) AS pos FROM lines)",
+    )
+    synset_lines = "SELECT string_split(lower(replace(p_name, ' ', ';') || ';' || p_type), ';') AS t FROM part"
+    synset_pairs = """heads AS (SELECT t, unnest(t) AS w, unnest(range(1, len(t) + 1)) AS i FROM lines),
+      pairs AS (SELECT w, unnest(o) AS s, unnest(range(len(o))) AS pos FROM (SELECT w, list_concat(t[1:i - 1], t[i + 1:]) AS o FROM heads))"""
+    synsets = made(synset_lines, synset_pairs)
+    composed = f"""{synsets},
+      bridge AS (SELECT lower(split_part(p_name, ' ', 1)) AS w, lower(p_brand) AS s FROM part),
+      hops AS (SELECT w, unnest(s) AS syn, unnest(range(len(s))) AS i FROM syn SEMI JOIN bridge USING (w)),
+      both_ways AS (SELECT w, s, 0 AS pos FROM bridge UNION ALL SELECT h.w, b.s, (i + 1) * 1000000 FROM hops h JOIN bridge b ON b.w = h.syn),
+      cf AS (SELECT w, s, min(pos) AS pos FROM both_ways WHERE s <> w GROUP BY w, s)"""
+    listed = "SELECT w, array_to_string(s, ';') AS s FROM syn"
+    turns = "turns AS (SELECT CAST(conv_id AS VARCHAR) AS base, turn AS seq, text FROM conversations)"
+    size = W.SMALL_CHUNK
+    return {
+        "dictionary_variants": _with(
+            _variants(mixed, "(SELECT item_id AS query_id, text AS query FROM benchmark)"), "SELECT query_id AS item_id, variant_no, variant FROM variants"
+        ),
+        "search_expanded": _with(
+            expanded,
+            """SELECT query_id, rank, collection, base, chunk, round(coverage, 6) AS coverage, span, round(cos, 6) AS cos, round(var_cov, 6) AS var_cov,
+               CASE WHEN variant_no = 0 THEN 'original' ELSE variant END AS via
+            FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(coverage, 9) DESC, round(var_cov, 9) DESC, span, variant_no = 0 DESC, collection, base, chunk) AS rank FROM scored2)
+            JOIN (SELECT query_id, variant_no, variant FROM kept) USING (query_id, variant_no) WHERE rank <= 8""",
+        ),
+        "did_you_mean": _with(f"{B.CHUNKS}, {_suggest(missing)}", "SELECT query_id, rank, word, same_sound, shared, distance FROM near"),
+        "absence": _with(
+            absent,
+            """SELECT query_id, a.query_id NOT IN (SELECT query_id FROM anch) AS absent, '' AS dropped,
+               coalesce((SELECT string_agg(word, ' ' ORDER BY rank) FROM near WHERE near.query_id = a.query_id), '') AS did_you_mean FROM asked a""",
+        ),
+        "literal_hits": _with(
+            literal,
+            """SELECT rank, collection, base, chunk, start, round(coverage, 6) AS coverage, len(ns) AS span, array_to_string(ns, ' ') AS needles,
+               '…' || substr(text, greatest(p0 - 100, 0) + 1, least(p0 + length(ns[1]) + 100, length(text)) - greatest(p0 - 100, 0)) || '…' AS snippet FROM r WHERE rank <= 10""",
+        ),
+        "explained_dims": _with(
+            best,
+            """SELECT query_id, token, dim, q_tf AS count, p.tf IS NOT NULL AS hit, coalesce(p.tf, 0) AS chunk_count
+            FROM top JOIN q_tokens USING (query_id) JOIN vocab v USING (token) LEFT JOIN (SELECT collection, base, chunk, token, tf FROM postings) p USING (collection, base, chunk, token)""",
+        ),
+        "explained_peaks": _with(
+            slides,
+            """SELECT query_id, word_no, replace(w, '|', '-') AS term, k, round(best / k, 6) AS peak, (SELECT min(p) FROM sl WHERE sl.query_id = pk.query_id AND sl.word_no = pk.word_no AND sl.m = pk.best) AS peak_pos, points FROM pk""",
+        ),
+        "recall_sharded": _with(
+            sharded,
+            """SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(cos, 9) DESC, doc DESC, chunk DESC, collection, base) AS rank, collection, base, chunk, round(cos, 6) AS cos
+               FROM scores JOIN (SELECT collection, base, chunk, doc FROM chunks) USING (collection, base, chunk)) WHERE rank <= 20""",
+        ),
+        "json_contract": _with(
+            B.TOKENS,
+            f"""SELECT collection, base, n_idf, chunk, start, len({B.syllables_of('line')}) AS tokens, CAST(len({B.syllables_of('line')}) - coalesce(known, 0) AS BIGINT) AS oov,
+                coalesce(dims, 0) AS dims, round(norm, 5) AS norm, md5(text) AS text_md5
+            FROM chunks JOIN norms USING (collection, base, chunk) JOIN (SELECT collection, base, count(*) AS n_idf FROM idf GROUP BY ALL) USING (collection, base)
+            LEFT JOIN (SELECT collection, base, chunk, sum(tf) AS known, count(*) AS dims FROM postings GROUP BY ALL) USING (collection, base, chunk)""",
+        ),
+        "dictionary_comma": _with(comma, listed),
+        "dictionary_synsets": _with(synsets, listed),
+        "dictionary_composed": _with(composed, "SELECT w, string_agg(s, ';' ORDER BY pos, s) AS s FROM cf GROUP BY w"),
+        "append_streamed": _with(f"{turns}, {_fold('turns', size)}", "SELECT * FROM packed"),
+        "append_packed": _with(f"{turns}, {_fold('turns', size)}", "SELECT * FROM packed"),
+        "append_to_existing": _with(f"{turns}, two AS (SELECT * FROM turns WHERE seq <= 1), {_fold('two', size)}", "SELECT * FROM packed"),
+    }
+
+
 def statements() -> dict[str, str]:
-    return {**_text_statements(), **_index_statements(), **_profile_statements(), **_search_statements()}
+    return {**_text_statements(), **_index_statements(), **_profile_statements(), **_search_statements(), **_expansion_statements()}
