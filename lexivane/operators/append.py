@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexivane.functions.chunking import DEFAULT_CHUNK_SIZE
+from lexivane.operators import index as I
+from lexivane.sources.vocabulary import BASE_DRIVER
 
 PACKED = "collection string, base string, seq long, chunk int, start int, text string"
 
@@ -88,3 +90,44 @@ def append_rows(existing: DataFrame, texts: DataFrame, size: int = DEFAULT_CHUNK
     touched = ends.join(texts.select(*keys).distinct(), keys, "left_semi")
     kept = existing.join(touched, [*keys, "chunk"], "left_anti")
     return kept.select(*keys, "chunk", "start", "text").unionByName(packed.select(*keys, "chunk", "start", "text"))
+
+
+def appended_index_rows(index: I.Index, texts: DataFrame) -> DataFrame:
+    """Chunk rows of an index after an append; only the packed tails are tokenized.
+
+    The tail continues the last document of its base. Without stored texts the new text starts
+    after the last chunk.
+    """
+    keys = I.BASE
+    touched = texts.groupBy(*keys).agg(F.sum(F.octet_length("text")).cast("long").alias("added"))
+    lasts = index.chunks.join(touched.select(*keys), keys, "left_semi").groupBy(*keys).agg(
+        F.max(F.struct("doc", "piece", "start", "len", "text", "driver", "doc_bytes")).alias("l")
+    )
+    bare = F.lit(not index.with_text)
+    tails = lasts.select(
+        *keys,
+        F.when(bare, F.col("l.piece") + 1).otherwise(F.col("l.piece")).alias("chunk"),
+        F.when(bare, F.col("l.start") + F.col("l.len")).otherwise(F.col("l.start")).alias("start"),
+        F.coalesce("l.text", F.lit("")).alias("text"),
+    )
+    packed = packed_chunks(texts, tails, index.chunk_size)
+    old = lasts.select(*keys, F.col("l.doc").alias("doc"), F.col("l.piece").alias("last"), "l.driver", "l.doc_bytes")
+    rows = packed.join(old, keys, "left").join(touched, keys)
+    first = F.col("chunk") == F.coalesce(F.when(bare, F.col("last") + 1).otherwise(F.col("last")), F.lit(0))
+    before = F.when(bare, F.lit(0)).otherwise(F.coalesce("doc_bytes", F.lit(0)))
+    cut = rows.select(
+        *keys,
+        F.coalesce("doc", F.lit(0)).alias("doc"),
+        F.col("chunk").alias("piece"),
+        F.coalesce("driver", F.lit(BASE_DRIVER)).alias("driver"),
+        "start",
+        F.length("text").alias("len"),
+        F.when(first, before + F.col("added")).otherwise(F.lit(0)).cast("long").alias("doc_bytes"),
+        "text",
+    )
+    fresh = I.token_columns(cut)
+    if not index.with_text:
+        fresh = fresh.withColumn("text", F.lit(None).cast("string"))
+        return index.raw_chunks.unionByName(fresh)
+    replaced = lasts.select(*keys, F.col("l.doc").alias("doc"), F.col("l.piece").alias("piece"))
+    return index.raw_chunks.join(replaced, I.CHUNK, "left_anti").unionByName(fresh)

@@ -88,9 +88,8 @@ class Index:
         return df.join(spans, DOC).withColumn("chunk", (F.col("first_chunk") + F.col("piece")).cast("int")).drop("first_chunk")
 
 
-def tokenized(docs: DataFrame, chunk_size: int, max_chunks: int) -> DataFrame:
-    """Chunk rows with their token count and histogram; narrow transformations only."""
-    cut = chunking.with_chunks(docs, DOC + ["driver"], chunk_size, max_chunks)
+def token_columns(cut: DataFrame) -> DataFrame:
+    """Token count, histogram and syllable line of chunk rows; narrow transformations only."""
     lines = cut.withColumn("line", T.syllable_line(F.col("text")))
     return lines.withColumn("syllables", T.line_syllables(F.col("line"))).select(
         *CHUNK,
@@ -105,6 +104,15 @@ def tokenized(docs: DataFrame, chunk_size: int, max_chunks: int) -> DataFrame:
     )
 
 
+def tokenized(docs: DataFrame, chunk_size: int, max_chunks: int = 0, with_text: bool = True) -> DataFrame:
+    """Chunk rows of documents."""
+    if "driver" not in docs.columns:
+        docs = docs.withColumn("driver", F.lit(V.BASE_DRIVER))
+    docs = spread(docs.select(*DOC, "driver", "text"))
+    rows = token_columns(chunking.with_chunks(docs, DOC + ["driver"], chunk_size, max_chunks))
+    return rows if with_text else rows.withColumn("text", F.lit(None).cast("string"))
+
+
 def posting_rows(chunks: DataFrame, vocab: DataFrame) -> DataFrame:
     """Histogram entries that have a dimension in the vocabulary of their base."""
     lookup = F.broadcast(V.token_dims(vocab))  # a few thousand entries per driver
@@ -213,14 +221,15 @@ def build_index(
 
     ``max_chunks`` keeps the first chunks of every document; 0 keeps all.
     """
-    spark = docs.sparkSession
-    if "driver" not in docs.columns:
-        docs = docs.withColumn("driver", F.lit(V.BASE_DRIVER))
-    docs = docs.select(*DOC, "driver", "text")
-    store.save("vocab", vocab if vocab is not None else V.base_syllabary(spark))
-    rows = tokenized(spread(docs), chunk_size, max_chunks)
-    if not with_text:
-        rows = rows.withColumn("text", F.lit(None).cast("string"))
+    rows = tokenized(docs, chunk_size, max_chunks, with_text)
+    return index_rows(rows, store, chunk_size, with_text, vocab, mtime)
+
+
+def index_rows(
+    rows: DataFrame, store: TableStore, chunk_size: int, with_text: bool = True, vocab: DataFrame | None = None, mtime: int = 0
+) -> Index:
+    """Index chunk rows that are already tokenized."""
+    store.save("vocab", vocab if vocab is not None else V.base_syllabary(store.spark))
     store.save("chunks", rows, ["collection"])
     index = Index(store, chunk_size, with_text)
     refresh_statistics(index, mtime)

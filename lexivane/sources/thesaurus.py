@@ -43,7 +43,7 @@ def parse_entries(files: DataFrame) -> DataFrame:
     head line before them.
     """
     head = F.regexp_extract("value", "^([^|(]+)\\|\\s*\\d+\\s*$", 1)
-    marked = files.select(F.monotonically_increasing_id().alias("file"), F.posexplode(F.split("value", "\\r?\\n")).alias("n", "value")).where("n > 0")
+    marked = files.select(F.xxhash64("value").alias("file"), F.posexplode(F.split("value", "\\r?\\n")).alias("n", "value")).where("n > 0")
     w = Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     owned = marked.withColumn("head", F.when(head != "", T.clean_term(head))).withColumn("w", F.last("head", True).over(w))
     senses = owned.where("head is null and w is not null").select("w", "n", F.split("value", "\\|").alias("f"))
