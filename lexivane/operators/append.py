@@ -128,6 +128,6 @@ def appended_index_rows(index: I.Index, texts: DataFrame) -> DataFrame:
     fresh = I.token_columns(cut)
     if not index.with_text:
         fresh = fresh.withColumn("text", F.lit(None).cast("string"))
-        return index.raw_chunks.unionByName(fresh)
+        return index.source_rows.unionByName(fresh)
     replaced = lasts.select(*keys, F.col("l.doc").alias("doc"), F.col("l.piece").alias("piece"))
-    return index.raw_chunks.join(replaced, I.CHUNK, "left_anti").unionByName(fresh)
+    return index.source_rows.join(replaced, I.CHUNK, "left_anti").unionByName(fresh)

@@ -2,16 +2,17 @@
 
 Tables (all parquet, all keyed by natural keys so that no text is ever shuffled for numbering):
 
-``chunks``      collection, base, doc, piece, driver, start, len, tokens, doc_bytes, hist, line, text
+``chunks``      collection, base, doc, piece, uid, driver, start, len, tokens, doc_bytes, hist, line, text
 ``doc_spans``   collection, base, doc, n_pieces, first_chunk
-``postings``    collection, base, doc, piece, token, dim, tf      (sorted by token inside each file)
+``postings``    collection, base, doc, piece, uid, token, dim, tf      (sorted by token inside each file)
 ``idf``         collection, base, dim, token, df, n_chunks, idf
 ``union_idf``   collection, token, df, n_chunks, uidf
-``chunk_stats`` collection, base, doc, piece, tokens, oov, norm, union_norm
+``chunk_stats`` collection, base, doc, piece, uid, tokens, oov, norm, union_norm
 ``bases``       one row of statistics per base
 
 A chunk is identified by ``(collection, base, doc, piece)``; its dense number inside the base is
-``first_chunk + piece``.
+``first_chunk + piece``. ``uid`` is a surrogate written with the chunk row: one long makes a far cheaper
+grouping key than the four natural columns.
 """
 
 from __future__ import annotations
@@ -54,6 +55,11 @@ class Index:
     def chunks(self) -> DataFrame:
         return self.raw_chunks.where("piece is not null")
 
+    @property
+    def source_rows(self) -> DataFrame:
+        """Chunk rows as they enter an index."""
+        return self.raw_chunks.drop("uid")
+
     @cached_property
     def doc_spans(self) -> DataFrame:
         return self.store.load("doc_spans")
@@ -116,11 +122,11 @@ def tokenized(docs: DataFrame, chunk_size: int, max_chunks: int = 0, with_text:
 def posting_rows(chunks: DataFrame, vocab: DataFrame) -> DataFrame:
     """Histogram entries that have a dimension in the vocabulary of their base."""
     lookup = F.broadcast(V.token_dims(vocab))  # a few thousand entries per driver
-    entries = chunks.select(*CHUNK, "driver", F.explode("hist").alias("entry"))
+    entries = chunks.select(*CHUNK, "uid", "driver", F.explode("hist").alias("entry"))
     return (
-        entries.select(*CHUNK, "driver", "entry.token", "entry.tf")
+        entries.select(*CHUNK, "uid", "driver", "entry.token", "entry.tf")
         .join(lookup, ["driver", "token"])
-        .select(*CHUNK, "token", "dim", "tf")
+        .select(*CHUNK, "uid", "token", "dim", "tf")
     )
 
 
@@ -160,13 +166,14 @@ def stats_per_chunk(chunks: DataFrame, postings: DataFrame, idf: DataFrame, unio
     weighed = postings.join(idf.select(*BASE, "token", "idf_exact"), BASE + ["token"]).join(
         union.select("collection", "token", "uidf"), ["collection", "token"]
     )
-    norms = weighed.groupBy(*CHUNK).agg(
+    norms = weighed.groupBy("uid").agg(
         F.sum("tf").alias("known"),
         F.round(_norm(F.col("tf") * F.col("idf_exact")), 6).alias("norm"),
         _norm(F.col("tf") * F.col("uidf")).alias("union_norm"),
     )
-    return chunks.select(*CHUNK, "tokens").join(norms, CHUNK, "left").select(
+    return chunks.select(*CHUNK, "uid", "tokens").join(norms, "uid", "left").select(
         *CHUNK,
+        "uid",
         "tokens",
         (F.col("tokens") - F.coalesce("known", F.lit(0))).cast("int").alias("oov"),
         F.coalesce("norm", F.lit(1.0)).alias("norm"),
@@ -230,7 +237,7 @@ def index_rows(
 ) -> Index:
     """Index chunk rows that are already tokenized."""
     store.save("vocab", vocab if vocab is not None else V.base_syllabary(store.spark))
-    store.save("chunks", rows, ["collection"])
+    store.save("chunks", rows.withColumn("uid", F.monotonically_increasing_id()), ["collection"])
     index = Index(store, chunk_size, with_text)
     refresh_statistics(index, mtime)
     return index

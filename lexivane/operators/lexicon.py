@@ -8,17 +8,18 @@ from pyspark.sql import functions as F
 from lexivane.functions import text as T
 from lexivane.operators.index import BASE, CHUNK, Index
 from lexivane.operators.ordering import running_sums
+from lexivane.plans.sizing import spread
 from lexivane.plans.store import TableStore
 from lexivane.sources.vocabulary import token_dims
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.explode(T.words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return spread(docs.select("text")).select(F.explode(T.words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
 def syllable_counts(docs: DataFrame, accents: bool = True) -> DataFrame:
     line = T.accented_line(F.col("text")) if accents else T.syllable_line(F.col("text"))
-    listed = docs.select(F.explode(T.line_syllables(line)).alias("syllable"))
+    listed = spread(docs.select("text")).select(F.explode(T.line_syllables(line)).alias("syllable"))
     return listed.groupBy("syllable").agg(F.count("*").alias("n"))
 
 
@@ -37,10 +38,11 @@ def lexicon(words: DataFrame) -> DataFrame:
 
 def zipf_table(store: TableStore, counts: DataFrame) -> DataFrame:
     """Rank, frequency and cumulative share per syllable; ties rank by syllable."""
+    saved = store.save("syllable_counts", counts.withColumn("one", F.lit(1)))
     order = [F.desc("n"), F.asc("syllable")]
-    ranked = running_sums(store, "zipf", counts.withColumn("one", F.lit(1)), [], order, {"above": "one", "mass_above": "n"})
-    total = F.broadcast(counts.agg(F.sum("n").alias("total")).withColumn("unit", F.lit(1)))  # one row
-    return ranked.withColumn("unit", F.lit(1)).join(total, "unit").select(
+    ranked = running_sums(store, "zipf", saved, [], order, {"above": "one", "mass_above": "n"})
+    total = F.broadcast(saved.agg(F.sum("n").alias("total")).withColumn("one", F.lit(1)))  # one row
+    return ranked.join(total, "one").select(
         "syllable",
         "n",
         (F.col("above") + 1).alias("rank"),

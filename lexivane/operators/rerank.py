@@ -53,6 +53,7 @@ def term_rows(terms: DataFrame) -> DataFrame:
         F.substring_index("t.term", "|", 1).alias("first"),
         F.col("t.k").alias("k"),
         F.col("t.prefixes").alias("prefixes"),
+        F.coalesce(F.get("t.prefixes", F.least("t.k", F.lit(MIN_ROOT)) - 1), F.lit("")).alias("root"),
         F.col("t.sx").alias("sx"),
     )
 
@@ -64,8 +65,8 @@ def with_coverage(
 
     A term matches the start of a word; it is present when all of its syllables match or at least
     three do. Coverage is the share of the term weights that is present. Words meet terms by
-    equality on the first syllable, so only possible matches are ever formed; the empty word
-    and the empty term keep candidates without any match.
+    equality on the first syllable and go on only when they hold the root that presence needs; the
+    empty word and the empty term keep candidates without any match.
     """
     keys = ["query_id", *CHUNK]
     words = F.concat(T.line_words(F.col("line")), F.array(F.lit("")))
@@ -74,7 +75,7 @@ def with_coverage(
     depth = F.size(F.filter("prefixes", lambda p: F.startswith(F.concat("w", F.lit("|")), p)))
     columns = [*keys, *carry, "pos", "term_no", "k"]
     met = spread.withColumn("first", F.substring_index("w", "|", 1)).join(lookup, ["query_id", "first"])
-    met = met.select(*columns, depth.alias("m"))
+    met = met.where(F.startswith(F.concat("w", F.lit("|")), F.col("root"))).select(*columns, depth.alias("m"))
     if phonetic:
         alike = spread.withColumn("sx", F.soundex(F.translate("w", "|", ""))).join(lookup.where("sx <> ''"), ["query_id", "sx"])
         met = met.unionByName(alike.select(*columns, F.col("k").alias("m")))
@@ -83,9 +84,10 @@ def with_coverage(
     per_term = (
         met.repartition(*keys)
         .groupBy(*keys, "term_no")
-        .agg(F.first("k").alias("k"), F.max("m").alias("best"), F.collect_list(F.struct("m", "pos")).alias("hits"), *carried)
+        .agg(F.max("m").alias("best"), F.collect_list(F.struct("m", "pos")).alias("hits"), *carried)
     )
-    present = (F.col("term_no") >= 0) & ((F.col("best") == F.col("k")) | (F.col("best") >= MIN_ROOT))
+    # every row that got here matches the root or the sound of its term
+    present = F.col("term_no") >= 0
     deepest = F.transform(F.filter("hits", lambda h: h["m"] == F.col("best")), lambda h: h["pos"])
     listed = per_term.select(*keys, *carry, F.when(present, F.struct("term_no", deepest.alias("positions"))).alias("found"))
     per_chunk = listed.groupBy(*keys).agg(F.collect_list("found").alias("found"), *carried)

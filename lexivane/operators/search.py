@@ -51,7 +51,7 @@ def _by(*keys):
 
 
 def query_vectors(index: Index, scope: Scope, tokens: DataFrame, idf_mode: str = "smoothed", unified: bool = False) -> DataFrame:
-    """``query_id, collection, base, token, qw, q_norm, union``: weights of each query in each base.
+    """``query_id, collection, base, token, qw, q_norm``: weights of each query in each base.
 
     A unified search weighs by the collection where the collection has several bases in scope.
     """
@@ -62,18 +62,17 @@ def query_vectors(index: Index, scope: Scope, tokens: DataFrame, idf_mode: str =
     w = Window.partitionBy("query_id", *BASE)
     norm = F.sqrt(F.sum(F.col("qw") * F.col("qw")).over(w))
     finish = lambda df: df.where(F.col("qw") != 0).withColumn("q_norm", norm)
-    keep = ["query_id", *BASE, "token", "qw", "union"]
+    keep = ["query_id", *BASE, "token", "qw"]
     local = idf.join(small, "token").join(bases, BASE).withColumn("qw", F.col("q_tf") * F.col("idf"))
     if not unified:
-        return finish(local.withColumn("union", F.lit(False)).select(keep))
+        return finish(local.select(keep))
     wide = (
         index.union_idf.select("collection", "token", "uidf")
         .join(small, "token")
         .join(bases.where("shared"), "collection")
         .withColumn("qw", F.col("q_tf") * F.col("uidf"))
-        .withColumn("union", F.lit(True))
     )
-    alone = local.where(~F.col("shared")).withColumn("union", F.lit(False))
+    alone = local.where(~F.col("shared"))
     return finish(wide.select(keep).unionByName(alone.select(keep)))
 
 
@@ -90,42 +89,41 @@ def recall(
     ``asymmetric`` multiplies the query's tf-idf with the raw counts of the chunk over the product of
     the tf-idf norms; ``true`` weighs both sides; ``plain`` uses raw counts on both sides.
     """
-    tokens = Q.query_tokens(queries)
-    # one small job on the query texts: their distinct tokens bound the scan and the broadcast
+    known = F.broadcast(index.vocab.select("token").distinct())  # vocabulary only
+    tokens = Q.query_tokens(queries).join(known, "token", "left_semi")
+    # one small job on the query texts: their known tokens bound the scan and the broadcast
     sizes = tokens.agg(F.count("*").alias("n"), F.collect_set("token").alias("tokens")).first()
     qv = query_vectors(index, scope, tokens, idf_mode, unified)
     qv = broadcast_rows(qv, sizes["n"] * scope.n_bases)
     scan = index.postings
     if len(sizes["tokens"]) <= PUSHED_TOKENS:
         scan = scan.where(F.col("token").isin(sizes["tokens"]))  # prunes row groups: files are sorted by token
-    joined = scan.select(*CHUNK, "token", "tf").join(qv, BASE + ["token"])
+    joined = scan.select(*BASE, "uid", "token", "tf").join(qv, BASE + ["token"])
+    weight = F.col("qw") / F.col("q_norm") * F.col("tf")
     if cosine == "true":
         local = F.col("idf_exact") if idf_mode == "smoothed" else classic_idf(F.col("n_chunks"), F.col("df"))
         joined = joined.join(index.idf.select(*BASE, "token", local.alias("c_idf")), BASE + ["token"])
-        product = F.col("qw") * F.col("tf") * F.col("c_idf")
-    else:
-        product = F.col("qw") * F.col("tf")
-    dots = joined.groupBy("query_id", *CHUNK).agg(
-        F.sum(product).alias("dot"), F.first("q_norm").alias("q_norm"), F.first("union").alias("union")
-    )
-    norms = index.chunk_stats.select(*CHUNK, "norm", "union_norm")
+        weight = weight * F.col("c_idf")
+    # two long keys and one double: the compact shape of Spark's hash aggregation
+    dots = joined.select("query_id", "uid", weight.alias("w")).groupBy("query_id", "uid").agg(F.sum("w").alias("dot"))
+    norms = index.chunk_stats.select(*CHUNK, "uid", "norm", "union_norm")
     if idf_mode != "smoothed":
-        norms = _classic_norms(index)
-    scored = dots.join(norms, CHUNK)
-    c_norm = F.when(F.col("union"), F.col("union_norm")).otherwise(F.col("norm"))
-    return scored.withColumn("cos", F.col("dot") / (F.col("q_norm") * c_norm)).where("cos > 0").select(
-        "query_id", *CHUNK, "cos"
-    )
+        norms = norms.drop("norm").join(_classic_norms(index), "uid")
+    c_norm = F.col("norm")
+    if unified:
+        norms = norms.join(scope.bases.select(*BASE, "shared"), BASE)
+        c_norm = F.when(F.col("shared"), F.col("union_norm")).otherwise(F.col("norm"))
+    scored = dots.join(norms, "uid")
+    return scored.withColumn("cos", F.col("dot") / c_norm).where("cos > 0").select("query_id", *CHUNK, "cos")
 
 
 def _classic_norms(index: Index) -> DataFrame:
     idf = index.idf.select(*BASE, "token", classic_idf(F.col("n_chunks"), F.col("df")).alias("c_idf"))
     weight = F.col("tf") * F.col("c_idf")
     total = F.sqrt(F.sum(weight * weight))
-    norms = index.postings.join(idf, BASE + ["token"]).groupBy(*CHUNK).agg(
+    return index.postings.join(idf, BASE + ["token"]).groupBy("uid").agg(
         F.round(F.when(total > 0, total).otherwise(1.0), 6).alias("norm")
     )
-    return norms.withColumn("union_norm", F.col("norm"))
 
 
 def top_candidates(scores: DataFrame, n: int) -> DataFrame:

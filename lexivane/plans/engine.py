@@ -70,7 +70,7 @@ class LexicalEngine:
         """
         rows = I.tokenized(docs, self.chunk_size, max_chunks, with_text)
         if self.index is not None:
-            kept = self.index.raw_chunks.join(docs.select(*BASE).distinct(), BASE, "left_anti")
+            kept = self.index.source_rows.join(docs.select(*BASE).distinct(), BASE, "left_anti")
             rows = kept.unionByName(rows)
         return self._publish(rows, with_text)
 
@@ -97,11 +97,11 @@ class LexicalEngine:
 
     def drop_base(self, base: str, collection: str = files.DEFAULT_COLLECTION) -> Index:
         gone = (F.col("collection") == collection) & (F.col("base") == base)
-        return self._publish(self.index.raw_chunks.where(~gone), self.index.with_text)
+        return self._publish(self.index.source_rows.where(~gone), self.index.with_text)
 
     def drop_collection(self, collection: str) -> Index:
         """Partition filter: the files of the other collections are all that is read."""
-        return self._publish(self.index.raw_chunks.where(F.col("collection") != collection), self.index.with_text)
+        return self._publish(self.index.source_rows.where(F.col("collection") != collection), self.index.with_text)
 
     # ------------------------------------------------------------ discovery
 

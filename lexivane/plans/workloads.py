@@ -145,7 +145,7 @@ def chunk_index(spark, folder):
 
 def chunk_stats(spark, folder):
     rows = C.chunk_rows(index_of(spark, folder))
-    return rows.select("collection", "base", _big("chunk"), _big("tokens"), _big("oov"), _r("norm", 5))
+    return rows.select("collection", "base", _big("chunk"), _big("tokens"), _big("oov"), _r("norm"))
 
 
 def base_meta(spark, folder):
@@ -517,7 +517,7 @@ def json_contract(spark, folder):
     rows = J.parse_bases(texts).select("collection", "base", F.size("idf").cast("long").alias("n_idf"), F.posexplode("chunks").alias("chunk", "c"))
     return rows.select(
         "collection", "base", "n_idf", _big("chunk"), F.col("c.start").cast("long").alias("start"), F.col("c.tokens").cast("long").alias("tokens"),
-        F.col("c.oov").cast("long").alias("oov"), F.size("c.vec").cast("long").alias("dims"), F.round("c.norm", 5).alias("norm"), F.md5("c.text").alias("text_md5"),
+        F.col("c.oov").cast("long").alias("oov"), F.size("c.vec").cast("long").alias("dims"), F.round("c.norm", 6).alias("norm"), F.md5("c.text").alias("text_md5"),
     )
 
 

@@ -65,7 +65,7 @@ def _index_statements() -> dict[str, str]:
         "chunk_index": _with(B.CHUNKS, "SELECT collection, base, doc, chunk, start, length(text) AS len, md5(text) AS text_md5 FROM chunks"),
         "chunk_stats": _with(
             tok,
-            f"""SELECT collection, base, chunk, len({B.syllables_of('line')}) AS tokens, CAST(len({B.syllables_of('line')}) - coalesce(known, 0) AS BIGINT) AS oov, round(norm, 5) AS norm
+            f"""SELECT collection, base, chunk, len({B.syllables_of('line')}) AS tokens, CAST(len({B.syllables_of('line')}) - coalesce(known, 0) AS BIGINT) AS oov, round(norm, 6) AS norm
             FROM chunks JOIN norms USING (collection, base, chunk)
             LEFT JOIN (SELECT collection, base, chunk, sum(tf) AS known FROM postings GROUP BY ALL) USING (collection, base, chunk)""",
         ),
@@ -422,7 +422,7 @@ def _expansion_statements() -> dict[str, str]:
         "json_contract": _with(
             B.TOKENS,
             f"""SELECT collection, base, n_idf, chunk, start, len({B.syllables_of('line')}) AS tokens, CAST(len({B.syllables_of('line')}) - coalesce(known, 0) AS BIGINT) AS oov,
-                coalesce(dims, 0) AS dims, round(norm, 5) AS norm, md5(text) AS text_md5
+                coalesce(dims, 0) AS dims, round(norm, 6) AS norm, md5(text) AS text_md5
             FROM chunks JOIN norms USING (collection, base, chunk) JOIN (SELECT collection, base, count(*) AS n_idf FROM idf GROUP BY ALL) USING (collection, base)
             LEFT JOIN (SELECT collection, base, chunk, sum(tf) AS known, count(*) AS dims FROM postings GROUP BY ALL) USING (collection, base, chunk)""",
         ),
