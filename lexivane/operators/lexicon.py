@@ -41,13 +41,13 @@ def zipf_table(store: TableStore, counts: DataFrame) -> DataFrame:
     saved = store.save("syllable_counts", counts.withColumn("one", F.lit(1)))
     order = [F.desc("n"), F.asc("syllable")]
     ranked = running_sums(store, "zipf", saved, [], order, {"above": "one", "mass_above": "n"})
-    total = F.broadcast(saved.agg(F.sum("n").alias("total")).withColumn("one", F.lit(1)))  # one row
-    return ranked.join(total, "one").select(
+    total = saved.agg(F.sum("n")).scalar()
+    return ranked.select(
         "syllable",
         "n",
         (F.col("above") + 1).alias("rank"),
-        (F.col("n") / F.col("total")).alias("freq"),
-        ((F.col("mass_above") + F.col("n")) / F.col("total")).alias("cumulative"),
+        (F.col("n") / total).alias("freq"),
+        ((F.col("mass_above") + F.col("n")) / total).alias("cumulative"),
     )
 
 

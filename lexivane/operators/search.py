@@ -267,27 +267,23 @@ def search_report(index: Index, queries, collection: str | None = None, base: st
     keys = ["query_id", *BASE]
     converge = recall(index, scope, queries, unified).groupBy(*keys).agg(F.count("*").alias("n_converge"))
     dims = query_vectors(index, scope, tokens, unified=unified).groupBy(*keys).agg(F.count("*").alias("dims"))
-    known = index.vocab.select("driver", "token").distinct()
-    drivers = known.select("driver").distinct().select(F.col("driver").alias("language"))
-    per_driver = (
-        F.broadcast(tokens).join(known.withColumn("hit", F.lit(1)), "token", "left")
-        .groupBy("query_id")
-        .agg(F.sum(F.when(F.col("hit").isNull(), F.col("q_tf")).otherwise(0)).alias("oov"))
+    known = F.broadcast(index.vocab.select("token").distinct().withColumn("hit", F.lit(1)))  # vocabulary only
+    unknown = tokens.join(known, "token", "left").groupBy("query_id").agg(
+        F.sum(F.when(F.col("hit").isNull(), F.col("q_tf")).otherwise(0)).alias("oov")
     )
-    every = scope.bases.select(*BASE, "n_chunks", "language").join(drivers, "language").withColumn("all", F.lit(1))
-    asked = queries.select("query_id").withColumn("all", F.lit(1))
-    oov = F.lit(0) if unified else F.coalesce("oov", F.lit(0))
+    asked = queries.agg(F.collect_list("query_id")).scalar()
+    every = scope.bases.select(*BASE, "n_chunks", F.explode(asked).alias("query_id"))
+    zero = F.lit(0)
     return (
-        every.join(F.broadcast(asked), "all")
-        .join(converge, keys, "left")
+        every.join(converge, keys, "left")
         .join(dims, keys, "left")
-        .join(per_driver, "query_id", "left")
+        .join(F.broadcast(unknown), "query_id", "left")  # one row per query
         .select(
             *keys,
             "n_chunks",
-            F.coalesce("n_converge", F.lit(0)).alias("n_converge"),
-            F.coalesce("dims", F.lit(0)).alias("dims"),
-            oov.alias("oov"),
+            F.coalesce("n_converge", zero).alias("n_converge"),
+            F.coalesce("dims", zero).alias("dims"),
+            (zero if unified else F.coalesce("oov", zero)).alias("oov"),
         )
     )
 

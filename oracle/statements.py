@@ -245,7 +245,28 @@ final AS (SELECT *, mf / (1 + sp / 8.0) AS rr FROM (SELECT m.*, CASE WHEN nw > 1
       s AS (SELECT collection, base, chunk, {B.syllables_of('line')} AS s FROM chunks),
       f AS (SELECT collection, base, chunk, len(list_filter(range(1, len(c) + 1), lambda j: s[p + j] = c[j])) / len(c) AS f
             FROM (SELECT *, unnest(range(len(s) - len(c) + 1)) AS p FROM s, c))"""
+    flat = B.rx("trim(text)", "\\s+", " ")
+    shown = f"""{B.TOKENS}, {asked}, {B.recall()}, {B.rerank()},
+      top AS (SELECT query_id, rank, text, query FROM (
+          SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(coverage, 9) DESC, span, round(cos, 9) DESC, collection, base, chunk DESC) AS rank
+          FROM scored JOIN (SELECT collection, base, chunk, text FROM chunks) USING (collection, base, chunk)) JOIN asked USING (query_id) WHERE rank <= 5),
+      fl AS (SELECT query_id, rank, {flat} AS f, list_transform(regexp_extract_all(lower(query), '[{B.WORD_CHARS}]+'), lambda w: {B.plain('w')}) AS ws FROM top),
+      fp AS (SELECT *, list_filter(list_transform(ws, lambda w: strpos({B.plain('lower(f)')}, w)), lambda p: p > 0)[1] AS p FROM fl),
+      ab AS (SELECT *, greatest(p - 36, 0) AS a, least(greatest(p - 36, 0) + 140, length(f)) AS b FROM fp),
+      ct AS (SELECT query_id, rank, ws, CASE WHEN p IS NULL THEN substr(f, 1, 140) || CASE WHEN length(f) > 140 THEN '…' ELSE '' END
+             ELSE CASE WHEN a > 0 THEN '…' ELSE '' END || trim(substr(f, a + 1, b - a)) || CASE WHEN b < length(f) THEN '…' ELSE '' END END AS o FROM ab),
+      mk AS (SELECT query_id, rank, o, w, string_split({B.plain('lower(o)')}, w) AS parts FROM (SELECT query_id, rank, o, unnest(ws) AS w FROM ct)),
+      sp AS (SELECT query_id, rank, w, CAST(list_sum(list_transform(parts[1:i], lambda x: length(x))) + (i - 1) * length(w) AS BIGINT) AS a
+             FROM (SELECT query_id, rank, w, parts, unnest(range(1, len(parts))) AS i FROM mk)),
+      ms AS (SELECT query_id, rank, list(DISTINCT struct_pack(a := a, b := a + length(w))) AS marks FROM sp GROUP BY ALL),
+      pt AS (SELECT query_id, rank, list_reverse_sort(coalesce(marks, [])) AS marks, o FROM ct LEFT JOIN ms USING (query_id, rank)),
+      step AS (
+        SELECT query_id, rank, marks, o, 1 AS i FROM pt
+        UNION ALL
+        SELECT query_id, rank, marks, substr(o, 1, marks[i].a) || '«' || substr(o, marks[i].a + 1, marks[i].b - marks[i].a) || '»' || substr(o, marks[i].b + 1), i + 1
+        FROM step WHERE i <= len(marks))"""
     return {
+        "snippets": _with(shown, "SELECT query_id, rank, o AS snippet FROM step WHERE i = len(marks) + 1"),
         "search_all": search(),
         "search_phonetic": search(phonetic=True),
         "search_unified": search(unified=True),
