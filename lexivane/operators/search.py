@@ -41,9 +41,11 @@ def resolve_scope(index: Index, collection: str | None = None, base: str = "*")
 
 
 def open_scope(index: Index, collection: str | None = None, base: str = "*") -> Scope:
-    rows = resolve_scope(index, collection, base)
+    rows = resolve_scope(index, collection, base).select(*BASE, "n_chunks", "language")
     shared = F.count("*").over(Window.partitionBy("collection")) > 1
-    return Scope(rows.withColumn("shared", shared), rows.count())
+    # one slim row per base, used by several parts of a plan; equal scopes share the cached rows
+    bases = rows.withColumn("shared", shared).persist()
+    return Scope(bases, bases.count())
 
 
 def _by(*keys):
@@ -89,7 +91,7 @@ def recall(
     ``asymmetric`` multiplies the query's tf-idf with the raw counts of the chunk over the product of
     the tf-idf norms; ``true`` weighs both sides; ``plain`` uses raw counts on both sides.
     """
-    known = F.broadcast(index.vocab.select("token").distinct())  # vocabulary only
+    known = F.broadcast(index.vocab.select("token"))  # vocabulary only
     tokens = Q.query_tokens(queries).join(known, "token", "left_semi")
     # one small job on the query texts: their known tokens bound the scan and the broadcast
     sizes = tokens.agg(F.count("*").alias("n"), F.collect_set("token").alias("tokens")).first()
