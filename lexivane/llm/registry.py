@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexivane.llm import language_id, packing
+from lexivane.llm import language_id, lm_scoring, packing
 from lexivane.llm.common import table
 
 
@@ -15,6 +15,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identified(table(spark, sf_dir, "documents"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every document, learned from the nine tenths that are not held out."""
+    return lm_scoring.scored(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 4096 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"))
@@ -22,6 +27,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
+    "op4_lm_scoring": op4_lm_scoring,
     "op9_packing": op9_packing,
 }
 
