@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexivane.llm import language_id, lm_scoring, packing
+from lexivane.llm import language_id, lm_scoring, ngram_join, packing
 from lexivane.llm.common import table
 
 
@@ -25,10 +25,16 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose word 4-grams agree to 85 % and more."""
+    return ngram_join.linked(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op4_lm_scoring": op4_lm_scoring,
     "op9_packing": op9_packing,
+    "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
 SQL: dict[str, str] = {}
