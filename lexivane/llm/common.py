@@ -6,6 +6,9 @@ import re
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,3 +55,24 @@ def in_part(column: str, parts: int, part: int) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def word_codes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Words of texts, split at ASCII white space: their numbers in one run, words per text, the distinct words."""
+    whole = pc.fill_null(texts, "")
+    split = pc.ascii_split_whitespace(pc.ascii_lower(whole) if lower else whole)
+    sizes = np.diff(split.offsets.to_numpy()).astype(np.int64)
+    coded = split.flatten().dictionary_encode()
+    codes, words = coded.indices.to_numpy(), coded.dictionary.cast(pa.binary()).to_pylist()
+    if b"" in words:
+        real = codes != words.index(b"")
+        before = np.concatenate(([0], np.cumsum(real)))
+        ends = np.cumsum(sizes)
+        codes, sizes = codes[real], before[ends] - before[ends - sizes]
+    return codes, sizes, words
+
+
+def runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Positions of several runs, laid end to end."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)

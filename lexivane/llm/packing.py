@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexivane.llm.common import stored
+from lexivane.llm.common import runs, stored, word_codes
 
 CAPACITY = 4096
 END_ID = 2
@@ -35,7 +35,7 @@ BLOCK = 32
 GROUP_SEQUENCES = 1024
 LINEAR = 12 * 1024.0
 QUADRATIC = 2.0
-WORDS_KEPT = 600_000
+WORDS_KEPT = 1_000_000
 
 
 class WordTokenizer:
@@ -55,15 +55,12 @@ class WordTokenizer:
         self.ends = np.zeros(max(names.values()) + 1, dtype=bool)
         self.ends[[at for name, at in names.items() if name.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
-        self.stems: dict[str, bytes] = {}
 
     def _each(self, words: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
 
-    def _learn(self, words: set[bytes]) -> None:
-        if len(self.known) + len(words) > WORDS_KEPT:
-            self.known, self.stems = {}, {}
+    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
         split: dict[bytes, tuple[str, str]] = {}
         rest: set[str] = set()
         for word in words:
@@ -74,32 +71,40 @@ class WordTokenizer:
             else:
                 rest.add(text)
         rest.update({tail for _, tail in split.values() if tail})
-        fresh = sorted({stem for stem, _ in split.values()} - self.stems.keys())
-        lines = [" ".join(fresh[i : i + 256]) for i in range(0, len(fresh), 256)]
-        if lines:
-            found = self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)
+        fresh = sorted({stem for stem, _ in split.values()})
+        stems: dict[str, bytes] = {}
+        if fresh:
+            found = self.tokenizer.encode_batch_fast([" ".join(fresh[i : i + 256]) for i in range(0, len(fresh), 256)], add_special_tokens=False)
             ids = np.concatenate([np.array(x.ids, dtype="<u4") for x in found])
             cuts = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
             if len(cuts) != len(fresh) + 1:
                 raise ValueError("this vocabulary doesn't mark the ends of words")
             flat = ids.tobytes()
-            self.stems.update(zip(fresh, [flat[a:b] for a, b in zip(cuts, cuts[1:])]))
+            stems.update(zip(fresh, [flat[a:b] for a, b in zip(cuts, cuts[1:])]))
         others = sorted(rest)
         single = dict(zip(others, self._each(others))) if others else {}
+        found_ids = {text.encode("utf-8"): ids for text, ids in single.items()}
         for word, (stem, tail) in split.items():
-            self.known[word] = self.stems[stem] + single[tail] if tail else self.stems[stem]
-        for text in others:
-            self.known[text.encode("utf-8")] = single[text]
-
-    def ids(self, texts: list[bytes | None]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit numbers."""
-        split = [(text or b"").split() for text in texts]
-        new = set().union(*split) - self.known.keys()
-        if new:
-            self._learn(new)
-            if not all(map(self.known.__contains__, missing := set().union(*split))):
-                self._learn(missing - self.known.keys())
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+            found_ids[word] = stems[stem] + single[tail] if tail else stems[stem]
+        return found_ids
+
+    def ids(self, texts: pa.Array, end: bytes) -> tuple[bytes, np.ndarray]:
+        """Ids of all texts laid end to end as little-endian 32-bit numbers, each closed by ``end``; ids per text."""
+        codes, sizes, words = word_codes(texts)
+        own = [self.known.get(word) for word in words]
+        new = [at for at, ids in enumerate(own) if ids is None]
+        learned = self._learn([words[at] for at in new])
+        for at in new:
+            own[at] = learned[words[at]]
+        if len(self.known) < WORDS_KEPT:
+            self.known.update(learned)
+        own.append(end)
+        length = np.fromiter(map(len, own), dtype=np.int64, count=len(own)) // 4
+        closed = np.insert(codes, np.cumsum(sizes), len(words))
+        bounds = np.cumsum(sizes + 1)
+        flat = np.frombuffer(b"".join(own), dtype="<u4")
+        total = np.concatenate(([0], np.cumsum(length[closed])))
+        return flat[runs((np.cumsum(length) - length)[closed], length[closed])].tobytes(), np.diff(total[np.concatenate(([0], bounds))])
 
 
 @lru_cache(maxsize=2)
@@ -189,15 +194,16 @@ def tokenized(df: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabul
     def count(batches):
         words, row = word_tokenizer(vocabulary), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                ids = [x + end for x in words.ids(part.column(1).cast(pa.binary()).to_pylist())]
-                blocks = [np.array([zlib.crc32(x[i : i + 4 * BLOCK]) for i in range(0, len(x), 4 * BLOCK)], dtype="<u4").tobytes() for x in ids]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(range(row, row + len(ids)), pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(blocks, pa.binary())],
-                    ["doc_id", "row", "doc_tokens", "blocks"],
-                )
-                row += len(ids)
+            for at in range(0, batch.num_rows, 5000):
+                part = batch.slice(at, 5000)
+                ids, sizes = words.ids(part.column(1), end)
+                ends = np.cumsum(sizes) * 4
+                blocks = [
+                    np.array([zlib.crc32(ids[i : min(i + 4 * BLOCK, stop)]) for i in range(start, stop, 4 * BLOCK)], dtype="<u4").tobytes()
+                    for start, stop in zip((ends - 4 * sizes).tolist(), ends.tolist())
+                ]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(range(row, row + len(sizes)), pa.int64()), pa.array(sizes), pa.array(blocks, pa.binary())], ["doc_id", "row", "doc_tokens", "blocks"])
+                row += len(sizes)
 
     slim = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     fields = [slim.schema["doc_id"], T.StructField("row", T.LongType()), T.StructField("doc_tokens", T.LongType()), T.StructField("blocks", T.BinaryType())]
