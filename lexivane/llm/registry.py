@@ -6,9 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexivane.llm import language_id, lm_scoring, ngram_join, packing
+from lexivane.llm import ann, embedding_dedup, language_id, lm_scoring, ngram_join, packing, url_filter, warc
 from lexivane.llm.common import table
 
+# Rules of the registered query: host, path, verdict.
+RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the three quarters that are not held out."""
@@ -20,6 +29,26 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.scored(table(spark, sf_dir, "documents"))
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors by inner product of every vector whose id is divisible by 20."""
+    return ann.every_twentieth(table(spark, sf_dir, "embeddings"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, deciding rule and verdict of every page."""
+    return url_filter.judged(table(spark, sf_dir, "pages"), RULES)
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the normalised archives of all pages hold, read record by record."""
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of vectors of one label with a cosine of 0.93 and more."""
+    return embedding_dedup.deduplicated(table(spark, sf_dir, "embeddings"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 4096 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"))
@@ -33,8 +62,73 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op4_lm_scoring": op4_lm_scoring,
+    "op5_ann": op5_ann,
+    "op6_url_filter": op6_url_filter,
+    "op7_warc": op7_warc,
+    "op8_embedding_dedup": op8_embedding_dedup,
     "op9_packing": op9_packing,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
-SQL: dict[str, str] = {}
+_COMPONENTS = """
+    walk AS (
+        SELECT node, node AS seen FROM nodes
+        UNION
+        SELECT w.node, l.b AS seen FROM walk AS w JOIN links AS l ON w.seen = l.a
+    ),
+    reached AS (SELECT node, min(seen) AS component_id FROM walk GROUP BY node)
+"""
+
+SQL: dict[str, str] = {
+    "op6_url_filter": """
+        WITH parts AS (
+            SELECT page_id,
+                   coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+                   coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
+            FROM pages
+        ),
+        rules(h, p, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block'))
+        SELECT page_id, host, path,
+               (SELECT h || p FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) ORDER BY length(h || p) DESC LIMIT 1) AS rule,
+               coalesce((SELECT v FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) ORDER BY length(h || p) DESC LIMIT 1), 'allow') AS verdict
+        FROM parts
+    """,
+    "op7_warc": """
+        WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+        f AS (SELECT payload_digest AS d, min(page_id) AS least FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN least <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN least <> page_id THEN least END AS refers_to
+        FROM p LEFT JOIN f ON payload_digest = d
+    """,
+    "op8_embedding_dedup": """
+        WITH RECURSIVE nodes AS (SELECT vec_id AS node FROM embeddings),
+        v AS (
+            SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+            WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ),
+        links AS (
+            SELECT x.vec_id AS a, y.vec_id AS b FROM v AS x JOIN v AS y ON x.label = y.label AND x.vec_id <> y.vec_id
+            WHERE list_cosine_similarity(x.e, y.e) >= 0.93
+        ),""" + _COMPONENTS + """
+        SELECT node AS vec_id, (SELECT count(*) FROM links WHERE a = node) AS n_links, component_id, node = component_id AS kept FROM reached
+    """,
+    "op10_ngram_jaccard": """
+        WITH RECURSIVE nodes AS (SELECT doc_id AS node FROM documents),
+        w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words FROM documents
+        ),
+        g AS (
+            SELECT DISTINCT doc_id, gram FROM (
+                SELECT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+                    ELSE list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' ')) END) AS gram FROM w)
+        ),
+        n AS (SELECT doc_id, count(*) AS n_shingles FROM g GROUP BY doc_id),
+        met AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM g AS x JOIN g AS y ON x.gram = y.gram AND x.doc_id <> y.doc_id GROUP BY ALL),
+        links AS (
+            SELECT a, b FROM met JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b
+            WHERE 100 * c >= 85 * (x.n_shingles + y.n_shingles - c)
+        ),""" + _COMPONENTS + """
+        SELECT node AS doc_id, coalesce(n_shingles, 0) AS n_shingles, component_id FROM reached LEFT JOIN n ON doc_id = node
+    """,
+}
