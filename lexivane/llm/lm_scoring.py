@@ -27,13 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexivane.llm.common import in_part, stored
+from lexivane.llm.common import in_part, stored, word_codes
 
 OUTPUTS = 1024
 SUFFIXES = 32
 CLASSES = 3 * SUFFIXES
 SINGLES = OUTPUTS - CLASSES
-LOOKUP = 1 << 19
+LOOKUP = 1 << 18
 WIDTH = 24
 NOISE = 25
 STEP = 0.1
@@ -50,10 +50,6 @@ def word_class(word: bytes) -> int:
     return SINGLES + zlib.crc32(stem[-2:]) % SUFFIXES * 3 + mark
 
 
-def words_of(text: bytes | None) -> list[bytes]:
-    return (text or b"").lower().split()
-
-
 def count_words(df: DataFrame, text: str = "text") -> DataFrame:
     """Counts of all tokens: word (empty: the end), class, n."""
 
@@ -66,10 +62,13 @@ def count_words(df: DataFrame, text: str = "text") -> DataFrame:
             return out
 
         for batch in batches:
-            for value in batch.column(0).cast(pa.binary()):
-                found.update(words_of(value.as_py()))
-                found[END] += 1
-                if len(found) > 400_000:
+            for i in range(0, batch.num_rows, 1000):
+                codes, sizes, words = word_codes(batch.column(0).slice(i, 1000), lower=True)
+                for word, n in zip(words, np.bincount(codes, minlength=len(words)).tolist()):
+                    if n:
+                        found[word] += n
+                found[END] += len(sizes)
+                if len(found) > 250_000:
                     yield rows()
         if found:
             yield rows()
@@ -108,9 +107,8 @@ def build_lookup(counts: DataFrame, size: int = LOOKUP) -> Lookup:
         if (taken := taken + r["words"]) > size:
             break
         least = r["bucket"]
-    top = counts.where(bucket >= least).select("word", "class", "n").collect() if least is not None else []
-    top = sorted(((r["word"], r["class"], r["n"]) for r in top), key=lambda r: (-r[2], r[0]))
-    top = [(bytes(w), c, n) for w, c, n in top]
+    top = list(zip(*counts.where(bucket >= least).select("word", "class", "n").toArrow().to_pydict().values())) if least is not None else []
+    top.sort(key=lambda r: (-r[2], r[0]))
     end = next((r for r in top if r[0] == END), (END, SINGLES, 0))
     top = [end, *(r for r in top if r[0] != END)]
     number = np.array([r[2] for r in top], dtype=np.float64)
@@ -130,28 +128,40 @@ def build_lookup(counts: DataFrame, size: int = LOOKUP) -> Lookup:
     return Lookup({r[0]: i for i, r in enumerate(top)}, output, base, within, class_total, output_n, tokens, distinct)
 
 
-def flatten(texts: list[bytes | None], place: dict[bytes, int]):
-    """Tokens of texts in one run: positions in the lookup (-1: not there), texts' token numbers, words not there."""
-    split = [words_of(text) for text in texts]
-    sizes = np.array([len(w) + 1 for w in split], dtype=np.int64)
-    at = np.fromiter((p for words in split for p in (*map(place.get, words, repeat(-1)), 0)), dtype=np.int32, count=int(sizes.sum()))
-    missing = np.flatnonzero(at < 0)
-    starts = np.cumsum(sizes) - sizes
-    text_of = np.searchsorted(starts, missing, side="right") - 1
-    return at, sizes, missing, text_of, [split[t][i] for t, i in zip(text_of.tolist(), (missing - starts[text_of]).tolist())]
-
-
-def outputs_and_contexts(texts: list[bytes | None], look: Lookup):
-    at, sizes, missing, text_of, words = flatten(texts, look.place)
-    out = look.output[at]
-    out[missing] = [word_class(w) for w in words]
+@dataclass
+class Tokens:
+    """Tokens of some texts in one run, ends included; ``rare``: (text, word number, count) not in the lookup."""
+
+    sizes: np.ndarray
+    starts: np.ndarray
+    at: np.ndarray
+    out: np.ndarray
+    one: np.ndarray
+    two: np.ndarray
+    words: list[bytes]
+    rare: tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def tokens_of(texts: pa.Array, look: Lookup) -> Tokens:
+    codes, sizes, words = word_codes(texts, lower=True)
+    place = np.fromiter(map(look.place.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+    place = np.append(place, 0)
+    output = np.where(place >= 0, look.output[place], 0)
+    for w in np.flatnonzero(place < 0).tolist():
+        output[w] = word_class(words[w])
+    closed = np.insert(codes.astype(np.int64), np.cumsum(sizes), len(words))
+    sizes = sizes + 1
     starts = np.cumsum(sizes) - sizes
+    at, out = place[closed], output[closed].astype(np.int32)
     one, two = np.zeros_like(out), np.zeros_like(out)
     one[1:], two[2:] = out[:-1], out[:-2]
     one[starts] = 0
     two[starts] = 0
     two[starts[sizes > 1] + 1] = 0
-    return at, sizes, missing, text_of, words, out, one, two
+    missing = np.flatnonzero(at < 0)
+    text_of = np.searchsorted(starts, missing, side="right") - 1
+    pairs, n = np.unique((text_of << 32) | closed[missing], return_counts=True)
+    return Tokens(sizes, starts, at, out, one, two, words, (pairs >> 32, pairs & 0xFFFFFFFF, n))
 
 
 class Model:
@@ -234,12 +244,11 @@ def fit(df: DataFrame, look: Lookup, text: str = "text") -> Model:
         task = TaskContext.get().partitionId()
         trainer, tokens = Trainer(own, task), 0
         for batch in batches:
-            texts = batch.column(0).cast(pa.binary()).to_pylist()
-            for i in range(0, len(texts), 500):
-                _, sizes, _, _, _, out, one, two = outputs_and_contexts(texts[i : i + 500], shared.value)
+            for i in range(0, batch.num_rows, 1000):
+                t = tokens_of(batch.column(0).slice(i, 1000), shared.value)
                 for _ in range(4 if tokens < FIRST_BLOCK else 1):
-                    trainer.block(out, one, two)
-                tokens += int(sizes.sum())
+                    trainer.block(t.out, t.one, t.two)
+                tokens += int(t.sizes.sum())
         if tokens:
             yield pa.record_batch([pa.array([task], pa.int64()), pa.array([float(tokens)]), pa.array([(own.vector().astype(np.float64) * tokens).tobytes()], pa.binary())], ["task", "tokens", "total"])
 
@@ -271,24 +280,21 @@ def score(df: DataFrame, counts: DataFrame, look: Lookup, model: Model, doc_id:
         own, (first, second, norm) = shared.value
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                piece = batch.slice(i, 500)
-                at, sizes, missing, text_of, words, out, one, two = outputs_and_contexts(piece.column(1).cast(pa.binary()).to_pylist(), own)
-                base, values = own.base[at], own.within[at] + (first[one, out].astype(np.float64) + second[two, out] - norm[one, two])
-                base[missing] = 0.0
-                values[missing] -= own.within[-1]
-                starts = np.cumsum(sizes) - sizes
-                known = sizes - np.bincount(text_of, minlength=len(sizes))
-                rare = Counter(zip(text_of.tolist(), words))
-                by_text: list[list[dict]] = [[] for _ in range(len(sizes))]
-                for (t, word), n in rare.items():
-                    by_text[t].append({"word": word, "class": word_class(word), "n": n})
+            for i in range(0, batch.num_rows, 1000):
+                piece = batch.slice(i, 1000)
+                t = tokens_of(piece.column(1), own)
+                known = t.at >= 0
+                base = np.where(known, own.base[t.at], 0.0)
+                values = np.where(known, own.within[t.at], 0.0) + (first[t.one, t.out].astype(np.float64) + second[t.two, t.out] - norm[t.one, t.two])
+                text_of, word, times = t.rare
+                ends = np.searchsorted(text_of, np.arange(len(t.sizes) + 1)).astype(np.int32)
+                names = [t.words[w] for w in word.tolist()]
+                rare = pa.StructArray.from_arrays([pa.array(names, pa.binary()), pa.array([word_class(w) for w in names], pa.int32()), pa.array(times.astype(np.int64))], ["word", "class", "n"])
                 yield pa.RecordBatch.from_arrays([
-                    piece.column(0), pa.array(range(row, row + len(sizes)), pa.int64()), pa.array(sizes), pa.array(known.astype(np.int64)),
-                    pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(values, starts)),
-                    pa.array(by_text, pa.list_(pa.struct([("word", pa.binary()), ("class", pa.int32()), ("n", pa.int64())]))),
+                    piece.column(0), pa.array(range(row, row + len(t.sizes)), pa.int64()), pa.array(t.sizes), pa.array(np.add.reduceat(known.astype(np.int64), t.starts)),
+                    pa.array(np.add.reduceat(base, t.starts)), pa.array(np.add.reduceat(values, t.starts)), pa.ListArray.from_arrays(pa.array(ends), rare),
                 ], ["doc_id", "row", "n_tokens", "n_known", "base_score", "score", "rare"])
-                row += len(sizes)
+                row += len(t.sizes)
 
     slim = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     schema = T.StructType([slim.schema["doc_id"], *T._parse_datatype_string("row long, n_tokens long, n_known long, base_score double, score double, rare array<struct<word:binary,class:int,n:long>>").fields])
