@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexivane.llm import language_id
+from lexivane.llm import language_id, line_dedup, ngram_join, packing
 from lexivane.llm.common import stored, table
 
 
@@ -15,8 +15,26 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return language_id.known_language(docs)
 
 
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3: lines that repeat an earlier one, or nearly do, are cut; documents of which nothing is left go."""
+    return line_dedup.deduplicated(docs)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 10: of documents whose word 5-grams agree to 80 % and more, the one with the smallest doc_id stays."""
+    return ngram_join.first_of_each(docs, words=5, percent=80)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 9: what is left, in sequences of 4096 tokens."""
+    return packing.pack(docs)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("language_id", language_stage),
+    ("line_dedup", line_stage),
+    ("ngram_jaccard", near_duplicate_stage),
+    ("packing", packing_stage),
 ]
 
 # The language model and the packing order are beyond SQL; a brute-force version stands in tests/llm.

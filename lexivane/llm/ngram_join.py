@@ -1,12 +1,14 @@
 """Jaccard self-join of documents on word n-grams with prefix trees.
 
 A document's set holds the 64-bit hashes of its distinct n-grams, in the global order of the hash values. Equal
-sets are one node. Two sets that are similar enough differ in few elements, so of the smallest quarter of each
+sets are one node. Two sets that are similar enough differ in few elements, so of the smallest part of each
 (its zone) they share a known number at least. Candidate pairs come from shared zone elements:
 
 * Elements held by at most ``COMMON`` nodes are joined pair by pair; pairs with too few of them are dropped.
-* A pair can only be missed if common elements make up much of both zones. Such nodes are first compared with
-  the purest node of their common elements, and then, across the components found, with each other.
+* A pair can only be missed if common elements make up much of both zones. Such nodes are compared by their
+  whole sets, the elements that few of them hold first: similar sets share one of their first elements. What is
+  common almost throughout belongs to large groups of near copies. It is first compared with the purest node of
+  its elements and then, across the components found, with each other.
 
 Candidates of a node are verified together: their sorted sets form a prefix tree, whose branches are walked with
 partial overlaps shared and cut where the remaining lengths cannot reach the threshold any more. Groups with
@@ -37,6 +39,7 @@ COMMON = 24
 LEADERS = 4
 CHUNK = 256
 BUCKET_ROWS = 2000
+BITMAP_BITS = 1 << 23
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 
 
@@ -76,44 +79,68 @@ def node_of(grams: np.ndarray) -> int:
     return int(mixed(total).view(np.int64)[0])
 
 
-def zone_size(n: int) -> int:
-    return min(n, n // 4 + 1)
+def zone_size(n: int, percent: int) -> int:
+    """A tenth more than what a similar set may lack."""
+    return min(n, n * (110 - percent) // 100 + 1)
 
 
-def zones(df: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
-    """doc_id, node (null for an empty set), n, zone."""
+def zones(df: DataFrame, doc_id: str, text: str, words: int, percent: int) -> DataFrame:
+    """doc_id, print (hash of the text), node (null for an empty set), n, zone."""
 
     def build(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 5000):
-                part = batch.slice(i, 5000)
-                sets = gram_sets(part.column(1), words)
-                cut = [s[: zone_size(len(s))] for s in sets]
+            for i in range(0, batch.num_rows, 2000):
+                part = batch.slice(i, 2000)
+                sets = gram_sets(part.column(2), words)
+                cut = [s[: zone_size(len(s), percent)] for s in sets]
                 ends = np.concatenate(([0], np.cumsum([len(c) for c in cut]))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
-                    part.column(0), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+                    part.column(0), part.column(1), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(cut))),
-                ], ["doc_id", "node", "n", "zone"])
+                ], ["doc_id", "print", "node", "n", "zone"])
 
-    slim = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return slim.mapInArrow(build, T.StructType([slim.schema["doc_id"], *T._parse_datatype_string("node long, n long, zone array<long>").fields]))
+    slim = df.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("print"), F.col(text).alias("text"))
+    return slim.mapInArrow(build, T.StructType([slim.schema["doc_id"], *T._parse_datatype_string("print long, node long, n long, zone array<long>").fields]))
 
 
 def whole_sets(df: DataFrame, marked: DataFrame, needed: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
-    """(node, grams) of the needed nodes, from one document of each."""
+    """(node, grams) of the needed nodes, from one document of each.
+
+    A bitmap of fixed size over the hashes of those documents' ids tells most other texts apart before they are
+    looked at; with very many of them it lets more texts pass, and never keeps one of them out.
+    """
+    holders = marked.join(needed.distinct(), "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    places = lambda c: F.pmod(F.xxhash64(c), F.lit(BITMAP_BITS))
+    bits = holders.select(places("doc_id").alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
+    words_set = bits.toArrow()
+    bitmap = np.zeros(BITMAP_BITS // 64, dtype=np.int64)
+    bitmap[words_set["word"].to_numpy()] = words_set["bits"].to_numpy()
+    shared = df.sparkSession.sparkContext.broadcast(bitmap.view(np.uint64))
 
     def build(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 2000):
-                part = batch.slice(i, 2000)
-                sets = gram_sets(part.column(1), words)
-                keep = [(n, s) for n, s in zip(part.column(0).to_pylist(), sets) if len(s) and node_of(s) == n]
-                yield pa.record_batch([pa.array([n for n, _ in keep], pa.int64()), pa.array([s.astype(">i8").tobytes() for _, s in keep], pa.binary())], ["node", "grams"])
+            at = batch.column(0).to_numpy().astype(np.uint64)
+            on = (shared.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+            rows = batch.filter(pa.array(on))
+            for i in range(0, rows.num_rows, 2000):
+                sets = [s for s in gram_sets(rows.column(1).slice(i, 2000), words) if len(s)]
+                yield pa.record_batch([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.astype(">i8").tobytes() for s in sets], pa.binary())], ["node", "grams"])
+
+    found = df.select(places(doc_id).alias("at"), F.col(text).alias("text")).mapInArrow(build, "node long, grams binary")
+    return found.join(holders.select("node"), "node", "left_semi").dropDuplicates(["node"])
+
 
-    holders = marked.join(needed.distinct(), "node").groupBy("node").agg(F.min("doc_id").alias("holder"))
-    texts = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    found = texts.join(holders, F.col("doc_id").eqNullSafe(F.col("holder"))).select("node", "text")
-    return found.mapInArrow(build, "node long, grams binary").dropDuplicates(["node"])
+def each_gram(sets: DataFrame) -> DataFrame:
+    """(node, n, token) of all elements of the sets."""
+
+    def unpack(batches):
+        for batch in batches:
+            sets = [np.frombuffer(x, dtype=">i8").astype(np.int64) for x in batch.column(1).to_pylist()]
+            sizes = np.array([len(s) for s in sets], dtype=np.int64)
+            if len(sets):
+                yield pa.record_batch([pa.array(np.repeat(batch.column(0).to_numpy(), sizes)), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(sets))], ["node", "n", "token"])
+
+    return sets.select("node", "grams").mapInArrow(unpack, "node long, n long, token long")
 
 
 def similar(anchor: np.ndarray, others: list[np.ndarray], percent: int = PERCENT) -> list[int]:
@@ -193,22 +220,43 @@ def linked(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int
     """
     if not 80 <= percent <= 100:
         raise ValueError("zones are cut for similarities of 80 % and more")
-    marked = stored(zones(df, doc_id, text, words), "ngram-zones")
-    edges = links(df, marked, doc_id, text, words, percent)
-    found = components(edges).select("node", "component")
-    names = marked.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
-    named = names.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_node = named.select("node", "component").join(least, "component").select("node", "component_id")
+    marked, by_node = grouped(df, doc_id, text, words, percent)
     out = marked.select("doc_id", "node", "n").join(by_node, "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"))
+
+
+def grouped(df: DataFrame, doc_id: str, text: str, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The rows with their nodes, and (node, first): the smallest doc_id, with its print, of the node's component."""
+    if not 80 <= percent <= 100:
+        raise ValueError("zones are cut for similarities of 80 % and more")
+    marked = stored(zones(df, doc_id, text, words, percent), "ngram-zones")
+    found = components(links(df, marked, doc_id, text, words, percent)).select("node", "component")
+    # null ids come last
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print")
+    named = marked.where("node is not null").groupBy("node").agg(F.min(place).alias("first")).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = named.groupBy("component").agg(F.min("first").alias("first"))
+    return marked, stored(named.select("node", "component").join(least, "component").select("node", "first"), "ngram-groups")
+
+
+def first_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One document of each group of linked ones: that with the smallest doc_id. Columns stay as they are.
+
+    Documents without words stay. Rows that agree in doc_id and text count as one document, of which one stays.
+    """
+    marked, by_node = grouped(df, doc_id, text, words, percent)
+    here = marked.select("doc_id", "print", "node").join(by_node, "node", "left")
+    stay = here.where(F.col("node").isNull() | (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("print") == F.col("first.print"))))
+    stay = stored(stay.groupBy(F.col("doc_id").alias("__doc"), F.col("print").alias("__print")).agg(F.count("*").alias("__rows")), "ngram-stay")
+    kept = df.withColumn("__text", F.xxhash64(text)).join(stay, F.col(doc_id).eqNullSafe(F.col("__doc")) & (F.col("__text") == F.col("__print")), "left_semi")
+    repeated = stay.where("__rows > 1")
+    return (kept if repeated.isEmpty() else kept.dropDuplicates([doc_id, text])).drop("__text")
 
 
 def links(df: DataFrame, marked: DataFrame, doc_id: str, text: str, words: int, percent: int) -> DataFrame:
     """Links (a, b) between nodes, enough to connect every component."""
     miss = 100 - percent
     # of n elements a similar set lacks at most floor(miss * n / 100), so of a zone it holds at least:
-    need = F.expr(f"least(n, n div 4 + 1) - ({miss} * n) div 100")
+    need = F.expr(f"least(n, ({110 - percent} * n) div 100 + 1) - ({miss} * n) div 100")
     by_token = Window.partitionBy("token")
     each = marked.where("node is not null").select("node", "n", F.explode("zone").alias("token"))
     shared = each.select("token", "node", "n", F.count("*").over(by_token).alias("held"), F.min("node").over(by_token).alias("lo"), F.max("node").over(by_token).alias("hi"))
@@ -228,27 +276,33 @@ def links(df: DataFrame, marked: DataFrame, doc_id: str, text: str, words: int,
     counted = stored(joined(rare, rare, []).where("a < b").groupBy("a", "b").agg(F.count("*").alias("met")), "ngram-counted")
     enough = counted.join(sides["a"], "a").join(sides["b"], "b").where(F.col("met") + F.least("commons_a", "commons_b") >= least_need)
 
+    pairs = enough.select(F.col("a").alias("anchor"), F.col("b").alias("other"))
     # zones of which so much is common that a pair could have been missed
-    crowded = stored(nodes.where(f"10000 * commons >= {percent * (25 - miss)} * n"), "ngram-crowded")
-    grams = rows.where("common").join(crowded.select("node", "commons"), "node")
-    pure = F.struct((F.col("commons") / F.col("n")).alias("share"), "node")
-    leaders = grams.groupBy("token").agg(F.max(pure)["node"].alias("leader"))
-    first = F.row_number().over(Window.partitionBy("node").orderBy("token"))
-    to_leader = grams.withColumn("rank", first).where(F.col("rank") <= LEADERS).join(leaders, "token").where("node <> leader")
-    pairs = enough.select(F.col("a").alias("anchor"), F.col("b").alias("other")).unionByName(to_leader.select(F.col("leader").alias("anchor"), F.col("node").alias("other"))).distinct()
-    pairs = stored(pairs, "ngram-pairs")
-    sets = stored(whole_sets(df, marked, pairs.select(F.col("anchor").alias("node")).union(pairs.select("other")).union(crowded.select("node")), doc_id, text, words), "ngram-sets")
-    edges = stored(verified(pairs, sets, percent), "ngram-links")
-    if not crowded.limit(1).count():
-        return edges
-
-    parts = components(edges)
-    placed = stored(grams.join(parts, "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("part")), "ngram-placed")
+    crowded = stored(nodes.where(f"1000 * commons >= {percent} * n").select("node"), "ngram-crowded")
+    sets = stored(whole_sets(df, marked, pairs.select(F.col("anchor").alias("node")).union(pairs.select("other")).union(crowded), doc_id, text, words), "ngram-sets")
+    if crowded.isEmpty():
+        return verified(stored(pairs, "ngram-pairs"), sets, percent)
+
+    # their whole sets, elements that few of them hold first: similar sets share one of their first elements
+    full = each_gram(sets.join(crowded, "node", "left_semi"))
+    full = full.select("node", "n", "token", (F.count("*").over(by_token) > COMMON).alias("common"))
+    by_node = Window.partitionBy("node")
+    ranked = full.select("*", F.row_number().over(by_node.orderBy("common", "token")).alias("rank"), F.sum(F.col("common").cast("int")).over(by_node).alias("commons"))
+    prefix = stored(ranked.where(f"rank <= ({miss} * n) div 100 + 1"), "ngram-prefixes")
+    few = prefix.where("not common")
+    beside = joined(few, few, []).where("a < b").select(F.col("a").alias("anchor"), F.col("b").alias("other")).distinct()
+    # sets that are common but for a rest: near copies in large groups
+    packed = prefix.where("common")
+    leaders = packed.groupBy("token").agg(F.max(F.struct((F.col("commons") / F.col("n")).alias("share"), "node"))["node"].alias("leader"))
+    first = F.row_number().over(by_node.orderBy("token"))
+    to_leader = packed.withColumn("first", first).where(F.col("first") <= LEADERS).join(leaders, "token").where("node <> leader")
+    every = stored(pairs.unionByName(beside).unionByName(to_leader.select(F.col("leader").alias("anchor"), F.col("node").alias("other"))).distinct(), "ngram-pairs")
+    edges = stored(verified(every, sets, percent), "ngram-links")
+
+    placed = stored(packed.join(components(edges), "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("part")), "ngram-placed")
     sizes = placed.groupBy("token", "part").agg(F.count("*").alias("size"))
     main = sizes.groupBy("token").agg(F.max(F.struct("size", "part"))["part"].alias("main"), F.count("*").alias("parts")).where("parts > 1").select("token", "main")
-    mixed_rows = placed.join(main, "token")
-    across = joined(mixed_rows.where("part <> main"), mixed_rows, ["part", "main"]).where("part_a <> part_b and (part_b = main_b or a < b)")
-    met = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).groupBy("a", "b").agg(F.count("*").alias("common_met"))
-    late = met.join(counted, ["a", "b"], "left").join(sides["a"], "a").join(sides["b"], "b").where(F.col("common_met") + F.coalesce("met", F.lit(0)) >= least_need)
-    late = stored(late.select(F.col("a").alias("anchor"), F.col("b").alias("other")), "ngram-late")
-    return edges.unionByName(verified(late, sets, percent))
+    open_rows = placed.join(main, "token")
+    across = joined(open_rows.where("part <> main"), open_rows, ["part", "main"]).where("part_a <> part_b and (part_b = main_b or a < b)")
+    late = across.select(F.least("a", "b").alias("anchor"), F.greatest("a", "b").alias("other")).distinct().join(every.select(F.least("anchor", "other").alias("anchor"), F.greatest("anchor", "other").alias("other")).distinct(), ["anchor", "other"], "left_anti")
+    return edges.unionByName(verified(stored(late, "ngram-late"), sets, percent))

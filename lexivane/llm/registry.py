@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexivane.llm import ann, embedding_dedup, language_id, lm_scoring, ngram_join, packing, url_filter, warc
+from lexivane.llm import ann, embedding_dedup, language_id, line_dedup, lm_scoring, ngram_join, packing, url_filter, warc
 from lexivane.llm.common import table
 
 # Rules of the registered query: host, path, verdict.
@@ -24,6 +24,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identified(table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document that repeat an earlier line, or nearly do."""
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log10 probability of every document, learned from the nine tenths that are not held out."""
     return lm_scoring.scored(table(spark, sf_dir, "documents"))
@@ -61,6 +66,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
+    "op3_line_dedup": op3_line_dedup,
     "op4_lm_scoring": op4_lm_scoring,
     "op5_ann": op5_ann,
     "op6_url_filter": op6_url_filter,
