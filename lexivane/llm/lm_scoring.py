@@ -107,7 +107,9 @@ def build_lookup(counts: DataFrame, size: int = LOOKUP) -> Lookup:
         if (taken := taken + r["words"]) > size:
             break
         least = r["bucket"]
-    top = list(zip(*counts.where(bucket >= least).select("word", "class", "n").toArrow().to_pydict().values())) if least is not None else []
+    kept = F.col("word") == F.lit(END)
+    found = counts.where(kept if least is None else kept | (bucket >= least)).select("word", "class", "n")
+    top = list(zip(*found.toArrow().to_pydict().values()))
     top.sort(key=lambda r: (-r[2], r[0]))
     end = next((r for r in top if r[0] == END), (END, SINGLES, 0))
     top = [end, *(r for r in top if r[0] != END)]
