@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexivane.llm import ann, embedding_dedup, language_id, line_dedup, lm_scoring, ngram_join, packing, url_filter, warc
+from lexivane.llm import ann, embedding_dedup, language_id, line_dedup, lm_scoring, ngram_join, packing, sentence_pieces, url_filter, warc
 from lexivane.llm.common import table
 
 # Rules of the registered query: host, path, verdict.
@@ -19,6 +19,11 @@ RULES = [
 ]
 
 
+def op1_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents, and whether they decode to the text they came from."""
+    return sentence_pieces.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the three quarters that are not held out."""
     return language_id.identified(table(spark, sf_dir, "documents"))
@@ -65,6 +70,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentence_pieces": op1_sentence_pieces,
     "op2_language_id": op2_language_id,
     "op3_line_dedup": op3_line_dedup,
     "op4_lm_scoring": op4_lm_scoring,
