@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,12 +14,24 @@ DEFAULT_CHUNK_SIZE = 2048
 BLOCK = 64
 
 
-def raw_pieces(text: Column, size: int) -> Column:
-    """Greedy windows of at most ``size`` characters, cut before the last inner blank."""
+def piece_pattern(size: int, end: str) -> str:
+    """One piece: the rest if it is short enough, else up to the last inner blank, else ``size`` characters."""
     if size < 2:
         raise ValueError("chunk size must be at least 2")
-    pattern = f"(?s)(.{{1,{size}}}\\z|.{{1,{size - 1}}}(?= )|.{{{size}}})"
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+    return f"(?s)(.{{1,{size}}}{end}|.{{1,{size - 1}}}(?= )|.{{{size}}})"
+
+
+def raw_pieces(text: Column, size: int) -> Column:
+    """Greedy windows of at most ``size`` characters, cut before the last inner blank."""
+    return F.regexp_extract_all(text, F.lit(piece_pattern(size, "\\z")), F.lit(1))
+
+
+def text_pieces(text: str, size: int) -> Iterator[tuple[int, str]]:
+    """Offsets and trimmed texts of the same pieces, for code that runs inside a task."""
+    for found in re.finditer(piece_pattern(size, r"\Z"), text):
+        piece = found[0].strip()
+        if piece:
+            yield found.start() + found[0].index(piece), piece
 
 
 def _total(values: Column) -> Column:
@@ -51,7 +66,7 @@ def pieces(text_raw: Column, offsets: Column) -> Column:
 
     def cut(raw: Column, at: Column) -> Column:
         lead = F.length(raw) - F.length(F.regexp_replace(raw, "(?U)^\\s+", ""))
-        return F.struct((at + lead).cast("int").alias("start"), strip(raw).alias("text"))
+        return F.struct((at + lead).cast("long").alias("start"), strip(raw).alias("text"))
 
     return F.filter(F.zip_with(text_raw, offsets, cut), lambda p: p["text"] != "")
 

@@ -7,60 +7,57 @@ chunks keep their rows, and the statistics of the base are derived anew.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexivane.functions.chunking import DEFAULT_CHUNK_SIZE
+from lexivane.functions.chunking import DEFAULT_CHUNK_SIZE, text_pieces
 from lexivane.operators import index as I
 from lexivane.sources.vocabulary import BASE_DRIVER
 
-PACKED = "collection string, base string, seq long, chunk int, start int, text string"
+PACKED = "collection string, base string, seq long, chunk long, start long, text string"
 
 
-def windows(text: str, size: int) -> Iterator[tuple[int, str]]:
-    """Offsets and trimmed texts of the greedy windows of one text."""
-    at = 0
-    while at < len(text):
-        end = at + size
-        if end < len(text):
-            blank = text.rfind(" ", at, end)
-            end = blank if blank > at else end
-        raw = text[at:end]
-        piece = raw.strip()
-        if piece:
-            yield at + len(raw) - len(raw.lstrip()), piece
-        at += len(raw)
+def _packed_base(rows: Iterator[tuple[int, int | None, int | None, str]], size: int) -> Iterator[tuple[int, int, int, str]]:
+    """Chunks ``(seq, chunk, start, text)`` of one base from its rows ``(seq, chunk, start, text)`` in order.
+
+    A row with a chunk number is the open tail of the base; every other row is cut together with the chunk
+    that is still open. A chunk is complete as soon as another one follows it.
+    """
+    seq, number, start, tail = 0, 0, 0, ""
+    for new_seq, chunk, at, text in rows:
+        if chunk is not None:
+            seq, number, start, tail = new_seq, chunk, at, text
+            continue
+        found = list(text_pieces(tail + text, size))
+        if not found:
+            continue
+        for i, (offset, piece) in enumerate(found[:-1]):
+            # the first piece is the open chunk itself and keeps its source only if nothing was added to it
+            yield (seq if i == 0 and piece == tail else new_seq, number + i, start + offset, piece)
+        offset, tail = found[-1]
+        seq, number, start = new_seq, number + len(found) - 1, start + offset
+    if tail:
+        yield seq, number, start, tail
 
 
 def _fold(size: int):
+    columns = ["collection", "base", "seq", "chunk", "start", "text"]
+
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, last = None, None  # last: (chunk, start, text) still open
-        for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                if (row.collection, row.base) != key:
-                    if last is not None:
-                        out.append((*key, last[3], *last[:3]))
-                    key = (row.collection, row.base)
-                    last = None
-                    if row.chunk is not None and not pd.isna(row.chunk):
-                        last = (int(row.chunk), int(row.start), row.text, row.seq)
-                        continue
-                number, start, head = (last[0], last[1], last[2]) if last else (0, 0, "")
-                open_chunk = last
-                for offset, piece in windows(head + row.text, size):
-                    if open_chunk is not None and open_chunk is not last:
-                        out.append((*key, open_chunk[3], *open_chunk[:3]))
-                        number += 1
-                    open_chunk = (number, start + offset, piece, row.seq)
-                last = open_chunk
-            yield pd.DataFrame(out, columns=["collection", "base", "seq", "chunk", "start", "text"])
-        if last is not None:
-            yield pd.DataFrame(
-                [(*key, last[3], *last[:3])], columns=["collection", "base", "seq", "chunk", "start", "text"]
-            )
+        # rows of one base stand together; an unended base is carried over as its open tail
+        stream = ((key, row) for batch in batches for key, row in zip(zip(batch["collection"], batch["base"]), zip(batch["seq"], batch["chunk"], batch["start"], batch["text"])))
+        none = lambda x: None if x is None or pd.isna(x) else int(x)
+        done: list[tuple] = []
+        for (collection, base), rows in groupby(stream, key=lambda x: x[0]):
+            for packed in _packed_base(((int(seq), none(chunk), none(start), text) for _, (seq, chunk, start, text) in rows), size):
+                done.append((collection, base, *packed))
+                if len(done) == 10_000:
+                    yield pd.DataFrame(done, columns=columns)
+                    done = []
+        yield pd.DataFrame(done, columns=columns)
 
     return fold
 
@@ -73,10 +70,10 @@ def packed_chunks(texts: DataFrame, last_chunks: DataFrame | None = None, size:
     only its open chunk is held in memory, never the group.
     """
     columns = ["collection", "base", "seq", "chunk", "start", "text"]
-    rows = texts.select("collection", "base", F.col("seq").cast("long"), F.lit(None).cast("int").alias("chunk"), F.lit(None).cast("int").alias("start"), "text")
+    rows = texts.select("collection", "base", F.col("seq").cast("long"), F.lit(None).cast("long").alias("chunk"), F.lit(None).cast("long").alias("start"), "text")
     if last_chunks is not None:
         tails = last_chunks.join(texts.select("collection", "base").distinct(), ["collection", "base"], "left_semi")
-        rows = rows.unionByName(tails.select("collection", "base", F.lit(-1).cast("long").alias("seq"), F.col("chunk").cast("int"), F.col("start").cast("int"), "text"))
+        rows = rows.unionByName(tails.select("collection", "base", F.lit(-1).cast("long").alias("seq"), F.col("chunk").cast("long"), F.col("start").cast("long"), "text"))
     placed = rows.select(*columns).repartition("collection", "base").sortWithinPartitions("collection", "base", "seq")
     return placed.mapInPandas(_fold(size), PACKED)
 

@@ -58,7 +58,7 @@ def chunk_window(index: Index, chunk_id: int, before: int = 0, after: int = 0, c
 
 def chunks_by_id(index: Index, ids: list[int], collection=None, base="*") -> DataFrame:
     """Chunks in the order of ``ids``; numbers out of range are skipped."""
-    wanted = index.spark.createDataFrame(list(enumerate(ids)), "position int, chunk int")
+    wanted = index.spark.createDataFrame(list(enumerate(ids)), "position long, chunk long")
     touched = F.exists(
         F.array(*[F.lit(i) for i in ids]), lambda i: (F.col("first_chunk") <= i) & (F.col("first_chunk") + F.col("n_pieces") > i)
     )
@@ -70,7 +70,7 @@ def _fetch(index: Index, collection, base, touched) -> DataFrame:
     spans = index.doc_spans.where(touched).join(scope, BASE).select(*BASE, "doc", "first_chunk")
     stats_of = index.chunk_stats.select(*CHUNK, "oov", "norm")
     rows = index.chunks.select(*CHUNK, "start", "len", "tokens", "text").join(spans, [*BASE, "doc"]).join(stats_of, CHUNK)
-    return rows.withColumn("chunk", (F.col("first_chunk") + F.col("piece")).cast("int")).drop("first_chunk")
+    return rows.withColumn("chunk", (F.col("first_chunk") + F.col("piece")).cast("long")).drop("first_chunk")
 
 
 def check_limits(index: Index, max_bases: int = 0, max_chunks_per_base: int = 0) -> None:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -164,7 +166,7 @@ def search_expand(
     kept = split_by_scope(index, queries, variants, collection, base).where("kept")
     slots = MAX_EXPANSIONS + 1
     batch = index.store.save(
-        "expanded_queries",
+        f"expanded_queries-{uuid.uuid4().hex}",  # earlier calls keep theirs
         kept.select((F.col("query_id") * 1000 + F.col("variant_no")).alias("query_id"), F.col("variant").alias("query")),
     )
     found = S.search(index, batch, collection, base, k=k, phonetic=phonetic, snippets=False, with_keys=True)

@@ -91,7 +91,7 @@ class Index:
     def numbered(self, df: DataFrame) -> DataFrame:
         """Add ``chunk``, the dense chunk number inside the base."""
         spans = self.doc_spans.select(*DOC, "first_chunk")
-        return df.join(spans, DOC).withColumn("chunk", (F.col("first_chunk") + F.col("piece")).cast("int")).drop("first_chunk")
+        return df.join(spans, DOC).withColumn("chunk", (F.col("first_chunk") + F.col("piece")).cast("long")).drop("first_chunk")
 
 
 def token_columns(cut: DataFrame) -> DataFrame:

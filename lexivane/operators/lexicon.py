@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,9 +40,11 @@ def lexicon(words: DataFrame) -> DataFrame:
 
 def zipf_table(store: TableStore, counts: DataFrame) -> DataFrame:
     """Rank, frequency and cumulative share per syllable; ties rank by syllable."""
-    saved = store.save("syllable_counts", counts.withColumn("one", F.lit(1)))
+    # names of their own: frames of earlier calls stay readable
+    run = uuid.uuid4().hex
+    saved = store.save(f"syllable_counts-{run}", counts.withColumn("one", F.lit(1)))
     order = [F.desc("n"), F.asc("syllable")]
-    ranked = running_sums(store, "zipf", saved, [], order, {"above": "one", "mass_above": "n"})
+    ranked = running_sums(store, f"zipf-{run}", saved, [], order, {"above": "one", "mass_above": "n"})
     total = saved.agg(F.sum("n")).scalar()
     return ranked.select(
         "syllable",
@@ -104,15 +108,21 @@ def positions(index: Index) -> DataFrame:
 
 
 def position_lists(index: Index) -> DataFrame:
-    """Ascending positions per chunk and token; a chunk bounds the length of a list."""
-    return positions(index).groupBy(*CHUNK, "token").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+    """Ascending positions per chunk and token, formed inside the row of the chunk."""
+    listed = index.chunks.select(*CHUNK, T.line_syllables(F.col("line")).alias("tokens"))
+    placed = listed.select(*CHUNK, F.array_sort(F.transform("tokens", lambda t, i: F.struct(t.alias("token"), i.alias("pos")))).alias("placed"))
+    # equal tokens stand together after the sort, so each starts a run
+    starts = F.filter(F.transform("placed", lambda p, i: F.when((i == 0) | (F.get("placed", i - 1)["token"] != p["token"]), i)), lambda i: i.isNotNull())
+    runs = placed.select(*CHUNK, "placed", starts.alias("starts"))
+    ends = F.transform("starts", lambda s, k: F.coalesce(F.get("starts", k + 1), F.size("placed")) - s)
+    each = runs.select(*CHUNK, "placed", F.explode(F.arrays_zip("starts", ends.alias("sizes"))).alias("r"))
+    own = F.slice("placed", F.col("r.starts") + 1, F.col("r.sizes"))
+    return each.select(*CHUNK, F.get(own, 0)["token"].alias("token"), F.transform(own, lambda p: p["pos"]).alias("positions"))
 
 
 def position_gaps(index: Index) -> DataFrame:
-    """Delta encoding of the position lists."""
-    listed = position_lists(index)
-    earlier = F.concat(F.array(F.lit(0)), F.slice("positions", F.lit(1), F.size("positions") - 1))
-    return listed.withColumn("gaps", F.zip_with("positions", earlier, lambda p, q: p - q))
+    """Distances between neighbouring positions of a token in a chunk; the first counts from 0."""
+    return position_lists(index).withColumn("gaps", F.transform("positions", lambda p, i: p - F.when(i > 0, F.get("positions", i - 1)).otherwise(0)))
 
 
 def seek_positions(lists: DataFrame, target: int) -> DataFrame:

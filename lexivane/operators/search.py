@@ -138,14 +138,10 @@ def top_candidates(scores: DataFrame, n: int) -> DataFrame:
     return scores.withColumn("recall_rank", F.row_number().over(w)).where(F.col("recall_rank") <= n)
 
 
-def sharded_top(scores: DataFrame, n: int, shards: int) -> DataFrame:
-    """Best ``n`` chunks per query over everything: the best of each shard, then their merge."""
-    order = [*_by("cos"), F.desc("doc"), F.desc("piece"), F.asc("collection"), F.asc("base")]
-    shard = F.pmod(F.xxhash64(*CHUNK), F.lit(shards))
-    local = Window.partitionBy("query_id", "shard").orderBy(*order)
-    kept = scores.withColumn("shard", shard).withColumn("n", F.row_number().over(local)).where(F.col("n") <= n)
-    merged = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
-    return kept.withColumn("rank", merged).where(F.col("rank") <= n).drop("n")
+def best_overall(scores: DataFrame, n: int) -> DataFrame:
+    """Best ``n`` chunks per query over all bases; Spark keeps n rows per task before it merges them."""
+    order = Window.partitionBy("query_id").orderBy(*_by("cos"), F.desc("doc"), F.desc("piece"), F.asc("collection"), F.asc("base"))
+    return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
 def term_weights(index: Index, scope: Scope, terms: DataFrame) -> DataFrame:
@@ -252,7 +248,7 @@ def search(
         hits = hits.withColumn("snippet", F.lit(None).cast("string"))
     spans = index.doc_spans.select(*BASE, "doc", "first_chunk")
     numbered = spans.join(broadcast_rows(hits, shown, 4000), BASE + ["doc"])
-    return numbered.withColumn("chunk", (F.col("first_chunk") + F.col("piece")).cast("int")).select(
+    return numbered.withColumn("chunk", (F.col("first_chunk") + F.col("piece")).cast("long")).select(
         "query_id", "rank", *BASE, "corpus", "path", "matchpoint", "coverage", "span", "cos", "chunk", "start", "snippet", "recency",
         *(["doc", "piece"] if with_keys else []),
     )

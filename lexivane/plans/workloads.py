@@ -507,7 +507,7 @@ def explained_peaks(spark, folder):
 def recall_sharded(spark, folder):
     index = index_of(spark, folder)
     scores = S.recall(index, S.open_scope(index), Q.query_frame(spark, SEARCHES), cosine="true", idf_mode="classic")
-    top = index.numbered(S.sharded_top(scores, 20, 3))
+    top = index.numbered(S.best_overall(scores, 20))
     return top.select(_big("query_id"), _big("rank"), "collection", "base", _big("chunk"), _r("cos"))
 
 

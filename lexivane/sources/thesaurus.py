@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from lexivane.functions import text as T
 
-PARENTHESES = "\\s*\\(.*?\\)\\s*"
+# a hint in brackets with the blanks around it
+HINT = "[ \\t]*[(][^()]*[)][ \\t]*"
 
 
 def _terms(line, separator: str):
@@ -29,7 +30,7 @@ def parse_synsets(lines: DataFrame) -> DataFrame:
 
     Work stays inside one line, so no pairs across lines are ever formed.
     """
-    bare = lines.where(~F.col("value").startswith("#")).select(F.regexp_replace("value", PARENTHESES, "").alias("value"))
+    bare = lines.where(~F.col("value").startswith("#")).select(F.regexp_replace("value", HINT, "").alias("value"))
     rows = bare.select(_terms(F.col("value"), ";").alias("t")).where(F.size("t") > 1)
     heads = rows.select("t", F.posexplode("t").alias("i", "w"))
     others = heads.select("w", F.filter(F.transform("t", lambda x, j: F.when(j != F.col("i"), x)), lambda x: x.isNotNull()).alias("others"))
@@ -39,25 +40,36 @@ def parse_synsets(lines: DataFrame) -> DataFrame:
 def parse_entries(files: DataFrame) -> DataFrame:
     """Dictionary files whose entries are ``word|N`` followed by N sense lines ``(pos)|syn|syn``.
 
-    ``files`` has whole texts. The first line is the encoding name; sense lines belong to the last
-    head line before them.
+    ``files`` has whole texts, one per row; equal files stay apart. The first line is the encoding name. A line
+    whose last field is a number opens an entry, unless its first field is empty or nothing but a hint in brackets.
     """
-    head = F.regexp_extract("value", "^([^|(]+)\\|\\s*\\d+\\s*$", 1)
-    marked = files.select(F.xxhash64("value").alias("file"), F.posexplode(F.split("value", "\\r?\\n")).alias("n", "value")).where("n > 0")
-    w = Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    owned = marked.withColumn("head", F.when(head != "", T.clean_term(head))).withColumn("w", F.last("head", True).over(w))
-    senses = owned.where("head is null and w is not null").select("w", "n", F.split("value", "\\|").alias("f"))
-    listed = senses.select("w", "n", F.posexplode(F.slice("f", F.lit(2), F.size("f"))).alias("k", "s"))
-    cleaned = listed.select("w", (F.col("n") * 10000 + F.col("k")).alias("at"), T.clean_term(F.regexp_replace("s", PARENTHESES, "")).alias("s"))
+    fields = F.split(F.col("line"), "\\|")
+    listed = files.select(F.monotonically_increasing_id().alias("file"), F.posexplode(F.split("value", "\\r?\\n")).alias("n", "line")).where("n > 0")
+    split = listed.select("file", "n", fields.alias("f"))
+    word = T.clean_term(F.get("f", 0))
+    opens = (F.size("f") == 2) & F.get("f", 1).rlike("^[ \\t]*[0-9]+[ \\t]*$") & (word != "") & ~F.get("f", 0).rlike("^" + HINT + "$")
+    before = Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    owned = split.withColumn("opens", opens).withColumn("w", F.last(F.when(F.col("opens"), word), True).over(before))
+    senses = owned.where(~F.col("opens") & F.col("w").isNotNull())
+    each = senses.select("w", "n", F.posexplode(F.slice("f", F.lit(2), F.size("f"))).alias("k", "s"))
+    cleaned = each.select("w", F.struct(F.col("n").cast("long").alias("first"), F.col("k").cast("long").alias("second")).alias("at"), T.clean_term(F.regexp_replace("s", HINT, "")).alias("s"))
     return cleaned.where("s <> ''").select("w", "at", "s")
 
 
+def _between(text, opening: str, closing: str):
+    """What stands between the first ``opening`` and the next ``closing``, without tags; null if it isn't there."""
+    inner = F.substring_index(F.get(F.split(text, opening, 2), 1), closing, 1)
+    return T.clean_term(F.regexp_replace(inner, "<[^<>]*>", ""))
+
+
 def parse_bridge(files: DataFrame) -> DataFrame:
-    """Bilingual XML dictionaries: ``<entry>`` with ``<orth>`` and translated ``<quote>`` items."""
-    entries = files.select(F.explode(F.regexp_extract_all("value", F.lit("(?s)<entry>(.*?)</entry>"), F.lit(1))).alias("e"))
-    untag = lambda c: T.clean_term(F.regexp_replace(c, "<.*?>", ""))
-    quotes = F.regexp_extract_all("e", F.lit('(?s)<cit type="trans">.*?<quote>(.*?)</quote>'), F.lit(1))
-    rows = entries.select(untag(F.regexp_extract("e", "(?s)<orth>(.*?)</orth>", 1)).alias("w"), F.transform(quotes, untag).alias("t"))
+    """Bilingual XML dictionaries: per entry the word in ``orth`` and the translations in ``quote``."""
+    closed = F.split("value", "</entry>")
+    bodies = files.select(F.explode(F.slice(closed, 1, F.size(closed) - 1)).alias("e")).where(F.contains("e", F.lit("<entry>")))
+    entries = bodies.select(F.substring_index("e", "<entry>", -1).alias("e"))
+    groups = F.split("e", '<cit type="trans">')
+    quotes = F.transform(F.slice(groups, F.lit(2), F.size(groups)), lambda g: _between(g, "<quote>", "</quote>"))
+    rows = entries.select(_between(F.col("e"), "<orth>", "</orth>").alias("w"), quotes.alias("t"))
     return rows.where("w <> ''").select("w", F.posexplode("t").alias("at", "s")).where("s <> ''")
 
 
@@ -71,10 +83,11 @@ def finalize(rows: DataFrame) -> DataFrame:
 
 def compose(bridge: DataFrame, synonyms: DataFrame) -> DataFrame:
     """Cross-language dictionary: translations of a word and of its synonyms."""
-    direct = bridge.select("w", "s", F.col("at").cast("long").alias("at"))
+    place = lambda first, second: F.struct(F.lit(first).cast("long").alias("first") if isinstance(first, int) else first.cast("long").alias("first"), F.col(second).cast("long").alias("second"))
+    direct = bridge.select("w", "s", place(0, "at").alias("at"))
     via = synonyms.select("w", F.posexplode("s").alias("i", "syn")).join(bridge.select("w").distinct(), "w", "left_semi")
     hop = bridge.select(F.col("w").alias("syn"), F.col("s"), F.col("at").alias("j"))
-    indirect = via.join(hop, "syn").select("w", "s", ((F.col("i") + 1) * 1000000 + F.col("j")).cast("long").alias("at"))
+    indirect = via.join(hop, "syn").select("w", "s", place(F.col("i") + 1, "j").alias("at"))
     return finalize(direct.unionByName(indirect))
 
 

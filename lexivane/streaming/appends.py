@@ -11,7 +11,7 @@ from lexivane.operators.append import packed_chunks
 from lexivane.plans.store import TableStore
 
 KEYS = ["collection", "base"]
-ROWS = "collection string, base string, chunk int, start int, text string, batch long"
+ROWS = "collection string, base string, chunk long, start long, text string, batch long"
 
 
 class ChunkLog:

@@ -32,3 +32,15 @@ def coverage(terms, weights, words):
 
 def idf(n, df):
     return math.log((n + 1) / df)
+
+
+def cut_text(text, size):
+    """Offsets and texts of the pieces of one text: the longest beginning that ends before a blank, again and again."""
+    out, rest = [], text
+    while rest:
+        short = rest[:size].rpartition(" ")[0]
+        taken = rest if len(rest) <= size else short or rest[:size]
+        if taken.strip():
+            out.append((len(text) - len(rest) + len(taken) - len(taken.lstrip()), taken.strip()))
+        rest = rest.removeprefix(taken)
+    return out

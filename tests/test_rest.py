@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from brute import cut_text
 from lexivane import LexicalEngine
 from lexivane.operators import append as A
 from lexivane.operators import catalog as C
@@ -49,7 +50,7 @@ def fold(texts, size):
     state = []
     for text in texts:
         at, head = (state[-1][0], state[-1][1]) if state else (0, "")
-        state = state[:-1] + [(at + o, p) for o, p in A.windows(head + text, size)]
+        state = state[:-1] + [(at + o, p) for o, p in cut_text(head + text, size)]
     return state
 
 

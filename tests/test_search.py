@@ -8,7 +8,6 @@ from lexivane.functions import text as T
 from lexivane.operators import index as I
 from lexivane.operators import profile as P
 from lexivane.operators import search as S
-from lexivane.operators.append import windows
 from lexivane.plans.store import TableStore
 
 TEXTS = {

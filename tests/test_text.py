@@ -2,9 +2,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from brute import cut_text
 from lexivane.functions import chunking as C
 from lexivane.functions import text as T
-from lexivane.operators.append import windows
 
 # Words with their syllables.
 SYLLABLES = """casa ca-sa
@@ -112,7 +112,7 @@ def test_chunks_match_plain_python(spark):
         df = spark.createDataFrame(list(enumerate(texts)), "doc int, text string")
         got = C.with_chunks(df, ["doc"], 7).where("piece is not null").collect()
         got = sorted((r["doc"], r["piece"], r["start"], r["text"]) for r in got)
-        want = [(d, i, at, piece) for d, t in enumerate(texts) for i, (at, piece) in enumerate(windows(t, 7))]
+        want = [(d, i, at, piece) for d, t in enumerate(texts) for i, (at, piece) in enumerate(cut_text(t, 7))]
         assert got == sorted(want)
 
     check()
@@ -122,7 +122,7 @@ def test_offsets_of_many_pieces(spark):
     text = "word " * 2000
     df = spark.createDataFrame([(0, text)], "doc int, text string")
     got = C.with_chunks(df, ["doc"], 8).where("piece is not null").orderBy("piece").collect()
-    assert [(r["start"], r["text"]) for r in got] == list(windows(text, 8))
+    assert [(r["start"], r["text"]) for r in got] == list(cut_text(text, 8))
 
 
 def test_blank_text_keeps_its_bytes(spark):
