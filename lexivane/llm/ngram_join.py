@@ -143,48 +143,83 @@ def each_gram(sets: DataFrame) -> DataFrame:
     return sets.select("node", "grams").mapInArrow(unpack, "node long, n long, token long")
 
 
-def similar(anchor: np.ndarray, others: list[np.ndarray], percent: int = PERCENT) -> list[int]:
-    """Which of the sorted sets are similar to ``anchor``: one walk over their prefix tree.
+class PrefixTree:
+    """Sorted sets in lexical order, so that those with a common beginning stand together.
 
-    The sets are put in order, so that those with a common beginning stand together; a branch is a range of
-    sets and a depth. The overlap with the anchor up to a depth is counted once for the whole branch. A branch
-    is left when even its longest set, or what remains of the anchor, cannot reach the threshold.
+    A branch of the tree is a range of sets and a depth up to which they agree.
     """
-    order = sorted(range(len(others)), key=lambda i: others[i].astype(">i8").tobytes())
-    sets = [others[i] for i in order]
-    if not sets:
-        return []
-    lengths = np.array([len(s) for s in sets])
-    shared = [0] * len(sets)
-    for i in range(1, len(sets)):
-        a, b = sets[i - 1], sets[i]
-        m = min(len(a), len(b))
-        differ = np.flatnonzero(a[:m] != b[:m])
-        shared[i] = int(differ[0]) if len(differ) else m
-    needed = [-(-percent * (len(anchor) + n) // (100 + percent)) for n in lengths.tolist()]
-    found: list[int] = []
-    branches = [(0, len(sets), 0, 0)]
-    while branches:
-        lo, hi, depth, overlap = branches.pop()
-        to = min(shared[lo + 1 : hi], default=int(lengths[lo]))
-        own = sets[lo][depth:to]
-        if len(own) and len(anchor):
-            place = np.minimum(np.searchsorted(anchor, own), len(anchor) - 1)
-            overlap += int((anchor[place] == own).sum())
-        used = int(np.searchsorted(anchor, sets[lo][to - 1], side="right")) if to else 0
-        rest = len(anchor) - used
-        if not any(overlap + min(rest, int(lengths[i]) - to) >= needed[i] for i in range(lo, hi)):
-            continue
-        if hi - lo == 1:
-            if overlap >= needed[lo]:
-                found.append(order[lo])
-            continue
-        start = lo
-        for i in range(lo + 1, hi + 1):
-            if i == hi or shared[i] == to:
-                branches.append((start, i, to, overlap))
-                start = i
-    return sorted(found)
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">i8").tobytes())
+        self.sets = [sets[i] for i in self.order]
+        self.lengths = [len(s) for s in self.sets]
+        self.shared = [0] * len(sets)
+        for i in range(1, len(sets)):
+            a, b = self.sets[i - 1], self.sets[i]
+            m = min(len(a), len(b))
+            differ = np.flatnonzero(a[:m] != b[:m])
+            self.shared[i] = int(differ[0]) if len(differ) else m
+
+    def similar(self, anchor: np.ndarray, percent: int = PERCENT, wanted: list[bool] | None = None) -> list[int]:
+        """Which of the (wanted) sets are similar to ``anchor``, by their first numbers, in one walk.
+
+        The overlap with the anchor up to a depth is counted once for the whole branch. A branch is left when even
+        its longest set, or what remains of the anchor, cannot reach the threshold, or nothing in it is wanted.
+        """
+        if not self.sets or not len(anchor):
+            return []
+        needed = [-(-percent * (len(anchor) + n) // (100 + percent)) for n in self.lengths]
+        if wanted is not None:
+            needed = [n if wanted[i] else 1 << 62 for n, i in zip(needed, self.order)]
+        found: list[int] = []
+        branches = [(0, len(self.sets), 0, 0)]
+        while branches:
+            lo, hi, depth, overlap = branches.pop()
+            to = min(self.shared[lo + 1 : hi], default=self.lengths[lo])
+            own = self.sets[lo][depth:to]
+            if len(own):
+                place = np.minimum(np.searchsorted(anchor, own), len(anchor) - 1)
+                overlap += int((anchor[place] == own).sum())
+            rest = len(anchor) - (int(np.searchsorted(anchor, self.sets[lo][to - 1], side="right")) if to else 0)
+            if not any(overlap + min(rest, self.lengths[i] - to) >= needed[i] for i in range(lo, hi)):
+                continue
+            if hi - lo == 1:
+                if overlap >= needed[lo]:
+                    found.append(self.order[lo])
+                continue
+            start = lo
+            for i in range(lo + 1, hi + 1):
+                if i == hi or self.shared[i] == to:
+                    branches.append((start, i, to, overlap))
+                    start = i
+        return sorted(found)
+
+
+def join_across(left: list[tuple[int, int, np.ndarray]], right: list[tuple[int, int, np.ndarray]] | None, percent: int) -> list[tuple[int, int]]:
+    """Links between sets (node, part, grams) of different parts; a link joins their parts for what follows.
+
+    Without ``right`` the sets of ``left`` are compared with each other.
+    """
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    others = left if right is None else right
+    tree, found = PrefixTree([grams for _, _, grams in others]), []
+    for at, (node, part, grams) in enumerate(left):
+        mine = top(part)
+        wanted = [top(p) != mine for _, p, _ in others]
+        if right is None:
+            wanted[: at + 1] = [False] * (at + 1)
+        if any(wanted):
+            for i in tree.similar(grams, percent, wanted):
+                found.append((node, others[i][0]))
+                up[top(others[i][1])] = top(part)
+    return found
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -203,7 +238,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             grams = {n: np.frombuffer(g, dtype=">i8").astype(np.int64) for n, g in zip(part["other"], part["grams"])}
             mine = grams.pop(anchor)
             names = list(grams)
-            hits = similar(mine, [grams[n] for n in names], percent)
+            hits = PrefixTree([grams[n] for n in names]).similar(mine, percent)
             left += [anchor] * len(hits)
             right += [names[i] for i in hits]
         return pd.DataFrame({"a": np.array(left, dtype=np.int64), "b": np.array(right, dtype=np.int64)})
@@ -299,10 +334,19 @@ def links(df: DataFrame, marked: DataFrame, doc_id: str, text: str, words: int,
     every = stored(pairs.unionByName(beside).unionByName(to_leader.select(F.col("leader").alias("anchor"), F.col("node").alias("other"))).distinct(), "ngram-pairs")
     edges = stored(verified(every, sets, percent), "ngram-links")
 
-    placed = stored(packed.join(components(edges), "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("part")), "ngram-placed")
-    sizes = placed.groupBy("token", "part").agg(F.count("*").alias("size"))
-    main = sizes.groupBy("token").agg(F.max(F.struct("size", "part"))["part"].alias("main"), F.count("*").alias("parts")).where("parts > 1").select("token", "main")
-    open_rows = placed.join(main, "token")
-    across = joined(open_rows.where("part <> main"), open_rows, ["part", "main"]).where("part_a <> part_b and (part_b = main_b or a < b)")
-    late = across.select(F.least("a", "b").alias("anchor"), F.greatest("a", "b").alias("other")).distinct().join(every.select(F.least("anchor", "other").alias("anchor"), F.greatest("anchor", "other").alias("other")).distinct(), ["anchor", "other"], "left_anti")
-    return edges.unionByName(verified(stored(late, "ngram-late"), sets, percent))
+    # nodes that packed elements tie together are compared in blocks, each with those of other components only
+    ties = packed.join(packed.groupBy("token").agg(F.min("node").alias("least")), "token").where("node <> least").select("node", "least").distinct()
+    places = components(ties, "node", "least").withColumnRenamed("component", "crowd").join(components(edges), "node", "left").select("node", "crowd", F.coalesce("component", "node").alias("part"))
+    places = stored(places, "ngram-places")
+    crowds = places.groupBy("crowd").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.ceil(F.count("*") / CHUNK).alias("blocks")).where("lo <> hi").select("crowd", "blocks")
+    placed = places.join(crowds, "crowd").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    tasks = placed.select("crowd", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "part", "node").join(sets, "node")
+
+    def compare(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("node")
+        rows = [(b, n, p, np.frombuffer(g, dtype=">i8").astype(np.int64)) for b, n, p, g in zip(own["block"], own["node"], own["part"], own["grams"])]
+        sides = [[r[1:] for r in rows if r[0] == b] for b in key[1:]]
+        return pd.DataFrame(join_across(sides[0], None if key[1] == key[2] else sides[1], percent), columns=["a", "b"])
+
+    return edges.unionByName(tasks.groupBy("crowd", "lo", "hi").applyInPandas(compare, "a long, b long"))
