@@ -99,19 +99,18 @@ def appended_index_rows(index: I.Index, texts: DataFrame) -> DataFrame:
     touched = texts.groupBy(*keys).agg(F.sum(F.octet_length("text")).cast("long").alias("added"))
     lasts = index.chunks.join(touched.select(*keys), keys, "left_semi").groupBy(*keys).agg(
         F.max(F.struct("doc", "piece", "start", "len", "text", "driver", "doc_bytes")).alias("l")
-    )
-    bare = F.lit(not index.with_text)
+    ).withColumn("bare", F.col("l.text").isNull())
     tails = lasts.select(
         *keys,
-        F.when(bare, F.col("l.piece") + 1).otherwise(F.col("l.piece")).alias("chunk"),
-        F.when(bare, F.col("l.start") + F.col("l.len")).otherwise(F.col("l.start")).alias("start"),
+        F.when(F.col("bare"), F.col("l.piece") + 1).otherwise(F.col("l.piece")).alias("chunk"),
+        F.when(F.col("bare"), F.col("l.start") + F.col("l.len")).otherwise(F.col("l.start")).alias("start"),
         F.coalesce("l.text", F.lit("")).alias("text"),
     )
     packed = packed_chunks(texts, tails, index.chunk_size)
-    old = lasts.select(*keys, F.col("l.doc").alias("doc"), F.col("l.piece").alias("last"), "l.driver", "l.doc_bytes")
+    old = lasts.select(*keys, F.col("l.doc").alias("doc"), F.col("l.piece").alias("last"), "l.driver", "l.doc_bytes", "bare")
     rows = packed.join(old, keys, "left").join(touched, keys)
-    first = F.col("chunk") == F.coalesce(F.when(bare, F.col("last") + 1).otherwise(F.col("last")), F.lit(0))
-    before = F.when(bare, F.lit(0)).otherwise(F.coalesce("doc_bytes", F.lit(0)))
+    first = F.col("chunk") == F.coalesce(F.when(F.col("bare"), F.col("last") + 1).otherwise(F.col("last")), F.lit(0))
+    before = F.when(F.col("bare"), F.lit(0)).otherwise(F.coalesce("doc_bytes", F.lit(0)))
     cut = rows.select(
         *keys,
         F.coalesce("doc", F.lit(0)).alias("doc"),
@@ -122,9 +121,7 @@ def appended_index_rows(index: I.Index, texts: DataFrame) -> DataFrame:
         F.when(first, before + F.col("added")).otherwise(F.lit(0)).cast("long").alias("doc_bytes"),
         "text",
     )
-    fresh = I.token_columns(cut)
-    if not index.with_text:
-        fresh = fresh.withColumn("text", F.lit(None).cast("string"))
-        return index.source_rows.unionByName(fresh)
-    replaced = lasts.select(*keys, F.col("l.doc").alias("doc"), F.col("l.piece").alias("piece"))
+    fresh = I.token_columns(cut).join(lasts.select(*keys, "bare"), keys, "left")
+    fresh = fresh.withColumn("text", F.when(~F.coalesce("bare", F.lit(False)), F.col("text"))).drop("bare")
+    replaced = lasts.where("not bare").select(*keys, F.col("l.doc").alias("doc"), F.col("l.piece").alias("piece"))
     return index.source_rows.join(replaced, I.CHUNK, "left_anti").unionByName(fresh)

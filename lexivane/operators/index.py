@@ -41,7 +41,6 @@ class Index:
 
     store: TableStore
     chunk_size: int = chunking.DEFAULT_CHUNK_SIZE
-    with_text: bool = True
 
     @property
     def spark(self) -> SparkSession:
@@ -186,7 +185,7 @@ def coverage(tokens, oov):
 
 
 def base_meta(index: Index, mtime: int = 0) -> DataFrame:
-    sizes = index.raw_chunks.groupBy(*BASE, "driver").agg(F.sum("doc_bytes").alias("bytes"))
+    sizes = index.raw_chunks.groupBy(*BASE, "driver").agg(F.sum("doc_bytes").alias("bytes"), F.max(F.when(F.col("piece").isNotNull(), F.col("text").isNotNull())).alias("has_text"))
     counts = index.chunk_stats.groupBy(*BASE).agg(
         F.count("*").alias("n_chunks"), F.sum("tokens").alias("tokens_total"), F.sum("oov").alias("oov_total")
     )
@@ -205,7 +204,7 @@ def base_meta(index: Index, mtime: int = 0) -> DataFrame:
         "tokens_total",
         "oov_total",
         coverage(F.col("tokens_total"), F.col("oov_total")).alias("coverage"),
-        F.lit(index.with_text).alias("with_text"),
+        F.coalesce("has_text", F.lit(True)).alias("with_text"),
         F.lit("lexivane").alias("generator"),
         F.concat(F.lit("tokens_"), "driver", F.lit(".drv")).alias("tokens_file"),
         F.col("driver").alias("language"),
@@ -229,16 +228,16 @@ def build_index(
     ``max_chunks`` keeps the first chunks of every document; 0 keeps all.
     """
     rows = tokenized(docs, chunk_size, max_chunks, with_text)
-    return index_rows(rows, store, chunk_size, with_text, vocab, mtime)
+    return index_rows(rows, store, chunk_size, vocab, mtime)
 
 
 def index_rows(
-    rows: DataFrame, store: TableStore, chunk_size: int, with_text: bool = True, vocab: DataFrame | None = None, mtime: int = 0
+    rows: DataFrame, store: TableStore, chunk_size: int, vocab: DataFrame | None = None, mtime: int = 0
 ) -> Index:
     """Index chunk rows that are already tokenized."""
     store.save("vocab", vocab if vocab is not None else V.base_syllabary(store.spark))
     store.save("chunks", rows.withColumn("uid", F.monotonically_increasing_id()), ["collection"])
-    index = Index(store, chunk_size, with_text)
+    index = Index(store, chunk_size)
     refresh_statistics(index, mtime)
     return index
 

@@ -218,14 +218,15 @@ def search(
     queries = Q.query_frame(index.spark, queries)
     n_queries = queries.count()
     scope = open_scope(index, collection, base)
-    rerank = rerank and index.with_text
     keep = max(k, recall_n) if rerank else k
     candidates = top_candidates(recall(index, scope, queries, unified), keep)
     n_rows = scope.n_bases * keep * n_queries
+    meta = index.bases.select(*BASE, "corpus", "mtime", "with_text")
     if rerank:
-        scored = scored_candidates(index, scope, queries, candidates, n_rows, phonetic).withColumn(
-            "matchpoint", F.col("coverage")
-        )
+        # bases without stored texts have no coverage: their hits rank by cosine
+        scored = scored_candidates(index, scope, queries, candidates, n_rows, phonetic).join(meta, BASE)
+        scored = scored.withColumns({c: F.when(F.col("with_text"), F.col(c)) for c in ("coverage", "span")})
+        scored = scored.withColumn("matchpoint", F.coalesce("coverage", "cos"))
     else:
         starts = index.chunks.select(*CHUNK, "start")
         scored = (
@@ -233,9 +234,9 @@ def search(
             .withColumn("matchpoint", F.col("cos"))
             .withColumn("coverage", F.lit(None).cast("double"))
             .withColumn("span", F.lit(None).cast("int"))
+            .join(meta, BASE)
         )
-    meta = index.bases.select(*BASE, "corpus", "mtime")
-    hits = merge(scored.join(meta, BASE), k)
+    hits = merge(scored.drop("with_text"), k)
     clock = F.lit(now) if now is not None else F.unix_timestamp()
     hits = path_columns(hits).withColumn("recency", recency(F.col("mtime"), clock))
     shown = k * n_queries

@@ -57,8 +57,8 @@ class LexicalEngine:
         self.generation += 1
         return TableStore(self.spark, self.store.path(f"generation={self.generation}"))
 
-    def _publish(self, rows: DataFrame, with_text: bool = True) -> Index:
-        built = I.index_rows(rows, self._next_store(), self.chunk_size, with_text, self.vocab)
+    def _publish(self, rows: DataFrame) -> Index:
+        built = I.index_rows(rows, self._next_store(), self.chunk_size, self.vocab)
         C.check_limits(built, self.max_bases, self.max_chunks_per_base)
         self.index = built
         return built
@@ -72,7 +72,7 @@ class LexicalEngine:
         if self.index is not None:
             kept = self.index.source_rows.join(docs.select(*BASE).distinct(), BASE, "left_anti")
             rows = kept.unionByName(rows)
-        return self._publish(rows, with_text)
+        return self._publish(rows)
 
     def ingest_files(self, path: str, collection: str = files.DEFAULT_COLLECTION, **options) -> Index:
         return self.ingest(files.read_texts(self.spark, path, collection, self.driver_meta), **options)
@@ -85,23 +85,33 @@ class LexicalEngine:
 
     def append(self, texts: DataFrame) -> Index:
         """Continue bases with ``collection, base, seq, text``, packing their last chunks."""
-        return self._publish(A.appended_index_rows(self.index, texts), self.index.with_text)
+        return self._publish(A.appended_index_rows(self.index, texts))
 
     def import_json(self, path: str, collection: str | None = None) -> Index:
-        """Open tokenized bases as they are stored."""
-        self.index = J.import_bases(J.read_bases(self.spark, path, collection), self._next_store(), self.max_bases, self.max_chunks_per_base)
-        return self.index
+        """Add tokenized bases; a base of the same name is replaced.
+
+        The first import is opened with its stored idf values and norms. Beside other bases, and after later
+        changes, statistics are derived from the stored vectors. Every imported base keeps its own vocabulary.
+        """
+        opened = J.import_bases(J.read_bases(self.spark, path, collection), self._next_store(), self.max_bases, self.max_chunks_per_base)
+        earlier, self.index = self.index, opened
+        known = self.vocab.join(opened.vocab.select("driver").distinct(), "driver", "left_anti")
+        self.vocab = known.unionByName(opened.vocab.select(*known.columns))
+        if earlier is None:
+            return opened
+        kept = earlier.source_rows.join(opened.bases.select(*BASE), BASE, "left_anti")
+        return self._publish(kept.unionByName(opened.source_rows.select(*kept.columns)))
 
     def export_json(self, folder: str, max_chunks_per_base: int) -> None:
         J.write_bases(self.index, folder, max_chunks_per_base)
 
     def drop_base(self, base: str, collection: str = files.DEFAULT_COLLECTION) -> Index:
         gone = (F.col("collection") == collection) & (F.col("base") == base)
-        return self._publish(self.index.source_rows.where(~gone), self.index.with_text)
+        return self._publish(self.index.source_rows.where(~gone))
 
     def drop_collection(self, collection: str) -> Index:
         """Partition filter: the files of the other collections are all that is read."""
-        return self._publish(self.index.source_rows.where(F.col("collection") != collection), self.index.with_text)
+        return self._publish(self.index.source_rows.where(F.col("collection") != collection))
 
     # ------------------------------------------------------------ discovery
 

@@ -24,11 +24,12 @@ SUFFIX = "-tokenized.json"
 def read_bases(spark: SparkSession, path: str, collection: str | None = None) -> DataFrame:
     """Rows ``collection, base, mtime, meta, idf, chunks`` of every ``*-tokenized.json`` below a folder.
 
-    A sub-folder names the collection; files in the folder itself go to ``default``.
+    A sub-folder names the collection; files in the folder itself go to ``default``. Files that ``write_bases``
+    wrote name collection and base in their folders.
     """
     rows = (
         spark.read.schema(BASE_SCHEMA)
-        .option("pathGlobFilter", f"*{SUFFIX}")
+        .option("pathGlobFilter", f"{{*{SUFFIX},part-*.txt}}")
         .json(path, multiLine=True, recursiveFileLookup=True)
         .select("meta", "idf", "chunks", F.url_decode(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.file_modification_time").alias("changed"))
     )
@@ -37,6 +38,10 @@ def read_bases(spark: SparkSession, path: str, collection: str | None = None) ->
     folder = F.regexp_extract(below, "^([^/]+)/", 1)
     named = F.lit(collection) if collection else F.when(folder == "", F.lit("default")).otherwise(folder)
     name = F.regexp_replace(F.regexp_extract("file", "([^/]+)$", 1), f"{SUFFIX}$", "")
+    written = lambda field: F.url_decode(F.regexp_replace(F.regexp_extract("file", f"/{field}=([^/]*)/", 1), "[+]", "%2B"))
+    by_folder = F.col("file").rlike("/collection=[^/]*/base=[^/]*/")
+    named = F.lit(collection) if collection else F.when(by_folder, written("collection")).otherwise(named)
+    name = F.when(by_folder, written("base")).otherwise(name)
     checked = rows.withColumn("meta", F.when(F.col("meta.vocab").isNull() | F.col("idf").isNull() | F.col("chunks").isNull(), F.raise_error(F.lit("incomplete base"))).otherwise(F.col("meta")))
     return checked.select(named.alias("collection"), name.alias("base"), F.unix_seconds("changed").alias("mtime"), "meta", "idf", "chunks")
 
@@ -53,7 +58,10 @@ def import_bases(bases: DataFrame, store: TableStore, max_bases: int = 0, max_ch
     The position in the array is the chunk number; the stored id is ignored.
     """
     saved = store.save("imported", bases)
-    numbered = saved.select(*BASE, F.posexplode("chunks").alias("piece", "c")).withColumn("uid", F.monotonically_increasing_id())
+    each = saved.select(*BASE, F.col("meta.vocab").alias("names"), F.posexplode("chunks").alias("piece", "c"))
+    # what a chunk without text knows of its tokens
+    given = F.transform(F.map_entries("c.vec"), lambda e: F.struct(F.get("names", e["key"].try_cast("int")).alias("token"), e["value"].alias("tf")))
+    numbered = each.withColumn("given", given).drop("names").withColumn("uid", F.monotonically_increasing_id())
     listed = store.save("imported_chunks", numbered)
     doc = F.lit(0).cast("long").alias("doc")
     driver = F.concat_ws("/", *BASE)
@@ -62,7 +70,7 @@ def import_bases(bases: DataFrame, store: TableStore, max_bases: int = 0, max_ch
     line = T.syllable_line(F.coalesce(F.col("c.text"), F.lit("")))
     chunk_rows = listed.select(
         *BASE, doc, "piece", "uid", driver.alias("driver"), F.coalesce("c.start", F.lit(0)).alias("start"), F.coalesce("c.len", F.lit(0)).alias("len"),
-        F.coalesce("c.tokens", F.lit(0)).alias("tokens"), F.lit(0).cast("long").alias("doc_bytes"), T.histogram(T.line_syllables(line)).alias("hist"), line.alias("line"), F.col("c.text").alias("text"),
+        F.coalesce("c.tokens", F.lit(0)).alias("tokens"), F.lit(0).cast("long").alias("doc_bytes"), F.when(F.col("c.text").isNotNull(), T.histogram(T.line_syllables(line))).otherwise(F.col("given")).alias("hist"), line.alias("line"), F.col("c.text").alias("text"),
     )
     store.save("chunks", chunk_rows, ["collection"])
     store.save("doc_spans", saved.select(*BASE, doc, F.size("chunks").cast("long").alias("n_pieces"), F.lit(0).cast("long").alias("first_chunk")))

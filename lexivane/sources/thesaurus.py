@@ -44,7 +44,7 @@ def parse_entries(files: DataFrame) -> DataFrame:
     whose last field is a number opens an entry, unless its first field is empty or nothing but a hint in brackets.
     """
     fields = F.split(F.col("line"), "\\|")
-    listed = files.select(F.monotonically_increasing_id().alias("file"), F.posexplode(F.split("value", "\\r?\\n")).alias("n", "line")).where("n > 0")
+    listed = files.withColumn("file", F.monotonically_increasing_id()).select("file", F.posexplode(F.split("value", "\\r?\\n")).alias("n", "line")).where("n > 0")
     split = listed.select("file", "n", fields.alias("f"))
     word = T.clean_term(F.get("f", 0))
     opens = (F.size("f") == 2) & F.get("f", 1).rlike("^[ \\t]*[0-9]+[ \\t]*$") & (word != "") & ~F.get("f", 0).rlike("^" + HINT + "$")

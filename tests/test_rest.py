@@ -202,3 +202,42 @@ def test_engine_life_cycle(spark, tmp_path):
     engine.drop_collection("up")
     engine.drop_base("two")
     assert engine.health()["bases"] == 1
+
+
+def test_import_adds_to_what_is_there(spark, tmp_path):
+    engine = LexicalEngine(spark, str(tmp_path / "one"))
+    engine.ingest_text("stored", "casa verde na montanha", "books")
+    engine.export_json(str(tmp_path / "out"), 10)
+    other = LexicalEngine(spark, str(tmp_path / "two"))
+    other.ingest_text("mine", "porta azul da casa", "books")
+    other.import_json(str(tmp_path / "out"))
+    other.ingest_text("late", "mesa redonda", "books")
+    assert {r["name"] for r in other.bases().collect()} == {"stored", "mine", "late"}
+    for query, base in (("montanha", "stored"), ("porta azul", "mine"), ("mesa", "late")):
+        assert other.search(query, collection="books", k=1).first()["base"] == base
+
+
+def test_bases_with_and_without_text(spark, tmp_path):
+    engine = LexicalEngine(spark, str(tmp_path / "mixed"))
+    engine.ingest_text("full", "casa verde na montanha", "c")
+    engine.ingest_text("bare", "casa azul na cidade", "c", with_text=False)
+    assert {r["name"]: r["has_text"] for r in engine.bases("c").collect()} == {"full": True, "bare": False}
+    hits = {r["base"]: r for r in engine.search("casa", collection="c", k=5).collect()}
+    assert hits["full"]["coverage"] == 1.0 and hits["bare"]["coverage"] is None
+    assert hits["bare"]["matchpoint"] == hits["bare"]["cos"] > 0
+    engine.append(spark.createDataFrame([("c", "full", 0, " longe daqui"), ("c", "bare", 0, "longe daqui")], "collection string, base string, seq long, text string"))
+    assert {r["name"]: r["has_text"] for r in engine.bases("c").collect()} == {"full": True, "bare": False}
+    assert {r["base"] for r in engine.search("longe", collection="c", k=5).collect()} == {"full", "bare"}
+
+
+def test_two_expanded_searches_stay_apart(spark, index):
+    first = E.search_expand(index, ["casa"])
+    second = E.search_expand(index, ["montanha"])
+    assert first.count() and second.count()
+
+
+def test_entries_of_dictionary_files(spark):
+    text = "UTF-8\nabc (x)|1\n(noun)|one (hint)|two\ndef|2\n(verb)|three\n(adj)|four\n"
+    rows = spark.createDataFrame([(text,), (text,)], "value string")
+    got = {r["w"]: list(r["s"]) for r in TH.finalize(TH.parse_entries(rows)).collect()}
+    assert got == {"abc (x)": ["one", "two"], "def": ["three", "four"]}
