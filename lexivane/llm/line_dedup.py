@@ -90,6 +90,18 @@ def letters(text: Column) -> Column:
     return F.when(F.length(text) > 0, F.split(text, "")).otherwise(F.array().cast("array<string>"))
 
 
+def letter_parity(of: Column) -> Column:
+    """64 bits: which (hashed) letters occur an odd number of times. An edit turns two bits at most."""
+    return F.aggregate(of, F.lit(0).cast("long"), lambda bits, x: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.hash(x), F.lit(64)))))
+
+
+def pair_parity(of: Column) -> Column:
+    """64 bits: which (hashed) pairs of neighbouring letters occur an odd number of times. An edit turns four bits at most."""
+    start = F.struct(F.lit(0).cast("long").alias("bits"), F.lit("").alias("before"))
+    turn = lambda state, x: state["bits"].bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.hash(state["before"], x), F.lit(64))))
+    return F.aggregate(of, start, lambda state, x: F.struct(turn(state, x).alias("bits"), x.alias("before")))["bits"]
+
+
 def lines_of(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     """One row per line: doc_id, print (of the text), pos, line."""
     slim = df.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("print"), F.col(text).alias("text"))
@@ -113,14 +125,20 @@ def dropped_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", edi
     keys = groups.select("h", F.posexplode("keys").alias("at", "key")).select("h", "key", (F.col("at") <= edits).alias("own"))
     met = keys.select("h", "key", "own", F.min("h").over(by_key).alias("lo"), F.max("h").over(by_key).alias("hi"), F.max("own").over(by_key).alias("any_own"))
     met = stored(met.where("lo <> hi and any_own").select("h", "key", "own"), "lines-met")
-    short = met.where("own").select("key", F.col("h").alias("a"))
-    pairs = stored(short.join(met.select("key", F.col("h").alias("b")), "key").where("a <> b").select("a", "b").distinct(), "lines-pairs")
-
-    wanted = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct().join(groups.select("h", "h2", "first"), "h")
+    wanted = met.select("h").distinct().join(groups.select("h", "h2", "first"), "h")
     places = wanted.select("h", "h2", "first", F.col("first.doc_id").alias("of"), F.col("first.print").alias("of_print"))
     texts = df.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("print"), F.col(text).alias("text"))
     found = texts.join(places, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("print") == F.col("of_print")))
     found = stored(found.select("h", "h2", "first", F.get(F.split("text", "\n", -1), F.col("first.pos")).alias("line")).dropDuplicates(["h", "h2"]), "lines-text")
+
+    # lines that share a segment meet only if their letters, and pairs of letters, can be within the edits
+    parity = found.withColumn("of", letters(F.col("line"))).select("h", letter_parity(F.col("of")).alias("ones"), pair_parity(F.col("of")).alias("twos"))
+    signed = stored(met.join(parity.groupBy("h").agg(F.first("ones").alias("ones"), F.first("twos").alias("twos"), F.count("*").alias("lines")), "h"), "lines-signed")
+    short = signed.where("own").select("key", F.col("h").alias("a"), F.col("ones").alias("ones_a"), F.col("twos").alias("twos_a"), F.col("lines").alias("lines_a"))
+    long = signed.select("key", F.col("h").alias("b"), F.col("ones").alias("ones_b"), F.col("twos").alias("twos_b"), F.col("lines").alias("lines_b"))
+    alike = F.expr(f"a <> b and (lines_a > 1 or lines_b > 1 or bit_count(ones_a ^ ones_b) <= {2 * edits} and bit_count(twos_a ^ twos_b) <= {4 * edits})")
+    pairs = stored(short.join(long, "key").where(alike).select("a", "b").distinct(), "lines-pairs")
+
     side = lambda s: found.select(F.col("h").alias(s), F.col("h2").alias(f"{s}2"), F.col("first").alias(f"first_{s}"), F.col("line").alias(f"line_{s}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     cut = both.withColumn("same", shared_prefix(F.col("line_a"), F.col("line_b")))
