@@ -20,27 +20,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexivane.llm.common import runs
+
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 KEPT = 500_000
+BLOCK_LETTERS = 1 << 19
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Starts of all suffixes, in the order of their first ``depth`` letters and more."""
-    _, rank = np.unique(text, return_inverse=True)
-    rank = rank.astype(np.int64) + 1
-    step = 1
-    order = np.argsort(rank, kind="stable")
-    while step < depth:
-        later = np.zeros_like(rank)
-        later[:-step] = rank[step:]
-        key = rank * (len(text) + 2) + later
-        order = np.argsort(key, kind="stable")
+    """Starts of all suffixes, in the order of their first ``depth`` letters and more.
+
+    As many letters as fit are packed into the first key; every further round doubles what is compared.
+    """
+    letters, rank = np.unique(text, return_inverse=True)
+    width = int(len(letters)).bit_length()
+    step = max(1, 62 // width)
+    padded = np.concatenate((rank.astype(np.int64) + 1, np.zeros(step, dtype=np.int64)))
+    key = np.zeros(len(text), dtype=np.int64)
+    for k in range(step):
+        key = (key << width) | padded[k : k + len(text)]
+    while True:
+        order = np.argsort(key)
+        if step >= depth:
+            return order.astype(np.int32)
         ordered = key[order]
-        rank = np.empty_like(rank)
+        rank = np.empty(len(text) + step, dtype=np.int64)
+        rank[len(text) :] = 0
         rank[order] = np.concatenate(([1], 1 + np.cumsum(ordered[1:] != ordered[:-1])))
+        key = rank[: len(text)] * (len(text) + 2) + rank[step:]
         step *= 2
-    return order
+
+
+def blocks(units: list[str]):
+    """Runs of units of about ``BLOCK_LETTERS`` letters."""
+    first, letters = 0, 0
+    for at, unit in enumerate(units):
+        letters += len(unit)
+        if letters >= BLOCK_LETTERS or at == len(units) - 1:
+            yield units[first : at + 1]
+            first, letters = at + 1, 0
 
 
 class Pieces:
@@ -70,6 +89,7 @@ class Pieces:
         self.strange = re.compile("([^" + re.escape("".join(name for name in self.names if len(name) == 1)) + "])")
         self._pair_table()
         self.bytes_of: dict[int, bytes] = {i: name.replace(SPACE, " ").encode() for i, name in names.items()} | {i: bytes([b]) for b, i in enumerate(self.byte_ids)}
+        self.bytes_by_id = np.array([*(self.bytes_of.get(i, b"") for i in every), b""], dtype=object)
         before_marks = "" if any(re.search(r"[^\W\d_][.,]", name) for name in self.names) else rf"{SPACE}*[^\W\d_]+(?=[.,])|"
         self.cuts = re.compile(f"{before_marks}{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
         self.known: dict[str, bytes] = {}
@@ -147,8 +167,7 @@ class Pieces:
                 bounds.append(low)
             lo[on], hi[on] = bounds
         sizes = np.where(self.made, hi - lo, 0)
-        ends = np.cumsum(sizes)
-        return order[np.repeat(lo - (ends - sizes), sizes) + np.arange(int(ends[-1]))], np.repeat(np.arange(len(self.names)), sizes)
+        return order[runs(lo, sizes)], np.repeat(np.arange(len(self.names), dtype=np.int32), sizes)
 
     def match(self, units: list[str]) -> list[bytes]:
         """Ids of units that hold letters with pieces only."""
@@ -156,11 +175,13 @@ class Pieces:
         text = np.frombuffer("\0".join([*units, ""]).encode("utf-32-le"), dtype=np.uint32)
         base = np.concatenate(([0], np.cumsum(sizes + 1)))[:-1]
         start, piece = self.occurrences(text)
-        offset = (start - base[np.searchsorted(base, start, side="right") - 1]).astype(np.int64)
-        by_offset = np.argsort(offset.astype(np.uint16) if sizes.max() < 1 << 16 else offset, kind="stable")
-        start, piece, offset = start[by_offset], piece[by_offset], offset[by_offset]
+        inside = (np.arange(len(text)) - np.repeat(base, sizes + 1)).astype(np.uint16 if sizes.max() < 1 << 16 else np.int64)
+        by_offset = np.argsort(inside[start], kind="stable")
+        start, piece = start[by_offset], piece[by_offset]
+        del by_offset
+        offset = inside[start]
         last = np.full(len(text) + 1, -1, dtype=np.int64)
-        cuts = np.searchsorted(offset, np.arange(int(sizes.max()) + 1))
+        cuts = np.searchsorted(offset, np.arange(int(sizes.max()) + 1, dtype=np.int64))
         for p in range(int(sizes.max())):
             s, t = start[cuts[p] : cuts[p + 1]], piece[cuts[p] : cuts[p + 1]]
             if p:
@@ -190,11 +211,14 @@ class Pieces:
         new = [u for u in set().union(*cut) if u not in self.known]
         learned: dict[str, bytes] = {}
         if new:
-            parts = {u: self.strange.split(u) for u in new}
-            plain = sorted({x for p in parts.values() for x in p[::2] if x})
-            ids = dict(zip(plain, self.match(plain))) if plain else {}
+            parts = {u: self.strange.split(u) for u in new if self.strange.search(u)}
+            plain = sorted({x for p in parts.values() for x in p[::2] if x}.union(u for u in new if u not in parts))
+            ids: dict[str, bytes] = {}
+            for block in blocks(plain):
+                ids.update(zip(block, self.match(block)))
             strange = {c: np.array([self.byte_ids[b] for b in c.encode()], dtype="<i4").tobytes() for p in parts.values() for c in p[1::2]}
-            learned = {u: b"".join(ids.get(x, b"") if k % 2 == 0 else strange[x] for k, x in enumerate(p)) for u, p in parts.items()}
+            learned = {u: ids[u] for u in new if u not in parts}
+            learned |= {u: b"".join(ids.get(x, b"") if k % 2 == 0 else strange[x] for k, x in enumerate(p)) for u, p in parts.items()}
         if len(self.known) < KEPT:
             self.known.update(learned)
             return [b"".join(map(self.known.__getitem__, units)) for units in cut]
@@ -203,8 +227,8 @@ class Pieces:
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; what is no piece of text is left out, bytes that are no UTF-8 become U+FFFD."""
-        whole = b"".join([self.bytes_of.get(i, b"") for i in ids.tolist()])
-        return whole.removeprefix(b" ").decode("utf-8", "replace")
+        known = np.where((ids >= 0) & (ids < len(self.bytes_by_id) - 1), ids, len(self.bytes_by_id) - 1)
+        return b"".join(self.bytes_by_id[known].tolist()).removeprefix(b" ").decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=2)
@@ -222,8 +246,8 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", model: str = MOD
 
     def run(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 2000):
-                part = batch.slice(i, 2000)
+            for i in range(0, batch.num_rows, 1000):
+                part = batch.slice(i, 1000)
                 found = pieces(model).encode(part.column(at).to_pylist())
                 ends = np.concatenate(([0], np.cumsum([len(x) // 4 for x in found]))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), dtype="<i4")))], [*part.schema.names, ids])
@@ -238,7 +262,11 @@ def decode(df: DataFrame, ids: str = "ids", text: str = "decoded", model: str =
 
     def run(batches):
         for batch in batches:
-            texts = [pieces(model).decode(np.array([i for i in x or () if i is not None], dtype=np.int64)) if not isinstance(x, np.ndarray) else pieces(model).decode(x) for x in batch.column(at).to_pylist()]
+            column = batch.column(at)
+            flat = column.flatten()
+            values = flat.fill_null(-1).to_numpy().astype(np.int64)
+            ends = np.cumsum(column.value_lengths().fill_null(0).to_numpy()).tolist()
+            texts = [pieces(model).decode(values[a:b]) for a, b in zip([0, *ends], ends)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, text])
 
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(text, T.StringType())]))
