@@ -62,7 +62,7 @@ def chunks_by_id(index: Index, ids: list[int], collection=None, base="*") -> Dat
     touched = F.exists(
         F.array(*[F.lit(i) for i in ids]), lambda i: (F.col("first_chunk") <= i) & (F.col("first_chunk") + F.col("n_pieces") > i)
     )
-    return _fetch(index, collection, base, touched).join(F.broadcast(wanted), "chunk")
+    return _fetch(index, collection, base, touched).join(wanted, "chunk")
 
 
 def _fetch(index: Index, collection, base, touched) -> DataFrame:

@@ -35,7 +35,7 @@ def dictionary_expansions(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
     ``synonyms(w, s)`` holds the active dictionaries, one row per word.
     """
     words = queries.select("query_id", F.posexplode(content_words(F.col("query"))).alias("word_no", "w"))
-    listed = synonyms.join(F.broadcast(words), "w").select("query_id", "word_no", "w", F.posexplode("s").alias("syn_no", "syn"))
+    listed = synonyms.join(words, "w").select("query_id", "word_no", "w", F.posexplode("s").alias("syn_no", "syn"))
     cleaned = listed.withColumn("syn", T.strip(F.col("syn"))).withColumn("low", F.lower("syn"))
     cleaned = cleaned.where((F.col("syn") != "") & (F.col("low") != F.col("w")))
     first = cleaned.groupBy("query_id", "low").agg(F.min(F.struct("word_no", "syn_no", "syn")).alias("at"))
@@ -48,7 +48,7 @@ def dictionary_expansions(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
 def cached_expansions(queries: DataFrame, cache: DataFrame) -> DataFrame:
     """Variants kept for a normalized query: ``cache(query_key, variants)``."""
     keyed = queries.withColumn("query_key", T.normalize_query(F.col("query")))
-    rows = cache.join(F.broadcast(keyed), "query_key").select("query_id", F.posexplode("variants").alias("n", "variant"))
+    rows = cache.join(keyed, "query_key").select("query_id", F.posexplode("variants").alias("n", "variant"))
     return rows.select("query_id", (F.col("n") + 1).alias("variant_no"), "variant")
 
 
@@ -77,7 +77,7 @@ def expansions(
 def _anchored(index: Index, texts: DataFrame, id_columns: list[str], text: str, collection, base) -> DataFrame:
     """Ids of texts with at least one word whose prefix key occurs in the scope."""
     keys = texts.select(*id_columns, F.explode(F.transform(T.line_words(T.syllable_line(F.col(text))), T.word_key)).alias("key"))
-    return F.broadcast(keys).join(scope_word_keys(index, collection, base), "key").select(*id_columns).distinct()
+    return keys.join(scope_word_keys(index, collection, base), "key").select(*id_columns).distinct()
 
 
 def split_by_scope(index: Index, queries: DataFrame, variants: DataFrame, collection=None, base="*") -> DataFrame:
@@ -110,9 +110,9 @@ def suggest_terms(index: Index, missing: DataFrame, collection=None, base="*", l
     # one row per word and reason to be close, joined by equality on sound or syllable
     by_sound = terms.select("query_id", F.explode("sounds").alias("sx")).where("sx <> ''")
     by_syllable = terms.select("query_id", F.explode("syllables").alias("syl"))
-    near_sound = words.join(F.broadcast(by_sound), "sx").select("query_id", "word")
-    near_syl = words.select("word", F.explode(F.array_distinct("syls")).alias("syl")).join(F.broadcast(by_syllable), "syl").select("query_id", "word")
-    near = near_sound.unionByName(near_syl).distinct().join(words, "word").join(F.broadcast(terms), "query_id")
+    near_sound = words.join(by_sound, "sx").select("query_id", "word")
+    near_syl = words.select("word", F.explode(F.array_distinct("syls")).alias("syl")).join(by_syllable, "syl").select("query_id", "word")
+    near = near_sound.unionByName(near_syl).distinct().join(words, "word").join(terms, "query_id")
     scored = near.select(
         "query_id",
         "word",
@@ -164,7 +164,6 @@ def search_expand(
     queries = Q.query_frame(index.spark, queries)
     variants = expansions(queries, synonyms, cache, expander)
     kept = split_by_scope(index, queries, variants, collection, base).where("kept")
-    slots = MAX_EXPANSIONS + 1
     batch = index.store.save(
         f"expanded_queries-{uuid.uuid4().hex}",  # earlier calls keep theirs
         kept.select((F.col("query_id") * 1000 + F.col("variant_no")).alias("query_id"), F.col("variant").alias("query")),
@@ -175,15 +174,14 @@ def search_expand(
     best = found.withColumn("var_cov", weighted)
     w = Window.partitionBy("query_id", *CHUNK).orderBy(F.round("var_cov", 9).desc(), F.asc("variant_no"))
     best = best.withColumn("n", F.row_number().over(w)).where("n = 1")
-    n_best = queries.count() * slots * k
     candidates = best.select("query_id", *CHUNK, "cos", "var_cov", "variant_no", "chunk", "corpus", "path")
     scope = S.open_scope(index, collection, base)
     carry = ("cos", "var_cov", "variant_no", "chunk", "corpus", "path")
-    rescored = S.scored_candidates(index, scope, queries, candidates, n_best, phonetic, carry)
+    rescored = S.scored_candidates(index, scope, queries, candidates, phonetic, carry)
     order = [F.round("coverage", 9).desc(), F.round("var_cov", 9).desc(), F.asc("span"), (F.col("variant_no") == 0).desc(), F.asc("collection"), F.asc("base"), F.asc("chunk")]
     top = rescored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
     names = kept.select("query_id", "variant_no", F.when(F.col("variant_no") == 0, "original").otherwise(F.col("variant")).alias("via"))
-    return top.join(F.broadcast(names), ["query_id", "variant_no"]).select(
+    return top.join(names, ["query_id", "variant_no"]).select(
         "query_id", "rank", *BASE, "corpus", "path", "chunk", F.col("coverage").alias("matchpoint"), "coverage", "span", "cos", "var_cov", "via", "start"
     )
 

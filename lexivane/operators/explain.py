@@ -10,7 +10,6 @@ from lexivane.operators import queries as Q
 from lexivane.operators import search as S
 from lexivane.operators.index import BASE, CHUNK, Index
 from lexivane.operators.rerank import sliding_matches
-from lexivane.plans.sizing import broadcast_rows
 
 
 def best_chunks(index: Index, queries: DataFrame, **options) -> DataFrame:
@@ -24,9 +23,9 @@ def query_dims(index: Index, queries: DataFrame, best: DataFrame) -> DataFrame:
     languages = index.bases.select(*BASE, "language")
     tokens = Q.query_tokens(queries).join(best.select("query_id", *CHUNK), "query_id").join(languages, BASE)
     dims = index.vocab.groupBy(F.col("driver").alias("language"), "token").agg(F.max("dim").alias("dim"))
-    known = tokens.join(F.broadcast(dims), ["language", "token"])  # vocabulary only
+    known = tokens.join(dims, ["language", "token"])
     held = index.postings.select(*CHUNK, "token", "tf")
-    return held.join(broadcast_rows(known, Q.query_tokens(queries).count(), 200), [*CHUNK, "token"], "right").select(
+    return held.join(known, [*CHUNK, "token"], "right").select(
         "query_id", "token", "dim", F.col("q_tf").alias("count"), F.col("tf").isNotNull().alias("hit"), F.coalesce("tf", F.lit(0)).alias("chunk_count")
     )
 
@@ -34,8 +33,8 @@ def query_dims(index: Index, queries: DataFrame, best: DataFrame) -> DataFrame:
 def matched_filter(index: Index, queries: DataFrame, best: DataFrame) -> DataFrame:
     """Per query word the offsets of the best chunk that match at least one syllable."""
     words = queries.select("query_id", F.posexplode(T.line_words(T.syllable_line(F.col("query")))).alias("word_no", "w"))
-    asked = best.select("query_id", *CHUNK).join(F.broadcast(words), "query_id")
-    lines = index.chunks.select(*CHUNK, "line").join(broadcast_rows(asked, words.count(), 200), CHUNK)
+    asked = best.select("query_id", *CHUNK).join(words, "query_id")
+    lines = index.chunks.select(*CHUNK, "line").join(asked, CHUNK)
     chain = F.split("w", "\\|")
     slid = lines.select("query_id", "word_no", F.replace("w", F.lit("|"), F.lit("-")).alias("term"), F.size(chain).alias("k"), F.posexplode(sliding_matches(T.line_syllables(F.col("line")), chain)).alias("pos", "matched"))
     return slid.where("matched > 0").select("query_id", "word_no", "term", "k", "pos", (F.col("matched") / F.col("k")).alias("fraction"))

@@ -120,7 +120,7 @@ def tokenized(docs: DataFrame, chunk_size: int, max_chunks: int = 0, with_text:
 
 def posting_rows(chunks: DataFrame, vocab: DataFrame) -> DataFrame:
     """Histogram entries that have a dimension in the vocabulary of their base."""
-    lookup = F.broadcast(V.token_dims(vocab))  # a few thousand entries per driver
+    lookup = V.token_dims(vocab)
     entries = chunks.select(*CHUNK, "uid", "driver", F.explode("hist").alias("entry"))
     return (
         entries.select(*CHUNK, "uid", "driver", "entry.token", "entry.tf")

@@ -79,7 +79,7 @@ def active_dims(index: Index) -> DataFrame:
 def out_of_vocabulary(index: Index) -> DataFrame:
     """Counts of the tokens that no dimension covers."""
     entries = index.chunks.select("driver", F.explode("hist").alias("e")).select("driver", "e.token", "e.tf")
-    known = F.broadcast(token_dims(index.vocab).select("driver", "token"))  # a few thousand entries
+    known = token_dims(index.vocab).select("driver", "token")
     missing = entries.join(known, ["driver", "token"], "left_anti")
     return missing.groupBy("token").agg(F.sum("tf").alias("n"))
 
@@ -135,5 +135,5 @@ def dense_base_vectors(index: Index) -> DataFrame:
     """Whole vector of every base in dimension order, zeros included."""
     counts = index.postings.groupBy(*BASE, "dim").agg(F.sum("tf").alias("n"))
     dims = index.vocab.select(F.col("driver").alias("language"), "dim", "token")
-    every = index.bases.select(*BASE, "language").join(F.broadcast(dims), "language")  # vocabulary only
+    every = index.bases.select(*BASE, "language").join(dims, "language")
     return every.join(counts, [*BASE, "dim"], "left").select(*BASE, "dim", "token", F.coalesce("n", F.lit(0)).alias("n"))

@@ -34,7 +34,7 @@ def bag_scores(index: Index, words: list[str]) -> DataFrame:
     totals = index.postings.groupBy(*BASE, "token").agg(F.sum("tf").alias("n"))
     norms = totals.groupBy(*BASE).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("doc_norm"))
     asked = every_base(index, words)
-    known = F.broadcast(index.vocab.select("token").distinct().withColumn("known", F.lit(1)))  # vocabulary only
+    known = index.vocab.select("token").distinct().withColumn("known", F.lit(1))
     tokens = asked.select("query_id", *BASE, F.explode("chain").alias("token")).groupBy("query_id", *BASE, "token").agg(
         F.count("*").alias("q_tf")
     )

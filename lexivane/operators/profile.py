@@ -15,7 +15,7 @@ def union_vocabulary(index: Index) -> DataFrame:
     Bases with the same driver share a vocabulary, so the first base of each driver decides.
     """
     firsts = index.bases.groupBy("collection", F.col("language").alias("driver")).agg(F.min("base").alias("base"))
-    entries = firsts.join(F.broadcast(token_dims(index.vocab)), "driver")  # a few thousand entries per driver
+    entries = firsts.join(token_dims(index.vocab), "driver")
     first = entries.groupBy("collection", "token").agg(F.min(F.struct("base", "dim")).alias("at"))
     # at most the sum of all vocabularies per collection
     w = Window.partitionBy("collection").orderBy("at")
@@ -46,7 +46,7 @@ def base_vectors(index: Index, top: int = 20) -> DataFrame:
     salient = collection_profile(index, top)
     mass = index.postings.groupBy(*BASE, "token").agg(F.sum("tf").alias("tf"))
     bases = index.bases.select(*BASE, "corpus", "n_chunks")
-    cells = bases.join(F.broadcast(salient), "collection")  # top rows per collection
+    cells = bases.join(salient, "collection")
     cells = cells.join(mass.withColumnRenamed("token", "syllable"), [*BASE, "syllable"], "left")
     return cells.select(*BASE, "corpus", "n_chunks", "rank", "syllable", (F.coalesce("tf", F.lit(0)) * F.col("uidf")).alias("weight"))
 

@@ -71,7 +71,7 @@ def with_coverage(
     keys = ["query_id", *CHUNK]
     words = F.concat(T.line_words(F.col("line")), F.array(F.lit("")))
     spread = candidates.select(*keys, *carry, F.posexplode(words).alias("pos", "w"))
-    lookup = F.broadcast(term_rows(terms))  # query texts only
+    lookup = term_rows(terms)
     depth = F.size(F.filter("prefixes", lambda p: F.startswith(F.concat("w", F.lit("|")), p)))
     columns = [*keys, *carry, "pos", "term_no", "k"]
     met = spread.withColumn("first", F.substring_index("w", "|", 1)).join(lookup, ["query_id", "first"])
@@ -91,7 +91,7 @@ def with_coverage(
     deepest = F.transform(F.filter("hits", lambda h: h["m"] == F.col("best")), lambda h: h["pos"])
     listed = per_term.select(*keys, *carry, F.when(present, F.struct("term_no", deepest.alias("positions"))).alias("found"))
     per_chunk = listed.groupBy(*keys).agg(F.collect_list("found").alias("found"), *carried)
-    sizes = F.broadcast(terms.select("query_id", F.size("terms").alias("n_terms")))  # query texts only
+    sizes = terms.select("query_id", F.size("terms").alias("n_terms"))
     weighed = per_chunk.join(sizes, "query_id").join(weights, ["query_id", *BASE], "left")
     total = F.coalesce(F.aggregate(F.map_values("weight_of"), F.lit(0.0), lambda a, w: a + w), F.lit(0.0))
     held = F.aggregate(

@@ -15,11 +15,9 @@ from lexivane.operators import queries as Q
 from lexivane.operators import rerank as R
 from lexivane.operators.index import BASE, CHUNK, Index, classic_idf
 from lexivane.operators.snippets import with_snippet
-from lexivane.plans.sizing import broadcast_rows
 
 SORT_DIGITS = 9
 RECENCY_DECAY_SECONDS = 7 * 86400.0
-PUSHED_TOKENS = 2000
 
 
 @dataclass
@@ -60,17 +58,16 @@ def query_vectors(index: Index, scope: Scope, tokens: DataFrame, idf_mode: str =
     bases = scope.bases.select(*BASE, "shared")
     local_idf = F.col("idf") if idf_mode == "smoothed" else F.round(classic_idf(F.col("n_chunks"), F.col("df")), 6)
     idf = index.idf.select(*BASE, "token", local_idf.alias("idf"))
-    small = F.broadcast(tokens)  # query texts only
     w = Window.partitionBy("query_id", *BASE)
     norm = F.sqrt(F.sum(F.col("qw") * F.col("qw")).over(w))
     finish = lambda df: df.where(F.col("qw") != 0).withColumn("q_norm", norm)
     keep = ["query_id", *BASE, "token", "qw"]
-    local = idf.join(small, "token").join(bases, BASE).withColumn("qw", F.col("q_tf") * F.col("idf"))
+    local = idf.join(tokens, "token").join(bases, BASE).withColumn("qw", F.col("q_tf") * F.col("idf"))
     if not unified:
         return finish(local.select(keep))
     wide = (
         index.union_idf.select("collection", "token", "uidf")
-        .join(small, "token")
+        .join(tokens, "token")
         .join(bases.where("shared"), "collection")
         .withColumn("qw", F.col("q_tf") * F.col("uidf"))
     )
@@ -91,16 +88,10 @@ def recall(
     ``asymmetric`` multiplies the query's tf-idf with the raw counts of the chunk over the product of
     the tf-idf norms; ``true`` weighs both sides; ``plain`` uses raw counts on both sides.
     """
-    known = F.broadcast(index.vocab.select("token"))  # vocabulary only
+    known = index.vocab.select("token")
     tokens = Q.query_tokens(queries).join(known, "token", "left_semi")
-    # one small job on the query texts: their known tokens bound the scan and the broadcast
-    sizes = tokens.agg(F.count("*").alias("n"), F.collect_set("token").alias("tokens")).first()
     qv = query_vectors(index, scope, tokens, idf_mode, unified)
-    qv = broadcast_rows(qv, sizes["n"] * scope.n_bases)
-    scan = index.postings
-    if len(sizes["tokens"]) <= PUSHED_TOKENS:
-        scan = scan.where(F.col("token").isin(sizes["tokens"]))  # prunes row groups: files are sorted by token
-    joined = scan.select(*BASE, "uid", "token", "tf").join(qv, BASE + ["token"])
+    joined = index.postings.select(*BASE, "uid", "token", "tf").join(qv, BASE + ["token"])
     weight = F.col("qw") / F.col("q_norm") * F.col("tf")
     if cosine == "true":
         local = F.col("idf_exact") if idf_mode == "smoothed" else classic_idf(F.col("n_chunks"), F.col("df"))
@@ -147,7 +138,7 @@ def best_overall(scores: DataFrame, n: int) -> DataFrame:
 def term_weights(index: Index, scope: Scope, terms: DataFrame) -> DataFrame:
     """``query_id, collection, base, weight_of``: idf mass per term, in the scale of the collection
     when it has several bases in scope."""
-    tokens = F.broadcast(Q.term_tokens(terms))  # query texts only
+    tokens = Q.term_tokens(terms)
     bases = scope.bases.select(*BASE, "shared")
     keys = ["query_id", *BASE, "term_no"]
     wide = index.union_idf.join(tokens, "token").join(bases.where("shared"), "collection").select(*keys, F.col("uidf").alias("w"))
@@ -161,13 +152,12 @@ def scored_candidates(
     scope: Scope,
     queries: DataFrame,
     candidates: DataFrame,
-    n_rows: int,
     phonetic: bool,
     carry: tuple[str, ...] = ("cos",),
 ) -> DataFrame:
     """Join candidates with their syllable lines, then add coverage and span."""
     terms = Q.query_terms(queries)
-    few = broadcast_rows(candidates.select("query_id", *CHUNK, *carry), n_rows)
+    few = candidates.select("query_id", *CHUNK, *carry)
     lines = index.chunks.select(*CHUNK, "start", "line").join(few, CHUNK)
     return R.with_coverage(lines, terms, term_weights(index, scope, terms), phonetic, ("start", *carry))
 
@@ -216,21 +206,19 @@ def search(
 ) -> DataFrame:
     """Ranked hits of every query over the scope; ``with_keys`` keeps ``doc`` and ``piece``."""
     queries = Q.query_frame(index.spark, queries)
-    n_queries = queries.count()
     scope = open_scope(index, collection, base)
     keep = max(k, recall_n) if rerank else k
     candidates = top_candidates(recall(index, scope, queries, unified), keep)
-    n_rows = scope.n_bases * keep * n_queries
     meta = index.bases.select(*BASE, "corpus", "mtime", "with_text")
     if rerank:
         # bases without stored texts have no coverage: their hits rank by cosine
-        scored = scored_candidates(index, scope, queries, candidates, n_rows, phonetic).join(meta, BASE)
+        scored = scored_candidates(index, scope, queries, candidates, phonetic).join(meta, BASE)
         scored = scored.withColumns({c: F.when(F.col("with_text"), F.col(c)) for c in ("coverage", "span")})
         scored = scored.withColumn("matchpoint", F.coalesce("coverage", "cos"))
     else:
         starts = index.chunks.select(*CHUNK, "start")
         scored = (
-            starts.join(broadcast_rows(candidates, n_rows), CHUNK)
+            starts.join(candidates, CHUNK)
             .withColumn("matchpoint", F.col("cos"))
             .withColumn("coverage", F.lit(None).cast("double"))
             .withColumn("span", F.lit(None).cast("int"))
@@ -239,16 +227,15 @@ def search(
     hits = merge(scored.drop("with_text"), k)
     clock = F.lit(now) if now is not None else F.unix_timestamp()
     hits = path_columns(hits).withColumn("recency", recency(F.col("mtime"), clock))
-    shown = k * n_queries
     if snippets:
         # texts are read only for the hits that are shown
         texts = index.chunks.select(*CHUNK, "text")
-        asked = hits.join(F.broadcast(queries), "query_id")
-        hits = with_snippet(texts.join(broadcast_rows(asked, shown, 1000), CHUNK))
+        asked = hits.join(queries, "query_id")
+        hits = with_snippet(texts.join(asked, CHUNK))
     else:
         hits = hits.withColumn("snippet", F.lit(None).cast("string"))
     spans = index.doc_spans.select(*BASE, "doc", "first_chunk")
-    numbered = spans.join(broadcast_rows(hits, shown, 4000), BASE + ["doc"])
+    numbered = spans.join(hits, BASE + ["doc"])
     return numbered.withColumn("chunk", (F.col("first_chunk") + F.col("piece")).cast("long")).select(
         "query_id", "rank", *BASE, "corpus", "path", "matchpoint", "coverage", "span", "cos", "chunk", "start", "snippet", "recency",
         *(["doc", "piece"] if with_keys else []),
@@ -266,7 +253,7 @@ def search_report(index: Index, queries, collection: str | None = None, base: st
     keys = ["query_id", *BASE]
     converge = recall(index, scope, queries, unified).groupBy(*keys).agg(F.count("*").alias("n_converge"))
     dims = query_vectors(index, scope, tokens, unified=unified).groupBy(*keys).agg(F.count("*").alias("dims"))
-    known = F.broadcast(index.vocab.select("token").distinct().withColumn("hit", F.lit(1)))  # vocabulary only
+    known = index.vocab.select("token").distinct().withColumn("hit", F.lit(1))
     unknown = tokens.join(known, "token", "left").groupBy("query_id").agg(
         F.sum(F.when(F.col("hit").isNull(), F.col("q_tf")).otherwise(0)).alias("oov")
     )
@@ -276,7 +263,7 @@ def search_report(index: Index, queries, collection: str | None = None, base: st
     return (
         every.join(converge, keys, "left")
         .join(dims, keys, "left")
-        .join(F.broadcast(unknown), "query_id", "left")  # one row per query
+        .join(unknown, "query_id", "left")
         .select(
             *keys,
             "n_chunks",
@@ -294,10 +281,9 @@ def search_sequence(index: Index, queries, collection=None, base="*", k: int = 5
     keep = max(k, recall_n)
     candidates = top_candidates(recall(index, scope, queries, idf_mode="classic"), keep)
     worded = queries.withColumn("q_words", T.chunk_words(F.col("query")))
-    carried = candidates.join(F.broadcast(worded), "query_id")
-    n_rows = scope.n_bases * keep * queries.count()
+    carried = candidates.join(worded, "query_id")
     lines = index.chunks.select(*CHUNK, "start", "line", "text")
-    scored = R.with_matched_filter(lines.join(broadcast_rows(carried, n_rows, 1000), CHUNK))
+    scored = R.with_matched_filter(lines.join(carried, CHUNK))
     order = [*_by("rr", "cos"), F.desc("doc"), F.desc("piece")]
     w = Window.partitionBy("query_id", *BASE).orderBy(*order)
     best = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

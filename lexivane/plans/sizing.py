@@ -1,11 +1,9 @@
-"""Size checks: a side is broadcast only when its bound is known to be small."""
+"""Layout of small inputs. Joins carry no hints: Spark broadcasts by the real sizes of tables and shuffles."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-BROADCAST_BYTES = 64 * 1024 * 1024
 SPREAD_BYTES = 1024 * 1024 * 1024
 
 
@@ -14,11 +12,6 @@ def planned_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
-def broadcast_rows(df: DataFrame, max_rows: int, row_bytes: int = 100) -> DataFrame:
-    """Hint a broadcast when a proven row bound fits the budget, else leave the choice to AQE."""
-    return F.broadcast(df) if max_rows * row_bytes <= BROADCAST_BYTES else df
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Spread a small input over all cores; a large one already has enough splits."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -120,7 +120,7 @@ def export_bases(index: Index, max_chunks_per_base: int) -> DataFrame:
     idf = index.idf.groupBy(*BASE).agg(F.sort_array(F.collect_list(F.struct("dim", "idf"))).alias("idf"))
     vocab = index.vocab.groupBy(F.col("driver").alias("language")).agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "token"))), lambda x: x["token"]).alias("vocab"))
     meta_fields = [c for c in index.bases.columns if c not in ("collection", "base", "mtime")]
-    meta = index.bases.join(F.broadcast(vocab), "language").select(*BASE, F.to_json(F.struct(*meta_fields, "vocab")).alias("meta"))
+    meta = index.bases.join(vocab, "language").select(*BASE, F.to_json(F.struct(*meta_fields, "vocab")).alias("meta"))
     idf_json = F.to_json(text_map(F.map_from_entries("idf")))
     body = F.concat(
         F.lit('{"meta":'), "meta", F.lit(',"idf":'), idf_json, F.lit(',"chunks":['), F.array_join(F.transform("chunks", lambda c: c["json"]), ","), F.lit("]}")

@@ -108,7 +108,7 @@ def read_dictionary_lines(spark: SparkSession, path: str) -> DataFrame:
 def active_synonyms(entries: DataFrame, dictionaries: DataFrame) -> DataFrame:
     """Union of the active dictionaries: ``entries(code, w, s)``, ``dictionaries(code, active)``."""
     on = dictionaries.where("active").select("code")
-    rows = entries.join(F.broadcast(on), "code", "left_semi")  # one row per installed dictionary
+    rows = entries.join(on, "code", "left_semi")
     listed = rows.groupBy("w").agg(F.sort_array(F.collect_list(F.struct("code", "s"))).alias("all"))
     return listed.select("w", F.flatten(F.transform("all", lambda x: x["s"])).alias("s"))
 

@@ -118,7 +118,7 @@ def extension_map(meta: DataFrame) -> DataFrame:
 def interpret(files: DataFrame, meta: DataFrame, path: str = "path") -> DataFrame:
     """Route files to drivers by extension, with the base driver as fallback."""
     routed = files.withColumn("extension", T.file_extension(F.col(path))).join(
-        F.broadcast(extension_map(meta)), "extension", "left"  # a few hundred extensions at most
+        extension_map(meta), "extension", "left"
     )
     return routed.select(
         *files.columns,

@@ -37,6 +37,11 @@ class KnowledgeStore:
         newest = rows.groupBy("collection").agg(F.max("cycle").alias("cycle"))
         return rows.join(newest, ["collection", "cycle"])
 
+    def next_cycle(self) -> int:
+        rows = self.rows()
+        last = None if rows is None else rows.agg(F.max("cycle")).first()[0]
+        return 0 if last is None else last + 1
+
     def write(self, records: DataFrame, cycle: int) -> None:
         records.write.mode("overwrite").parquet(f"{self.store.path(self.name)}/cycle={cycle}")
 
@@ -52,6 +57,10 @@ def mining_stream(
     ticks: DataFrame, open_index: Callable[[], Index], knowledge: KnowledgeStore, checkpoint: str, enabled: list[str] | None = None, cadence: int = MIN_CADENCE_SECONDS
 ) -> StreamingQuery:
     """Run a cycle for every micro-batch of ``ticks``, at most once per cadence."""
-    step = lambda batch, number: run_cycle(open_index(), knowledge, number, enabled)
+
+    def step(batch: DataFrame, number: int) -> None:
+        # numbers go on from the store: a new checkpoint starts at 0 again, and its records are newer all the same
+        run_cycle(open_index(), knowledge, knowledge.next_cycle(), enabled)
+
     seconds = max(cadence, MIN_CADENCE_SECONDS)
     return ticks.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
