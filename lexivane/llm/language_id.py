@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexivane.llm.common import in_part
+from lexivane.llm.common import give_back, in_part
 
 DIMENSIONS = 512
 UNKNOWN = "und"
@@ -94,16 +94,18 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", dimensions: int
             return out
 
         for batch in batches:
-            texts, names = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for first, vectors in text_vectors(texts, dimensions):
-                own = names[first : first + len(vectors)]
-                for name in set(own):
-                    part = vectors[[x == name for x in own]].sum(axis=0).astype(np.int64)
-                    totals[name] = totals.get(name, 0) + part
-            if len(totals) > 4096:
-                yield rows()
+            for i in range(0, batch.num_rows, 1000):
+                texts, names = (batch.column(k).slice(i, 1000).to_pylist() for k in (0, 1))
+                for first, vectors in text_vectors(texts, dimensions):
+                    own = names[first : first + len(vectors)]
+                    for name in set(own):
+                        part = vectors[[x == name for x in own]].sum(axis=0).astype(np.int64)
+                        totals[name] = totals.get(name, 0) + part
+                if len(totals) > 4096:
+                    yield rows()
         if totals:
             yield rows()
+        give_back()
 
     known = df.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
     parts = known.mapInArrow(sums, "lang string, total array<long>")
@@ -152,9 +154,11 @@ def predict(df: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text"
     at = kept.columns.index(text)
 
     def label(batches):
-        for batch in batches:
-            langs, scores = decide(batch.column(at).to_pylist(), names, seen)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, lang_pred, score])
+        for whole in batches:
+            for batch in (whole.slice(i, 1000) for i in range(0, whole.num_rows, 1000)):
+                langs, scores = decide(batch.column(at).to_pylist(), names, seen)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, lang_pred, score])
+        give_back()
 
     from pyspark.sql import types as T
 

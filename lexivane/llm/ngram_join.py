@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from lexivane.llm.common import stored, word_codes
+from lexivane.llm.common import give_back, stored, word_codes
 from lexivane.llm.components import components
 
 WORDS = 4
@@ -89,8 +89,8 @@ def zones(df: DataFrame, doc_id: str, text: str, words: int, percent: int) -> Da
 
     def build(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 2000):
-                part = batch.slice(i, 2000)
+            for i in range(0, batch.num_rows, 1000):
+                part = batch.slice(i, 1000)
                 sets = gram_sets(part.column(2), words)
                 cut = [s[: zone_size(len(s), percent)] for s in sets]
                 ends = np.concatenate(([0], np.cumsum([len(c) for c in cut]))).astype(np.int32)
@@ -98,6 +98,7 @@ def zones(df: DataFrame, doc_id: str, text: str, words: int, percent: int) -> Da
                     part.column(0), part.column(1), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(cut))),
                 ], ["doc_id", "print", "node", "n", "zone"])
+        give_back()
 
     slim = df.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("print"), F.col(text).alias("text"))
     return slim.mapInArrow(build, T.StructType([slim.schema["doc_id"], *T._parse_datatype_string("print long, node long, n long, zone array<long>").fields]))
@@ -122,8 +123,8 @@ def whole_sets(df: DataFrame, marked: DataFrame, needed: DataFrame, doc_id: str,
             at = batch.column(0).to_numpy().astype(np.uint64)
             on = (shared.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
             rows = batch.filter(pa.array(on))
-            for i in range(0, rows.num_rows, 2000):
-                sets = [s for s in gram_sets(rows.column(1).slice(i, 2000), words) if len(s)]
+            for i in range(0, rows.num_rows, 1000):
+                sets = [s for s in gram_sets(rows.column(1).slice(i, 1000), words) if len(s)]
                 yield pa.record_batch([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.astype(">i8").tobytes() for s in sets], pa.binary())], ["node", "grams"])
 
     found = df.select(places(doc_id).alias("at"), F.col(text).alias("text")).mapInArrow(build, "node long, grams binary")

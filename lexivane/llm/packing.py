@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexivane.llm.common import runs, stored, word_codes
+from lexivane.llm.common import give_back, runs, stored, word_codes
 
 CAPACITY = 4096
 END_ID = 2
@@ -35,7 +35,7 @@ BLOCK = 32
 GROUP_SEQUENCES = 1024
 LINEAR = 12 * 1024.0
 QUADRATIC = 2.0
-WORDS_KEPT = 1_000_000
+WORDS_KEPT = 120_000
 
 
 class WordTokenizer:
@@ -194,8 +194,8 @@ def tokenized(df: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabul
     def count(batches):
         words, row = word_tokenizer(vocabulary), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 5000):
-                part = batch.slice(at, 5000)
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
                 ids, sizes = words.ids(part.column(1), end)
                 ends = np.cumsum(sizes) * 4
                 blocks = [
@@ -204,6 +204,7 @@ def tokenized(df: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabul
                 ]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(range(row, row + len(sizes)), pa.int64()), pa.array(sizes), pa.array(blocks, pa.binary())], ["doc_id", "row", "doc_tokens", "blocks"])
                 row += len(sizes)
+        give_back()
 
     slim = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     fields = [slim.schema["doc_id"], T.StructField("row", T.LongType()), T.StructField("doc_tokens", T.LongType()), T.StructField("blocks", T.BinaryType())]
