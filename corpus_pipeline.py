@@ -17,7 +17,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: lines that repeat an earlier one, or nearly do, are cut; documents of which nothing is left go."""
-    return line_dedup.deduplicated(docs)
+    return line_dedup.deduplicated(docs, short_repeats=True)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -108,17 +108,20 @@ def lines_of(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     return slim.where("text is not null").select("doc_id", "print", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
 
 
-def dropped_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
+def dropped_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", edits: int = EDITS, shortest: int = SHORTEST, short_repeats: bool = False) -> DataFrame:
     """doc_id, print (hash of the whole text) and the places of the lines to drop, for documents that lose any.
 
-    Lines of fewer than ``shortest`` characters, at least three for each segment, stay. Rows with equal doc_id and text are one document. A null
-    doc_id comes before all others.
+    Lines of fewer than ``shortest`` characters, at least three for each segment, stay; with ``short_repeats`` they go where
+    they equal an earlier line, unless they are blank. Rows with equal doc_id and text are one document. A null doc_id comes
+    before all others.
     """
     if shortest < 3 * (edits + 1):
         raise ValueError("lines must be long enough to be split")
-    lines = lines_of(df, doc_id, text).withColumn("size", F.length("line")).where(F.col("size") >= shortest)
+    long_enough = F.col("size") >= shortest
+    wanted_lines = long_enough | F.col("line").rlike(r"\S") if short_repeats else long_enough
+    lines = lines_of(df, doc_id, text).withColumn("size", F.length("line")).where(wanted_lines)
     marked = lines.select("doc_id", "print", "pos", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"), "line", "size")
-    groups = marked.select("h", "h2", F.struct("doc_id", "print", "pos").alias("place"), join_keys(edits).alias("keys"))
+    groups = marked.select("h", "h2", F.struct("doc_id", "print", "pos").alias("place"), F.when(long_enough, join_keys(edits)).otherwise(F.array().cast("array<bigint>")).alias("keys"))
     groups = stored(groups.groupBy("h", "h2").agg(F.min("place").alias("first"), F.count("*").alias("times"), F.first("keys").alias("keys")), "lines-distinct")
 
     by_key = Window.partitionBy("key")
@@ -158,24 +161,25 @@ def dropped_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", edi
     return out.groupBy("doc_id", "print").agg(F.sort_array(F.collect_list("pos")).alias("dropped"))
 
 
-def report(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def report(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **options: bool) -> DataFrame:
     """One row per document: doc_id, n_lines, n_dropped, dropped (places of the dropped lines from 0).
 
-    A null text has no lines; an empty one has one, which stays. Repeated rows are each reported.
+    A null text has no lines; an empty one has one, which stays. Repeated rows are each reported. ``options`` go to ``dropped_lines``.
     """
-    gone = stored(dropped_lines(df, doc_id, text), "lines-dropped").select(F.col("doc_id").alias("of"), F.col("print").alias("of_print"), "dropped")
+    gone = stored(dropped_lines(df, doc_id, text, **options), "lines-dropped").select(F.col("doc_id").alias("of"), F.col("print").alias("of_print"), "dropped")
     docs = df.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("print"), F.coalesce(F.size(F.split(text, "\n", -1)), F.lit(0)).alias("n_lines"))
     docs = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("print") == F.col("of_print")), "left")
     none = F.array().cast("array<int>")
     return docs.select("doc_id", F.when(F.col("n_lines") > 0, F.col("n_lines")).otherwise(0).alias("n_lines"), F.coalesce(F.size("dropped"), F.lit(0)).alias("n_dropped"), F.coalesce("dropped", none).alias("dropped"))
 
 
-def deduplicated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
+def deduplicated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars", **options: bool) -> DataFrame:
     """The documents without the dropped lines, columns as they were; ``n_chars``, if there, is counted anew.
 
     Documents that keep no line with a visible character go if they lost one; all others stay, null texts too.
+    ``options`` go to ``dropped_lines``.
     """
-    gone = stored(dropped_lines(df, doc_id, text), "lines-dropped").select(F.col("doc_id").alias("__of"), F.col("print").alias("__print"), F.col("dropped").alias("__dropped"))
+    gone = stored(dropped_lines(df, doc_id, text, **options), "lines-dropped").select(F.col("doc_id").alias("__of"), F.col("print").alias("__print"), F.col("dropped").alias("__dropped"))
     columns = df.columns
     met = df.join(gone, df[doc_id].eqNullSafe(F.col("__of")) & (F.xxhash64(df[text]) == F.col("__print")), "left")
     kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains(F.col("__dropped"), i)), "\n")
