@@ -5,6 +5,10 @@ doc_id, then an earlier place in the document. A line is split into EDITS + 1 se
 line within EDITS edits has one of its segments somewhere in the longer line, near where it would stand, so the
 substrings of these places probe an index of segments by number and line length. Pairs that meet are verified by a
 banded bit-parallel edit distance.
+
+With ``near_words``, lines within one word exchanged, added or dropped for every full ``WORDS`` words of the longer one
+are near duplicates too. Of the disjoint runs of words at the start of the shorter line, one more than the edits, one
+is left whole, so the runs of the longer line meet it.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ from lexivane.llm.common import stored
 
 EDITS = 2
 SHORTEST = 20
+WORDS = 10
 
 
 def join_keys(edits: int = EDITS) -> Column:
@@ -108,11 +113,71 @@ def lines_of(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     return slim.where("text is not null").select("doc_id", "print", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
 
 
-def dropped_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", edits: int = EDITS, shortest: int = SHORTEST, short_repeats: bool = False) -> DataFrame:
+def word_hashes(line: Column) -> Column:
+    return F.transform(F.filter(F.split(line, r"\s+"), lambda w: w != ""), lambda w: F.xxhash64(w))
+
+
+def run_length(n: str) -> str:
+    """Words of a run of a line with ``n`` words, so that n div (WORDS - 1) + 1 runs fit in. At least nine words are given."""
+    return f"(case when {n} < 12 then 4 when {n} < 72 then 6 else 8 end)"
+
+
+def word_runs(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Own runs (h, key) and all runs (h, key) of lines with ``words`` that can have a partner.
+
+    A line of m words meets longer ones of n words with at most n div 10 <= m div 9 edits.
+    """
+    sized = groups.where(F.size("words") >= WORDS - 1).select("h", "words", F.size("words").alias("n"))
+    run = lambda at, length: f"xxhash64({length}, slice(words, {at} + 1, {length}))"
+    length, parts = run_length("n"), f"n div {WORDS - 1}"
+    own = sized.select("h", F.explode(F.expr(f"transform(sequence(0, cast({parts} as int)), i -> {run(f'i * {length}', length)})")).alias("key"))
+    least = f"(n - n div {WORDS})"
+    some = lambda of: f"transform(sequence(0, cast(least(n - {of}, {parts} * {of} + n div {WORDS}) as int)), p -> {run('p', of)})"
+    shorter = run_length(least)
+    every = f"array_distinct(if({shorter} = {length}, {some(length)}, concat({some(length)}, {some(shorter)})))"
+    return own, sized.where(f"n >= {WORDS}").select("h", F.explode(F.expr(every)).alias("key"))
+
+
+def word_parity(words: Column) -> Column:
+    """Four longs: which (hashed) words occur an odd number of times. An edit turns two bits of them at most."""
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(x, F.lit(64)).cast("int"))
+    part = lambda k: F.aggregate(F.filter(words, lambda x: F.pmod(F.shiftright(x, 8), F.lit(4)) == k), F.lit(0).cast("long"), lambda bits, x: bits.bitwiseXOR(bit(x)))
+    return F.array(*[part(k) for k in range(4)])
+
+
+def as_letters(words: Column, shift: int) -> Column:
+    """A letter for each word, so that letters' distance is the words'; 20 bits of the hash from ``shift`` on choose it."""
+    code = lambda x: F.lpad(F.hex(F.pmod(F.shiftright(x, shift), F.lit(1_000_000)) + 65536), 8, "0")
+    return F.decode(F.unhex(F.array_join(F.transform(words, code), "")), "UTF-32")
+
+
+def near_by_words(groups: DataFrame) -> DataFrame:
+    """``a, b``: pairs of lines (h) within one edit of words for each ten of the longer one's words."""
+    own, every = word_runs(groups)
+    held = own.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
+    met = stored(every.join(held, "key").where("lo <> hi or lo <> h").select("key", "h"), "lines-runs")
+    own = stored(own.distinct().join(met.select("key").distinct(), "key", "left_semi"), "lines-own-runs")
+    here = met.select("h").union(own.select("h")).distinct()
+    words = stored(groups.select("h", "words").join(here, "h").dropDuplicates(["h"]), "lines-words")
+    signs = stored(words.select("h", F.size("words").alias("n"), word_parity(F.col("words")).alias("bits")), "lines-word-bits")
+    named = lambda s: signs.select(F.col("h"), F.col("n").alias(f"n_{s}"), *[F.col("bits")[k].alias(f"{s}{k}") for k in range(4)])
+    left = own.join(named("a"), "h").withColumnRenamed("h", "a")
+    right = met.join(named("b"), "h").withColumnRenamed("h", "b")
+    apart = " + ".join(f"bit_count(a{k} ^ b{k})" for k in range(4))
+    alike = F.expr(f"a <> b and n_a <= n_b and n_b - n_a <= n_b div {WORDS} and {apart} <= 2 * (n_b div {WORDS})")
+    pairs = stored(left.join(right, "key").where(alike).select("a", "b").distinct(), "lines-word-pairs")
+    spelled = words.select("h", F.size("words").alias("n"), as_letters(F.col("words"), 0).alias("x"), as_letters(F.col("words"), 24).alias("y"))
+    side = lambda s: spelled.select(F.col("h").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("n", "x", "y")])
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    edits = f"cast(n_b div {WORDS} as int)"
+    return both.where(f"levenshtein(x_a, x_b, {edits}) >= 0 and levenshtein(y_a, y_b, {edits}) >= 0").select("a", "b")
+
+
+def dropped_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", edits: int = EDITS, shortest: int = SHORTEST, short_repeats: bool = False, near_words: bool = False) -> DataFrame:
     """doc_id, print (hash of the whole text) and the places of the lines to drop, for documents that lose any.
 
     Lines of fewer than ``shortest`` characters, at least three for each segment, stay; with ``short_repeats`` they go where
-    they equal an earlier line, unless they are blank. Rows with equal doc_id and text are one document. A null doc_id comes
+    they equal an earlier line, unless they are blank. ``near_words`` compares words as well. Rows with equal doc_id and text are one document. A null doc_id comes
     before all others.
     """
     if shortest < 3 * (edits + 1):
@@ -121,8 +186,11 @@ def dropped_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", edi
     wanted_lines = long_enough | F.col("line").rlike(r"\S") if short_repeats else long_enough
     lines = lines_of(df, doc_id, text).withColumn("size", F.length("line")).where(wanted_lines)
     marked = lines.select("doc_id", "print", "pos", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"), "line", "size")
-    groups = marked.select("h", "h2", F.struct("doc_id", "print", "pos").alias("place"), F.when(long_enough, join_keys(edits)).otherwise(F.array().cast("array<bigint>")).alias("keys"))
-    groups = stored(groups.groupBy("h", "h2").agg(F.min("place").alias("first"), F.count("*").alias("times"), F.first("keys").alias("keys")), "lines-distinct")
+    # lines of fewer than WORDS - 1 words have no partner by words
+    extra = [F.first("held").alias("held")] if near_words else []
+    held = [F.when(long_enough & (F.size(F.split("line", r"\s+")) >= WORDS - 1), F.col("line")).alias("held")] if near_words else []
+    groups = marked.select("h", "h2", *held, F.struct("doc_id", "print", "pos").alias("place"), F.when(long_enough, join_keys(edits)).otherwise(F.array().cast("array<bigint>")).alias("keys"))
+    groups = stored(groups.groupBy("h", "h2").agg(F.min("place").alias("first"), F.count("*").alias("times"), F.first("keys").alias("keys"), *extra), "lines-distinct")
 
     by_key = Window.partitionBy("key")
     keys = groups.select("h", F.posexplode("keys").alias("at", "key")).select("h", "key", (F.col("at") <= edits).alias("own"))
@@ -151,8 +219,14 @@ def dropped_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", edi
     # written before it is filtered, else the optimizer would copy the nested columns into the condition
     measured = cut.withColumns({"of_a": letters(F.col("mid_a")), "of_b": letters(F.col("mid_b"))}).withColumn("band", band_after(F.col("of_a"), F.col("of_b"), edits))
     measured = measured.withColumn("edits", distance_from(F.col("band"), F.size("of_a"), F.size("of_b"), edits)).select("a", "a2", "first_a", "b", "b2", "first_b", "edits")
-    later = stored(measured, "lines-measured").where("edits is not null").select(F.when(F.col("first_a") > F.col("first_b"), F.struct(F.col("a").alias("h"), F.col("a2").alias("h2"))).otherwise(F.struct(F.col("b").alias("h"), F.col("b2").alias("h2"))).alias("x"))
-    near_lines = later.select("x.*").distinct().withColumn("near", F.lit(True))
+    later_one = F.when(F.col("first_a") > F.col("first_b"), F.struct(F.col("a").alias("h"), F.col("a2").alias("h2"))).otherwise(F.struct(F.col("b").alias("h"), F.col("b2").alias("h2"))).alias("x")
+    later = stored(measured, "lines-measured").where("edits is not null").select(later_one)
+    near_lines = later.select("x.*")
+    if near_words:
+        found = near_by_words(groups.where("held is not null").select("h", word_hashes(F.col("held")).alias("words")))
+        place = lambda s: groups.select(F.col("h").alias(s), F.col("h2").alias(f"{s}2"), F.col("first").alias(f"first_{s}"))
+        near_lines = near_lines.unionByName(found.join(place("a"), "a").join(place("b"), "b").select(later_one).select("x.*"))
+    near_lines = near_lines.distinct().withColumn("near", F.lit(True))
 
     repeated = groups.select("h", "h2", "first", "times").join(near_lines, ["h", "h2"], "left").where("near or times > 1")
     hits = marked.select("doc_id", "print", "pos", "h", "h2").join(repeated, ["h", "h2"])

@@ -31,7 +31,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document that repeat an earlier line, or nearly do."""
-    return line_dedup.report(table(spark, sf_dir, "documents"), short_repeats=True)
+    return line_dedup.report(table(spark, sf_dir, "documents"), short_repeats=True, near_words=True)
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Repeated lines of any length."""
 
+import random
+
 from lexivane.llm import line_dedup, registry
 
 
@@ -14,3 +16,35 @@ def test_short_repeats_go(spark, tmp_path):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     kept = {r.doc_id: r.text for r in line_dedup.deduplicated(df, short_repeats=True).collect()}
     assert kept == {1: "Ietzte.\n\n  \nother", 2: "\n  \nIetzte", 3: None}
+
+
+def words_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_changed_words(spark, tmp_path):
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.choice([4, 5, 6, 8]))) for _ in range(400)]
+    lines = []
+    for _ in range(40):
+        base = [rng.choice(vocabulary) for _ in range(rng.choice([9, 10, 11, 12, 17, 20, 35, 60, 72, 75, 100]))]
+        lines.append(base)
+        for _ in range(rng.choice([1, 2, 4])):
+            copy = list(base)
+            for _ in range(rng.choice([1, 2, 3, 7])):
+                at = rng.randrange(len(copy))
+                copy[at : at + rng.choice([0, 1])] = rng.choice([[], [rng.choice(vocabulary)]])
+            lines.append(copy)
+    rng.shuffle(lines)
+    want = {}
+    for i, x in enumerate(lines):
+        near = any(words_distance(x, y) <= max(len(x), len(y)) // 10 for y in lines[:i] if abs(len(x) - len(y)) <= 10)
+        want[i] = [0] if near or any(" ".join(y) == " ".join(x) for y in lines[:i]) else []
+    assert 20 < sum(map(bool, want.values())) < len(lines) - 20
+    assert registered(spark, tmp_path, [(i, " ".join(x)) for i, x in enumerate(lines)]) == want
