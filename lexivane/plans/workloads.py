@@ -512,11 +512,12 @@ def recall_sharded(spark, folder):
 
 
 def json_contract(spark, folder):
-    """Bases written as contract documents and parsed back."""
-    texts = J.export_bases(index_of(spark, folder), 1_000_000)
-    rows = J.parse_bases(texts).select("collection", "base", F.size("idf").cast("long").alias("n_idf"), F.posexplode("chunks").alias("chunk", "c"))
+    """Bases written as contract lines and parsed back."""
+    lines = J.export_lines(index_of(spark, folder))
+    sizes = J.parse_lines(lines.where("kind = 'idf'")).groupBy("collection", "base").agg(F.sum(F.size("idf")).alias("n_idf"))
+    rows = J.parse_lines(lines.where("kind = 'chunk'")).select("collection", "base", F.col("chunk").alias("c")).join(sizes, ["collection", "base"])
     return rows.select(
-        "collection", "base", "n_idf", _big("chunk"), F.col("c.start").cast("long").alias("start"), F.col("c.tokens").cast("long").alias("tokens"),
+        "collection", "base", _big("n_idf"), F.col("c.id").cast("long").alias("chunk"), F.col("c.start").cast("long").alias("start"), F.col("c.tokens").cast("long").alias("tokens"),
         F.col("c.oov").cast("long").alias("oov"), F.size("c.vec").cast("long").alias("dims"), F.round("c.norm", 6).alias("norm"), F.md5("c.text").alias("text_md5"),
     )
 

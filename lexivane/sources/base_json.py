@@ -1,8 +1,12 @@
-"""JSON contract of a tokenized base: ``{meta, idf, chunks}``, one document per base."""
+"""JSON contract of a tokenized base: ``{meta, idf, chunks}`` as one document per base, or line by line.
+
+The lines of a base are one with its meta fields, those with its tokens and its idf values, ``DIMS_PER_LINE`` dimensions
+each, and one for every chunk. No line, and no group, grows with the base.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexivane.operators import index as I
@@ -18,7 +22,15 @@ meta STRUCT<corpus:STRING, source_file:STRING, bytes:BIGINT, chunk_size:INT, n_c
 idf MAP<STRING,DOUBLE>,
 chunks ARRAY<STRUCT<id:INT, start:INT, len:INT, tokens:INT, oov:INT, vec:MAP<STRING,INT>, norm:DOUBLE, text:STRING>>
 """
+LINE_SCHEMA = """
+meta STRUCT<corpus:STRING, source_file:STRING, bytes:BIGINT, chunk_size:INT, n_chunks:BIGINT, vocab_size:BIGINT, vocab_used:BIGINT,
+            tokens_total:BIGINT, oov_total:BIGINT, coverage:DOUBLE, with_text:BOOLEAN, generator:STRING, tokens_file:STRING,
+            language:STRING, matched_by_ext:BOOLEAN, built_at:STRING>,
+vocab MAP<STRING,STRING>, idf MAP<STRING,DOUBLE>,
+chunk STRUCT<id:BIGINT, start:BIGINT, len:INT, tokens:INT, oov:INT, vec:MAP<STRING,INT>, norm:DOUBLE, text:STRING>
+"""
 SUFFIX = "-tokenized.json"
+DIMS_PER_LINE = 1024
 
 
 def read_bases(spark: SparkSession, path: str, collection: str | None = None) -> DataFrame:
@@ -103,25 +115,68 @@ def import_bases(bases: DataFrame, store: TableStore, max_bases: int = 0, max_ch
     return index
 
 
+def _text_map(c: Column) -> Column:
+    return F.map_from_entries(F.transform(F.map_entries(c), lambda e: F.struct(e["key"].cast("string"), e["value"])))
+
+
+def _items(index: Index) -> DataFrame:
+    """``collection, base, chunk, item`` with the contract's fields of every chunk."""
+    vec = index.postings.groupBy(*CHUNK).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("dim", "tf")))).alias("vec"))
+    rows = index.chunks.select(*CHUNK, "start", "len", "tokens", "text").join(index.chunk_stats.select(*CHUNK, "oov", "norm"), CHUNK).join(vec, CHUNK, "left")
+    item = F.struct(F.col("chunk").alias("id"), "start", "len", "tokens", "oov", _text_map(F.coalesce("vec", F.create_map().cast("map<int,int>"))).alias("vec"), "norm", "text")
+    return index.numbered(rows).select(*BASE, "chunk", item.alias("item"))
+
+
+def _meta_fields(index: Index) -> list[str]:
+    return [c for c in index.bases.columns if c not in ("collection", "base", "mtime")]
+
+
+def export_lines(index: Index) -> DataFrame:
+    """``collection, base, kind, json``: the lines of every base, in no order; chunks carry their number.
+
+    ``kind`` is the name of the only field of the line.
+    """
+
+    def by_dims(df: DataFrame, value: str, *keys: str) -> DataFrame:
+        lines = df.groupBy(*keys, F.expr(f"dim div {DIMS_PER_LINE}").alias("part")).agg(F.sort_array(F.collect_list(F.struct("dim", value))).alias("e"))
+        return lines.select(*keys, _text_map(F.map_from_entries("e")).alias("e"))
+
+    line = lambda name, c: [F.lit(name).alias("kind"), F.to_json(F.struct(c.alias(name))).alias("json")]
+    meta = index.bases.select(*BASE, *line("meta", F.struct(*_meta_fields(index))))
+    vocab = by_dims(index.vocab.withColumnRenamed("driver", "language"), "token", "language")
+    vocab = index.bases.select(*BASE, "language").join(vocab, "language").select(*BASE, *line("vocab", F.col("e")))
+    idf = by_dims(index.idf, "idf", *BASE).select(*BASE, *line("idf", F.col("e")))
+    return meta.unionByName(vocab).unionByName(idf).unionByName(_items(index).select(*BASE, *line("chunk", F.col("item"))))
+
+
+def parse_lines(rows: DataFrame) -> DataFrame:
+    """``rows(collection, base, json)`` of ``export_lines``, in any order: ``meta, vocab, idf, chunk``, one of them set."""
+    return rows.withColumn("j", F.from_json("json", LINE_SCHEMA)).select(*BASE, "j.meta", "j.vocab", "j.idf", "j.chunk")
+
+
+def write_lines(index: Index, folder: str) -> None:
+    """The lines of ``export_lines`` by collection and base; a base has a file of every task that holds some of it."""
+    export_lines(index).drop("kind").write.mode("overwrite").partitionBy(*BASE).text(folder)
+
+
+def read_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """``collection, base, json`` from the folder of ``write_lines``."""
+    return spark.read.schema("value STRING, collection STRING, base STRING").text(folder).select(*BASE, F.col("value").alias("json"))
+
+
 def export_bases(index: Index, max_chunks_per_base: int) -> DataFrame:
     """``collection, base, json`` in the contract layout.
 
-    A base becomes one document, so the limit on its chunks is mandatory; larger ones are refused.
+    A base becomes one document, so the limit on its chunks is mandatory; larger ones are refused. ``export_lines`` has none.
     """
     check_limits(index, 0, max_chunks_per_base)
-    vec = index.postings.groupBy(*CHUNK).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("dim", "tf")))).alias("vec"))
-    rows = index.chunks.select(*CHUNK, "start", "len", "tokens", "text").join(index.chunk_stats.select(*CHUNK, "oov", "norm"), CHUNK).join(vec, CHUNK, "left")
-    rows = index.numbered(rows)
-    text_map = lambda c: F.map_from_entries(F.transform(F.map_entries(c), lambda e: F.struct(e["key"].cast("string"), e["value"])))
-    item = F.struct(F.col("chunk").alias("id"), "start", "len", "tokens", "oov", text_map(F.coalesce("vec", F.create_map().cast("map<int,int>"))).alias("vec"), "norm", "text")
-    chunks = rows.select(*BASE, "chunk", item.alias("item")).groupBy(*BASE).agg(
+    chunks = _items(index).groupBy(*BASE).agg(
         F.array_sort(F.collect_list(F.struct("chunk", F.to_json("item").alias("json")))).alias("chunks")
     )
     idf = index.idf.groupBy(*BASE).agg(F.sort_array(F.collect_list(F.struct("dim", "idf"))).alias("idf"))
     vocab = index.vocab.groupBy(F.col("driver").alias("language")).agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "token"))), lambda x: x["token"]).alias("vocab"))
-    meta_fields = [c for c in index.bases.columns if c not in ("collection", "base", "mtime")]
-    meta = index.bases.join(vocab, "language").select(*BASE, F.to_json(F.struct(*meta_fields, "vocab")).alias("meta"))
-    idf_json = F.to_json(text_map(F.map_from_entries("idf")))
+    meta = index.bases.join(vocab, "language").select(*BASE, F.to_json(F.struct(*_meta_fields(index), "vocab")).alias("meta"))
+    idf_json = F.to_json(_text_map(F.map_from_entries("idf")))
     body = F.concat(
         F.lit('{"meta":'), "meta", F.lit(',"idf":'), idf_json, F.lit(',"chunks":['), F.array_join(F.transform("chunks", lambda c: c["json"]), ","), F.lit("]}")
     )
