@@ -174,7 +174,12 @@ def identified(df: DataFrame, parts: int = 4, held: int = 2) -> DataFrame:
 
 
 def known_language(df: DataFrame, parts: int = 4, held: int = 2) -> DataFrame:
-    """The documents whose language can be told; those without any letter go. Columns stay."""
+    """The documents whose language can be told; those without any letter go. Columns stay.
+
+    Where no language was learned, all documents with a letter stay.
+    """
     prototypes = train(df.where(~in_part("doc_id", parts, held)))
     columns = df.columns
+    if not directions(prototypes)[0]:
+        return df.where(F.col("text").rlike(r"\p{L}"))
     return predict(df, prototypes, lang_pred="__lang", score="__score").where(F.col("__lang") != UNKNOWN).select(*columns)
