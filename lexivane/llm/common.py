@@ -7,6 +7,7 @@ import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -69,6 +70,19 @@ def give_back() -> None:
         return  # another C library: it keeps its memory
 
 
+def byte_slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose texts or lists in ``column`` hold about ``most`` bytes or entries; a longer one stands alone."""
+    values = batch.column(column)
+    sizes = pc.fill_null(pc.list_value_length(values) if pa.types.is_list(values.type) else pc.binary_length(values), 0)
+    ends = np.cumsum(sizes.to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def word_codes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """Words of texts, split at ASCII white space: their numbers in one run, words per text, the distinct words."""
     whole = pc.fill_null(texts, "")

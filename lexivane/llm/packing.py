@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexivane.llm.common import give_back, runs, stored, word_codes
+from lexivane.llm.common import byte_slices, give_back, stored
+from lexivane.llm.word_ids import word_tokenizer
 
 CAPACITY = 4096
 END_ID = 2
@@ -35,81 +36,7 @@ BLOCK = 32
 GROUP_SEQUENCES = 1024
 LINEAR = 12 * 1024.0
 QUADRATIC = 2.0
-WORDS_KEPT = 120_000
-
-
-class WordTokenizer:
-    """Ids of texts by a word-end vocabulary that drops white space: each ASCII-space separated word on its own.
-
-    The ids of a word don't depend on its neighbours, so words are encoded once and remembered. Latin words are
-    looked up in lower case and apart from trailing full stops and commas; many of them are encoded in one call
-    and told apart by the word-end mark.
-    """
-
-    def __init__(self, vocabulary: str):
-        import public_tokenizers
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(public_tokenizers.path(vocabulary))
-        names = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(names.values()) + 1, dtype=bool)
-        self.ends[[at for name, at in names.items() if name.endswith("</w>")]] = True
-        self.known: dict[bytes, bytes] = {}
-
-    def _each(self, words: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
-
-    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        split: dict[bytes, tuple[str, str]] = {}
-        rest: set[str] = set()
-        for word in words:
-            text = word.decode("utf-8")
-            stem = text.rstrip(".,")
-            if stem.isalpha() and max(stem) < "Ā":
-                split[word] = (stem.lower(), text[len(stem) :])
-            else:
-                rest.add(text)
-        rest.update({tail for _, tail in split.values() if tail})
-        fresh = sorted({stem for stem, _ in split.values()})
-        stems: dict[str, bytes] = {}
-        if fresh:
-            found = self.tokenizer.encode_batch_fast([" ".join(fresh[i : i + 256]) for i in range(0, len(fresh), 256)], add_special_tokens=False)
-            ids = np.concatenate([np.array(x.ids, dtype="<u4") for x in found])
-            cuts = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
-            if len(cuts) != len(fresh) + 1:
-                raise ValueError("this vocabulary doesn't mark the ends of words")
-            flat = ids.tobytes()
-            stems.update(zip(fresh, [flat[a:b] for a, b in zip(cuts, cuts[1:])]))
-        others = sorted(rest)
-        single = dict(zip(others, self._each(others))) if others else {}
-        found_ids = {text.encode("utf-8"): ids for text, ids in single.items()}
-        for word, (stem, tail) in split.items():
-            found_ids[word] = stems[stem] + single[tail] if tail else stems[stem]
-        return found_ids
-
-    def ids(self, texts: pa.Array, end: bytes) -> tuple[bytes, np.ndarray]:
-        """Ids of all texts laid end to end as little-endian 32-bit numbers, each closed by ``end``; ids per text."""
-        codes, sizes, words = word_codes(texts)
-        own = [self.known.get(word) for word in words]
-        new = [at for at, ids in enumerate(own) if ids is None]
-        learned = self._learn([words[at] for at in new])
-        for at in new:
-            own[at] = learned[words[at]]
-        if len(self.known) < WORDS_KEPT:
-            self.known.update(learned)
-        own.append(end)
-        length = np.fromiter(map(len, own), dtype=np.int64, count=len(own)) // 4
-        closed = np.insert(codes, np.cumsum(sizes), len(words))
-        bounds = np.cumsum(sizes + 1)
-        flat = np.frombuffer(b"".join(own), dtype="<u4")
-        total = np.concatenate(([0], np.cumsum(length[closed])))
-        return flat[runs((np.cumsum(length) - length)[closed], length[closed])].tobytes(), np.diff(total[np.concatenate(([0], bounds))])
-
-
-@lru_cache(maxsize=2)
-def word_tokenizer(vocabulary: str) -> WordTokenizer:
-    return WordTokenizer(vocabulary)
+SLICE_BYTES = 12 * 1024 * 1024
 
 
 @lru_cache(maxsize=1)
@@ -194,8 +121,7 @@ def tokenized(df: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabul
     def count(batches):
         words, row = word_tokenizer(vocabulary), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for part in byte_slices(batch, 1, SLICE_BYTES):
                 ids, sizes = words.ids(part.column(1), end)
                 ends = np.cumsum(sizes) * 4
                 blocks = [

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexivane.llm import ann, embedding_dedup, language_id, line_dedup, lm_scoring, ngram_join, packing, sentence_pieces, url_filter, warc
+from lexivane.llm import (
+    ann, complement_packing, embedding_dedup, language_id, lexical_rank, line_dedup, lm_scoring, ngram_join, packing, sentence_pieces, token_alignment, url_filter, warc,
+)
 from lexivane.llm.common import table
 
 # Rules of the registered query: host, path, verdict.
@@ -69,6 +71,21 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.linked(table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between the tokens of two tokenizers over every document, and how usual the links are."""
+    return token_alignment.compared(table(spark, sf_dir, "documents"))
+
+
+def op12_lexical_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents for every benchmark item."""
+    return lexical_rank.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in as few sequences of 2048 tokens as can be."""
+    return complement_packing.pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentence_pieces": op1_sentence_pieces,
     "op2_language_id": op2_language_id,
@@ -80,6 +97,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_packing": op9_packing,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_lexical_rank": op12_lexical_rank,
+    "op13_complement_packing": op13_complement_packing,
 }
 
 _COMPONENTS = """
@@ -143,4 +163,31 @@ SQL: dict[str, str] = {
         ),""" + _COMPONENTS + """
         SELECT node AS doc_id, coalesce(n_shingles, 0) AS n_shingles, component_id FROM reached LEFT JOIN n ON doc_id = node
     """,
+    "op12_lexical_rank": """
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms
+            FROM documents
+        ),
+        size AS (SELECT r, doc_id, len(terms) AS n FROM d WHERE len(terms) > 0),
+        whole AS (SELECT count(*) AS big_n, sum(n)::BIGINT AS big_l FROM size),
+        asked AS (
+            SELECT item_id, term, count(*) AS q FROM (
+                SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark)
+            GROUP BY ALL
+        ),
+        held AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM d) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+        weights AS (SELECT term, floor(1000 * ln((2 * any_value(big_n) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM held, whole GROUP BY term),
+        impacts AS (
+            SELECT r, doc_id, term, (1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * big_n) // big_l)) AS impact
+            FROM held JOIN size USING (r), whole
+        ),
+        scores AS (
+            SELECT item_id, r, doc_id, sum(q * w * impact)::BIGINT AS score
+            FROM asked JOIN weights USING (term) JOIN impacts USING (term) GROUP BY ALL
+        )
+        SELECT item_id, rank, doc_id, score FROM (
+            SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM scores WHERE score > 0)
+        WHERE rank <= 20
+    """,
 }
