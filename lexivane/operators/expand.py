@@ -106,19 +106,23 @@ def suggest_terms(index: Index, missing: DataFrame, collection=None, base="*", l
         .where(F.length("word") >= 3)
         .distinct()
     )
-    words = distinct.select("word", T.soundex(F.col("word")).alias("sx"), T.syllable_seq(F.col("word")).alias("syls"), T.normalize(F.col("word")).alias("w_plain"))
-    # one row per word and reason to be close, joined by equality on sound or syllable
-    by_sound = terms.select("query_id", F.explode("sounds").alias("sx")).where("sx <> ''")
-    by_syllable = terms.select("query_id", F.explode("syllables").alias("syl"))
-    near_sound = words.join(by_sound, "sx").select("query_id", "word")
-    near_syl = words.select("word", F.explode(F.array_distinct("syls")).alias("syl")).join(by_syllable, "syl").select("query_id", "word")
-    near = near_sound.unionByName(near_syl).distinct().join(words, "word").join(terms, "query_id")
-    scored = near.select(
-        "query_id",
-        "word",
-        F.when(F.array_contains("sounds", F.col("sx")), 1).otherwise(0).alias("same_sound"),
-        F.size(F.filter("syls", lambda s: F.array_contains("syllables", s))).alias("shared"),
-        F.array_min(F.transform("plain", lambda p: F.levenshtein(F.col("w_plain"), p))).alias("distance"),
+    # a row per word and reason to be close; both sides meet in one join on sound or syllable
+    sound = lambda sx: F.struct(F.lit("sound").alias("kind"), sx.alias("value"))
+    syllable = lambda s: F.struct(F.lit("syllable").alias("kind"), s.alias("value"))
+    syls = T.syllable_seq(F.col("word"))
+    own = F.concat(F.array(sound(T.soundex(F.col("word")))), F.transform(syls, syllable))
+    words = distinct.select("word", F.explode(own).alias("key"))
+    asked = terms.select("query_id", F.explode(F.concat(F.transform("sounds", sound), F.transform("syllables", syllable))).alias("key"))
+    met = words.join(asked.where("key.value <> ''"), "key").groupBy("query_id", "word").agg(
+        F.max(F.when(F.col("key.kind") == "sound", 1).otherwise(0)).alias("same_sound"),
+        F.sum(F.when(F.col("key.kind") == "syllable", 1).otherwise(0)).cast("int").alias("shared"),
+    )
+    # distances decide only among words that reach the sound and syllables of the last one that can be shown
+    close = Window.partitionBy("query_id").orderBy(F.desc("same_sound"), F.desc("shared"))
+    left = met.withColumn("place", F.rank().over(close)).where(F.col("place") <= limit).drop("place")
+    scored = left.join(terms.select("query_id", "plain"), "query_id").select(
+        "query_id", "word", "same_sound", "shared",
+        F.array_min(F.transform("plain", lambda p: F.levenshtein(T.normalize(F.col("word")), p))).alias("distance"),
     )
     order = [F.desc("same_sound"), F.desc("shared"), F.asc("distance"), F.length("word").asc(), F.asc("word")]
     w = Window.partitionBy("query_id").orderBy(*order)
