@@ -7,8 +7,9 @@ substrings of these places probe an index of segments by number and line length.
 banded bit-parallel edit distance.
 
 With ``near_words``, lines within one word exchanged, added or dropped for every full ``WORDS`` words of the longer one
-are near duplicates too. Of the disjoint runs of words at the start of the shorter line, one more than the edits, one
-is left whole, so the runs of the longer line meet it.
+are near duplicates too. A line's runs of four or five words are put in the order of their hashes; its keys are the first
+of them, as many as it takes until no allowed number of edits could change them all. Of two lines within the
+edits, the one whose keys end first keeps a key that the other has among its own.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from lexivane.llm.common import stored
 EDITS = 2
 SHORTEST = 20
 WORDS = 10
+LONG_RUNS = 36
 
 
 def join_keys(edits: int = EDITS) -> Column:
@@ -117,25 +119,34 @@ def word_hashes(line: Column) -> Column:
     return F.transform(F.filter(F.split(line, r"\s+"), lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def run_length(n: str) -> str:
-    """Words of a run of a line with ``n`` words, so that n div (WORDS - 1) + 1 runs fit in. At least nine words are given."""
-    return f"(case when {n} < 12 then 4 when {n} < 72 then 6 else 8 end)"
+def run_keys(q: int) -> Column:
+    """Keys of ``words``, ``n`` of them: their first runs of ``q`` words in the order of hashes, a part that ``n div (WORDS - 1)`` edits cannot change whole.
+
+    An edit changes the runs that cover one place, so the fewest edits that change some runs are found by going
+    through them from left to right. Parts of growing size are tried; the last one, q runs for each edit and one, always does.
+    """
+    edits = f"(n div {WORDS - 1})"
+    several = [f"cast(ceil(1.5 * ({edits} + 1)) as int)", f"2 * ({edits} + 1)", f"3 * ({edits} + 1)"]
+    some = lambda m: f"slice(runs, 1, {m})"
+    holds = lambda m: f"aggregate(array_sort(transform({some(m)}, r -> r.at)), named_struct('end', -1, 'c', 0), (s, p) -> if(p > s.end, named_struct('end', p + {q - 1}, 'c', s.c + 1), s)).c > {edits}"
+    tried = " ".join(f"when {holds(m)} then {some(m)}" for m in several)
+    return F.expr(f"array_distinct(transform(case {tried} else {some(f'{q} * {edits} + 1')} end, r -> r.h))")
 
 
-def word_runs(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Own runs (h, key) and all runs (h, key) of lines with ``words`` that can have a partner.
+def with_word_keys(df: DataFrame) -> DataFrame:
+    """``df(words, ...)`` with ``word_keys``, none for lines of fewer than WORDS - 1 words.
 
-    A line of m words meets longer ones of n words with at most n div 10 <= m div 9 edits.
+    Runs have five words in lines of ``LONG_RUNS`` words and more, else four. A longer line whose partners may be below
+    that has keys of both kinds.
     """
-    sized = groups.where(F.size("words") >= WORDS - 1).select("h", "words", F.size("words").alias("n"))
-    run = lambda at, length: f"xxhash64({length}, slice(words, {at} + 1, {length}))"
-    length, parts = run_length("n"), f"n div {WORDS - 1}"
-    own = sized.select("h", F.explode(F.expr(f"transform(sequence(0, cast({parts} as int)), i -> {run(f'i * {length}', length)})")).alias("key"))
-    least = f"(n - n div {WORDS})"
-    some = lambda of: f"transform(sequence(0, cast(least(n - {of}, {parts} * {of} + n div {WORDS}) as int)), p -> {run('p', of)})"
-    shorter = run_length(least)
-    every = f"array_distinct(if({shorter} = {length}, {some(length)}, concat({some(length)}, {some(shorter)})))"
-    return own, sized.where(f"n >= {WORDS}").select("h", F.explode(F.expr(every)).alias("key"))
+    sized = df.withColumn("n", F.size("words"))
+    none = F.array().cast("array<bigint>")
+    for q, wanted in ((4, f"n >= {WORDS - 1} and n - n div {WORDS} < {LONG_RUNS}"), (5, f"n >= {LONG_RUNS}")):
+        word = ", ".join(f"get(words, i + {k})" for k in range(q))
+        runs = f"sort_array(transform(sequence(0, n - {q}), i -> named_struct('h', xxhash64({q}, {word}), 'at', i)))"
+        sized = sized.withColumn("runs", F.expr(f"if({wanted}, {runs}, null)"))
+        sized = sized.withColumn(f"keys_{q}", F.when(F.col("runs").isNotNull(), run_keys(q)).otherwise(none))
+    return sized.withColumn("word_keys", F.concat("keys_4", "keys_5")).drop("runs", "keys_4", "keys_5")
 
 
 def word_parity(words: Column) -> Column:
@@ -151,22 +162,16 @@ def as_letters(words: Column, shift: int) -> Column:
     return F.decode(F.unhex(F.array_join(F.transform(words, code), "")), "UTF-32")
 
 
-def near_by_words(groups: DataFrame) -> DataFrame:
-    """``a, b``: pairs of lines (h) within one edit of words for each ten of the longer one's words."""
-    own, every = word_runs(groups)
-    held = own.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
-    met = stored(every.join(held, "key").where("lo <> hi or lo <> h").select("key", "h"), "lines-runs")
-    own = stored(own.distinct().join(met.select("key").distinct(), "key", "left_semi"), "lines-own-runs")
-    here = met.select("h").union(own.select("h")).distinct()
-    words = stored(groups.select("h", "words").join(here, "h").dropDuplicates(["h"]), "lines-words")
-    signs = stored(words.select("h", F.size("words").alias("n"), word_parity(F.col("words")).alias("bits")), "lines-word-bits")
-    named = lambda s: signs.select(F.col("h"), F.col("n").alias(f"n_{s}"), *[F.col("bits")[k].alias(f"{s}{k}") for k in range(4)])
-    left = own.join(named("a"), "h").withColumnRenamed("h", "a")
-    right = met.join(named("b"), "h").withColumnRenamed("h", "b")
+def near_by_words(met: DataFrame, words: DataFrame) -> DataFrame:
+    """``a, b``: pairs of lines (h) that share a key of ``met(h, key)`` and lie within one edit of ``words(h, words)`` for each ten of the longer one's."""
+    words = stored(words.withColumn("n", F.size("words")), "lines-words")
+    signs = met.join(words.select("h", "n", word_parity(F.col("words")).alias("bits")), "h")
+    signs = stored(signs.select("h", "key", "n", *[F.col("bits")[k].alias(f"bits{k}") for k in range(4)]), "lines-word-bits")
+    named = lambda s: signs.select("key", F.col("h").alias(s), F.col("n").alias(f"n_{s}"), *[F.col(f"bits{k}").alias(f"{s}{k}") for k in range(4)])
     apart = " + ".join(f"bit_count(a{k} ^ b{k})" for k in range(4))
-    alike = F.expr(f"a <> b and n_a <= n_b and n_b - n_a <= n_b div {WORDS} and {apart} <= 2 * (n_b div {WORDS})")
-    pairs = stored(left.join(right, "key").where(alike).select("a", "b").distinct(), "lines-word-pairs")
-    spelled = words.select("h", F.size("words").alias("n"), as_letters(F.col("words"), 0).alias("x"), as_letters(F.col("words"), 24).alias("y"))
+    alike = F.expr(f"(n_a < n_b or n_a = n_b and a < b) and n_b - n_a <= n_b div {WORDS} and {apart} <= 2 * (n_b div {WORDS})")
+    pairs = stored(named("a").join(named("b"), "key").where(alike).select("a", "b").distinct(), "lines-word-pairs")
+    spelled = words.select("h", "n", as_letters(F.col("words"), 0).alias("x"), as_letters(F.col("words"), 24).alias("y"))
     side = lambda s: spelled.select(F.col("h").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("n", "x", "y")])
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     edits = f"cast(n_b div {WORDS} as int)"
@@ -186,16 +191,23 @@ def dropped_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", edi
     wanted_lines = long_enough | F.col("line").rlike(r"\S") if short_repeats else long_enough
     lines = lines_of(df, doc_id, text).withColumn("size", F.length("line")).where(wanted_lines)
     marked = lines.select("doc_id", "print", "pos", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"), "line", "size")
-    # lines of fewer than WORDS - 1 words have no partner by words
-    extra = [F.first("held").alias("held")] if near_words else []
-    held = [F.when(long_enough & (F.size(F.split("line", r"\s+")) >= WORDS - 1), F.col("line")).alias("held")] if near_words else []
-    groups = marked.select("h", "h2", *held, F.struct("doc_id", "print", "pos").alias("place"), F.when(long_enough, join_keys(edits)).otherwise(F.array().cast("array<bigint>")).alias("keys"))
-    groups = stored(groups.groupBy("h", "h2").agg(F.min("place").alias("first"), F.count("*").alias("times"), F.first("keys").alias("keys"), *extra), "lines-distinct")
-
+    none = F.array().cast("array<bigint>")
+    by_letters = long_enough
+    if near_words:
+        # an edit of letters is two of words at most, so lines with enough words meet such partners by words
+        marked = with_word_keys(marked.withColumn("words", F.when(long_enough, word_hashes(F.col("line"))).otherwise(none))).drop("words")
+        by_letters = by_letters & (F.col("n") < 2 * edits * WORDS)
+    else:
+        marked = marked.withColumn("word_keys", none)
+    groups = marked.select("h", "h2", "word_keys", F.struct("doc_id", "print", "pos").alias("place"), F.when(by_letters, join_keys(edits)).otherwise(none).alias("keys"))
+    groups = stored(groups.groupBy("h", "h2").agg(F.min("place").alias("first"), F.count("*").alias("times"), F.first("keys").alias("keys"), F.first("word_keys").alias("word_keys")), "lines-distinct")
+
+    # kinds: 0 a substring that may be a segment, 1 a segment, 2 a run of words
+    kind = F.when(F.col("at") >= F.col("n_keys"), 2).when(F.col("at") <= edits, 1).otherwise(0).cast("byte")
+    keys = groups.select("h", F.size("keys").alias("n_keys"), F.posexplode(F.concat("keys", "word_keys")).alias("at", "key")).select("h", "key", kind.alias("kind"))
     by_key = Window.partitionBy("key")
-    keys = groups.select("h", F.posexplode("keys").alias("at", "key")).select("h", "key", (F.col("at") <= edits).alias("own"))
-    met = keys.select("h", "key", "own", F.min("h").over(by_key).alias("lo"), F.max("h").over(by_key).alias("hi"), F.max("own").over(by_key).alias("any_own"))
-    met = stored(met.where("lo <> hi and any_own").select("h", "key", "own"), "lines-met")
+    met = keys.select("h", "key", "kind", F.min("h").over(by_key).alias("lo"), F.max("h").over(by_key).alias("hi"), F.max("kind").over(by_key).alias("most"))
+    met = stored(met.where("lo <> hi and most > 0").select("h", "key", "kind"), "lines-met")
     wanted = met.select("h").distinct().join(groups.select("h", "h2", "first"), "h")
     places = wanted.select("h", "h2", "first", F.col("first.doc_id").alias("of"), F.col("first.print").alias("of_print"))
     texts = df.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("print"), F.col(text).alias("text"))
@@ -203,8 +215,9 @@ def dropped_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", edi
     found = stored(found.select("h", "h2", "first", F.get(F.split("text", "\n", -1), F.col("first.pos")).alias("line")).dropDuplicates(["h", "h2"]), "lines-text")
 
     # lines that share a segment meet only if their letters, and pairs of letters, can be within the edits
-    parity = found.withColumn("of", letters(F.col("line"))).select("h", letter_parity(F.col("of")).alias("ones"), pair_parity(F.col("of")).alias("twos"))
-    signed = stored(met.join(parity.groupBy("h").agg(F.first("ones").alias("ones"), F.first("twos").alias("twos"), F.count("*").alias("lines")), "h"), "lines-signed")
+    by_segment = met.where("kind < 2")
+    parity = found.join(by_segment.select("h").distinct(), "h", "left_semi").withColumn("of", letters(F.col("line"))).select("h", letter_parity(F.col("of")).alias("ones"), pair_parity(F.col("of")).alias("twos"))
+    signed = stored(by_segment.withColumn("own", F.col("kind") == 1).join(parity.groupBy("h").agg(F.first("ones").alias("ones"), F.first("twos").alias("twos"), F.count("*").alias("lines")), "h"), "lines-signed")
     short = signed.where("own").select("key", F.col("h").alias("a"), F.col("ones").alias("ones_a"), F.col("twos").alias("twos_a"), F.col("lines").alias("lines_a"))
     long = signed.select("key", F.col("h").alias("b"), F.col("ones").alias("ones_b"), F.col("twos").alias("twos_b"), F.col("lines").alias("lines_b"))
     alike = F.expr(f"a <> b and (lines_a > 1 or lines_b > 1 or bit_count(ones_a ^ ones_b) <= {2 * edits} and bit_count(twos_a ^ twos_b) <= {4 * edits})")
@@ -223,7 +236,9 @@ def dropped_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", edi
     later = stored(measured, "lines-measured").where("edits is not null").select(later_one)
     near_lines = later.select("x.*")
     if near_words:
-        found = near_by_words(groups.where("held is not null").select("h", word_hashes(F.col("held")).alias("words")))
+        runs = met.where("kind = 2").select("h", "key")
+        told = found.join(runs.select("h").distinct(), "h").select("h", word_hashes(F.col("line")).alias("words")).dropDuplicates(["h"])
+        found = near_by_words(runs, told)
         place = lambda s: groups.select(F.col("h").alias(s), F.col("h2").alias(f"{s}2"), F.col("first").alias(f"first_{s}"))
         near_lines = near_lines.unionByName(found.join(place("a"), "a").join(place("b"), "b").select(later_one).select("x.*"))
     near_lines = near_lines.distinct().withColumn("near", F.lit(True))
