@@ -25,6 +25,7 @@ from lexivane.llm.common import new_folder, stored
 SMALLEST = 100
 FILE_BYTES = 64 << 20
 READ_BYTES = 1 << 20
+MOST_TASKS = 20_000
 DATE = "2024-01-01T00:00:00Z"
 NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
@@ -116,6 +117,11 @@ def write_archives(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES)
     return stored(pages.select("page_id", "payload", "digest", "first").mapInArrow(write, "path string, records long"), "warc-written")
 
 
+def one_by_one(archives: DataFrame) -> DataFrame:
+    """A task for each archive, up to ``MOST_TASKS``: paths are short, so left to their size they would all meet in one task."""
+    return archives.repartition(max(1, min(MOST_TASKS, archives.count())))
+
+
 def normalise(archives: DataFrame, folder: str) -> DataFrame:
     """Rewrite each archive of ``path`` with a gzip member per record and an index; returns (path, index, records).
 
@@ -145,7 +151,7 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
                 out.append((f"{folder}/{name}", f"{folder}/{name}.idx", len(lines)))
             yield pd.DataFrame(out, columns=["path", "index", "records"])
 
-    return stored(archives.repartition("path").mapInPandas(rewrite, "path string, index string, records long"), "warc-normalised")
+    return stored(one_by_one(archives).mapInPandas(rewrite, "path string, index string, records long"), "warc-normalised")
 
 
 def read_record(member: bytes) -> tuple[str | None, int, str, str, str | None]:
@@ -178,7 +184,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
                         found = [read_record(source.read_at(length, offset)) for offset, length in places[i : i + 1000]]
                         yield pd.DataFrame(found, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    return archives.repartition("path").mapInPandas(read, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string")
+    return one_by_one(archives).mapInPandas(read, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string")
 
 
 def archived(df: DataFrame, page_id: str = "page_id", html: str = "html", smallest: int = SMALLEST, folder: str | None = None) -> DataFrame:
@@ -196,7 +202,9 @@ def archived(df: DataFrame, page_id: str = "page_id", html: str = "html", smalle
     big = F.octet_length("payload") >= smallest
     repeated = pages.where(big).groupBy("digest").agg(F.min("page_id").alias("least"), F.count("*").alias("n")).where("n > 1").select("digest", "least")
     first = F.when(big & (F.col("page_id").isNull() | (F.col("page_id") != F.col("least"))), F.col("least"))
-    named = pages.join(repeated, "digest", "left").select(F.col("page_id").cast("string"), "payload", "digest", first.cast("string").alias("first"))
+    # what can have no partner is spread by its own id: else all empty pages would meet at one digest
+    alone = F.concat(F.lit("alone-"), F.xxhash64("page_id", "digest", "payload").cast("string"))
+    named = pages.withColumn("met", F.when(big, F.col("digest")).otherwise(alone)).join(repeated.withColumnRenamed("digest", "met"), "met", "left").select(F.col("page_id").cast("string"), "payload", "digest", first.cast("string").alias("first"))
     written = write_archives(named, f"{root}/whole")
     out = read_archives(normalise(written, f"{root}/records"))
     return out.select(F.col("page_id").cast(kind), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind))
