@@ -89,8 +89,8 @@ def append_rows(existing: DataFrame, texts: DataFrame, size: int = DEFAULT_CHUNK
     return kept.select(*keys, "chunk", "start", "text").unionByName(packed.select(*keys, "chunk", "start", "text"))
 
 
-def appended_index_rows(index: I.Index, texts: DataFrame) -> DataFrame:
-    """Chunk rows of an index after an append; only the packed tails are tokenized.
+def append_to_index(index: I.Index, texts: DataFrame, mtime: int = 0) -> I.Index:
+    """The index after ``texts(collection, base, seq, text)`` were appended; only cells of these bases are written, only the packed tails tokenized.
 
     The tail continues the last document of its base. Without stored texts the new text starts
     after the last chunk.
@@ -124,4 +124,4 @@ def appended_index_rows(index: I.Index, texts: DataFrame) -> DataFrame:
     fresh = I.token_columns(cut).join(lasts.select(*keys, "bare"), keys, "left")
     fresh = fresh.withColumn("text", F.when(~F.coalesce("bare", F.lit(False)), F.col("text"))).drop("bare")
     replaced = lasts.where("not bare").select(*keys, F.col("l.doc").alias("doc"), F.col("l.piece").alias("piece"))
-    return index.source_rows.join(replaced, I.CHUNK, "left_anti").unionByName(fresh)
+    return I.changed_index(index, touched, lambda rows: rows.join(replaced, I.CHUNK, "left_anti"), fresh, mtime=mtime)

@@ -26,8 +26,8 @@ from lexivane.sources import vocabulary as V
 class LexicalEngine:
     """Corpora by collection and base, stored as tables below one shared folder.
 
-    Every change writes a new generation of tables, so running readers keep a consistent view and a
-    failed job leaves the current generation untouched.
+    Every change writes the cells of the bases that it touches as a new generation, so running readers keep a
+    consistent view and a failed job leaves the current generation untouched.
     """
 
     def __init__(
@@ -57,12 +57,16 @@ class LexicalEngine:
         self.generation += 1
         return TableStore(self.spark, self.store.path(f"generation={self.generation}"))
 
-    def _publish(self, rows: DataFrame) -> Index:
-        built = I.index_rows(rows, self._next_store(), self.chunk_size, self.vocab)
+    def _publish(self, built: Index) -> Index:
         C.check_limits(built, self.max_bases, self.max_chunks_per_base)
         self.index = built
         return built
 
+    def _without(self, bases: DataFrame, fresh: DataFrame | None = None, vocab: DataFrame | None = None) -> Index:
+        """Replace ``bases(collection, base)`` by ``fresh`` rows."""
+        named = bases.select(*BASE).distinct()
+        return self._publish(I.changed_index(self.index, named, lambda rows: rows.join(named, BASE, "left_anti"), fresh, vocab))
+
     def ingest(self, docs: DataFrame, max_chunks: int = 0, with_text: bool = True) -> Index:
         """Add corpora ``collection, base, doc, text[, driver]``; a base of the same name is replaced.
 
@@ -70,9 +74,8 @@ class LexicalEngine:
         """
         rows = I.tokenized(docs, self.chunk_size, max_chunks, with_text)
         if self.index is not None:
-            kept = self.index.source_rows.join(docs.select(*BASE).distinct(), BASE, "left_anti")
-            rows = kept.unionByName(rows)
-        return self._publish(rows)
+            return self._without(docs, rows)
+        return self._publish(I.index_rows(rows, self._next_store(), self.chunk_size, self.vocab))
 
     def ingest_files(self, path: str, collection: str = files.DEFAULT_COLLECTION, **options) -> Index:
         return self.ingest(files.read_texts(self.spark, path, collection, self.driver_meta), **options)
@@ -85,7 +88,7 @@ class LexicalEngine:
 
     def append(self, texts: DataFrame) -> Index:
         """Continue bases with ``collection, base, seq, text``, packing their last chunks."""
-        return self._publish(A.appended_index_rows(self.index, texts))
+        return self._publish(A.append_to_index(self.index, texts))
 
     def import_json(self, path: str, collection: str | None = None) -> Index:
         """Add tokenized bases; a base of the same name is replaced.
@@ -94,24 +97,21 @@ class LexicalEngine:
         changes, statistics are derived from the stored vectors. Every imported base keeps its own vocabulary.
         """
         opened = J.import_bases(J.read_bases(self.spark, path, collection), self._next_store(), self.max_bases, self.max_chunks_per_base)
-        earlier, self.index = self.index, opened
         known = self.vocab.join(opened.vocab.select("driver").distinct(), "driver", "left_anti")
         self.vocab = known.unionByName(opened.vocab.select(*known.columns))
-        if earlier is None:
+        if self.index is None:
+            self.index = opened
             return opened
-        kept = earlier.source_rows.join(opened.bases.select(*BASE), BASE, "left_anti")
-        return self._publish(kept.unionByName(opened.source_rows.select(*kept.columns)))
+        return self._without(opened.bases, opened.source_rows.select(*self.index.source_rows.columns), self.vocab)
 
     def export_json(self, folder: str, max_chunks_per_base: int) -> None:
         J.write_bases(self.index, folder, max_chunks_per_base)
 
     def drop_base(self, base: str, collection: str = files.DEFAULT_COLLECTION) -> Index:
-        gone = (F.col("collection") == collection) & (F.col("base") == base)
-        return self._publish(self.index.source_rows.where(~gone))
+        return self._without(self.index.bases.where((F.col("collection") == collection) & (F.col("base") == base)))
 
     def drop_collection(self, collection: str) -> Index:
-        """Partition filter: the files of the other collections are all that is read."""
-        return self._publish(self.index.source_rows.where(F.col("collection") != collection))
+        return self._without(self.index.bases.where(F.col("collection") == collection))
 
     # ------------------------------------------------------------ discovery
 

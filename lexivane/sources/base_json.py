@@ -78,30 +78,30 @@ def import_bases(bases: DataFrame, store: TableStore, max_bases: int = 0, max_ch
     doc = F.lit(0).cast("long").alias("doc")
     driver = F.concat_ws("/", *BASE)
     vocab = saved.select(driver.alias("driver"), F.posexplode("meta.vocab").alias("dim", "token"))
-    store.save("vocab", vocab.withColumn("is_keyword", F.lit(False)))
+    index = Index(store)
+    index.put("vocab", vocab.withColumn("is_keyword", F.lit(False)))
     line = T.syllable_line(F.coalesce(F.col("c.text"), F.lit("")))
     chunk_rows = listed.select(
         *BASE, doc, "piece", "uid", driver.alias("driver"), F.coalesce("c.start", F.lit(0)).alias("start"), F.coalesce("c.len", F.lit(0)).alias("len"),
         F.coalesce("c.tokens", F.lit(0)).alias("tokens"), F.lit(0).cast("long").alias("doc_bytes"), F.when(F.col("c.text").isNotNull(), T.histogram(T.line_syllables(line))).otherwise(F.col("given")).alias("hist"), line.alias("line"), F.col("c.text").alias("text"),
     )
-    store.save("chunks", chunk_rows, ["collection"])
-    store.save("doc_spans", saved.select(*BASE, doc, F.size("chunks").cast("long").alias("n_pieces"), F.lit(0).cast("long").alias("first_chunk")))
+    index.put_parts("chunks", chunk_rows)
+    index.put_parts("doc_spans", saved.select(*BASE, doc, F.size("chunks").cast("long").alias("n_pieces"), F.lit(0).cast("long").alias("first_chunk")))
     tokens = vocab.select("driver", "dim", "token")
     entries = listed.select(*BASE, doc, "piece", "uid", driver.alias("driver"), F.explode("c.vec").alias("d", "tf"))
     entries = entries.withColumn("dim", F.expr("try_cast(d as int)")).join(tokens, ["driver", "dim"])
-    store.save("postings", entries.select(*CHUNK, "uid", "token", "dim", "tf").sortWithinPartitions("token"))
+    index.put_parts("postings", entries.select(*CHUNK, "uid", "token", "dim", "tf").sortWithinPartitions("token"))
     counts = saved.select(*BASE, F.size("chunks").cast("long").alias("n_chunks"))
-    index = Index(store)
     df = index.postings.groupBy(*BASE, "dim").agg(F.count("*").alias("df"))
     given = saved.select(*BASE, driver.alias("driver"), F.explode("idf").alias("d", "idf")).withColumn("dim", F.expr("try_cast(d as int)"))
     idf = given.join(tokens, ["driver", "dim"]).join(df, [*BASE, "dim"], "left").fillna(0, ["df"]).join(counts, BASE)
-    store.save("idf", idf.select(*BASE, "dim", "token", "df", "n_chunks", F.col("idf").alias("idf_exact"), "idf"))
+    index.put_parts("idf", idf.select(*BASE, "dim", "token", "df", "n_chunks", F.col("idf").alias("idf_exact"), "idf"))
     per_collection = counts.groupBy("collection").agg(F.sum("n_chunks").alias("n_chunks"))
-    store.save("union_idf", I.collection_idf(index.idf.where("df > 0"), per_collection))
+    index.put("union_idf", I.collection_idf(index.idf.where("df > 0"), per_collection))
     weighed = index.postings.join(index.union_idf.select("collection", "token", "uidf"), ["collection", "token"])
     union = weighed.groupBy("uid").agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("uidf"), 2))).alias("u"))
     stored = listed.select(*BASE, doc, "piece", "uid", F.coalesce("c.tokens", F.lit(0)).alias("tokens"), F.coalesce("c.oov", F.lit(0)).alias("oov"), F.coalesce("c.norm", F.lit(1.0)).alias("norm"))
-    store.save("chunk_stats", stored.join(union, "uid", "left").select(*CHUNK, "uid", "tokens", "oov", "norm", F.when(F.col("u") > 0, F.col("u")).otherwise(1.0).alias("union_norm")))
+    index.put_parts("chunk_stats", stored.join(union, "uid", "left").select(*CHUNK, "uid", "tokens", "oov", "norm", F.when(F.col("u") > 0, F.col("u")).otherwise(1.0).alias("union_norm")))
     used = index.idf.where("idf > 0").groupBy(*BASE).agg(F.count("*").alias("vocab_used"))
     m = lambda field, other: F.coalesce(F.col(f"meta.{field}"), other).alias(field)
     meta = saved.select(
@@ -110,7 +110,7 @@ def import_bases(bases: DataFrame, store: TableStore, max_bases: int = 0, max_ch
         m("coverage", F.lit(0.0)), m("with_text", F.lit(False)), m("generator", F.lit("?")), m("tokens_file", F.lit("?")), driver.alias("language"), m("matched_by_ext", F.lit(False)),
         m("built_at", F.lit("")), "mtime",
     )
-    store.save("bases", meta.join(used, BASE, "left").fillna(0, ["vocab_used"]))
+    index.put("bases", meta.join(used, BASE, "left").fillna(0, ["vocab_used"]))
     check_limits(index, max_bases, max_chunks_per_base)
     return index
 
