@@ -168,17 +168,16 @@ def search_expand(
     queries = Q.query_frame(index.spark, queries)
     variants = expansions(queries, synonyms, cache, expander)
     kept = split_by_scope(index, queries, variants, collection, base).where("kept")
-    batch = index.store.save(
-        f"expanded_queries-{uuid.uuid4().hex}",  # earlier calls keep theirs
-        kept.select((F.col("query_id") * 1000 + F.col("variant_no")).alias("query_id"), F.col("variant").alias("query")),
-    )
-    found = S.search(index, batch, collection, base, k=k, phonetic=phonetic, snippets=False, with_keys=True)
-    found = found.withColumn("variant_no", F.col("query_id") % 1000).withColumn("query_id", F.floor(F.col("query_id") / 1000))
+    numbered = kept.select("query_id", "variant_no", F.col("variant").alias("query")).withColumn("batch_id", F.monotonically_increasing_id())
+    batch = index.store.save(f"expanded_queries-{uuid.uuid4().hex}", numbered)  # earlier calls keep theirs
+    asked = batch.select(F.col("batch_id").alias("query_id"), "query")
+    found = S.search(index, asked, collection, base, k=k, phonetic=phonetic, snippets=False, with_keys=True)
+    found = found.withColumnRenamed("query_id", "batch_id").join(batch.select("batch_id", "query_id", "variant_no"), "batch_id")
     weighted = F.coalesce("coverage", "matchpoint") + F.when(F.col("variant_no") == 0, ORIGINAL_BONUS).otherwise(0.0)
     best = found.withColumn("var_cov", weighted)
     w = Window.partitionBy("query_id", *CHUNK).orderBy(F.round("var_cov", 9).desc(), F.asc("variant_no"))
     best = best.withColumn("n", F.row_number().over(w)).where("n = 1")
-    candidates = best.select("query_id", *CHUNK, "cos", "var_cov", "variant_no", "chunk", "corpus", "path")
+    candidates = S.chosen(index, best.select("query_id", *CHUNK, "uid", "cos", "var_cov", "variant_no", "chunk", "corpus", "path"))
     scope = S.open_scope(index, collection, base)
     carry = ("cos", "var_cov", "variant_no", "chunk", "corpus", "path")
     rescored = S.scored_candidates(index, scope, queries, candidates, phonetic, carry)

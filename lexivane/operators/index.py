@@ -39,7 +39,7 @@ from lexivane.sources import vocabulary as V
 BASE = ["collection", "base"]
 DOC = BASE + ["doc"]
 CHUNK = DOC + ["piece"]
-BUCKETS = 8
+BUCKETS = 4
 #: Surrogates of a generation start at its number times this; an index that has changed more often is built anew.
 UIDS = 1 << 54
 MOST_GENERATIONS = 511

@@ -67,9 +67,10 @@ class TableStore:
         folder = f"{self.path(name)}/generation={generation}"
         df.write.mode("overwrite").partitionBy(partition).parquet(folder)
         schema = T.StructType([f for f in df.schema.fields if f.name != partition] + [df.schema[partition]])
-        files = self.spark.read.schema(schema).parquet(folder).inputFiles()
-        cells = {found[1] for f in files if (found := re.search(rf"/{partition}=([^/]+)/", f))}
-        return Parts(schema, {c: generation for c in cells})
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        listed = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(path)
+        names = [status.getPath().getName() for status in listed]
+        return Parts(schema, {n.partition("=")[2]: generation for n in names if n.startswith(f"{partition}=")})
 
     def load_parts(self, name: str, parts: Parts, partition: str = "cell") -> DataFrame:
         """The current parts; cells are plain words, so their folders need no escapes."""
