@@ -468,14 +468,25 @@ def append_packed(spark, folder):
 
 
 def append_to_existing(spark, folder):
-    """First turn indexed, the second one appended."""
+    """First turns indexed, all later ones appended."""
     every = turns(spark, folder)
     first = every.where("seq = 0").select("collection", "base", F.lit(0).alias("doc"), "text")
     cut = chunking.with_chunks(first, ["collection", "base", "doc"], SMALL_CHUNK).where("piece is not null")
-    rows = A.append_rows(cut.withColumnRenamed("piece", "chunk"), every.where("seq = 1"), SMALL_CHUNK)
+    rows = A.append_rows(cut.withColumnRenamed("piece", "chunk"), every.where("seq > 0"), SMALL_CHUNK)
     return rows.select("base", _big("chunk"), _big("start"), F.md5("text").alias("text_md5"))
 
 
+def append_index(spark, folder):
+    """An index of the first turns after the later ones came in two batches: chunks, frequencies and norms."""
+    every = turns(spark, folder)
+    index = I.build_index(every.where("seq = 0").select("collection", "base", F.lit(0).alias("doc"), "text"), TableStore(spark), SMALL_CHUNK)
+    for batch in ("seq between 1 and 2", "seq > 2"):
+        index = A.append_to_index(index, every.where(batch))
+    stats = index.chunk_stats.select(*I.CHUNK, "oov", "norm", "union_norm")
+    rows = index.numbered(index.chunks.select(*I.CHUNK, "start", "tokens", "text").join(stats, I.CHUNK))
+    return rows.select("base", _big("chunk"), _big("start"), _big("tokens"), _big("oov"), _r("norm"), _r("union_norm", 5), F.md5("text").alias("text_md5"))
+
+
 def append_streamed(spark, folder):
     """The same turns arriving as a stream."""
     schema = table(spark, folder, "conversations").schema
@@ -564,7 +575,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         search_benchmark, snippets, search_report, recall_candidates, recall_true_cosine, recall_unified,
         search_sequence, bag_scores, word_chains, phrase_positions, correlation_peaks,
         dictionary_variants, search_expanded, did_you_mean, absence, literal_hits,
-        append_packed, append_to_existing, append_streamed,
+        append_packed, append_to_existing, append_index, append_streamed,
         explained_dims, explained_peaks, recall_sharded, json_contract, dictionary_comma, dictionary_synsets, dictionary_composed,
     ]
 }

@@ -119,7 +119,8 @@ chunks AS MATERIALIZED (
          start, text, {line('text')} AS line
   FROM pieces)"""
 
-TOKENS = f"""{CHUNKS},
+# what follows from ``chunks``
+STATISTICS = f"""
 {vocab()},
 tokens AS MATERIALIZED (
   SELECT collection, base, chunk, token, count(*) AS tf
@@ -145,6 +146,9 @@ norms AS MATERIALIZED (
     FROM postings JOIN idf USING (collection, base, token) JOIN uidf USING (collection, token) GROUP BY ALL) USING (collection, base, chunk))"""
 
 
+TOKENS = f"{CHUNKS},{STATISTICS}"
+
+
 def queries(source: str, suffix: str = "") -> str:
     """Query side: ``q(query_id, query, line)``, its tokens and its key terms."""
     return f"""

@@ -348,7 +348,7 @@ def _fold(source: str, size: int) -> str:
                CASE WHEN length(buf) > {size} THEN {trim(f'substr(buf, 1, {take})')} WHEN f.n = f.total THEN {trim('buf')} END,
                CASE WHEN length(buf) > {size} THEN offs + {lead(f'substr(buf, 1, {take})')} ELSE offs + {lead('buf')} END, f.total
         FROM fold f LEFT JOIN seqs s ON s.base = f.base AND s.n = f.n + 1 WHERE f.n <= f.total),
-      packed AS (SELECT base, row_number() OVER (PARTITION BY base ORDER BY start) - 1 AS chunk, start, md5(piece) AS text_md5 FROM fold WHERE piece IS NOT NULL AND piece <> '')"""
+      packed AS (SELECT base, row_number() OVER (PARTITION BY base ORDER BY start) - 1 AS chunk, start, md5(piece) AS text_md5, piece AS text FROM fold WHERE piece IS NOT NULL AND piece <> '')"""
 
 
 def _expansion_statements() -> dict[str, str]:
@@ -450,9 +450,16 @@ def _expansion_statements() -> dict[str, str]:
         "dictionary_comma": _with(comma, listed),
         "dictionary_synsets": _with(synsets, listed),
         "dictionary_composed": _with(composed, "SELECT w, string_agg(s, ';' ORDER BY pos, s) AS s FROM cf GROUP BY w"),
-        "append_streamed": _with(f"{turns}, {_fold('turns', size)}", "SELECT * FROM packed"),
-        "append_packed": _with(f"{turns}, {_fold('turns', size)}", "SELECT * FROM packed"),
-        "append_to_existing": _with(f"{turns}, two AS (SELECT * FROM turns WHERE seq <= 1), {_fold('two', size)}", "SELECT * FROM packed"),
+        "append_streamed": _with(f"{turns}, {_fold('turns', size)}", "SELECT base, chunk, start, text_md5 FROM packed"),
+        "append_packed": _with(f"{turns}, {_fold('turns', size)}", "SELECT base, chunk, start, text_md5 FROM packed"),
+        "append_to_existing": _with(f"{turns}, {_fold('turns', size)}", "SELECT base, chunk, start, text_md5 FROM packed"),
+        "append_index": _with(
+            f"{turns}, {_fold('turns', size)}, chunks AS MATERIALIZED (SELECT 'talks' AS collection, base, chunk, start, text_md5, {B.line('text')} AS line FROM packed), {B.STATISTICS}",
+            f"""SELECT base, chunk, start, len({B.syllables_of('line')}) AS tokens, CAST(len({B.syllables_of('line')}) - coalesce(known, 0) AS BIGINT) AS oov,
+                round(norm, 6) AS norm, round(union_norm, 5) AS union_norm, text_md5
+            FROM chunks JOIN norms USING (collection, base, chunk)
+            LEFT JOIN (SELECT collection, base, chunk, sum(tf) AS known FROM postings GROUP BY ALL) USING (collection, base, chunk)""",
+        ),
     }
 
 
