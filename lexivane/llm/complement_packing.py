@@ -31,7 +31,7 @@ from lexivane.llm.word_ids import word_tokenizer
 
 CAPACITY = 2048
 END_ID = 0
-SLICE_BYTES = 12 * 1024 * 1024
+SLICE_BYTES = 4 * 1024 * 1024
 #: Columns of a plan: the pieces of ``length`` with numbers from ``first`` on, ``each`` of them in every sequence, go to sequences from ``sequence`` on, at ``offset``.
 PLAN = ("length", "first", "each", "sequence", "offset")
 

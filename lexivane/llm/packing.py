@@ -36,7 +36,7 @@ BLOCK = 32
 GROUP_SEQUENCES = 1024
 LINEAR = 12 * 1024.0
 QUADRATIC = 2.0
-SLICE_BYTES = 12 * 1024 * 1024
+SLICE_BYTES = 4 * 1024 * 1024
 
 
 @lru_cache(maxsize=1)

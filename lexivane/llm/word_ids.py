@@ -15,19 +15,20 @@ import pyarrow.compute as pc
 
 from lexivane.llm.common import runs
 
-REMEMBERED_BYTES = 48 * 1024 * 1024
+REMEMBERED_BYTES = 40 * 1024 * 1024
 LATIN = "^[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]*$"
 
 
 class Remembered:
-    """Ids by text, within a bound of bytes: beyond it, what the last slice did not use is forgotten."""
+    """Ids by text, within a bound of bytes: beyond it, the half that was used longest ago is forgotten."""
 
-    ENTRY = 24  # bytes of an entry's numbers
+    ENTRY = 28  # bytes of an entry's numbers
 
     def __init__(self, most: int):
         self.most = most
         self.texts = pa.array([], pa.string())
         self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.used, self.clock = np.zeros(0, np.int32), 0
         self.ids = np.zeros(0, np.uint32)
 
     def places(self, texts: pa.Array) -> np.ndarray:
@@ -38,18 +39,21 @@ class Remembered:
         self.texts = pa.concat_arrays([self.texts, texts])
         self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(count) - count])
         self.count = np.concatenate([self.count, count])
+        self.used = np.concatenate([self.used, np.full(len(count), self.clock, np.int32)])
         self.ids = np.concatenate([self.ids, ids])
 
     def trim(self, used: np.ndarray) -> None:
-        """Called between slices; ``used``: entries of the last one. These too are forgotten if they alone are too many."""
+        """Called between slices; ``used``: entries of the last one."""
+        self.clock += 1
+        self.used[used] = self.clock
         if self.texts.nbytes + self.ids.nbytes + self.ENTRY * len(self.texts) <= self.most:
             return
-        kept = np.unique(used)
-        size = pc.binary_length(self.texts.take(pa.array(kept))).to_numpy() + 4 * self.count[kept] + self.ENTRY
-        kept = kept[np.cumsum(size) <= self.most]
+        kept = np.argsort(-self.used, kind="stable")
+        size = pc.binary_length(self.texts).to_numpy()[kept] + 4 + 4 * self.count[kept] + self.ENTRY
+        kept = np.sort(kept[np.cumsum(size) <= self.most // 2])
         count = self.count[kept]
         self.ids = self.ids[runs(self.first[kept], count)]
-        self.texts = self.texts.take(pa.array(kept))
+        self.texts, self.used = self.texts.take(pa.array(kept)), self.used[kept]
         self.first, self.count = np.cumsum(count) - count, count
 
 
