@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _own_folders: dict[str, str] = {}
 
 
@@ -39,10 +41,18 @@ def new_folder(spark: SparkSession, label: str) -> str:
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: cuts the lineage and survives lost executors."""
+    """Write ``df`` to the shared folder and read it again: cuts the lineage and survives lost executors.
+
+    Shuffle files of the write are kept until it has ended and go then, for nothing reads them any more.
+    """
     spark = df.sparkSession
     path = new_folder(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(FREE_SHUFFLES)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
