@@ -128,7 +128,7 @@ def run_keys(q: int) -> Column:
     edits = f"(n div {WORDS - 1})"
     several = [f"cast(ceil(1.5 * ({edits} + 1)) as int)", f"2 * ({edits} + 1)", f"3 * ({edits} + 1)"]
     some = lambda m: f"slice(runs, 1, {m})"
-    holds = lambda m: f"aggregate(array_sort(transform({some(m)}, r -> r.at)), named_struct('end', -1, 'c', 0), (s, p) -> if(p > s.end, named_struct('end', p + {q - 1}, 'c', s.c + 1), s)).c > {edits}"
+    holds = lambda m: f"aggregate(sort_array(transform({some(m)}, r -> r.at)), named_struct('end', -1, 'c', 0), (s, p) -> if(p > s.end, named_struct('end', p + {q - 1}, 'c', s.c + 1), s)).c > {edits}"
     tried = " ".join(f"when {holds(m)} then {some(m)}" for m in several)
     return F.expr(f"array_distinct(transform(case {tried} else {some(f'{q} * {edits} + 1')} end, r -> r.h))")
 
