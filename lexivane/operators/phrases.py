@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lexivane.functions import text as T
-from lexivane.operators.index import BASE, CHUNK, Index
+from lexivane.operators.index import BASE, CHUNK, DOC, Index
 from lexivane.operators.rerank import sliding_matches
 
 
@@ -106,6 +107,40 @@ def phrase_positions(index: Index, words: list[str]) -> DataFrame:
     return met.select("query_id", *CHUNK, F.explode(starts).alias("pos"))
 
 
+def document_phrases(index: Index, phrases: list[str]) -> DataFrame:
+    """Start positions of syllable chains in the sequence of a whole document: query_id, collection, base, doc, pos.
+
+    Borders of words and chunks are ignored. Hits inside a piece are found there. For those across a cut, a piece sees
+    the last syllables of the pieces before it and its own first ones, as many as the longest chain can reach; only these ends
+    are grouped by document, never the lines. A phrase of one syllable or none has no hits.
+    """
+    reach = max([len(p) for p in phrases], default=1)  # a syllable has a letter at least
+    spoken = index.chunks.where("tokens > 0").withColumn("said", T.line_syllables(F.col("line")))
+    ends = spoken.select(
+        *DOC, "piece", "uid", "tokens",
+        F.slice("said", F.lit(1), F.lit(reach)).alias("head"),
+        F.slice("said", -F.least(F.size("said"), F.lit(reach)), F.lit(reach)).alias("tail"),
+    )
+    order = Window.partitionBy(*DOC).orderBy("piece")
+    # every piece here has a syllable, so as many pieces as syllables are enough
+    laid = ends.withColumn("offset", F.coalesce(F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    laid = laid.withColumn("before", F.flatten(F.collect_list("tail").over(order.rowsBetween(-reach, -1))))
+    laid = laid.withColumn("before", F.slice("before", -F.greatest(F.least(F.size("before"), F.lit(reach)), F.lit(1)), F.lit(reach)))
+
+    def met(df: DataFrame, seq: Column) -> DataFrame:
+        held = lambda q: (F.size(q["chain"]) > 1) & F.contains(_framed(F.array_join(seq, " "), " "), _framed(F.array_join(q["chain"], " "), " "))
+        found = df.withColumn("q", F.explode(F.filter(wanted_chains(phrases), held)))
+        at = F.filter(F.transform(sliding_matches(seq, F.col("q.chain")), lambda m, p: F.when(m == F.size("q.chain"), p)), lambda p: p.isNotNull())
+        return found.withColumn("at", F.explode(at))
+
+    across = met(laid.withColumn("seam", F.concat("before", "head")), F.col("seam"))
+    across = across.where((F.col("at") < F.size("before")) & (F.col("at") + F.size("q.chain") > F.size("before")))
+    across = across.select("q.query_id", *DOC, (F.col("offset") - F.size("before") + F.col("at")).alias("pos"))
+    inside = met(spoken.select("uid", "said"), F.col("said")).select("uid", "q.query_id", "at")
+    inside = inside.join(laid.select("uid", *DOC, "offset"), "uid").select("query_id", *DOC, (F.col("offset") + F.col("at")).alias("pos"))
+    return inside.unionByName(across)
+
+
 def correlation_curve(index: Index, hits: DataFrame, word: str) -> DataFrame:
     """Share of matching syllables of ``word`` at every offset of the given chunks."""
     chain = T.syllable_seq(F.lit(word))

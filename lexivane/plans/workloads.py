@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexivane.functions import chunking
+from lexivane.functions import sql as SQL
 from lexivane.functions import text as T
 from lexivane.operators import append as A
 from lexivane.operators import catalog as C
@@ -40,6 +41,7 @@ SEARCHES = [
     "menten queéch anier pale",
 ]
 CHAINS = ["reing", "paraci", "keitver", "mentpa", "the", "anen"]
+PHRASES = ["the of the", "the and", "orantion orantion orantion", "hehely hehely", "de la", "der die", "the"]
 SYNONYMS = {
     "para": ["por", "pale", "Para", "parami"],
     "doci": ["cidor", "eneste", "zzzyx"],
@@ -404,6 +406,12 @@ def phrase_positions(spark, folder):
     return rows.select(_big("query_id"), "collection", "base", _big("chunk"), _big("pos"))
 
 
+def document_phrases(spark, folder):
+    """Phrases in document positions, across words and chunks."""
+    rows = PH.document_phrases(index_of(spark, folder), PHRASES)
+    return rows.select(_big("query_id"), "collection", "base", "doc", _big("pos"))
+
+
 def correlation_peaks(spark, folder):
     """Matched-filter curve of a word over all chunks, as its peak and mean per chunk."""
     index = index_of(spark, folder)
@@ -453,6 +461,29 @@ def literal_hits(spark, folder):
     )
 
 
+# ---------------------------------------------------------------- SQL
+
+
+def sql_syllables(spark, folder):
+    """Syllables by language, in SQL."""
+    SQL.register(spark)
+    return spark.sql(
+        """SELECT lang, syllable, count(*) AS n, count(DISTINCT doc_id) AS n_docs, max(phonetic_code(syllable)) AS code
+        FROM (SELECT lang, doc_id, syllables(text) AS said FROM {documents}) LATERAL VIEW explode(said) AS syllable GROUP BY lang, syllable""",
+        documents=table(spark, folder, "documents"),
+    )
+
+
+def sql_chunks(spark, folder):
+    """Chunks of all documents with their word counts, in SQL."""
+    SQL.register(spark)
+    return spark.sql(
+        """SELECT doc_id, CAST(piece AS BIGINT) AS piece, start, md5(c.text) AS text_md5, CAST(size(text_words(c.text)) AS BIGINT) AS n_words
+        FROM {documents} d, LATERAL chunks(d.text, 2048) c""",
+        documents=table(spark, folder, "documents"),
+    )
+
+
 # ---------------------------------------------------------------- incremental
 
 
@@ -573,7 +604,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         mined_sources, mined_anatomy, mined_records,
         search_all, search_phonetic, search_unified, search_recall_only, search_one_base, search_one_collection,
         search_benchmark, snippets, search_report, recall_candidates, recall_true_cosine, recall_unified,
-        search_sequence, bag_scores, word_chains, phrase_positions, correlation_peaks,
+        search_sequence, bag_scores, word_chains, phrase_positions, document_phrases, correlation_peaks,
+        sql_syllables, sql_chunks,
         dictionary_variants, search_expanded, did_you_mean, absence, literal_hits,
         append_packed, append_to_existing, append_index, append_streamed,
         explained_dims, explained_peaks, recall_sharded, json_contract, dictionary_comma, dictionary_synsets, dictionary_composed,

@@ -241,6 +241,12 @@ final AS (SELECT *, mf / (1 + sp / 8.0) AS rr FROM (SELECT m.*, CASE WHEN nw > 1
     phrase = f"""{B.CHUNKS}, {chains},
       s AS (SELECT collection, base, chunk, {B.syllables_of('line')} AS s FROM chunks),
       a AS (SELECT collection, base, chunk, s, query_id, c, unnest(list_filter(range(len(s) - len(c) + 1), lambda p: s[p + 1:p + len(c)] = c)) AS pos FROM s JOIN ch ON len(c) > 1)"""
+    in_docs = f"""{B.CHUNKS}, asked(query_id, query) AS (VALUES {B._rows(W.PHRASES)}), ch AS (SELECT query_id, {B.syllables_of(B.line('query'))} AS c FROM asked),
+      said AS (SELECT collection, base, doc, flatten(list({B.syllables_of('line')} ORDER BY chunk)) AS s FROM chunks GROUP BY ALL),
+      numbered AS (SELECT *, row_number() OVER () AS d FROM said),
+      heard AS (SELECT d, unnest(s) AS x, unnest(range(len(s))) AS pos FROM numbered),
+      want AS (SELECT query_id, len(c) AS k, unnest(c) AS x, unnest(range(len(c))) AS i FROM ch WHERE len(c) > 1),
+      hit AS (SELECT query_id, d, pos - i AS pos FROM heard JOIN want USING (x) GROUP BY query_id, d, pos - i, k HAVING count(*) = k)"""
     curve = f"""{B.CHUNKS}, c AS (SELECT {B.syllables_of(B.line("'keitver'"))} AS c),
       s AS (SELECT collection, base, chunk, {B.syllables_of('line')} AS s FROM chunks),
       f AS (SELECT collection, base, chunk, len(list_filter(range(1, len(c) + 1), lambda j: s[p + j] = c[j])) / len(c) AS f
@@ -294,6 +300,16 @@ final AS (SELECT *, mf / (1 + sp / 8.0) AS rr FROM (SELECT m.*, CASE WHEN nw > 1
             "SELECT query_id, collection, base, hits, bigrams, CASE WHEN hits > 0 THEN 'exists' WHEN bigrams > 0 THEN 'similar' ELSE 'absent' END AS verdict FROM al",
         ),
         "phrase_positions": _with(phrase, "SELECT query_id, collection, base, chunk, pos FROM a"),
+        "document_phrases": _with(in_docs, "SELECT query_id, collection, base, doc, pos FROM hit JOIN numbered USING (d)"),
+        "sql_syllables": _with(
+            f"s AS (SELECT lang, doc_id, unnest({B.syllables_of(B.line('text'))}) AS syllable FROM documents), c AS (SELECT lang, syllable, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM s GROUP BY ALL)",
+            f"SELECT lang, syllable, n, n_docs, {B.soundex('syllable')} AS code FROM c",
+        ),
+        "sql_chunks": _with(
+            B.CHUNKS,
+            f"""SELECT doc AS doc_id, row_number() OVER (PARTITION BY doc ORDER BY chunk) - 1 AS piece, start, md5(text) AS text_md5,
+            CAST(len(regexp_extract_all(lower(text), '[{B.WORD_CHARS}]+')) AS BIGINT) AS n_words FROM chunks""",
+        ),
         "correlation_peaks": _with(
             curve, "SELECT collection, base, chunk, count(*) AS offsets, round(max(f), 6) AS peak, round(sum(f), 6) AS mass FROM f GROUP BY ALL"
         ),
