@@ -164,7 +164,7 @@ def as_letters(words: Column, shift: int) -> Column:
 
 def near_by_words(met: DataFrame, words: DataFrame) -> DataFrame:
     """``a, b``: pairs of lines (h) that share a key of ``met(h, key)`` and lie within one edit of ``words(h, words)`` for each ten of the longer one's."""
-    words = stored(words.withColumn("n", F.size("words")), "lines-words")
+    words = words.withColumn("n", F.size("words"))
     signs = met.join(words.select("h", "n", word_parity(F.col("words")).alias("bits")), "h")
     signs = stored(signs.select("h", "key", "n", *[F.col("bits")[k].alias(f"bits{k}") for k in range(4)]), "lines-word-bits")
     named = lambda s: signs.select("key", F.col("h").alias(s), F.col("n").alias(f"n_{s}"), *[F.col(f"bits{k}").alias(f"{s}{k}") for k in range(4)])
@@ -175,7 +175,7 @@ def near_by_words(met: DataFrame, words: DataFrame) -> DataFrame:
     side = lambda s: spelled.select(F.col("h").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("n", "x", "y")])
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     edits = f"cast(n_b div {WORDS} as int)"
-    return both.where(f"levenshtein(x_a, x_b, {edits}) >= 0 and levenshtein(y_a, y_b, {edits}) >= 0").select("a", "b")
+    return stored(both.where(f"levenshtein(x_a, x_b, {edits}) >= 0 and levenshtein(y_a, y_b, {edits}) >= 0").select("a", "b"), "lines-word-near")
 
 
 def dropped_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", edits: int = EDITS, shortest: int = SHORTEST, short_repeats: bool = False, near_words: bool = False) -> DataFrame:
@@ -208,15 +208,18 @@ def dropped_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", edi
     by_key = Window.partitionBy("key")
     met = keys.select("h", "key", "kind", F.min("h").over(by_key).alias("lo"), F.max("h").over(by_key).alias("hi"), F.max("kind").over(by_key).alias("most"))
     met = stored(met.where("lo <> hi and most > 0").select("h", "key", "kind"), "lines-met")
-    wanted = met.select("h").distinct().join(groups.select("h", "h2", "first"), "h")
-    places = wanted.select("h", "h2", "first", F.col("first.doc_id").alias("of"), F.col("first.print").alias("of_print"))
+    # what met by letters is kept as a line, what met by words as their hashes
+    wanted = met.groupBy("h").agg(F.bool_or(F.col("kind") < 2).alias("by_letters"), F.bool_or(F.col("kind") == 2).alias("by_words")).join(groups.select("h", "h2", "first"), "h")
+    places = wanted.select("h", "h2", "first", "by_letters", "by_words", F.col("first.doc_id").alias("of"), F.col("first.print").alias("of_print"))
     texts = df.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("print"), F.col(text).alias("text"))
     found = texts.join(places, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("print") == F.col("of_print")))
-    found = stored(found.select("h", "h2", "first", F.get(F.split("text", "\n", -1), F.col("first.pos")).alias("line")).dropDuplicates(["h", "h2"]), "lines-text")
+    found = found.select("h", "h2", "first", "by_letters", "by_words", F.get(F.split("text", "\n", -1), F.col("first.pos")).alias("line")).dropDuplicates(["h", "h2"])
+    kept = [F.when(F.col("by_letters"), F.col("line")).alias("line"), F.when(F.col("by_words"), word_hashes(F.col("line"))).alias("words")]
+    found = stored(found.select("h", "h2", "first", *kept), "lines-text")
 
     # lines that share a segment meet only if their letters, and pairs of letters, can be within the edits
     by_segment = met.where("kind < 2")
-    parity = found.join(by_segment.select("h").distinct(), "h", "left_semi").withColumn("of", letters(F.col("line"))).select("h", letter_parity(F.col("of")).alias("ones"), pair_parity(F.col("of")).alias("twos"))
+    parity = found.where("line is not null").withColumn("of", letters(F.col("line"))).select("h", letter_parity(F.col("of")).alias("ones"), pair_parity(F.col("of")).alias("twos"))
     signed = stored(by_segment.withColumn("own", F.col("kind") == 1).join(parity.groupBy("h").agg(F.first("ones").alias("ones"), F.first("twos").alias("twos"), F.count("*").alias("lines")), "h"), "lines-signed")
     short = signed.where("own").select("key", F.col("h").alias("a"), F.col("ones").alias("ones_a"), F.col("twos").alias("twos_a"), F.col("lines").alias("lines_a"))
     long = signed.select("key", F.col("h").alias("b"), F.col("ones").alias("ones_b"), F.col("twos").alias("twos_b"), F.col("lines").alias("lines_b"))
@@ -237,10 +240,9 @@ def dropped_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", edi
     near_lines = later.select("x.*")
     if near_words:
         runs = met.where("kind = 2").select("h", "key")
-        told = found.join(runs.select("h").distinct(), "h").select("h", word_hashes(F.col("line")).alias("words")).dropDuplicates(["h"])
-        found = near_by_words(runs, told)
+        near = near_by_words(runs, found.where("words is not null").select("h", "words"))
         place = lambda s: groups.select(F.col("h").alias(s), F.col("h2").alias(f"{s}2"), F.col("first").alias(f"first_{s}"))
-        near_lines = near_lines.unionByName(found.join(place("a"), "a").join(place("b"), "b").select(later_one).select("x.*"))
+        near_lines = near_lines.unionByName(near.join(place("a"), "a").join(place("b"), "b").select(later_one).select("x.*"))
     near_lines = near_lines.distinct().withColumn("near", F.lit(True))
 
     repeated = groups.select("h", "h2", "first", "times").join(near_lines, ["h", "h2"], "left").where("near or times > 1")
