@@ -20,7 +20,7 @@ from lexivane.sources.vocabulary import BASE_DRIVER
 PACKED = "collection string, base string, seq long, chunk long, start long, text string"
 
 
-def _packed_base(rows: Iterator[tuple[int, int | None, int | None, str]], size: int) -> Iterator[tuple[int, int, int, str]]:
+def packed_rows(rows: Iterator[tuple[int, int | None, int | None, str]], size: int) -> Iterator[tuple[int, int, int, str]]:
     """Chunks ``(seq, chunk, start, text)`` of one base from its rows ``(seq, chunk, start, text)`` in order.
 
     A row with a chunk number is the open tail of the base; every other row is cut together with the chunk
@@ -52,7 +52,7 @@ def _fold(size: int):
         none = lambda x: None if x is None or pd.isna(x) else int(x)
         done: list[tuple] = []
         for (collection, base), rows in groupby(stream, key=lambda x: x[0]):
-            for packed in _packed_base(((int(seq), none(chunk), none(start), text) for _, (seq, chunk, start, text) in rows), size):
+            for packed in packed_rows(((int(seq), none(chunk), none(start), text) for _, (seq, chunk, start, text) in rows), size):
                 done.append((collection, base, *packed))
                 if len(done) == 10_000:
                     yield pd.DataFrame(done, columns=columns)
@@ -70,7 +70,7 @@ def packed_chunks(texts: DataFrame, last_chunks: DataFrame | None = None, size:
     only its open chunk is held in memory, never the group.
     """
     columns = ["collection", "base", "seq", "chunk", "start", "text"]
-    rows = texts.select("collection", "base", F.col("seq").cast("long"), F.lit(None).cast("long").alias("chunk"), F.lit(None).cast("long").alias("start"), "text")
+    rows = texts.select("collection", "base", F.col("seq").cast("long"), F.lit(None).cast("long").alias("chunk"), F.lit(None).cast("long").alias("start"), F.coalesce("text", F.lit("")).alias("text"))
     if last_chunks is not None:
         tails = last_chunks.join(texts.select("collection", "base").distinct(), ["collection", "base"], "left_semi")
         rows = rows.unionByName(tails.select("collection", "base", F.lit(-1).cast("long").alias("seq"), F.col("chunk").cast("long"), F.col("start").cast("long"), "text"))

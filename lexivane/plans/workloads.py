@@ -519,13 +519,14 @@ def append_index(spark, folder):
 
 
 def append_streamed(spark, folder):
-    """The same turns arriving as a stream."""
-    schema = table(spark, folder, "conversations").schema
-    arriving = spark.readStream.schema(schema).parquet(f"{folder}/conversations*.parquet")
-    texts = arriving.select(F.lit("talks").alias("collection"), F.col("conv_id").cast("string").alias("base"), F.col("turn").alias("seq"), "text")
+    """The turns arriving in three lots; the stream is started anew for each and goes on from its state."""
     store = TableStore(spark)
+    every = turns(spark, folder)
     log = ChunkLog(store)
-    append_stream(texts, log, store.path("stream_state"), SMALL_CHUNK).awaitTermination()
+    for lot, seqs in enumerate(("seq = 0", "seq between 1 and 2", "seq > 2")):
+        every.where(seqs).write.parquet(store.path(f"arriving/lot={lot}"))
+        texts = spark.readStream.schema(every.schema).parquet(store.path("arriving/lot=*"))
+        append_stream(texts, log, store.path("stream_state"), SMALL_CHUNK).awaitTermination()
     return log.current().select("base", _big("chunk"), _big("start"), F.md5("text").alias("text_md5"))
 
 

@@ -1,5 +1,7 @@
 import json
 
+
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from lexivane.plans.store import TableStore
 from lexivane.sources import base_json as J
 from lexivane.sources import thesaurus as TH
 from lexivane.sources import vocabulary as V
-from lexivane.streaming.appends import ChunkLog, append_stream
+from lexivane.streaming.appends import ChunkLog, append_stream, in_order
 from lexivane.streaming.mining_cycles import KnowledgeStore, run_cycle
 
 ROWS = "collection string, base string, doc long, text string"
@@ -85,6 +87,27 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(got.collect()) == sorted(want.collect())
 
 
+def test_stream_state_holds_open_chunks_only(spark, tmp_path):
+    schema = "collection string, base string, seq long, text string"
+    log = ChunkLog(TableStore(spark))
+    rows = [[(None, "x", i, f"wort{i} und mehr ") for i in range(lot * 20, lot * 20 + 20)] + [("c", "y", lot, None if lot == 1 else "so ")] for lot in range(3)]
+    for lot in rows:
+        spark.createDataFrame(lot[::-1], schema).repartition(3).write.mode("append").parquet(str(tmp_path / "in"))
+        append_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), log, str(tmp_path / "state"), 30).awaitTermination()
+        state = spark.read.format("statestore").load(str(tmp_path / "state"))
+        assert state.count() == 2
+    want = A.packed_chunks(spark.createDataFrame(sum(rows, []), schema), size=30).select("base", "chunk", "start", "text").collect()
+    assert sorted(log.current().select("base", "chunk", "start", "text").collect()) == sorted(want)
+    # batches write what they changed
+    assert log.rows().where("batch = 2 and base = 'x' and chunk < 5").count() == 0
+
+
+def test_rows_in_order_beyond_the_held_letters():
+    frames = [pd.DataFrame({"seq": list(range(i, 40, 4))[::-1], "text": [f"t{n}" for n in range(i, 40, 4)][::-1]}) for i in range(4)]
+    for held in (1, 7, 1000):
+        assert list(in_order(frames, held)) == [(n, f"t{n}") for n in range(40)]
+
+
 def test_mining_skips_unchanged(spark, index):
     knowledge = KnowledgeStore(TableStore(spark))
     assert run_cycle(index, knowledge, 0, ["c"]).count() == 1
