@@ -129,9 +129,8 @@ def suggest_terms(index: Index, missing: DataFrame, collection=None, base="*", l
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
 
-def absence_report(index: Index, queries: DataFrame, variants: DataFrame, collection=None, base="*") -> DataFrame:
-    """Queries that nothing anchors in the scope, with their dropped variants and suggestions."""
-    split = split_by_scope(index, queries, variants, collection, base)
+def explained_absence(index: Index, split: DataFrame, collection=None, base="*") -> DataFrame:
+    """``query_id, absent, dropped, did_you_mean`` of the queries in ``split``, which tells what can match the scope."""
     state = split.groupBy("query_id").agg(
         (~F.bool_or("kept")).alias("absent"),
         F.sort_array(F.collect_list(F.when((F.col("variant_no") > 0) & ~F.col("kept"), F.col("variant")))).alias("dropped"),
@@ -140,15 +139,18 @@ def absence_report(index: Index, queries: DataFrame, variants: DataFrame, collec
     near = suggest_terms(index, missing, collection, base).groupBy("query_id").agg(
         F.sort_array(F.collect_list(F.struct("rank", "word"))).alias("near")
     )
-    return queries.join(state, "query_id").join(near, "query_id", "left").select(
-        "query_id",
-        "query",
-        "absent",
-        "dropped",
-        F.coalesce(F.transform("near", lambda n: n["word"]), F.array().cast("array<string>")).alias("did_you_mean"),
+    return state.join(near, "query_id", "left").select(
+        "query_id", "absent", "dropped", F.coalesce(F.transform("near", lambda n: n["word"]), F.array().cast("array<string>")).alias("did_you_mean")
     )
 
 
+def absence_report(index: Index, queries: DataFrame, variants: DataFrame, collection=None, base="*") -> DataFrame:
+    """Queries that nothing anchors in the scope, with their dropped variants and suggestions."""
+    split = split_by_scope(index, queries, variants, collection, base)
+    explained = explained_absence(index, split, collection, base)
+    return queries.join(explained, "query_id").select("query_id", "query", "absent", "dropped", "did_you_mean")
+
+
 def search_expand(
     index: Index,
     queries,
@@ -168,6 +170,11 @@ def search_expand(
     queries = Q.query_frame(index.spark, queries)
     variants = expansions(queries, synonyms, cache, expander)
     kept = split_by_scope(index, queries, variants, collection, base).where("kept")
+    return search_kept(index, queries, kept, collection, base, k, phonetic)
+
+
+def search_kept(index: Index, queries: DataFrame, kept: DataFrame, collection: str | None = None, base: str = "*", k: int = 8, phonetic: bool = False) -> DataFrame:
+    """The search of :func:`search_expand` for originals and variants ``kept(query_id, variant_no, variant)``."""
     numbered = kept.select("query_id", "variant_no", F.col("variant").alias("query")).withColumn("batch_id", F.monotonically_increasing_id())
     batch = index.store.save(f"expanded_queries-{uuid.uuid4().hex}", numbered)  # earlier calls keep theirs
     asked = batch.select(F.col("batch_id").alias("query_id"), "query")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexivane.functions.chunking import DEFAULT_CHUNK_SIZE
 from lexivane.operators import append as A
+from lexivane.operators import cascade as CA
 from lexivane.operators import catalog as C
 from lexivane.operators import expand as E
 from lexivane.operators import explain as X
@@ -48,6 +49,7 @@ class LexicalEngine:
         self.driver_folder = drivers_folder
         self.synonyms: DataFrame | None = None
         self.expansion_cache: DataFrame | None = None
+        self.learned_expansions = CA.ExpansionCache(self.store)
         self.index: Index | None = None
         self.generation = 0
 
@@ -172,6 +174,10 @@ class LexicalEngine:
     def search_expand(self, queries, base: str = "*", collection: str | None = None, k: int = 8, phonetic: bool = False, expander=None) -> DataFrame:
         return E.search_expand(self.index, queries, self.synonyms, self.expansion_cache, expander, collection, base, k, phonetic).orderBy("query_id", "rank")
 
+    def search_cascade(self, queries, base: str = "*", collection: str | None = None, k: int = 8, phonetic: bool = False, expander=None) -> CA.Cascade:
+        """Dictionaries, learned expansions, ``expander`` (whose variants are learned), literal search: outcome and hits of every query."""
+        return CA.cascade(self.index, queries, self.synonyms, self.learned_expansions, expander, collection, base, k, phonetic)
+
     def absence(self, queries, base: str = "*", collection: str | None = None) -> DataFrame:
         asked = Q.query_frame(self.spark, queries)
         return E.absence_report(self.index, asked, E.expansions(asked, self.synonyms, self.expansion_cache), collection, base)

@@ -15,6 +15,7 @@ from lexivane.functions import chunking
 from lexivane.functions import sql as SQL
 from lexivane.functions import text as T
 from lexivane.operators import append as A
+from lexivane.operators import cascade as CA
 from lexivane.operators import catalog as C
 from lexivane.operators import expand as E
 from lexivane.operators import explain as X
@@ -426,12 +427,10 @@ def correlation_peaks(spark, folder):
 
 
 def dictionary_variants(spark, folder):
+    """Benchmark texts expanded by the given synonyms and by the spellings of their words in the documents."""
     queries = table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    words = synonym_table(spark).unionByName(
-        L.word_counts(table(spark, folder, "documents")).groupBy(F.substring("word", 1, 3).alias("w")).agg(
-            F.slice(F.sort_array(F.collect_set(F.substring("word", 1, 5))), 1, 3).alias("s")
-        )
-    )
+    spelled = L.word_counts(table(spark, folder, "documents")).groupBy(T.normalize("word").alias("w")).agg(F.collect_set("word").alias("s"))
+    words = synonym_table(spark).unionByName(spelled)
     merged = words.groupBy("w").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("s")))).alias("s"))
     return E.dictionary_expansions(queries, merged).select(F.col("query_id").alias("item_id"), _big("variant_no"), "variant")
 
@@ -461,6 +460,26 @@ def literal_hits(spark, folder):
     )
 
 
+#: Queries that end in each step of the cascade: dictionaries, cache (one of them absent), expander, literal search, nothing.
+CASCADE = ["ciónmenteraí para doci", "and the of", "zzzyx qqwk", "menten queéch", "ticket OE-6016 at 192 or 10 of 2024", "xyzzy", "invoice 2024 and QX-99999"]
+CACHED = {"and the of": ["reing", "onthwh reing"], "zzzyx qqwk": ["qqwkz", "therrou"]}
+EXPANDED = {"menten queéch": ["anier pale", "zzzyx", "para"], "and the of": ["never asked"]}
+
+
+def search_cascade(spark, folder):
+    """Outcome and hits of queries that end in different steps."""
+    index = index_of(spark, folder)
+    cache = CA.ExpansionCache(TableStore(spark))
+    for _ in range(2):  # the second time each row is replaced by itself
+        cache.upsert(spark.createDataFrame(list(CACHED.items()), "query_key string, variants array<string>"))
+    known = spark.createDataFrame(list(EXPANDED.items()), "query string, variants array<string>")
+    expander = lambda left: left.join(known, "query").select("query_id", F.posexplode("variants").alias("n", "variant")).select("query_id", (F.col("n") + 1).alias("variant_no"), "variant")
+    found = CA.cascade(index, CASCADE, synonym_table(spark), cache, expander)
+    rows = found.outcome.join(found.hits.drop("source"), "query_id", "left")
+    flat = [F.array_join(c, ";").alias(c) for c in ("expansions", "dropped", "did_you_mean")]
+    return rows.select(_big("query_id"), "source", "absent", *flat, _big("rank"), "collection", "base", _big("chunk"), _r("coverage"), _big("span"), "via")
+
+
 # ---------------------------------------------------------------- SQL
 
 
@@ -607,7 +626,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         search_benchmark, snippets, search_report, recall_candidates, recall_true_cosine, recall_unified,
         search_sequence, bag_scores, word_chains, phrase_positions, document_phrases, correlation_peaks,
         sql_syllables, sql_chunks,
-        dictionary_variants, search_expanded, did_you_mean, absence, literal_hits,
+        dictionary_variants, search_expanded, did_you_mean, absence, literal_hits, search_cascade,
         append_packed, append_to_existing, append_index, append_streamed,
         explained_dims, explained_peaks, recall_sharded, json_contract, dictionary_comma, dictionary_synsets, dictionary_composed,
     ]

@@ -371,12 +371,12 @@ def _expansion_statements() -> dict[str, str]:
     given = _values([(w, s) for w, s in W.SYNONYMS.items()])
     found_words = f"SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[{B.WORD_CHARS}]+')) AS word FROM documents"
     mixed = f"""given(w, s) AS (VALUES {given}),
-      stems AS (SELECT substr(word, 1, 3) AS w, list_sort(list(DISTINCT substr(word, 1, 5)))[1:3] AS s FROM ({found_words}) GROUP BY 1),
-      synonyms AS (SELECT w, list_sort(list_distinct(flatten(list(s)))) AS s FROM (SELECT * FROM given UNION ALL SELECT * FROM stems) GROUP BY w)"""
+      spelled AS (SELECT {B.plain('word')} AS w, list(DISTINCT word) AS s FROM ({found_words}) GROUP BY 1),
+      synonyms AS (SELECT w, list_sort(list_distinct(flatten(list(s)))) AS s FROM (SELECT * FROM given UNION ALL SELECT * FROM spelled) GROUP BY w)"""
     keys = f"wk AS (SELECT DISTINCT string_split(w, '|')[1:2] AS key FROM (SELECT unnest({B.words_of('line')}) AS w FROM chunks))"
     fixed = f"synonyms(w, s) AS (VALUES {given})"
-    expanded = f"""{B.TOKENS}, asked(query_id, query) AS (VALUES {B._rows(W.SEARCHES)}), {_variants(fixed, 'asked')}, {keys},
-      ev AS (SELECT query_id, 0 AS variant_no, query AS variant FROM asked UNION ALL SELECT * FROM variants),
+    expanded_by = lambda asked, variants, more="": f"""{B.TOKENS}, asked(query_id, query) AS (VALUES {asked}), {variants}, {keys},
+      ev AS (SELECT query_id, 0 AS variant_no, query AS variant FROM asked UNION ALL SELECT * FROM variants{more}),
       evw AS (SELECT query_id, variant_no, string_split(ew, '|')[1:2] AS key FROM (SELECT query_id, variant_no, unnest({B.words_of(B.line('variant'))}) AS ew FROM ev)),
       kept AS (SELECT * FROM ev SEMI JOIN (SELECT DISTINCT query_id, variant_no FROM evw SEMI JOIN wk USING (key)) USING (query_id, variant_no)),
       batch AS (SELECT query_id * 1000 + variant_no AS query_id, variant AS query FROM kept),
@@ -385,6 +385,7 @@ def _expansion_statements() -> dict[str, str]:
       bestv AS (SELECT query_id // 1000 AS query_id, query_id % 1000 AS variant_no, collection, base, chunk, cos, coverage + CASE WHEN query_id % 1000 = 0 THEN 0.001 ELSE 0 END AS var_cov FROM top1),
       cands2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, collection, base, chunk ORDER BY round(var_cov, 9) DESC, variant_no) AS n FROM bestv) WHERE n = 1),
       {B.queries('asked', '2')}, {B.rerank(cands='cands2', suffix='2')}"""
+    expanded = expanded_by(B._rows(W.SEARCHES), _variants(fixed, "asked"))
     missing = f"missing(query_id, term) AS (VALUES {_values([(0, 'therrou'), (0, 'onthe'), (1, 'keitverr'), (2, 'paresi')])})"
     unknown = [(0, "zzzyx qqwk"), (1, "thereou"), (2, "xyzzy")]
     absent = f"""{B.CHUNKS}, asked(query_id, query) AS (VALUES {_values(unknown)}), {keys},
@@ -393,6 +394,23 @@ def _expansion_statements() -> dict[str, str]:
     literal = f"""{B.CHUNKS}, nd(j, needle) AS (VALUES {_values([(0, 'oe-6016'), (1, '192'), (2, '10'), (3, '2024')])}),
       f AS (SELECT collection, base, doc, chunk, start, text, list(needle ORDER BY j) AS ns FROM chunks JOIN nd ON contains(lower(text), needle) GROUP BY ALL),
       r AS (SELECT *, len(ns) / 4 AS coverage, strpos(lower(text), ns[1]) - 1 AS p0, row_number() OVER (ORDER BY len(ns) DESC, collection, base, chunk) AS rank FROM f)"""
+    cached = [(q, n + 1, v) for q in (1, 2) for n, v in enumerate(W.CACHED[W.CASCADE[q]])]
+    made_up = [(3, n + 1, v) for n, v in enumerate(W.EXPANDED[W.CASCADE[3]])]
+    steps = f"""{_suggest(f"missing(query_id, term) AS (VALUES {_values([(2, W.CASCADE[2])] + [(q, v) for q, _, v in cached if q == 2])})")},
+      found AS (SELECT query_id, rank, collection, base, chunk, coverage, span, CASE WHEN variant_no = 0 THEN 'original' ELSE variant END AS via
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(coverage, 9) DESC, round(var_cov, 9) DESC, span, variant_no = 0 DESC, collection, base, chunk) AS rank FROM scored2)
+        JOIN (SELECT query_id, variant_no, variant FROM kept) USING (query_id, variant_no) WHERE rank <= 8),
+      nd(query_id, needle) AS (VALUES {_values([(4, "oe-6016"), (4, "192"), (4, "10"), (4, "2024"), (6, "2024"), (6, "qx-99999")])}),
+      lf AS (SELECT query_id, collection, base, doc, chunk, count(*) AS span FROM chunks JOIN nd ON contains(lower(text), needle) GROUP BY ALL),
+      lr AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY span DESC, collection, base, chunk) AS rank, collection, base, chunk,
+          span / (SELECT count(*) FROM nd WHERE nd.query_id = lf.query_id) AS coverage, span, 'literal_fallback' AS via FROM lf),
+      hits AS (SELECT * FROM found UNION ALL SELECT * FROM lr WHERE rank <= 8),
+      every(query_id, step) AS (VALUES {_values([(0, "dict"), (1, "cache"), (2, "cache"), (3, "custom"), (4, "none"), (5, "none"), (6, "none")])}),
+      outcome AS (SELECT query_id, CASE WHEN query_id IN (SELECT query_id FROM lr) THEN 'literal_fallback' ELSE step END AS source,
+          step <> 'none' AND query_id NOT IN (SELECT query_id FROM kept) AS absent,
+          coalesce((SELECT string_agg(variant, ';' ORDER BY variant_no) FROM ev WHERE ev.query_id = every.query_id AND variant_no > 0), '') AS expansions,
+          coalesce((SELECT string_agg(variant, ';' ORDER BY variant) FROM ev ANTI JOIN kept USING (query_id, variant_no) WHERE ev.query_id = every.query_id AND variant_no > 0), '') AS dropped FROM every)"""
+    cascade = f"""{expanded_by(_values([(q, W.CASCADE[q]) for q in range(4)]), _variants(fixed, "(SELECT * FROM asked WHERE query_id = 0)"), f" UNION ALL VALUES {_values(cached + made_up)}")}, {steps}"""
     best = f"""{B.TOKENS}, {B.literal_queries(W.SEARCHES)}, {B.recall()}, {B.rerank()},
       top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(coverage, 9) DESC, span, round(cos, 9) DESC, collection, base, chunk DESC) AS rank FROM scored) WHERE rank = 1)"""
     slides = f"""{best}, seqs AS (SELECT collection, base, chunk, {B.syllables_of('line')} AS s FROM chunks SEMI JOIN top USING (collection, base, chunk)),
@@ -442,6 +460,12 @@ def _expansion_statements() -> dict[str, str]:
             """SELECT rank, collection, base, chunk, start, round(coverage, 6) AS coverage, len(ns) AS span, array_to_string(ns, ' ') AS needles,
                '…' || substr(text, greatest(p0 - 100, 0) + 1, least(p0 + length(ns[1]) + 100, length(text)) - greatest(p0 - 100, 0)) || '…' AS snippet FROM r WHERE rank <= 10""",
         ),
+        "search_cascade": _with(
+            cascade,
+            """SELECT query_id, source, absent, expansions, dropped, rank, collection, base, chunk, round(coverage, 6) AS coverage, span, via,
+               CASE WHEN absent THEN coalesce((SELECT string_agg(word, ';' ORDER BY rank) FROM near WHERE near.query_id = outcome.query_id), '') ELSE '' END AS did_you_mean
+            FROM outcome LEFT JOIN hits USING (query_id)""",
+        ),
         "explained_dims": _with(
             best,
             """SELECT query_id, token, dim, q_tf AS count, p.tf IS NOT NULL AS hit, coalesce(p.tf, 0) AS chunk_count

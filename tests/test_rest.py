@@ -1,6 +1,5 @@
 import json
 
-
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +7,7 @@ from pyspark.sql import functions as F
 from brute import cut_text
 from lexivane import LexicalEngine
 from lexivane.operators import append as A
+from lexivane.operators import cascade as CA
 from lexivane.operators import catalog as C
 from lexivane.operators import expand as E
 from lexivane.operators import index as I
@@ -130,6 +130,30 @@ def test_expansion_order_and_limits(spark):
     assert E.expansions(Q.query_frame(spark, ["Casa  do porta"]), None, cache).count() == 2
 
 
+def test_cascade_learns_what_the_expander_found(spark, index):
+    asked = []
+
+    def expander(left):
+        asked.append(sorted(r["query"] for r in left.collect()))
+        return left.where("query like 'casa%'").select("query_id", F.lit(1).alias("variant_no"), F.lit("porta").alias("variant"))
+
+    cache = CA.ExpansionCache(TableStore(spark))
+    syn = spark.createDataFrame([("porta", ["casa", "zzzz"])], "w string, s array<string>")
+    queries = ["Casa  verde", "porta", "casa verde", "nada 77-x", "nada"]
+    first = CA.cascade(index, queries, syn, cache, expander)
+    sources = lambda got: [r["source"] for r in got.outcome.orderBy("query_id").collect()]
+    # the expander is asked by one query text as it stands, and only for what dictionaries left
+    assert asked == [["Casa  verde", "casa verde", "nada", "nada 77-x"]]
+    assert sources(first) == ["none", "dict", "custom", "none", "none"]
+    second = CA.cascade(index, queries, syn, cache)
+    assert sources(second) == ["cache", "dict", "cache", "none", "none"]
+    assert cache.current().count() == 1
+    cache.upsert(spark.createDataFrame([("casa verde", ["morada"]), ("nada", ["casa"])], "query_key string, variants array<string>"))
+    assert {r["query_key"]: r["variants"] for r in cache.current().collect()} == {"casa verde": ["morada"], "nada": ["casa"]}
+    nothing = CA.cascade(index, Q.query_frame(spark, ["x"]).where("false"), syn, cache)
+    assert nothing.outcome.count() == 0 and nothing.hits.count() == 0
+
+
 def test_absence_and_suggestions(spark, index):
     queries = Q.query_frame(spark, ["montanya", "casa", "montana"])
     rows = {r["query_id"]: r for r in E.absence_report(index, queries, E.expansions(queries)).collect()}
