@@ -220,9 +220,9 @@ def _norm(weight):
 def stats_per_chunk(chunks: DataFrame, postings: DataFrame, idf: DataFrame, union: DataFrame) -> DataFrame:
     """Token counts and tf-idf norms. Entries of a chunk sit in one task, so the partial sums
     leave about one row per chunk to shuffle."""
-    weighed = postings.join(idf.select(*BASE, "token", "idf_exact"), BASE + ["token"]).join(
-        union.select("collection", "token", "uidf"), ["collection", "token"]
-    )
+    # both weights of a token are put together among the frequencies, so the postings are joined once
+    weights = idf.join(union.select("collection", "token", "uidf"), ["collection", "token"]).select(*BASE, "token", "idf_exact", "uidf")
+    weighed = postings.join(weights, BASE + ["token"])
     norms = weighed.groupBy("uid").agg(
         F.sum("tf").alias("known"),
         F.round(_norm(F.col("tf") * F.col("idf_exact")), 6).alias("norm"),

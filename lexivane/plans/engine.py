@@ -22,6 +22,7 @@ from lexivane.sources import base_json as J
 from lexivane.sources import files
 from lexivane.sources import thesaurus as TH
 from lexivane.sources import vocabulary as V
+from lexivane.sources.driver_catalog import DriverCatalog
 
 
 class LexicalEngine:
@@ -47,6 +48,8 @@ class LexicalEngine:
         self.max_chunks_per_base = max_chunks_per_base
         self.vocab, self.driver_meta = V.read_drivers(spark, drivers_folder) if drivers_folder else (V.base_syllabary(spark), None)
         self.driver_folder = drivers_folder
+        self.driver_catalog = DriverCatalog(self.store)
+        self._vocab_to_write: DataFrame | None = None
         self.synonyms: DataFrame | None = None
         self.expansion_cache: DataFrame | None = None
         self.learned_expansions = CA.ExpansionCache(self.store)
@@ -76,7 +79,8 @@ class LexicalEngine:
         """
         rows = I.tokenized(docs, self.chunk_size, max_chunks, with_text)
         if self.index is not None:
-            return self._without(docs, rows)
+            vocab, self._vocab_to_write = self._vocab_to_write, None
+            return self._without(docs, rows, vocab)
         return self._publish(I.index_rows(rows, self._next_store(), self.chunk_size, self.vocab))
 
     def ingest_files(self, path: str, collection: str = files.DEFAULT_COLLECTION, **options) -> Index:
@@ -153,6 +157,32 @@ class LexicalEngine:
     def drivers(self, match: str = "*") -> DataFrame:
         return V.list_drivers(self.vocab, self.driver_meta, match)
 
+    def _catalog(self) -> DriverCatalog:
+        if not self.driver_catalog.version and self.driver_meta is not None:
+            self.driver_catalog.add(self.vocab, self.driver_meta, installed=True)
+        return self.driver_catalog
+
+    def add_drivers(self, folder: str) -> DataFrame:
+        """Make the drivers of a folder available, not yet installed; all known files."""
+        self._catalog().add(*V.read_drivers(self.spark, folder))
+        return self.driver_catalog.files()
+
+    def install_driver(self, file: str) -> int:
+        """Texts that come in later go to this driver by their extensions. Gives the number of installed drivers."""
+        installed = self._catalog().install(file)
+        fresh = self.driver_catalog.vocab()
+        kept = self.vocab.join(fresh.select("driver").distinct(), "driver", "left_anti")
+        self.vocab = kept.unionByName(fresh.select(*kept.columns))
+        self.driver_meta = self.driver_catalog.meta()
+        self._vocab_to_write = self.vocab
+        return installed
+
+    def uninstall_driver(self, file: str) -> int:
+        """Later texts no longer go to this driver; bases that have it keep its tokens."""
+        installed = self._catalog().uninstall(file)
+        self.driver_meta = self.driver_catalog.meta()
+        return installed
+
     def interpret(self, paths: list[str]) -> DataFrame:
         return V.interpret(self.spark.createDataFrame([(p,) for p in paths], "path string"), self.driver_meta)
 

@@ -29,6 +29,8 @@ from lexivane.operators import search as S
 from lexivane.plans.store import TableStore
 from lexivane.sources import base_json as J
 from lexivane.sources import thesaurus as TH
+from lexivane.sources import vocabulary as V
+from lexivane.sources.driver_catalog import DriverCatalog
 from lexivane.streaming.appends import ChunkLog, append_stream
 
 # Parameters of the registered searches.
@@ -132,6 +134,27 @@ def page_names(spark, folder):
     )
 
 
+def interpret_pages(spark, folder):
+    """Drivers of all pages by extension before an install, after it, and after the driver is gone again."""
+    catalog = DriverCatalog(TableStore(spark))
+    web = spark.createDataFrame([("tokens_Web_PTBR.drv", "Web", "web pages", "", [".html", ".htm"])], "file string, driver string, header string, description string, extensions array<string>")
+    base = V.base_syllabary(spark)
+    catalog.add(V.derive_driver(base, "Web", ["div", "span", " Div", "href"]), web)
+    catalog.add(base, web.select(F.lit(V.FALLBACK_FILE).alias("file"), F.lit(V.BASE_DRIVER).alias("driver"), "header", "description", F.array(F.lit(".txt")).alias("extensions")), installed=True)
+    pages = table(spark, folder, "pages").select("page_id", "url")
+
+    def routed(step):
+        listed = V.list_drivers(catalog.vocab(), catalog.meta()).select(F.col("driver").alias("language"), _big("keywords"), _big("vocab_size"))
+        found = V.interpret(pages, catalog.meta(), "url").join(listed, "language", "left")
+        return found.select("page_id", F.lit(step).alias("step"), "extension", "matched", "driver", "language", "keywords", "vocab_size")
+
+    before = routed("before")
+    catalog.install("tokens_Web_PTBR.drv")
+    installed = routed("installed")
+    catalog.uninstall("tokens_Web_PTBR.drv")
+    return before.unionByName(installed).unionByName(routed("uninstalled"))
+
+
 def key_terms(spark, folder):
     rows = Q.query_terms(table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")))
     terms = rows.select(F.col("query_id").alias("item_id"), F.posexplode("terms").alias("term_no", "t"))
@@ -615,7 +638,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in [
         word_counts, syllable_counts, word_lexicon, phonetic_groups, literal_needles, query_keys, cleaned_texts,
-        page_names, key_terms,
+        page_names, interpret_pages, key_terms,
         chunk_index, chunk_stats, base_meta, idf_table, idf_classic, postings, tfidf_weights, position_lists,
         position_gaps, seek_position, zipf_table, zipf_exponent, zipf_coverage, active_dims, oov_tokens, oov_top,
         bigrams, base_embeddings,

@@ -45,6 +45,13 @@ def _text_statements() -> dict[str, str]:
             decoded, masked
           FROM (SELECT page_id, CASE WHEN {derived} = '' THEN 'base' ELSE {derived} END AS base_name, nullif({ext}, '') AS extension,
                 url_decode(replace(url, '+', ' ')) AS decoded, left(url, 6) || '…' || right(url, 4) AS masked FROM pages)""",
+        "interpret_pages": _with(
+            f"{B.vocab()}, n AS (SELECT count(*) AS n FROM vocab), p AS (SELECT page_id, nullif({ext}, '') AS extension FROM pages)",
+            """SELECT page_id, step, extension, m AS matched, CASE WHEN m THEN 'tokens_Web_PTBR.drv' ELSE 'tokens_PTBR.drv' END AS driver,
+               CASE WHEN m THEN 'Web' ELSE 'PTBR' END AS language, CASE WHEN m THEN 3 ELSE 0 END AS keywords, n + CASE WHEN m THEN 3 ELSE 0 END AS vocab_size
+            FROM (SELECT *, coalesce(step = 'installed' AND extension IN ('.html', '.htm') , false) AS m FROM p CROSS JOIN n
+                  CROSS JOIN (VALUES ('before'), ('installed'), ('uninstalled')) s(step))""",
+        ),
         "key_terms": _with(
             B.queries("(SELECT item_id AS query_id, text AS query FROM benchmark)"),
             "SELECT query_id AS item_id, term_no, replace(term, '|', '-') AS term, k, sx FROM terms",

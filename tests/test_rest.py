@@ -65,6 +65,29 @@ def test_append_packs_in_order(spark):
         assert [(r["start"], r["text"]) for r in got if r["base"] == base] == fold(listed, 10)
 
 
+def test_drivers_are_installed_as_versions(spark, tmp_path):
+    folder = tmp_path / "out"
+    folder.mkdir()
+    (folder / "tokens_Rust_PTBR.drv").write_text("# Rust\n# extensoes: .rs\nfa\nlar\n=fn\n")
+    engine = LexicalEngine(spark, str(tmp_path / "root"))
+    files = engine.add_drivers(str(folder))
+    assert [tuple(r) for r in files.select("file", "installed").collect()] == [("tokens_Rust_PTBR.drv", False)]
+    routed = lambda: [(r["matched"], r["language"]) for r in V.interpret(spark.createDataFrame([("a.rs",), ("b",)], "path string"), engine.driver_catalog.meta()).orderBy("path").collect()]
+    assert routed() == [(False, "PTBR"), (False, "PTBR")]
+    engine.ingest(spark.createDataFrame([("c", "x", 0, "casa verde")], ROWS))
+    assert engine.install_driver("tokens_Rust_PTBR.drv") == 1
+    assert routed() == [(True, "Rust"), (False, "PTBR")]
+    engine.ingest(spark.createDataFrame([("c", "y", 0, "fala lar", "Rust")], f"{ROWS}, driver string"))
+    tokens = engine.index.postings.where("base = 'y'").select("token", "dim").distinct().collect()
+    assert sorted(tuple(r) for r in tokens) == [("fa", 0), ("lar", 1)]
+    before = engine.driver_catalog.files()
+    assert engine.uninstall_driver("tokens_Rust_PTBR.drv") == 0
+    assert routed() == [(False, "PTBR"), (False, "PTBR")] and before.where("installed").count() == 1
+    for file, error in (("../x.drv", ValueError), (V.FALLBACK_FILE, ValueError), ("tokens_Rust_PTBR.drv", FileNotFoundError)):
+        with pytest.raises(error):
+            engine.uninstall_driver(file)
+
+
 def test_append_leaves_other_chunks(spark):
     old = spark.createDataFrame([("c", "x", 0, 0, "um dois"), ("c", "x", 1, 8, "tres"), ("c", "y", 0, 0, "so")], "collection string, base string, chunk int, start int, text string")
     new = spark.createDataFrame([("c", "x", 0, " quatro")], "collection string, base string, seq long, text string")
