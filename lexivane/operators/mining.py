@@ -43,7 +43,8 @@ def mine(index: Index, previous: DataFrame | None = None, enabled: list[str] | N
     """Knowledge records of the enabled collections whose source hash changed.
 
     ``previous(collection, source_hash)`` holds the last cycle; without it all collections count as
-    changed. The anatomy rows stay in their own table, see :func:`corpus_rows`.
+    changed. A record is bounded; what the anatomy says of each base are the rows of :func:`corpus_rows`, whose
+    vectors follow the order of ``salient_roots``.
     """
     hashes = source_hashes(index.bases)
     if enabled is not None:
@@ -56,7 +57,13 @@ def mine(index: Index, previous: DataFrame | None = None, enabled: list[str] | N
         "collection",
         F.lit(0).alias("level"),
         "source_hash",
-        F.struct(F.concat(F.lit("l0-"), F.left("source_hash", F.lit(8))).alias("digestion_id"), F.lit("level0/no-ai").alias("via")).alias("provenance"),
+        F.current_timestamp().alias("updated"),
+        F.struct(
+            F.concat(F.lit("l0-"), F.left("source_hash", F.lit(8))).alias("digestion_id"),
+            F.lit("level0/no-ai").alias("via"),
+            F.current_timestamp().alias("at"),
+            F.struct(F.col("n_bases").alias("bases"), "total_chunks", "source_hash").alias("inputs"),
+        ).alias("provenance"),
         F.array(
             F.struct(F.lit("RootIndex").alias("type"), F.lit(0).alias("level"), F.to_json(F.struct("n_bases", "total_chunks", "unified_vocab_size", "salient_roots")).alias("content")),
             F.struct(F.lit("CorpusDict").alias("type"), F.lit(0).alias("level"), F.to_json(F.struct("unified_vocab_size", "n_bases")).alias("content")),

@@ -32,6 +32,7 @@ from lexivane.sources import thesaurus as TH
 from lexivane.sources import vocabulary as V
 from lexivane.sources.driver_catalog import DriverCatalog
 from lexivane.streaming.appends import ChunkLog, append_stream
+from lexivane.streaming.mining_cycles import KnowledgeStore, run_cycle
 
 # Parameters of the registered searches.
 SEARCHES = [
@@ -53,6 +54,7 @@ SYNONYMS = {
     "émentch": ["ment", "chement"],
 }
 SMALL_CHUNK = 256
+MINED_FIRST = ["de", "en"]
 
 _indexes: dict[tuple[str, str], I.Index] = {}
 
@@ -323,20 +325,25 @@ def mined_anatomy(spark, folder):
 
 
 def mined_records(spark, folder):
-    rows = M.filter_knowledge(M.mine(index_of(spark, folder)), kind="RootIndex", level=0)
-    item = F.get("knowledge", 0)
-    content = lambda field: F.get_json_object(item["content"], f"$.{field}")
-    return rows.select(
-        "collection",
-        _big("level"),
-        "source_hash",
+    """Both pillars after two cycles: two collections are enabled in the first, all in the second, which leaves the unchanged ones."""
+    index = index_of(spark, folder)
+    knowledge = KnowledgeStore(TableStore(spark))
+    run_cycle(index, knowledge, 0, MINED_FIRST)
+    run_cycle(index, knowledge, 1)
+    item = lambda kind, field: F.get_json_object(F.get(F.filter("knowledge", lambda k: k["type"] == kind), 0)["content"], f"$.{field}")
+    records = knowledge.current().select(
+        "collection", _big("level"), "source_hash", _big("cycle"),
         F.col("provenance.digestion_id").alias("digestion_id"),
+        (F.col("updated").isNotNull() & (F.col("provenance.inputs.source_hash") == F.col("source_hash"))).alias("traced"),
         F.size("knowledge").cast("long").alias("items"),
-        content("n_bases").cast("long").alias("n_bases"),
-        content("total_chunks").cast("long").alias("total_chunks"),
-        content("unified_vocab_size").cast("long").alias("unified_vocab_size"),
-        content("salient_roots[0].syllable").alias("first_root"),
+        item("RootIndex", "n_bases").cast("long").alias("n_bases"),
+        item("RootIndex", "total_chunks").cast("long").alias("total_chunks"),
+        item("RootIndex", "salient_roots[0].syllable").alias("first_root"),
+        item("CorpusDict", "unified_vocab_size").cast("long").alias("unified_vocab_size"),
     )
+    total = F.aggregate("vec", F.lit(0.0), lambda a, w: a + w)
+    bases = knowledge.anatomy().select("collection", "base", "n_chunks", F.size("vec").cast("long").alias("dims"), F.round(total, 5).alias("mass"))
+    return records.join(bases, "collection")
 
 
 # ---------------------------------------------------------------- search

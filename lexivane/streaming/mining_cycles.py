@@ -16,7 +16,10 @@ MIN_CADENCE_SECONDS = 10
 
 
 class KnowledgeStore:
-    """Knowledge records, one folder per cycle; the newest record of a collection counts."""
+    """Knowledge records, one folder per cycle; the newest record of a collection counts.
+
+    Records are bounded. The anatomy of a collection has a row for each base and stands beside them, in a table of its own.
+    """
 
     def __init__(self, store: TableStore, name: str = "knowledge"):
         self.store = store
@@ -42,14 +45,22 @@ class KnowledgeStore:
         last = None if rows is None else rows.agg(F.max("cycle")).first()[0]
         return 0 if last is None else last + 1
 
-    def write(self, records: DataFrame, cycle: int) -> None:
-        records.write.mode("overwrite").parquet(f"{self.store.path(self.name)}/cycle={cycle}")
+    def anatomy(self) -> DataFrame:
+        """Rows of :func:`mining.corpus_rows` that belong to the current records."""
+        rows = self.store.load(f"{self.name}_anatomy")
+        return rows.join(self.current().select("collection", "cycle"), ["collection", "cycle"], "left_semi")
+
+    def write(self, records: DataFrame, anatomy: DataFrame, cycle: int) -> None:
+        """Records come last: while they are missing, the next cycle mines their collections again."""
+        fresh = self.store.save(f"{self.name}_fresh/cycle={cycle}", records)
+        self.store.save(f"{self.name}_anatomy/cycle={cycle}", anatomy.join(fresh.select("collection"), "collection", "left_semi"))
+        self.store.save(f"{self.name}/cycle={cycle}", fresh)
 
 
 def run_cycle(index: Index, knowledge: KnowledgeStore, cycle: int, enabled: list[str] | None = None, force: bool = False) -> DataFrame:
-    """Mine the changed collections once; a failed job writes nothing."""
+    """Mine the changed collections once; a failed job leaves the current records as they are."""
     previous = knowledge.current()
-    knowledge.write(M.mine(index, previous, enabled, force), cycle)
+    knowledge.write(M.mine(index, previous, enabled, force), M.corpus_rows(index), cycle)
     return knowledge.current()
 
 

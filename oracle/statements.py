@@ -175,11 +175,12 @@ def _profile_statements() -> dict[str, str]:
             uprof, "SELECT collection, base, n AS n_chunks, CAST(1956 AS BIGINT) AS vocab_size, count(*) AS dims, round(sum(weight), 5) AS mass FROM cells GROUP BY ALL"
         ),
         "mined_records": _with(
-            f"{uprof}, {hashes}",
-            """SELECT collection, CAST(0 AS BIGINT) AS level, source_hash, 'l0-' || left(source_hash, 8) AS digestion_id, CAST(1 AS BIGINT) AS items, n_bases,
-                total_chunks, CAST(1956 AS BIGINT) AS unified_vocab_size, token AS first_root
+            f"{uprof}, {hashes}, parts AS (SELECT collection, base, n, count(*) AS dims, round(sum(weight), 5) AS mass FROM cells GROUP BY ALL)",
+            f"""SELECT collection, CAST(0 AS BIGINT) AS level, source_hash, CASE WHEN collection IN ({", ".join(B.text(c) for c in W.MINED_FIRST)}) THEN 0 ELSE 1 END AS cycle,
+                'l0-' || left(source_hash, 8) AS digestion_id, true AS traced, CAST(2 AS BIGINT) AS items, n_bases,
+                total_chunks, CAST(1956 AS BIGINT) AS unified_vocab_size, token AS first_root, base, n AS n_chunks, dims, mass
             FROM src JOIN (SELECT collection, count(*) AS n_bases, CAST(sum(n) AS BIGINT) AS total_chunks FROM n_base GROUP BY ALL) USING (collection)
-            JOIN cprof USING (collection) WHERE rank = 1""",
+            JOIN cprof USING (collection) JOIN parts USING (collection) WHERE rank = 1""",
         ),
     }
 
