@@ -83,6 +83,20 @@ def check_limits(index: Index, max_bases: int = 0, max_chunks_per_base: int = 0)
             raise ValueError(f"{over['collection']}/{over['base']} has {over['n_chunks']} chunks, limit {max_chunks_per_base}")
 
 
+def check_incoming(rows: DataFrame, index: Index | None, max_bases: int = 0, max_chunks_per_base: int = 0) -> None:
+    """Refuse chunk rows that would take an index beyond its limits, before anything is written."""
+    if max_chunks_per_base:
+        sizes = rows.where("piece is not null").groupBy(*BASE).agg(F.count("*").alias("n_chunks"))
+        over = sizes.where(F.col("n_chunks") > max_chunks_per_base).first()
+        if over:
+            raise ValueError(f"{over['collection']}/{over['base']} has {over['n_chunks']} chunks, limit {max_chunks_per_base}")
+    if max_bases:
+        names = rows.select(*BASE).distinct()
+        others = 0 if index is None else index.bases.join(names, BASE, "left_anti").count()
+        if others + names.count() > max_bases:
+            raise ValueError(f"more than {max_bases} bases")
+
+
 def base_state_hash():
     return F.sha2(F.concat_ws("|", "base", F.col("n_chunks").cast("string"), F.col("vocab_size").cast("string"), "corpus"), 256)
 

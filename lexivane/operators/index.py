@@ -176,6 +176,19 @@ def tokenized(docs: DataFrame, chunk_size: int, max_chunks: int = 0, with_text:
     return rows if with_text else rows.withColumn("text", F.lit(None).cast("string"))
 
 
+def first_chunks(rows: DataFrame, store: TableStore, max_chunks: int) -> DataFrame:
+    """Chunk rows of the first ``max_chunks`` chunks of every base, 0 for all; a document wholly beyond keeps a row without a piece for its bytes."""
+    if max_chunks <= 0:
+        return rows
+    counts = rows.where("piece is not null").groupBy(*DOC).agg(F.count("*").alias("n_pieces"))
+    heads = running_sums(store, f"capped-{uuid.uuid4().hex}", counts, BASE, [F.col("doc")], {"first_chunk": "n_pieces"})
+    placed = rows.join(heads.select(*DOC, "first_chunk"), DOC, "left")
+    inside = F.col("piece").isNull() | (F.coalesce("first_chunk", F.lit(0)) + F.col("piece") < max_chunks)
+    kept = placed.where(inside | (F.col("piece") == 0)).withColumn("inside", inside)
+    always = [*DOC, "driver", "doc_bytes"]
+    return kept.select(*[F.col(c) if c in always else F.when(F.col("inside"), F.col(c)).alias(c) for c in rows.columns])
+
+
 def posting_rows(chunks: DataFrame, vocab: DataFrame) -> DataFrame:
     """Histogram entries that have a dimension in the vocabulary of their base."""
     lookup = V.token_dims(vocab)
@@ -284,9 +297,9 @@ def build_index(
 ) -> Index:
     """Index ``docs(collection, base, doc, text[, driver])``; ``doc`` orders the texts of a base.
 
-    ``max_chunks`` keeps the first chunks of every document; 0 keeps all.
+    ``max_chunks`` keeps the first chunks of every base; 0 keeps all.
     """
-    rows = tokenized(docs, chunk_size, max_chunks, with_text)
+    rows = first_chunks(tokenized(docs, chunk_size, max_chunks, with_text), store, max_chunks)
     return index_rows(rows, store, chunk_size, vocab, mtime)
 
 

@@ -77,7 +77,8 @@ class LexicalEngine:
 
         Only the new texts are tokenized.
         """
-        rows = I.tokenized(docs, self.chunk_size, max_chunks, with_text)
+        rows = I.first_chunks(I.tokenized(docs, self.chunk_size, max_chunks, with_text), self.store, max_chunks)
+        C.check_incoming(rows, self.index, self.max_bases, self.max_chunks_per_base)
         if self.index is not None:
             vocab, self._vocab_to_write = self._vocab_to_write, None
             return self._without(docs, rows, vocab)

@@ -88,6 +88,25 @@ def test_drivers_are_installed_as_versions(spark, tmp_path):
             engine.uninstall_driver(file)
 
 
+def test_first_chunks_of_a_base(spark, tmp_path):
+    rows = [("c", "x", d, f"um dois tres quatro {d}") for d in range(5)] + [("c", "y", 0, "so"), ("c", "y", 1, None)]
+    index = I.build_index(spark.createDataFrame(rows, ROWS), TableStore(spark), 10, max_chunks=4)
+    every = I.build_index(spark.createDataFrame(rows, ROWS), TableStore(spark), 10)
+    wanted = ["chunk", "start", "text"]
+    listed = lambda i, base: sorted(tuple(r) for r in i.numbered(i.chunks.where(F.col("base") == base)).select(*wanted).collect())
+    assert listed(index, "x") == listed(every, "x")[:4] and listed(index, "y") == listed(every, "y")
+    sizes = lambda i: sorted(tuple(r) for r in i.bases.select("base", "bytes").collect())
+    assert sizes(index) == sizes(every)
+    engine = LexicalEngine(spark, str(tmp_path / "limits"), 10, max_bases=2, max_chunks_per_base=4)
+    docs = spark.createDataFrame(rows, ROWS)
+    with pytest.raises(ValueError, match="c/x has"):
+        engine.ingest(docs)
+    engine.ingest(docs, max_chunks=4)
+    with pytest.raises(ValueError, match="more than 2 bases"):
+        engine.ingest(spark.createDataFrame([("c", "z", 0, "so")], ROWS))
+    assert engine.health()["bases"] == 2
+
+
 def test_append_leaves_other_chunks(spark):
     old = spark.createDataFrame([("c", "x", 0, 0, "um dois"), ("c", "x", 1, 8, "tres"), ("c", "y", 0, 0, "so")], "collection string, base string, chunk int, start int, text string")
     new = spark.createDataFrame([("c", "x", 0, " quatro")], "collection string, base string, seq long, text string")
@@ -138,6 +157,8 @@ def test_mining_skips_unchanged(spark, index):
     assert M.mine(index, knowledge.current(), ["c"], force=True).count() == 1
     run_cycle(index, knowledge, 1)
     assert {r["collection"] for r in knowledge.current().collect()} == {"c", "d"}
+    assert sorted((r["base"], r["cycle"], len(r["vec"])) for r in knowledge.anatomy().collect() if r["collection"] == "c")[0][:2] == ("a", 0)
+    assert knowledge.anatomy().count() == 3
     item = M.filter_knowledge(knowledge.current(), "d", "RootIndex", 0).first()["knowledge"][0]
     assert json.loads(item["content"])["n_bases"] == 1
 
