@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lexivane.functions import text as T
 from lexivane.operators import queries as Q
 from lexivane.operators import rerank as R
+from lexivane.operators.batch_recall import best_by_base
 from lexivane.operators.index import BASE, CHUNK, Index, cell_of, cell_prefix, cell_suffix, classic_idf
 from lexivane.operators.snippets import with_snippet
 
@@ -23,6 +24,8 @@ RECENCY_DECAY_SECONDS = 7 * 86400.0
 
 #: As many tokens of a batch of queries are named to the scans of postings and frequencies.
 NAMED_TOKENS = 1000
+#: Batches of more queries are recalled chunk by chunk instead of posting by posting.
+FEW_QUERIES = 50
 
 
 @dataclass
@@ -142,6 +145,12 @@ def recall(
         weight = weight * F.col("c_idf")
     # two long keys and one double: the compact shape of Spark's hash aggregation
     dots = joined.select("query_id", "uid", weight.alias("w")).groupBy("query_id", "uid").agg(F.sum("w").alias("dot"))
+    scored = dots.join(chunk_norms(index, scope, unified, idf_mode), "uid")
+    return scored.withColumn("cos", F.col("dot") / F.col("c_norm")).where("cos > 0").select("query_id", *CHUNK, "uid", "cos")
+
+
+def chunk_norms(index: Index, scope: Scope, unified: bool = False, idf_mode: str = "smoothed") -> DataFrame:
+    """``CHUNK, uid, c_norm``: the norm that divides the scores of a chunk."""
     norms = scope.of(index.chunk_stats).select(*CHUNK, "uid", "norm", "union_norm")
     if idf_mode != "smoothed":
         norms = norms.drop("norm").join(_classic_norms(index, scope), "uid")
@@ -149,8 +158,21 @@ def recall(
     if unified:
         norms = norms.join(scope.bases.select(*BASE, "shared"), BASE)
         c_norm = F.when(F.col("shared"), F.col("union_norm")).otherwise(F.col("norm"))
-    scored = dots.join(norms, "uid")
-    return scored.withColumn("cos", F.col("dot") / c_norm).where("cos > 0").select("query_id", *CHUNK, "uid", "cos")
+    return norms.select(*CHUNK, "uid", c_norm.alias("c_norm"))
+
+
+def best_recalled(index: Index, scope: Scope, queries: DataFrame, n: int, unified: bool = False) -> DataFrame:
+    """:func:`top_candidates` of :func:`recall`. Few queries meet the postings of their tokens; of many, most tokens are
+    asked for by some, so chunks meet all queries at once."""
+    n_queries = queries.limit(FEW_QUERIES + 1).count()
+    if n_queries <= FEW_QUERIES:
+        return top_candidates(recall(index, scope, queries, unified), n)
+    tokens, named = known_tokens(index, queries)
+    qv = query_vectors(index, scope, tokens, unified=unified, named=named)
+    weights = qv.select("query_id", *BASE, "token", (F.col("qw") / F.col("q_norm")).alias("w"))
+    chunks = scope.of(index.chunks).select("uid", "hist").join(chunk_norms(index, scope, unified), "uid")
+    found = best_by_base(chunks, scope.bases.select(*BASE, "n_chunks"), weights, queries.count(), n)
+    return top_candidates(found, n)
 
 
 def _classic_norms(index: Index, scope: Scope) -> DataFrame:
@@ -273,7 +295,7 @@ def search(
     queries = Q.query_frame(index.spark, queries)
     scope = open_scope(index, collection, base)
     keep = max(k, recall_n) if rerank else k
-    candidates = chosen(index, top_candidates(recall(index, scope, queries, unified), keep))
+    candidates = chosen(index, best_recalled(index, scope, queries, keep, unified))
     meta = index.bases.select(*BASE, "corpus", "mtime", "with_text")
     if rerank:
         # bases without stored texts have no coverage: their hits rank by cosine
