@@ -42,3 +42,13 @@ def test_batch_recall_equals_postings(spark, monkeypatch, unified):
         monkeypatch.setattr(batch_recall, name, value)
     got = S.best_recalled(index, scope, queries, 4, unified)
     assert expected and rows(got) == expected
+
+
+def test_syllables_by_sql_hash_and_count_each_document_once(spark, tmp_path):
+    rows = [(1, "casa casa", "pt"), (1, "casa", "pt"), (None, "casa", "pt"), (2, "verde", None), (3, None, "pt")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = workloads.sql_syllables(spark, str(tmp_path))
+    assert "SortAggregate" not in got._jdf.queryExecution().sparkPlan().toString()
+    assert {(r.lang, r.syllable): (r.n, r.n_docs, r.code) for r in got.collect()} == {
+        ("pt", "ca"): (4, 1, "C000"), ("pt", "sa"): (4, 1, "S000"), (None, "ver"): (1, 1, "V600"), (None, "de"): (1, 1, "D000"),
+    }
