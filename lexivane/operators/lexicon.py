@@ -6,7 +6,9 @@ import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from lexivane.functions import lines
 from lexivane.functions import text as T
 from lexivane.operators.index import BASE, CHUNK, Index
 from lexivane.operators.ordering import running_sums
@@ -107,22 +109,21 @@ def positions(index: Index) -> DataFrame:
     return index.chunks.select(*CHUNK, F.posexplode(T.line_syllables(F.col("line"))).alias("pos", "token"))
 
 
-def position_lists(index: Index) -> DataFrame:
-    """Ascending positions per chunk and token, formed inside the row of the chunk."""
-    listed = index.chunks.select(*CHUNK, T.line_syllables(F.col("line")).alias("tokens"))
-    placed = listed.select(*CHUNK, F.array_sort(F.transform("tokens", lambda t, i: F.struct(t.alias("token"), i.alias("pos")))).alias("placed"))
-    # equal tokens stand together after the sort, so each starts a run
-    starts = F.filter(F.transform("placed", lambda p, i: F.when((i == 0) | (F.get("placed", i - 1)["token"] != p["token"]), i)), lambda i: i.isNotNull())
-    runs = placed.select(*CHUNK, "placed", starts.alias("starts"))
-    ends = F.transform("starts", lambda s, k: F.coalesce(F.get("starts", k + 1), F.size("placed")) - s)
-    each = runs.select(*CHUNK, "placed", F.explode(F.arrays_zip("starts", ends.alias("sizes"))).alias("r"))
-    own = F.slice("placed", F.col("r.starts") + 1, F.col("r.sizes"))
-    return each.select(*CHUNK, F.get(own, 0)["token"].alias("token"), F.transform(own, lambda p: p["pos"]).alias("positions"))
+def position_lists(index: Index, numbered: bool = False) -> DataFrame:
+    """Ascending positions per chunk and token, formed inside the row of the chunk.
 
+    ``numbered`` adds ``chunk``, which a chunk row gets before it is spread to a row per token.
+    """
+    rows = index.chunks.select(*CHUNK, "line")
+    rows = index.numbered(rows) if numbered else rows
+    kept = [f for f in rows.schema.fields if f.name != "line"]
+    return rows.mapInArrow(lines.with_positions, StructType(kept).add("token", "string").add("positions", lines.POSITIONS))
 
-def position_gaps(index: Index) -> DataFrame:
+
+def position_gaps(index: Index, numbered: bool = False) -> DataFrame:
     """Distances between neighbouring positions of a token in a chunk; the first counts from 0."""
-    return position_lists(index).withColumn("gaps", F.transform("positions", lambda p, i: p - F.when(i > 0, F.get("positions", i - 1)).otherwise(0)))
+    gap = lambda p, i: p - F.when(i > 0, F.get("positions", i - 1)).otherwise(0)
+    return position_lists(index, numbered).withColumn("gaps", F.transform("positions", gap))
 
 
 def seek_positions(lists: DataFrame, target: int) -> DataFrame:

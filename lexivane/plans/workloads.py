@@ -203,19 +203,19 @@ def tfidf_weights(spark, folder):
 
 def position_lists(spark, folder):
     index = index_of(spark, folder)
-    rows = index.numbered(L.position_lists(index))
+    rows = L.position_lists(index, numbered=True)
     return rows.select("collection", "base", _big("chunk"), "token", F.array_join(F.col("positions").cast("array<string>"), " ").alias("positions"))
 
 
 def position_gaps(spark, folder):
     index = index_of(spark, folder)
-    rows = index.numbered(L.position_gaps(index))
+    rows = L.position_gaps(index, numbered=True)
     return rows.select("collection", "base", _big("chunk"), "token", F.array_join(F.col("gaps").cast("array<string>"), " ").alias("gaps"))
 
 
 def seek_position(spark, folder):
     index = index_of(spark, folder)
-    rows = index.numbered(L.seek_positions(L.position_lists(index), 100))
+    rows = L.seek_positions(L.position_lists(index, numbered=True), 100)
     return rows.select("collection", "base", _big("chunk"), "token", _big("seek_index"), _big("seek_position"))
 
 

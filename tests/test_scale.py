@@ -27,6 +27,16 @@ def indexed(spark, texts=TEXTS, size=64):
     return I.build_index(spark.createDataFrame(rows, "collection string, base string, doc long, text string"), TableStore(spark), size)
 
 
+def test_positions_are_numbered_before_they_are_spread(spark):
+    index = indexed(spark)
+    got = L.position_lists(index, numbered=True)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("Join")
+    listed = index.numbered(index.chunks).select("base", "collection", "chunk", F.posexplode(T.line_syllables(F.col("line"))).alias("pos", "token"))
+    expected = {(r.collection, r.base, r.chunk, r.token): r.p for r in listed.groupBy("collection", "base", "chunk", "token").agg(F.sort_array(F.collect_list("pos")).alias("p")).collect()}
+    assert {(r.collection, r.base, r.chunk, r.token): r.positions for r in got.collect()} == expected
+
+
 @pytest.mark.parametrize("unified", [False, True])
 def test_batch_recall_equals_postings(spark, monkeypatch, unified):
     words = ["casa", "verde", "porta", "janela", "rua", "mesa", "livro", "chuva"]
