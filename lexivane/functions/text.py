@@ -62,10 +62,14 @@ def _without_units(line: Column) -> Column:
     return F.replace(line, F.lit(GU_UNIT), F.lit("gu"))
 
 
+def word_line(text: Column) -> Column:
+    """Lower-cased words with a space between them."""
+    return F.trim(F.regexp_replace(F.lower(text), f"[^{WORD_CHARS}]+", " "))
+
+
 def accented_line(text: Column) -> Column:
     """Syllable line that keeps accents."""
-    flat = F.trim(F.regexp_replace(F.lower(text), f"[^{WORD_CHARS}]+", " "))
-    line = F.regexp_replace(_with_units(flat), HIATUS, "$1|")
+    line = F.regexp_replace(_with_units(word_line(text)), HIATUS, "$1|")
     return _without_units(F.regexp_replace(line, ONSET, "$1$2|$3"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexivane.functions import text as T
+from lexivane.functions import lines
 from lexivane.operators.index import BASE, CHUNK, Index
 from lexivane.operators.search import resolve_scope
 
@@ -104,5 +104,5 @@ def base_state_hash():
 def scope_word_keys(index: Index, collection=None, base="*") -> DataFrame:
     """Distinct word prefix keys of the scope."""
     scope = resolve_scope(index, collection, base).select(*BASE)
-    words = index.chunks.join(scope, BASE).select(F.explode(F.array_distinct(F.transform(T.line_words(F.col("line")), T.word_key))).alias("key"))
-    return words.distinct()
+    keys = index.chunks.join(scope, BASE).select("line").mapInArrow(lines.distinct_keys, "key string")
+    return keys.distinct()

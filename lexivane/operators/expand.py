@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexivane.functions import lines
 from lexivane.functions import text as T
 from lexivane.operators import queries as Q
 from lexivane.operators import search as S
@@ -102,7 +103,8 @@ def suggest_terms(index: Index, missing: DataFrame, collection=None, base="*", l
     scope = S.resolve_scope(index, collection, base).select(*BASE)
     distinct = (
         index.chunks.join(scope, BASE)
-        .select(F.explode(F.array_distinct(T.words(F.col("text")))).alias("word"))
+        .select(T.word_line(F.col("text")))
+        .mapInArrow(lines.distinct_words, "word string")
         .where(F.length("word") >= 3)
         .distinct()
     )
@@ -190,7 +192,8 @@ def search_kept(index: Index, queries: DataFrame, kept: DataFrame, collection: s
     rescored = S.scored_candidates(index, scope, queries, candidates, phonetic, carry)
     order = [F.round("coverage", 9).desc(), F.round("var_cov", 9).desc(), F.asc("span"), (F.col("variant_no") == 0).desc(), F.asc("collection"), F.asc("base"), F.asc("chunk")]
     top = rescored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
-    names = kept.select("query_id", "variant_no", F.when(F.col("variant_no") == 0, "original").otherwise(F.col("variant")).alias("via"))
+    # named from the written batch: ``kept`` would look through the scope again
+    names = batch.select("query_id", "variant_no", F.when(F.col("variant_no") == 0, "original").otherwise(F.col("query")).alias("via"))
     return top.join(names, ["query_id", "variant_no"]).select(
         "query_id", "rank", *BASE, "corpus", "path", "chunk", F.col("coverage").alias("matchpoint"), "coverage", "span", "cos", "var_cov", "via", "start"
     )

@@ -37,6 +37,27 @@ def test_positions_are_numbered_before_they_are_spread(spark):
     assert {(r.collection, r.base, r.chunk, r.token): r.positions for r in got.collect()} == expected
 
 
+def test_words_and_keys_leave_a_task_once(spark):
+    index = indexed(spark)
+    got = sorted(r.key for r in C.scope_word_keys(index).collect())
+    plain = index.chunks.select(F.explode(F.transform(T.line_words(F.col("line")), T.word_key)).alias("key")).distinct()
+    assert got == sorted(r.key for r in plain.collect()) and got
+    assert "Generate" not in C.scope_word_keys(index)._jdf.queryExecution().optimizedPlan().toString()
+    words = index.chunks.select(T.word_line(F.col("text"))).mapInArrow(lines.distinct_words, "word string").distinct()
+    plain = index.chunks.select(F.explode(T.words(F.col("text"))).alias("word")).distinct()
+    assert sorted(r.word for r in words.collect()) == sorted(r.word for r in plain.collect())
+
+
+def test_expanded_search_looks_through_the_scope_once(spark):
+    index = indexed(spark)
+    queries = Q.query_frame(spark, ["casa verde"])
+    kept = spark.createDataFrame([(0, 0, "casa verde", "original"), (0, 1, "guerra", "dict")], "query_id long, variant_no int, variant string, source string")
+    marked = kept.where(F.col("variant") != "a mark of this test")
+    found = E.search_kept(index, queries, marked)
+    assert "a mark of this test" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count()
+
+
 @pytest.mark.parametrize("unified", [False, True])
 def test_batch_recall_equals_postings(spark, monkeypatch, unified):
     words = ["casa", "verde", "porta", "janela", "rua", "mesa", "livro", "chuva"]
