@@ -29,10 +29,12 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from lexivane.functions import chunking
+from lexivane.functions import chunking, lines
 from lexivane.functions import text as T
 from lexivane.operators.ordering import running_sums
+from lexivane.plans.sizing import small
 from lexivane.plans.store import Parts, TableStore
 from lexivane.sources import vocabulary as V
 
@@ -151,18 +153,11 @@ class Index:
 
 def token_columns(cut: DataFrame) -> DataFrame:
     """Token count, histogram and syllable line of chunk rows; narrow transformations only."""
-    lines = cut.withColumn("line", T.syllable_line(F.col("text")))
-    return lines.withColumn("syllables", T.line_syllables(F.col("line"))).select(
-        *CHUNK,
-        "driver",
-        "start",
-        "len",
-        F.when(F.col("piece").isNotNull(), F.size("syllables")).alias("tokens"),
-        "doc_bytes",
-        T.histogram(F.col("syllables")).alias("hist"),
-        "line",
-        "text",
-    )
+    kept = cut.select(*CHUNK, "driver", "start", "len", "doc_bytes", "text")
+    schema = StructType(kept.schema.fields).add("line", "string").add("tokens", "integer").add("hist", lines.HISTOGRAM)
+    rows = kept.withColumn("line", T.syllable_line(F.col("text"))).mapInArrow(lines.with_histograms, schema)
+    said = F.when(F.col("piece").isNotNull(), F.col("tokens")).alias("tokens")
+    return rows.select(*CHUNK, "driver", "start", "len", said, "doc_bytes", "hist", "line", "text")
 
 
 def tokenized(docs: DataFrame, chunk_size: int, max_chunks: int = 0, with_text: bool = True) -> DataFrame:
@@ -230,12 +225,14 @@ def _norm(weight):
     return F.when(total > 0, total).otherwise(F.lit(1.0))
 
 
-def stats_per_chunk(chunks: DataFrame, postings: DataFrame, idf: DataFrame, union: DataFrame) -> DataFrame:
+def stats_per_chunk(chunks: DataFrame, postings: DataFrame, idf: DataFrame, union: DataFrame, store: TableStore) -> DataFrame:
     """Token counts and tf-idf norms. Entries of a chunk sit in one task, so the partial sums
     leave about one row per chunk to shuffle."""
-    # both weights of a token are put together among the frequencies, so the postings are joined once
+    # both weights of a token are put together among the frequencies, so the postings are joined once; a written table
+    # has a known size, so that postings are not shuffled and sorted for weights that fit every task
     weights = idf.join(union.select("collection", "token", "uidf"), ["collection", "token"]).select(*BASE, "token", "idf_exact", "uidf")
-    weighed = postings.join(weights, BASE + ["token"])
+    weights = store.save(f"token_weights-{uuid.uuid4().hex}", weights)
+    weighed = postings.join(small(weights), BASE + ["token"])
     norms = weighed.groupBy("uid").agg(
         F.sum("tf").alias("known"),
         F.round(_norm(F.col("tf") * F.col("idf_exact")), 6).alias("norm"),
@@ -344,7 +341,7 @@ def refresh_statistics(index: Index, mtime: int = 0, cells: set[str] | None = No
         union = index.union_idf.where(~F.coalesce(held, F.lit(False))).unionByName(union)
     index.put("union_idf", union)
     of_whole = (lambda df: df) if whole_cells is None else lambda df: in_collections(df.where(F.col("cell").isin(*whole_cells)))
-    index.put_parts("chunk_stats", stats_per_chunk(of_whole(index.chunks), of_whole(index.postings), of_whole(index.idf), in_collections(index.union_idf)), whole_cells)
+    index.put_parts("chunk_stats", stats_per_chunk(of_whole(index.chunks), of_whole(index.postings), of_whole(index.idf), in_collections(index.union_idf), store), whole_cells)
     meta = base_meta(index, mtime, in_cells)
     if cells is not None:
         meta = index.bases.where(~cell_of(F.col("collection"), F.col("base")).isin(*cells)).unionByName(meta)

@@ -27,6 +27,35 @@ def indexed(spark, texts=TEXTS, size=64):
     return I.build_index(spark.createDataFrame(rows, "collection string, base string, doc long, text string"), TableStore(spark), size)
 
 
+def test_histograms_of_batches_equal_the_expressions(spark, monkeypatch):
+    monkeypatch.setattr(lines, "ROWS_AT_ONCE", 3)
+    index = indexed(spark)
+    said = T.syllable_seq(F.col("text"))
+    rows = index.chunks.select("line", "tokens", "hist", T.syllable_line(F.col("text")).alias("l"), F.size(said).alias("n"), T.histogram(said).alias("h")).collect()
+    assert len(rows) > 10
+    assert all((r.line, r.tokens, r.hist) == (r.l, r.n, r.h) for r in rows)
+    empty = index.raw_chunks.where("piece is null").select("tokens", "hist", "line").collect()
+    assert empty and all(r.tokens is None for r in empty)
+
+
+def test_tokenizing_runs_no_expression_per_syllable(spark):
+    plan = I.token_columns(spark.createDataFrame([], "collection string, base string, doc long, piece int, driver string, start long, len int, doc_bytes long, text string"))
+    plan = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "sort_array" not in plan
+
+
+def test_norms_do_not_shuffle_postings(spark):
+    index = indexed(spark)
+    stats = I.stats_per_chunk(index.chunks, index.postings, index.idf, index.union_idf, index.store)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
+    try:
+        plan = stats._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin [collection" in plan
+
+
 def test_positions_are_numbered_before_they_are_spread(spark):
     index = indexed(spark)
     got = L.position_lists(index, numbered=True)
