@@ -24,6 +24,8 @@ EDITS = 2
 SHORTEST = 20
 WORDS = 10
 LONG_RUNS = 36
+PLACE_BITS = 20
+PLACES = (1 << PLACE_BITS) - 1
 
 
 def join_keys(edits: int = EDITS) -> Column:
@@ -120,17 +122,20 @@ def word_hashes(line: Column) -> Column:
 
 
 def run_keys(q: int) -> Column:
-    """Keys of ``words``, ``n`` of them: their first runs of ``q`` words in the order of hashes, a part that ``n div (WORDS - 1)`` edits cannot change whole.
+    """Keys of ``n`` words: their first ``runs`` of ``q`` words in the order of hashes, a part that ``n div (WORDS - 1)`` edits cannot change whole.
 
-    An edit changes the runs that cover one place, so the fewest edits that change some runs are found by going
-    through them from left to right. Parts of growing size are tried; the last one, q runs for each edit and one, always does.
+    ``runs`` are sorted longs, a place in the lowest PLACE_BITS bits and a hash above. An edit changes the runs that cover
+    one place, so the fewest edits that change some runs are found by going through them from left to right, with their number
+    above the next free place in one long. Parts of growing size are tried; the last one, q runs for each edit and one, always
+    does, and is taken at once where places do not fit.
     """
     edits = f"(n div {WORDS - 1})"
     several = [f"cast(ceil(1.5 * ({edits} + 1)) as int)", f"2 * ({edits} + 1)", f"3 * ({edits} + 1)"]
     some = lambda m: f"slice(runs, 1, {m})"
-    holds = lambda m: f"aggregate(sort_array(transform({some(m)}, r -> r.at)), named_struct('end', -1, 'c', 0), (s, p) -> if(p > s.end, named_struct('end', p + {q - 1}, 'c', s.c + 1), s)).c > {edits}"
-    tried = " ".join(f"when {holds(m)} then {some(m)}" for m in several)
-    return F.expr(f"array_distinct(transform(case {tried} else {some(f'{q} * {edits} + 1')} end, r -> r.h))")
+    places = lambda m: f"sort_array(transform({some(m)}, r -> r & {PLACES}L))"
+    walked = lambda m: f"aggregate({places(m)}, 0L, (s, p) -> if(p >= (s & 4294967295L), s - (s & 4294967295L) + 4294967296L + p + {q}L, s))"
+    tried = " ".join(f"when n <= {PLACES} and shiftright({walked(m)}, 32) > {edits} then {some(m)}" for m in several)
+    return F.expr(f"array_distinct(transform(case {tried} else {some(f'{q} * {edits} + 1')} end, r -> r & {~PLACES}L))")
 
 
 def with_word_keys(df: DataFrame) -> DataFrame:
@@ -142,8 +147,8 @@ def with_word_keys(df: DataFrame) -> DataFrame:
     sized = df.withColumn("n", F.size("words"))
     none = F.array().cast("array<bigint>")
     for q, wanted in ((4, f"n >= {WORDS - 1} and n - n div {WORDS} < {LONG_RUNS}"), (5, f"n >= {LONG_RUNS}")):
-        word = ", ".join(f"get(words, i + {k})" for k in range(q))
-        runs = f"sort_array(transform(sequence(0, n - {q}), i -> named_struct('h', xxhash64({q}, {word}), 'at', i)))"
+        word = ", ".join(f"get(words, i + {k})" for k in range(1, q))
+        runs = f"sort_array(transform(slice(words, 1, n - {q - 1}), (w, i) -> xxhash64({q}, w, {word}) & {~PLACES}L | i & {PLACES}L))"
         sized = sized.withColumn("runs", F.expr(f"if({wanted}, {runs}, null)"))
         sized = sized.withColumn(f"keys_{q}", F.when(F.col("runs").isNotNull(), run_keys(q)).otherwise(none))
     return sized.withColumn("word_keys", F.concat("keys_4", "keys_5")).drop("runs", "keys_4", "keys_5")
@@ -157,25 +162,57 @@ def word_parity(words: Column) -> Column:
 
 
 def as_letters(words: Column, shift: int) -> Column:
-    """A letter for each word, so that letters' distance is the words'; 20 bits of the hash from ``shift`` on choose it."""
-    code = lambda x: F.lpad(F.hex(F.pmod(F.shiftright(x, shift), F.lit(1_000_000)) + 65536), 8, "0")
-    return F.decode(F.unhex(F.array_join(F.transform(words, code), "")), "UTF-32")
-
-
-def near_by_words(met: DataFrame, words: DataFrame) -> DataFrame:
-    """``a, b``: pairs of lines (h) that share a key of ``met(h, key)`` and lie within one edit of ``words(h, words)`` for each ten of the longer one's."""
-    words = words.withColumn("n", F.size("words"))
-    signs = met.join(words.select("h", "n", word_parity(F.col("words")).alias("bits")), "h")
-    signs = stored(signs.select("h", "key", "n", *[F.col("bits")[k].alias(f"bits{k}") for k in range(4)]), "lines-word-bits")
-    named = lambda s: signs.select("key", F.col("h").alias(s), F.col("n").alias(f"n_{s}"), *[F.col(f"bits{k}").alias(f"{s}{k}") for k in range(4)])
-    apart = " + ".join(f"bit_count(a{k} ^ b{k})" for k in range(4))
-    alike = F.expr(f"(n_a < n_b or n_a = n_b and a < b) and n_b - n_a <= n_b div {WORDS} and {apart} <= 2 * (n_b div {WORDS})")
-    pairs = stored(named("a").join(named("b"), "key").where(alike).select("a", "b").distinct(), "lines-word-pairs")
-    spelled = words.select("h", "n", as_letters(F.col("words"), 0).alias("x"), as_letters(F.col("words"), 24).alias("y"))
-    side = lambda s: spelled.select(F.col("h").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("n", "x", "y")])
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    edits = f"cast(n_b div {WORDS} as int)"
-    return stored(both.where(f"levenshtein(x_a, x_b, {edits}) >= 0 and levenshtein(y_a, y_b, {edits}) >= 0").select("a", "b"), "lines-word-near")
+    """A letter for each word, so that letters' distance is the words'; 20 bits of the hash from ``shift`` on choose it, ten for each surrogate."""
+    code = lambda x: F.hex(F.shiftright(x, shift).bitwiseAND(F.lit(0x03FF03FF)).bitwiseOR(F.lit(0xD800DC00)))
+    return F.decode(F.unhex(F.array_join(F.transform(words, code), "")), "UTF-16BE")
+
+
+SPELLED = ("n", "bits", "x", "y")
+
+
+def spelled(words: Column) -> list[Column]:
+    """Columns SPELLED of ``words``: their number, their parities and two texts with a letter for each of them."""
+    n, bits = F.when(words.isNotNull(), F.size(words)), F.when(words.isNotNull(), word_parity(words))
+    return [c.alias(name) for c, name in zip((n, bits, as_letters(words, 0), as_letters(words, 32)), SPELLED)]
+
+
+def near_by_words(met: DataFrame, lines: DataFrame) -> DataFrame:
+    """``h`` of the lines that lie within one edit of words for each ten of the longer one's of an earlier line with a key of ``met(h, key)`` in common.
+
+    ``lines`` has h, first (its place) and SPELLED. A line needs one such partner, not all of them. So every line is compared
+    with the first line of each of its keys, and only lines without a partner among these with the other lines of their keys,
+    in semi-joins, which stop at the first one. No step makes more rows than lines have keys.
+    """
+    bits = [F.col("bits")[k].alias(f"bits{k}") for k in range(4)]
+    signs = met.join(lines.select("h", "first", "n", *bits), "h")
+    slim = ["h", "first", "n", *[f"bits{k}" for k in range(4)]]
+    lead = F.min(F.struct("first", "h", "n", *[f"bits{k}" for k in range(4)])).over(Window.partitionBy("key"))
+
+    def edits(a: str, b: str) -> str:
+        return f"cast(greatest({a}n, {b}n) div {WORDS} as int)"
+
+    def alike(a: str, b: str) -> str:
+        apart = " + ".join(f"bit_count({a}bits{k} ^ {b}bits{k})" for k in range(4))
+        return f"abs({a}n - {b}n) <= {edits(a, b)} and {apart} <= 2 * {edits(a, b)}"
+
+    def near(a: str, b: str) -> str:
+        return f"levenshtein({a}x, {b}x, {edits(a, b)}) >= 0 and levenshtein({a}y, {b}y, {edits(a, b)}) >= 0"
+
+    led = signs.select("key", *slim, lead.alias("lead")).where("lead.h <> h")
+    signs = stored(led.select("key", *slim, F.col("lead.h").alias("lead"), F.expr(alike("lead.", "")).alias("alike")), "lines-word-bits")
+    pairs = stored(signs.where("alike").select(F.col("lead").alias("a"), F.col("h").alias("b")).distinct(), "lines-word-pairs")
+    side = lambda s: lines.where("x is not null").select(F.col("h").alias(s), F.struct("n", "x", "y").alias(f"of_{s}"))
+    led_near = stored(pairs.join(side("a"), "a").join(side("b"), "b").where(near("of_a.", "of_b.")).select(F.col("b").alias("h")).distinct(), "lines-word-near")
+
+    # first lines of a key are not in signs: they have no earlier partner there, and were compared as partners
+    rest = signs.join(led_near, "h", "left_anti").select("key", *slim).alias("b")
+    earlier = (F.col("a.key") == F.col("b.key")) & F.expr(f"a.first < b.first and {alike('a.', 'b.')}")
+    open_ = stored(rest.join(signs.alias("a"), earlier, "left_semi"), "lines-word-open")
+    partners = signs.select("key", *slim).join(open_.select("key").distinct(), "key", "left_semi")
+    texts = lines.where("x is not null").select("h", "x", "y")
+    whole = earlier & F.expr(near("a.", "b."))
+    rest_near = stored(open_.join(texts, "h").alias("b").join(partners.join(texts, "h").alias("a"), whole, "left_semi").select("h").distinct(), "lines-word-rest")
+    return led_near.unionByName(rest_near)
 
 
 def dropped_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", edits: int = EDITS, shortest: int = SHORTEST, short_repeats: bool = False, near_words: bool = False) -> DataFrame:
@@ -208,14 +245,15 @@ def dropped_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", edi
     by_key = Window.partitionBy("key")
     met = keys.select("h", "key", "kind", F.min("h").over(by_key).alias("lo"), F.max("h").over(by_key).alias("hi"), F.max("kind").over(by_key).alias("most"))
     met = stored(met.where("lo <> hi and most > 0").select("h", "key", "kind"), "lines-met")
-    # what met by letters is kept as a line, what met by words as their hashes
+    # what met by letters is kept as a line, what met by words as letters for them
     wanted = met.groupBy("h").agg(F.bool_or(F.col("kind") < 2).alias("by_letters"), F.bool_or(F.col("kind") == 2).alias("by_words")).join(groups.select("h", "h2", "first"), "h")
     places = wanted.select("h", "h2", "first", "by_letters", "by_words", F.col("first.doc_id").alias("of"), F.col("first.print").alias("of_print"))
     texts = df.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("print"), F.col(text).alias("text"))
     found = texts.join(places, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("print") == F.col("of_print")))
     found = found.select("h", "h2", "first", "by_letters", "by_words", F.get(F.split("text", "\n", -1), F.col("first.pos")).alias("line")).dropDuplicates(["h", "h2"])
     kept = [F.when(F.col("by_letters"), F.col("line")).alias("line"), F.when(F.col("by_words"), word_hashes(F.col("line"))).alias("words")]
-    found = stored(found.select("h", "h2", "first", *kept), "lines-text")
+    found = found.select("h", "h2", "first", *kept)
+    found = stored(found.select("h", "h2", "first", "line", *(spelled(F.col("words")) if near_words else [])), "lines-text")
 
     # lines that share a segment meet only if their letters, and pairs of letters, can be within the edits
     by_segment = met.where("kind < 2")
@@ -240,9 +278,8 @@ def dropped_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", edi
     near_lines = later.select("x.*")
     if near_words:
         runs = met.where("kind = 2").select("h", "key")
-        near = near_by_words(runs, found.where("words is not null").select("h", "words"))
-        place = lambda s: groups.select(F.col("h").alias(s), F.col("h2").alias(f"{s}2"), F.col("first").alias(f"first_{s}"))
-        near_lines = near_lines.unionByName(near.join(place("a"), "a").join(place("b"), "b").select(later_one).select("x.*"))
+        near = near_by_words(runs, found.where("x is not null").select("h", "first", *SPELLED))
+        near_lines = near_lines.unionByName(near.join(found.select("h", "h2"), "h").select("h", "h2"))
     near_lines = near_lines.distinct().withColumn("near", F.lit(True))
 
     repeated = groups.select("h", "h2", "first", "times").join(near_lines, ["h", "h2"], "left").where("near or times > 1")
