@@ -7,7 +7,7 @@ import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +40,8 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/llm-{label}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: cuts the lineage and survives lost executors.
+def written(df: DataFrame, label: str) -> str:
+    """Write ``df`` to a new folder in the shared one and return its path.
 
     Shuffle files of the write are kept until it has ended and go then, for nothing reads them any more.
     """
@@ -53,7 +53,21 @@ def stored(df: DataFrame, label: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(FREE_SHUFFLES, before)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it again: cuts the lineage and survives lost executors."""
+    return df.sparkSession.read.schema(df.schema).parquet(written(df, label))
+
+
+def stored_again[T](df: DataFrame, label: str, change: Callable[[DataFrame], T]) -> T:
+    """What ``change`` stores of ``df``, read from a table of it. That table is emptied afterwards, so it takes disk no longer than it is read."""
+    spark = df.sparkSession
+    path = written(df, label)
+    out = change(spark.read.schema(df.schema).parquet(path))
+    spark.createDataFrame([], df.schema).write.mode("overwrite").parquet(path)
+    return out
 
 
 def id_text(column: str) -> Column:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexivane.llm.common import stored
+from lexivane.llm.common import stored, stored_again
 
 EDITS = 2
 SHORTEST = 20
@@ -215,6 +215,15 @@ def near_by_words(met: DataFrame, lines: DataFrame) -> DataFrame:
     return led_near.unionByName(rest_near)
 
 
+def met_keys(groups: DataFrame, edits: int) -> DataFrame:
+    """``h, key, kind`` of the keys of ``groups(h, keys, word_keys)`` that several lines share; kinds: 0 a substring that may be a segment, 1 a segment, 2 a run of words."""
+    kind = F.when(F.col("at") >= F.col("n_keys"), 2).when(F.col("at") <= edits, 1).otherwise(0).cast("byte")
+    keys = groups.select("h", F.size("keys").alias("n_keys"), F.posexplode(F.concat("keys", "word_keys")).alias("at", "key")).select("h", "key", kind.alias("kind"))
+    by_key = Window.partitionBy("key")
+    met = keys.select("h", "key", "kind", F.min("h").over(by_key).alias("lo"), F.max("h").over(by_key).alias("hi"), F.max("kind").over(by_key).alias("most"))
+    return met.where("lo <> hi and most > 0").select("h", "key", "kind")
+
+
 def dropped_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", edits: int = EDITS, shortest: int = SHORTEST, short_repeats: bool = False, near_words: bool = False) -> DataFrame:
     """doc_id, print (hash of the whole text) and the places of the lines to drop, for documents that lose any.
 
@@ -237,23 +246,19 @@ def dropped_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", edi
     else:
         marked = marked.withColumn("word_keys", none)
     groups = marked.select("h", "h2", "word_keys", F.struct("doc_id", "print", "pos").alias("place"), F.when(by_letters, join_keys(edits)).otherwise(none).alias("keys"))
-    groups = stored(groups.groupBy("h", "h2").agg(F.min("place").alias("first"), F.count("*").alias("times"), F.first("keys").alias("keys"), F.first("word_keys").alias("word_keys")), "lines-distinct")
-
-    # kinds: 0 a substring that may be a segment, 1 a segment, 2 a run of words
-    kind = F.when(F.col("at") >= F.col("n_keys"), 2).when(F.col("at") <= edits, 1).otherwise(0).cast("byte")
-    keys = groups.select("h", F.size("keys").alias("n_keys"), F.posexplode(F.concat("keys", "word_keys")).alias("at", "key")).select("h", "key", kind.alias("kind"))
-    by_key = Window.partitionBy("key")
-    met = keys.select("h", "key", "kind", F.min("h").over(by_key).alias("lo"), F.max("h").over(by_key).alias("hi"), F.max("kind").over(by_key).alias("most"))
-    met = stored(met.where("lo <> hi and most > 0").select("h", "key", "kind"), "lines-met")
+    groups = groups.groupBy("h", "h2").agg(F.min("place").alias("first"), F.count("*").alias("times"), F.first("keys").alias("keys"), F.first("word_keys").alias("word_keys"))
+    # the keys of all lines take disk only until it is known which of them meet
+    groups, met = stored_again(groups, "lines-keys", lambda keyed: (stored(keyed.select("h", "h2", "first", "times"), "lines-distinct"), stored(met_keys(keyed, edits), "lines-met")))
     # what met by letters is kept as a line, what met by words as letters for them
     wanted = met.groupBy("h").agg(F.bool_or(F.col("kind") < 2).alias("by_letters"), F.bool_or(F.col("kind") == 2).alias("by_words")).join(groups.select("h", "h2", "first"), "h")
     places = wanted.select("h", "h2", "first", "by_letters", "by_words", F.col("first.doc_id").alias("of"), F.col("first.print").alias("of_print"))
     texts = df.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("print"), F.col(text).alias("text"))
     found = texts.join(places, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("print") == F.col("of_print")))
-    found = found.select("h", "h2", "first", "by_letters", "by_words", F.get(F.split("text", "\n", -1), F.col("first.pos")).alias("line")).dropDuplicates(["h", "h2"])
+    found = found.select("h", "h2", "first", "by_letters", "by_words", F.get(F.split("text", "\n", -1), F.col("first.pos")).alias("line"))
     kept = [F.when(F.col("by_letters"), F.col("line")).alias("line"), F.when(F.col("by_words"), word_hashes(F.col("line"))).alias("words")]
-    found = found.select("h", "h2", "first", *kept)
-    found = stored(found.select("h", "h2", "first", "line", *(spelled(F.col("words")) if near_words else [])), "lines-text")
+    as_kept = ["h", "h2", "first", "line", *(spelled(F.col("words")) if near_words else [])]
+    # written before copies of a document's row go, so that whole texts and the lines need not lie in shuffles at once
+    found = stored_again(found, "lines-found", lambda lines: stored(lines.dropDuplicates(["h", "h2"]).select("h", "h2", "first", *kept).select(*as_kept), "lines-text"))
 
     # lines that share a segment meet only if their letters, and pairs of letters, can be within the edits
     by_segment = met.where("kind < 2")
