@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _own_folders: dict[str, str] = {}
 
@@ -40,25 +41,29 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/llm-{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> str:
+def written(df: DataFrame, label: str, batch_bytes: int | None = None) -> str:
     """Write ``df`` to a new folder in the shared one and return its path.
 
-    Shuffle files of the write are kept until it has ended and go then, for nothing reads them any more.
+    Shuffle files of the write are kept until it has ended and go then, for nothing reads them any more. Arrow batches
+    that Python workers get meanwhile hold about ``batch_bytes``, if given, in place of the session's limit; a longer row stands alone.
     """
     spark = df.sparkSession
     path = new_folder(spark, label)
-    before = spark.conf.get(FREE_SHUFFLES)
-    spark.conf.set(FREE_SHUFFLES, "true")
+    settings = {FREE_SHUFFLES: "true"} | ({BATCH_BYTES: str(batch_bytes)} if batch_bytes else {})
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(FREE_SHUFFLES, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
     return path
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, batch_bytes: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts the lineage and survives lost executors."""
-    return df.sparkSession.read.schema(df.schema).parquet(written(df, label))
+    return df.sparkSession.read.schema(df.schema).parquet(written(df, label, batch_bytes))
 
 
 def stored_again[T](df: DataFrame, label: str, change: Callable[[DataFrame], T]) -> T:

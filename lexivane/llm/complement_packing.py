@@ -31,7 +31,7 @@ from lexivane.llm.word_ids import word_tokenizer
 
 CAPACITY = 2048
 END_ID = 0
-SLICE_BYTES = 4 * 1024 * 1024
+SLICE_BYTES = 3 * 1024 * 1024
 #: Columns of a plan: the pieces of ``length`` with numbers from ``first`` on, ``each`` of them in every sequence, go to sequences from ``sequence`` on, at ``offset``.
 PLAN = ("length", "first", "each", "sequence", "offset")
 
@@ -171,7 +171,7 @@ def pack(df: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary:
     their names. An empty table gives an empty result. Which of several pieces of one length goes where depends on the
     layout of the input; the number of sequences does not.
     """
-    cut = stored(pieces(df, doc_id, text, vocabulary, end_id, capacity), "complement-pieces")
+    cut = stored(pieces(df, doc_id, text, vocabulary, end_id, capacity), "complement-pieces", SLICE_BYTES)
     by_task = stored(cut.groupBy("task", "length").agg(F.count("*").alias("n")), "complement-counts")
     counts = np.zeros(capacity + 1, np.int64)
     for row in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect():  # a row per length: at most ``capacity``

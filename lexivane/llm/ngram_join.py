@@ -40,6 +40,7 @@ LEADERS = 4
 CHUNK = 256
 BUCKET_ROWS = 2000
 BITMAP_BITS = 1 << 23
+BATCH_BYTES = 4 * 1024 * 1024
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 
 
@@ -265,7 +266,7 @@ def grouped(df: DataFrame, doc_id: str, text: str, words: int, percent: int) ->
     """The rows with their nodes, and (node, first): the smallest doc_id, with its print, of the node's component."""
     if not 80 <= percent <= 100:
         raise ValueError("zones are cut for similarities of 80 % and more")
-    marked = stored(zones(df, doc_id, text, words, percent), "ngram-zones")
+    marked = stored(zones(df, doc_id, text, words, percent), "ngram-zones", BATCH_BYTES)
     found = components(links(df, marked, doc_id, text, words, percent)).select("node", "component")
     # null ids come last
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print")
@@ -315,7 +316,7 @@ def links(df: DataFrame, marked: DataFrame, doc_id: str, text: str, words: int,
     pairs = enough.select(F.col("a").alias("anchor"), F.col("b").alias("other"))
     # zones of which so much is common that a pair could have been missed
     crowded = stored(nodes.where(f"1000 * commons >= {percent} * n").select("node"), "ngram-crowded")
-    sets = stored(whole_sets(df, marked, pairs.select(F.col("anchor").alias("node")).union(pairs.select("other")).union(crowded), doc_id, text, words), "ngram-sets")
+    sets = stored(whole_sets(df, marked, pairs.select(F.col("anchor").alias("node")).union(pairs.select("other")).union(crowded), doc_id, text, words), "ngram-sets", BATCH_BYTES)
     if crowded.isEmpty():
         return verified(stored(pairs, "ngram-pairs"), sets, percent)
 

@@ -36,7 +36,7 @@ BLOCK = 32
 GROUP_SEQUENCES = 1024
 LINEAR = 12 * 1024.0
 QUADRATIC = 2.0
-SLICE_BYTES = 4 * 1024 * 1024
+SLICE_BYTES = 3 * 1024 * 1024
 
 
 @lru_cache(maxsize=1)
@@ -145,7 +145,7 @@ def pack(df: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary:
     """
     if capacity % BLOCK:
         raise ValueError(f"capacity must be a multiple of {BLOCK}")
-    counted = stored(tokenized(df, doc_id, text, vocabulary), "packing-tokens")
+    counted = stored(tokenized(df, doc_id, text, vocabulary), "packing-tokens", SLICE_BYTES)
     total = counted.agg(F.sum("doc_tokens")).first()[0] or 0
     groups = max(1, math.ceil(total / (capacity * group_sequences)))
 

@@ -7,6 +7,7 @@ and laid out by Arrow and numpy, a slice at a time; only what is new goes to the
 
 from __future__ import annotations
 
+import os
 from functools import lru_cache
 
 import numpy as np
@@ -15,7 +16,7 @@ import pyarrow.compute as pc
 
 from lexivane.llm.common import runs
 
-REMEMBERED_BYTES = 40 * 1024 * 1024
+REMEMBERED_BYTES = 12 * 1024 * 1024
 LATIN = "^[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]*$"
 
 
@@ -62,6 +63,8 @@ class WordTokenizer:
         import public_tokenizers
         from tokenizers import Tokenizer
 
+        # tasks fill the cores; threads of the library's own would only keep memory each
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(vocabulary))
         names = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(names.values()) + 1, dtype=bool)
