@@ -14,11 +14,14 @@ edits, the one whose keys end first keeps a key that the other has among its own
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexivane.llm.common import stored, stored_again
+from lexivane.llm.common import stored
 
 EDITS = 2
 SHORTEST = 20
@@ -117,48 +120,56 @@ def lines_of(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     return slim.where("text is not null").select("doc_id", "print", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
 
 
-def word_hashes(line: Column) -> Column:
-    return F.transform(F.filter(F.split(line, r"\s+"), lambda w: w != ""), lambda w: F.xxhash64(w))
+def words_of(line: Column) -> Column:
+    """The words between white space. A line without any has one, the empty text."""
+    # a text is split at single spaces several times faster than by a pattern, so only lines with other white space are rewritten
+    other = [line.contains(c) for c in ("  ", "\t", "\n", "\x0b", "\f", "\r")]
+    spaced = F.when(reduce(or_, other), F.regexp_replace(line, r"\s+", " ")).otherwise(line)
+    return F.split(F.trim(spaced), " ")
 
 
-def run_keys(q: int) -> Column:
-    """Keys of ``n`` words: their first ``runs`` of ``q`` words in the order of hashes, a part that ``n div (WORDS - 1)`` edits cannot change whole.
+def picked_runs(q: int) -> Column:
+    """How many of ``runs``, of ``q`` words each and in the order of their first words, ``n div (WORDS - 1)`` edits cannot change whole.
 
-    ``runs`` are sorted longs, a place in the lowest PLACE_BITS bits and a hash above. An edit changes the runs that cover
-    one place, so the fewest edits that change some runs are found by going through them from left to right, with their number
-    above the next free place in one long. Parts of growing size are tried; the last one, q runs for each edit and one, always
-    does, and is taken at once where places do not fit.
+    ``runs`` are sorted longs, a place in the lowest PLACE_BITS bits and the hash of the first word above. An edit changes the runs
+    that cover one place, so the fewest edits that change some runs are found by going through them from left to right, with their number
+    above the next free place in one long. Parts of growing size are tried; the last one, q runs for each edit and one, always does.
     """
     edits = f"(n div {WORDS - 1})"
     several = [f"cast(ceil(1.5 * ({edits} + 1)) as int)", f"2 * ({edits} + 1)", f"3 * ({edits} + 1)"]
-    some = lambda m: f"slice(runs, 1, {m})"
-    places = lambda m: f"sort_array(transform({some(m)}, r -> r & {PLACES}L))"
-    walked = lambda m: f"aggregate({places(m)}, 0L, (s, p) -> if(p >= (s & 4294967295L), s - (s & 4294967295L) + 4294967296L + p + {q}L, s))"
-    tried = " ".join(f"when n <= {PLACES} and shiftright({walked(m)}, 32) > {edits} then {some(m)}" for m in several)
-    return F.expr(f"array_distinct(transform(case {tried} else {some(f'{q} * {edits} + 1')} end, r -> r & {~PLACES}L))")
+    places = lambda m: f"sort_array(transform(slice(runs, 1, {m}), r -> r & {PLACES}L))"
+    walked = lambda m: f"aggregate({places(m)}, 0L, (s, p) -> if(p < (s & 4294967295L), s, (s | 4294967295L) + p + {q + 1}L))"
+    tried = " ".join(f"when shiftright({walked(m)}, 32) > {edits} then {m}" for m in several)
+    return F.expr(f"least(size(runs), case {tried} else {q} * {edits} + 1 end)")
 
 
 def with_word_keys(df: DataFrame) -> DataFrame:
     """``df(words, ...)`` with ``word_keys``, none for lines of fewer than WORDS - 1 words.
 
     Runs have five words in lines of ``LONG_RUNS`` words and more, else four. A longer line whose partners may be below
-    that has keys of both kinds.
+    that has keys of both kinds. Runs are ordered by their first words, and only the picked ones are hashed; those that begin with the same word
+    as the last one picked are keys too, so that the order of such runs does not matter. A line with more places than fit has all runs as keys.
     """
     sized = df.withColumn("n", F.size("words"))
     none = F.array().cast("array<bigint>")
     for q, wanted in ((4, f"n >= {WORDS - 1} and n - n div {WORDS} < {LONG_RUNS}"), (5, f"n >= {LONG_RUNS}")):
-        word = ", ".join(f"get(words, i + {k})" for k in range(1, q))
-        runs = f"sort_array(transform(slice(words, 1, n - {q - 1}), (w, i) -> xxhash64({q}, w, {word}) & {~PLACES}L | i & {PLACES}L))"
-        sized = sized.withColumn("runs", F.expr(f"if({wanted}, {runs}, null)"))
-        sized = sized.withColumn(f"keys_{q}", F.when(F.col("runs").isNotNull(), run_keys(q)).otherwise(none))
-    return sized.withColumn("word_keys", F.concat("keys_4", "keys_5")).drop("runs", "keys_4", "keys_5")
-
-
-def word_parity(words: Column) -> Column:
+        starts = f"slice(words, 1, n - {q - 1})"
+        run = lambda at: f"xxhash64({q}, slice(words, cast({at} as int) + 1, {q})) & {~PLACES}L"  # noqa: B023, E731
+        sized = sized.withColumn("runs", F.expr(f"case when {wanted} and n <= {PLACES} then sort_array(transform({starts}, (w, i) -> xxhash64(w) & {~PLACES}L | i)) end"))
+        sized = sized.withColumn("picked", F.when(F.col("runs").isNotNull(), picked_runs(q)))
+        # get() counts from 0: the last picked run and the one behind it
+        last, behind = "get(runs, picked - 1)", "get(runs, picked)"
+        tied = f"{behind} <= ({last} | {PLACES}L)"
+        sized = sized.withColumn("runs", F.expr(f"case when picked is null then null when {tied} then filter(runs, r -> r <= ({last} | {PLACES}L)) else slice(runs, 1, picked) end"))
+        keys = f"case when runs is not null then transform(runs, r -> {run(f'(r & {PLACES}L)')}) when {wanted} then transform({starts}, (w, i) -> {run('i')}) end"
+        sized = sized.withColumn(f"keys_{q}", F.coalesce(F.array_distinct(F.expr(keys)), none))
+    return sized.withColumn("word_keys", F.concat("keys_4", "keys_5")).drop("runs", "picked", "keys_4", "keys_5")
+
+
+def word_parity(words: str) -> Column:
     """Four longs: which (hashed) words occur an odd number of times. An edit turns two bits of them at most."""
-    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(x, F.lit(64)).cast("int"))
-    part = lambda k: F.aggregate(F.filter(words, lambda x: F.pmod(F.shiftright(x, 8), F.lit(4)) == k), F.lit(0).cast("long"), lambda bits, x: bits.bitwiseXOR(bit(x)))
-    return F.array(*[part(k) for k in range(4)])
+    part = lambda k: f"aggregate(filter({words}, w -> (w & 768L) = {k << 8}L), 0L, (bits, w) -> bits ^ shiftleft(1L, cast(w & 63L as int)))"
+    return F.expr(f"array({', '.join(map(part, range(4)))})")
 
 
 def as_letters(words: Column, shift: int) -> Column:
@@ -170,10 +181,11 @@ def as_letters(words: Column, shift: int) -> Column:
 SPELLED = ("n", "bits", "x", "y")
 
 
-def spelled(words: Column) -> list[Column]:
-    """Columns SPELLED of ``words``: their number, their parities and two texts with a letter for each of them."""
-    n, bits = F.when(words.isNotNull(), F.size(words)), F.when(words.isNotNull(), word_parity(words))
-    return [c.alias(name) for c, name in zip((n, bits, as_letters(words, 0), as_letters(words, 32)), SPELLED)]
+def with_spelled(df: DataFrame) -> DataFrame:
+    """``df(words, ...)`` with columns SPELLED for ``words``: their number, their parities and two texts with a letter for each of them. Null words have none."""
+    words = F.col("words")
+    of_words = (F.size(words), word_parity("words"), as_letters(words, 0), as_letters(words, 32))
+    return df.withColumns({name: F.when(words.isNotNull(), c) for name, c in zip(SPELLED, of_words)}).drop("words")
 
 
 def near_by_words(met: DataFrame, lines: DataFrame) -> DataFrame:
@@ -186,7 +198,8 @@ def near_by_words(met: DataFrame, lines: DataFrame) -> DataFrame:
     bits = [F.col("bits")[k].alias(f"bits{k}") for k in range(4)]
     signs = met.join(lines.select("h", "first", "n", *bits), "h")
     slim = ["h", "first", "n", *[f"bits{k}" for k in range(4)]]
-    lead = F.min(F.struct("first", "h", "n", *[f"bits{k}" for k in range(4)])).over(Window.partitionBy("key"))
+    by_key = Window.partitionBy("key")
+    lead = F.min(F.struct("first", "h", "n", *[f"bits{k}" for k in range(4)])).over(by_key)
 
     def edits(a: str, b: str) -> str:
         return f"cast(greatest({a}n, {b}n) div {WORDS} as int)"
@@ -198,13 +211,14 @@ def near_by_words(met: DataFrame, lines: DataFrame) -> DataFrame:
     def near(a: str, b: str) -> str:
         return f"levenshtein({a}x, {b}x, {edits(a, b)}) >= 0 and levenshtein({a}y, {b}y, {edits(a, b)}) >= 0"
 
-    led = signs.select("key", *slim, lead.alias("lead")).where("lead.h <> h")
-    signs = stored(led.select("key", *slim, F.col("lead.h").alias("lead"), F.expr(alike("lead.", "")).alias("alike")), "lines-word-bits")
+    led = signs.select("key", *slim, lead.alias("lead"), F.count("*").over(by_key).alias("lines")).where("lead.h <> h")
+    signs = stored(led.select("key", *slim, "lines", F.col("lead.h").alias("lead"), F.expr(alike("lead.", "")).alias("alike")), "lines-word-bits")
     pairs = stored(signs.where("alike").select(F.col("lead").alias("a"), F.col("h").alias("b")).distinct(), "lines-word-pairs")
     side = lambda s: lines.where("x is not null").select(F.col("h").alias(s), F.struct("n", "x", "y").alias(f"of_{s}"))
     led_near = stored(pairs.join(side("a"), "a").join(side("b"), "b").where(near("of_a.", "of_b.")).select(F.col("b").alias("h")).distinct(), "lines-word-near")
 
-    # first lines of a key are not in signs: they have no earlier partner there, and were compared as partners
+    # first lines of a key are not in signs: they have no earlier partner there, and were compared as partners; two lines of a key have no others
+    signs = signs.where("lines > 2")
     rest = signs.join(led_near, "h", "left_anti").select("key", *slim).alias("b")
     earlier = (F.col("a.key") == F.col("b.key")) & F.expr(f"a.first < b.first and {alike('a.', 'b.')}")
     open_ = stored(rest.join(signs.alias("a"), earlier, "left_semi"), "lines-word-open")
@@ -215,13 +229,20 @@ def near_by_words(met: DataFrame, lines: DataFrame) -> DataFrame:
     return led_near.unionByName(rest_near)
 
 
-def met_keys(groups: DataFrame, edits: int) -> DataFrame:
-    """``h, key, kind`` of the keys of ``groups(h, keys, word_keys)`` that several lines share; kinds: 0 a substring that may be a segment, 1 a segment, 2 a run of words."""
-    kind = F.when(F.col("at") >= F.col("n_keys"), 2).when(F.col("at") <= edits, 1).otherwise(0).cast("byte")
-    keys = groups.select("h", F.size("keys").alias("n_keys"), F.posexplode(F.concat("keys", "word_keys")).alias("at", "key")).select("h", "key", kind.alias("kind"))
+def met_keys(keyed: DataFrame, edits: int) -> DataFrame:
+    """``h, key, kind`` of the keys of ``keyed(h, n, keys, word_keys)`` that several lines share; kinds: 0 a substring that may be a segment, 1 a segment, else a run of words and the ``n`` words of its line.
+
+    A run of words counts if another line with it has so many words that the longer one's edits allow for the difference; of
+    the lines with more words, and of those with fewer, the nearest is the likeliest.
+    """
+    kind = F.when(F.col("at") >= F.col("n_keys"), F.col("n")).when(F.col("at") <= edits, 1).otherwise(0)
+    keys = keyed.select("h", "n", F.size("keys").alias("n_keys"), F.posexplode(F.concat("keys", "word_keys")).alias("at", "key")).select("h", "key", kind.alias("kind"))
     by_key = Window.partitionBy("key")
     met = keys.select("h", "key", "kind", F.min("h").over(by_key).alias("lo"), F.max("h").over(by_key).alias("hi"), F.max("kind").over(by_key).alias("most"))
-    return met.where("lo <> hi and most > 0").select("h", "key", "kind")
+    # few rows are left for the second window, which needs no further shuffle
+    by_size = by_key.orderBy("kind")
+    met = met.where("lo <> hi and most > 0").select("h", "key", "kind", F.lag("kind").over(by_size).alias("below"), F.lead("kind").over(by_size).alias("above"))
+    return met.where(f"kind < 2 or coalesce(kind - below <= kind div {WORDS}, false) or coalesce(above - kind <= above div {WORDS}, false)").select("h", "key", "kind")
 
 
 def dropped_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", edits: int = EDITS, shortest: int = SHORTEST, short_repeats: bool = False, near_words: bool = False) -> DataFrame:
@@ -236,29 +257,24 @@ def dropped_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", edi
     long_enough = F.col("size") >= shortest
     wanted_lines = long_enough | F.col("line").rlike(r"\S") if short_repeats else long_enough
     lines = lines_of(df, doc_id, text).withColumn("size", F.length("line")).where(wanted_lines)
-    marked = lines.select("doc_id", "print", "pos", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"), "line", "size")
+    marked = lines.select("doc_id", "print", "pos", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"), "line")
+    groups = marked.select("h", "h2", F.struct("doc_id", "print", "pos").alias("place"), "line").groupBy("h", "h2")
+    groups = stored(groups.agg(F.min("place").alias("first"), F.count("*").alias("times"), F.first("line").alias("line")), "lines-distinct")
     none = F.array().cast("array<bigint>")
-    by_letters = long_enough
+    keyed = groups.select("h", "line", F.length("line").alias("size")).where(long_enough)
     if near_words:
         # an edit of letters is two of words at most, so lines with enough words meet such partners by words
-        marked = with_word_keys(marked.withColumn("words", F.when(long_enough, word_hashes(F.col("line"))).otherwise(none))).drop("words")
-        by_letters = by_letters & (F.col("n") < 2 * edits * WORDS)
+        keyed = with_word_keys(keyed.withColumn("words", words_of(F.col("line"))))
+        keys = F.when(F.col("n") < 2 * edits * WORDS, join_keys(edits)).otherwise(none)
     else:
-        marked = marked.withColumn("word_keys", none)
-    groups = marked.select("h", "h2", "word_keys", F.struct("doc_id", "print", "pos").alias("place"), F.when(by_letters, join_keys(edits)).otherwise(none).alias("keys"))
-    groups = groups.groupBy("h", "h2").agg(F.min("place").alias("first"), F.count("*").alias("times"), F.first("keys").alias("keys"), F.first("word_keys").alias("word_keys"))
-    # the keys of all lines take disk only until it is known which of them meet
-    groups, met = stored_again(groups, "lines-keys", lambda keyed: (stored(keyed.select("h", "h2", "first", "times"), "lines-distinct"), stored(met_keys(keyed, edits), "lines-met")))
+        keyed, keys = keyed.withColumn("word_keys", none).withColumn("n", F.lit(0)), join_keys(edits)
+    met = stored(met_keys(keyed.select("h", "n", "word_keys", keys.alias("keys")), edits), "lines-met")
     # what met by letters is kept as a line, what met by words as letters for them
-    wanted = met.groupBy("h").agg(F.bool_or(F.col("kind") < 2).alias("by_letters"), F.bool_or(F.col("kind") == 2).alias("by_words")).join(groups.select("h", "h2", "first"), "h")
-    places = wanted.select("h", "h2", "first", "by_letters", "by_words", F.col("first.doc_id").alias("of"), F.col("first.print").alias("of_print"))
-    texts = df.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("print"), F.col(text).alias("text"))
-    found = texts.join(places, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("print") == F.col("of_print")))
-    found = found.select("h", "h2", "first", "by_letters", "by_words", F.get(F.split("text", "\n", -1), F.col("first.pos")).alias("line"))
-    kept = [F.when(F.col("by_letters"), F.col("line")).alias("line"), F.when(F.col("by_words"), word_hashes(F.col("line"))).alias("words")]
-    as_kept = ["h", "h2", "first", "line", *(spelled(F.col("words")) if near_words else [])]
-    # written before copies of a document's row go, so that whole texts and the lines need not lie in shuffles at once
-    found = stored_again(found, "lines-found", lambda lines: stored(lines.dropDuplicates(["h", "h2"]).select("h", "h2", "first", *kept).select(*as_kept), "lines-text"))
+    wanted = met.groupBy("h").agg(F.bool_or(F.col("kind") < 2).alias("by_letters"), F.bool_or(F.col("kind") >= 2).alias("by_words"))
+    found = groups.select("h", "h2", "first", "line").join(wanted.hint("shuffle_hash"), "h")
+    kept = [F.when(F.col("by_letters"), F.col("line")).alias("line"), F.when(F.col("by_words"), F.transform(words_of(F.col("line")), lambda w: F.xxhash64(w))).alias("words")]
+    found = found.select("h", "h2", "first", *kept)
+    found = stored(with_spelled(found) if near_words else found.drop("words"), "lines-text")
 
     # lines that share a segment meet only if their letters, and pairs of letters, can be within the edits
     by_segment = met.where("kind < 2")
@@ -282,7 +298,7 @@ def dropped_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", edi
     later = stored(measured, "lines-measured").where("edits is not null").select(later_one)
     near_lines = later.select("x.*")
     if near_words:
-        runs = met.where("kind = 2").select("h", "key")
+        runs = met.where("kind >= 2").select("h", "key")
         near = near_by_words(runs, found.where("x is not null").select("h", "first", *SPELLED))
         near_lines = near_lines.unionByName(near.join(found.select("h", "h2"), "h").select("h", "h2"))
     near_lines = near_lines.distinct().withColumn("near", F.lit(True))
